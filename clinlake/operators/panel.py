@@ -152,13 +152,19 @@ def trailing_window(df: DataFrame, keys: Sequence[str], ts: str, value: str, win
 
 
 def stratified_folds(df: DataFrame, id_col: str, strata: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """fold = (position in stratum along a seeded multiplicative hash of the id) mod k.
+    """fold = (position in stratum along a seeded hash of the id) mod k.
+
+    Integer ids use a multiplicative hash (reproducible in any SQL engine),
+    other ids a seeded xxhash64.
 
     Assignment is at the id level (patients are disjoint across folds); the
     position is the skew-safe row index, so a stratum with most rows is
     still split across tasks.
     """
-    h = F.pmod(F.col(id_col).cast("long") * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    if df.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte"):
+        h = F.pmod(F.col(id_col).cast("long") * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    else:
+        h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(4294967296))
     ids = df.select(id_col, *strata).dropDuplicates([id_col]).withColumn("_h", h)
     pos = row_index(ids, list(strata), ["_h", id_col], "_pos")
     return pos.select(id_col, *strata, ((F.col("_pos") - 1) % k).cast("int").alias("fold"))
