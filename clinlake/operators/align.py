@@ -63,6 +63,13 @@ def union_aligned(frames: Sequence[DataFrame], schema: T.StructType,
     return out
 
 
+def left_join_suffix(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
+    """Left join on several keys; right-side columns that clash with left ones
+    get ``suffix`` (pandas ``merge(suffixes=("", suffix))``)."""
+    ren = {c: f"{c}{suffix}" for c in right.columns if c in left.columns and c not in keys}
+    return left.join(right.withColumnsRenamed(ren), on=list(keys), how="left")
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
