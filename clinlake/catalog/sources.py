@@ -4,7 +4,6 @@ format, then reads it back with the library's readers."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

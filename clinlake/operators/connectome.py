@@ -95,3 +95,21 @@ def motion_scrub(df: DataFrame, scan: str, t: str, fd: str, value: str, fd_max:
     keep = share.filter(F.col("_bad") <= max_bad).select(scan)
     filled = interpolate_fill(x.join(keep, scan, "left_semi"), [scan], [t], "_x", out=value)
     return filled.drop("_x")
+
+
+def node_features(long: DataFrame, edges: DataFrame, scan: str, roi: str, value: str) -> DataFrame:
+    """Per (scan, roi): mean |value|, variance (ddof 0), points, degree in the
+    thresholded (symmetric) edge list."""
+    f = long.groupBy(scan, roi).agg(F.avg(F.abs(value)).alias("mean_abs"), F.var_pop(value).alias("variance"),
+                                    F.count(F.lit(1)).alias("n_points"))
+    deg = edges.groupBy(F.col("scan").alias(scan), F.col("src").alias(roi)).agg(F.count(F.lit(1)).alias("degree"))
+    return f.join(deg, [scan, roi], "left").fillna(0, ["degree"])
+
+
+def normative_z(long: DataFrame, roi: str, value: str, clip_at: float = 5.0) -> DataFrame:
+    """z against the population mean / sd (ddof 0) of each region, sd 0 -> 1, clipped."""
+    st = long.groupBy(roi).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    j = long.join(sized_broadcast(st), roi)
+    sd = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_s"))
+    z = F.least(F.greatest((F.col(value) - F.col("_m")) / sd, F.lit(-clip_at)), F.lit(clip_at))
+    return j.withColumn("z", z).drop("_m", "_s")

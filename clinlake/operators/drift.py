@@ -133,3 +133,15 @@ def ks_two_sample(long: DataFrame, min_n: int = 10) -> DataFrame:
     stat = F.when(small, F.lit(0.0)).otherwise(F.col("d"))
     pval = F.when(small, F.lit(1.0)).otherwise(_kolmogorov_sf(en * F.col("d")))
     return d.select("feature", stat.alias("ks_stat"), pval.alias("p_value"), "n_ref", "n_cur")
+
+
+def retrain_trigger(report: DataFrame) -> DataFrame:
+    """One-row retrain record from a drift report: critical features (sorted,
+    comma-joined; bounded by the feature count), max PSI and a reason."""
+    crit = F.col("severity") == "CRITICAL"
+    row = report.agg(F.count_if(crit).alias("n_critical"),
+                     F.array_join(F.sort_array(F.collect_list(F.when(crit, F.col("feature")))), ",")
+                     .alias("critical_features"),
+                     F.max("psi").alias("psi_max"))
+    return row.select((F.col("n_critical") > 0).alias("should_retrain"), "n_critical", "critical_features", "psi_max",
+                      F.format_string("critical drift in %d feature(s)", F.col("n_critical")).alias("reason"))

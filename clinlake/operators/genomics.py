@@ -131,3 +131,14 @@ def parse_vcf_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
                        F.split(f.getItem(4), ",").getItem(0).alias("alt"),
                        f.getItem(5).try_cast("double").alias("qual"),
                        f.getItem(6).alias("filter"), F.try_element_at(info, F.lit("GENE")).alias("gene"))
+
+
+def polygenic_scores(genotypes: DataFrame, betas: DataFrame, variant: str, sample: str, dosage: str,
+                     trait: str = "trait") -> DataFrame:
+    """PRS = sum beta * dosage per (sample, trait), then z per trait (ddof 0, sd 0 -> 1)."""
+    j = genotypes.join(betas, variant)
+    prs = j.groupBy(sample, trait).agg(F.sum(F.col("beta") * F.col(dosage)).alias("prs"))
+    st = prs.groupBy(trait).agg(F.avg("prs").alias("_m"), F.stddev_pop("prs").alias("_s"))
+    k = prs.join(sized_broadcast(st), trait)
+    sd = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_s"))
+    return k.select(sample, trait, "prs", F.coalesce((F.col("prs") - F.col("_m")) / sd, F.lit(0.0)).alias("prs_z"))

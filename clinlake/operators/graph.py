@@ -8,6 +8,7 @@ most a few rounds.  All per-node state stays distributed.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,3 +124,70 @@ def adjacency_edges(matrix: DataFrame, id_col: str, row_col: str, names: list[st
     return ex.filter(F.abs("w") > threshold).select(id_col, src.alias("src"), name.alias("dst"), "w",
                                                     F.when(F.abs(F.col(row_col) - F.col("j")) == 1, "direct")
                                                     .otherwise("indirect").alias("edge_type"))
+
+
+def break_cycles(edges: DataFrame, graph_id: str, src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
+    """Make every graph acyclic: while a cycle exists, remove its weakest edge (|w|).
+
+    Graphs are processed independently (``groupBy(graph).applyInPandas``); a
+    graph's size is bounded by its node set (variables of one patient's causal
+    model), not by the data volume.  Cycles are found by a DFS over nodes in
+    sorted order, so the result is repeatable.
+    """
+    gtype = edges.schema[graph_id].dataType.simpleString()
+    stype = edges.schema[src].dataType.simpleString()
+
+    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
+        adj: dict = {}
+        wt: dict = {}
+        for s, d, w in zip(pdf[src], pdf[dst], pdf[weight]):
+            adj.setdefault(s, set()).add(d)
+            wt[(s, d)] = float(w)
+
+        def find_cycle():
+            color: dict = {}
+            stack: list = []
+
+            def dfs(u):
+                color[u] = 1
+                stack.append(u)
+                for v in sorted(adj.get(u, ())):
+                    if color.get(v, 0) == 1:
+                        return stack[stack.index(v):] + [v]
+                    if color.get(v, 0) == 0:
+                        c = dfs(v)
+                        if c:
+                            return c
+                stack.pop()
+                color[u] = 2
+                return None
+
+            for node in sorted(set(adj) | {v for vs in adj.values() for v in vs}):
+                if color.get(node, 0) == 0:
+                    c = dfs(node)
+                    if c:
+                        return c
+            return None
+
+        while True:
+            cyc = find_cycle()
+            if not cyc:
+                break
+            cyc_edges = list(zip(cyc[:-1], cyc[1:]))
+            weak = min(cyc_edges, key=lambda e: (abs(wt[e]), e))
+            adj[weak[0]].discard(weak[1])
+            del wt[weak]
+        rows = [(pdf[graph_id].iloc[0], s, d, w) for (s, d), w in sorted(wt.items())]
+        return pd.DataFrame(rows, columns=[graph_id, src, dst, weight])
+
+    return edges.select(graph_id, src, dst, F.col(weight).cast("double").alias(weight)).groupBy(graph_id) \
+        .applyInPandas(fix, f"{graph_id} {gtype}, {src} {stype}, {dst} {stype}, {weight} double")
+
+
+# Causal role cut points on edge weight.
+PROTECTIVE_BELOW, AMPLIFIER_ABOVE = 0.35, 0.45
+
+
+def causal_role(w: str):
+    c = F.col(w)
+    return F.when(c < PROTECTIVE_BELOW, "protective").when(c > AMPLIFIER_ABOVE, "amplifier").otherwise("neutral")

@@ -195,3 +195,22 @@ def ann_ivf_top_k(docs: DataFrame, doc_id: str, vec_col: str, queries: DataFrame
                     .select(q_id, q_vec, F.col("_p.cell").alias("cell"))
     cand = probes.join(cells, "cell").select(q_id, doc_id, cosine(F.col(q_vec), F.col(vec_col)).alias("score"))
     return top_k_per_group(cand, [q_id], [F.col("score").desc(), F.col(doc_id)], k, salt_of=F.xxhash64(doc_id))
+
+
+def nearest_centroid(df: DataFrame, vec_col: str, centroids: DataFrame, label: str, centroid_col: str,
+                     out: str = "predicted", max_classes: int = 10_000) -> DataFrame:
+    """Predicted class = the centroid with the highest cosine similarity.
+
+    The centroid table (one row per class) is checked to be small, folded into
+    one array row and attached by broadcast; similarities are array
+    expressions (JVM-side)."""
+    if not is_small(centroids, max_classes):
+        raise ValueError("too many classes for a broadcast centroid table")
+    packed = centroids.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centroid_col).alias("c")))
+                           .alias("_cents"))
+    j = df.crossJoin(F.broadcast(packed))  # one row, size checked above
+    v = F.col(vec_col).cast("array<double>")
+    sims = F.transform("_cents", lambda s: F.struct(cosine(s["c"], v).alias("sim"), (-s["l"]).alias("neg"),
+                                                   s["l"].alias("l")))
+    best = F.array_max(sims)
+    return j.withColumn(out, best["l"]).drop("_cents")

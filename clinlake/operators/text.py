@@ -89,3 +89,18 @@ def corpus_stats(df: DataFrame, group_cols: Sequence[str], length_col: str) -> D
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("records"),
                                        F.avg(length_col).alias("mean_length"),
                                        F.max(length_col).alias("max_length"))
+
+
+def evidence_block(ranked: DataFrame, key: str, rank: str, doc_id: str, lang: str, source: str, text_col: str,
+                   cut: int = 600, header: str = "Relevant documents:") -> DataFrame:
+    """Numbered evidence passages per query (text cut to ``cut`` characters with an
+    ellipsis), joined in rank order; a query holds at most its top-k rows."""
+    body = F.substring(F.col(text_col), 1, cut)
+    ell = F.when(F.length(text_col) > cut, F.lit("…")).otherwise(F.lit(""))
+    passage = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] DOC"), F.col(doc_id).cast("string"),
+                       F.lit(" ("), F.col(lang), F.lit(", "), F.col(source), F.lit(")\nText: "), body, ell, F.lit("\n"))
+    g = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n_passages"),
+                                F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), passage.alias("p"))))
+                                .alias("_ps"))
+    return g.select(key, "n_passages",
+                    F.concat(F.lit(header + "\n"), F.array_join(F.transform("_ps", lambda s: s["p"]), "\n")).alias("context"))
