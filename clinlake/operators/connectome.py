@@ -84,7 +84,7 @@ def histogram_entropy(df: DataFrame, keys: list[str], value: str, n_bins: int =
     return h.groupBy(*keys).agg(F.sum(F.when(dens > 0, -dens * F.log(dens))).alias("entropy"))
 
 
-def motion_scrub(df: DataFrame, scan: str, t: str, fd: str, value: str, fd_max: float = 0.5,
+def motion_scrub(df: DataFrame, scan: str, order: list[str], fd: str, value: str, fd_max: float = 0.5,
                  max_bad: float = 0.2) -> DataFrame:
     """Frames with FD > fd_max are replaced by linear interpolation of the
     neighbouring good frames; scans with more than ``max_bad`` bad frames dropped."""
@@ -93,7 +93,7 @@ def motion_scrub(df: DataFrame, scan: str, t: str, fd: str, value: str, fd_max:
     x = df.withColumn("_x", F.when(bad, F.lit(None)).otherwise(F.col(value).cast("double")))
     share = df.groupBy(scan).agg(F.avg(bad.cast("double")).alias("_bad"))
     keep = share.filter(F.col("_bad") <= max_bad).select(scan)
-    filled = interpolate_fill(x.join(keep, scan, "left_semi"), [scan], [t], "_x", out=value)
+    filled = interpolate_fill(x.join(keep, scan, "left_semi"), [scan], list(order), "_x", out=value)
     return filled.drop("_x")
 
 

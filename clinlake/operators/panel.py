@@ -1,11 +1,12 @@
 """Longitudinal panel operators: per-patient ordered windows.
 
-Windows are ``Window.partitionBy(patient).orderBy(order)``; the order always
-ends with a unique tiebreaker so results are repeatable.  Cumulative results
-(visit numbers, running sums, stratum positions) use the skew-safe prefix
-plan (``plans.prefix``) so a patient with a third of all rows is split over
-many tasks; lag/lead and short row frames are per-key sorted streams that
-Spark spills to disk.
+The order always ends with a unique tiebreaker so results are repeatable.
+No operator runs a whole patient in one task: cumulative results (visit
+numbers, running sums, stratum positions) use the prefix plan
+(``plans.prefix``); lag/lead and short row frames run per (range bucket,
+patient) with halo rows from the neighbouring bucket (``plans.halo``);
+unbounded fills carry the last / next known value across buckets.  A patient
+with a third of all rows is thus spread over many tasks.
 """
 
 from __future__ import annotations
@@ -17,11 +18,8 @@ from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
 from clinlake.plans.broadcast import sized_broadcast
-from clinlake.plans.prefix import row_index, running_sum
-
-
-def _w(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
+from clinlake.plans.halo import bucket_window, carry_last_non_null, drop_halo, with_halo
+from clinlake.plans.prefix import bucket_column, row_index, running_sum
 
 
 def visit_index(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,44 +33,49 @@ def rate_and_acceleration(df: DataFrame, keys: Sequence[str], order: Sequence[st
     """delta = diff(value) / diff(time) with a 0 time step -> null, +-inf/null -> 0;
     accel = diff(delta) with null -> 0 (per patient, along ``order``)."""
     p = out_prefix or value
-    w = _w(keys, order)
+    h = with_halo(df, keys, order, behind=2)
+    w = bucket_window(keys, order)
     v = nan_to_null(F.col(value).cast("double"))
     dt = F.nullif(F.col(time_col).cast("double") - F.lag(time_col).over(w).cast("double"), F.lit(0.0))
     delta = F.try_divide(v - F.lag(v).over(w), dt)
-    out = df.withColumn(f"delta_{p}", F.coalesce(nan_to_null(delta), F.lit(0.0)))
-    return out.withColumn(f"accel_{p}", F.coalesce(F.col(f"delta_{p}") - F.lag(f"delta_{p}").over(w),
-                                                   F.lit(0.0)))
+    out = h.withColumn(f"delta_{p}", F.coalesce(nan_to_null(delta), F.lit(0.0)))
+    # the first row of a patient has no previous delta; a halo row stands in for the previous bucket
+    prev = F.lag(f"delta_{p}").over(w)
+    out = out.withColumn(f"accel_{p}", F.coalesce(F.col(f"delta_{p}") - prev, F.lit(0.0)))
+    return drop_halo(out)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str,
                  limit: int | None = None, out: str | None = None) -> DataFrame:
     """ffill(limit): last non-null within the previous ``limit`` rows (or all)."""
-    lo = -limit if limit is not None else Window.unboundedPreceding
-    w = _w(keys, order).rowsBetween(lo, Window.currentRow)
-    return df.withColumn(out or column, F.last(F.col(column), ignorenulls=True).over(w))
+    if limit is None:
+        return carry_last_non_null(df, keys, order, F.col(column), out or column)
+    h = with_halo(df, keys, order, behind=limit)
+    w = bucket_window(keys, order).rowsBetween(-limit, Window.currentRow)
+    return drop_halo(h.withColumn(out or column, F.last(F.col(column), ignorenulls=True).over(w)))
 
 
 def rolling_null_ok(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str,
                     window: int = 3, max_nulls: int = 2, out: str | None = None) -> DataFrame:
     """isna().rolling(window, min_periods=1).sum() <= max_nulls."""
-    w = _w(keys, order).rowsBetween(-(window - 1), Window.currentRow)
-    return df.withColumn(out or f"{column}_usable",
-                         F.sum(F.col(column).isNull().cast("int")).over(w) <= max_nulls)
+    h = with_halo(df, keys, order, behind=window - 1)
+    w = bucket_window(keys, order).rowsBetween(-(window - 1), Window.currentRow)
+    return drop_halo(h.withColumn(out or f"{column}_usable",
+                                  F.sum(F.col(column).isNull().cast("int")).over(w) <= max_nulls))
 
 
 def interpolate_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str,
                      out: str | None = None) -> DataFrame:
     """Linear interpolation by row position, then ffill and bfill (pandas
-    ``interpolate(limit_direction='both').ffill().bfill()``)."""
-    w = _w(keys, order)
-    pos = F.row_number().over(w)
-    tmp = df.withColumn("_pos", pos)
+    ``interpolate(limit_direction='both').ffill().bfill()``).
+
+    Positions come from the skew-safe row index; the previous and next known
+    (position, value) pairs are carried across buckets."""
+    pos = row_index(df, keys, order, "_pos")
     v = nan_to_null(F.col(column).cast("double"))
     known = F.when(v.isNotNull(), F.struct(F.col("_pos").alias("p"), v.alias("v")))
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tmp = tmp.withColumn("_prev", F.last(known, ignorenulls=True).over(before)) \
-             .withColumn("_next", F.first(known, ignorenulls=True).over(after))
+    tmp = carry_last_non_null(pos, keys, order, known, "_prev", forward=True)
+    tmp = carry_last_non_null(tmp, keys, order, known, "_next", forward=False)
     pp, pv = F.col("_prev.p"), F.col("_prev.v")
     np_, nv = F.col("_next.p"), F.col("_next.v")
     blend = pv + (nv - pv) * (F.col("_pos") - pp).cast("double") / F.nullif(np_ - pp, F.lit(0)).cast("double")
@@ -99,9 +102,10 @@ def cumulative_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 def second_difference_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                            k: float = 2.0) -> DataFrame:
     """first_diff, second_diff, flag = second_diff > mean + k * sd_pop (per patient, NaN-skipping)."""
-    w = _w(keys, order)
-    d1 = df.withColumn("first_diff", F.col(value) - F.lag(value).over(w))
-    d2 = d1.withColumn("second_diff", F.col("first_diff") - F.lag("first_diff").over(w))
+    h = with_halo(df, keys, order, behind=2)
+    w = bucket_window(keys, order)
+    d1 = h.withColumn("first_diff", F.col(value) - F.lag(value).over(w))
+    d2 = drop_halo(d1.withColumn("second_diff", F.col("first_diff") - F.lag("first_diff").over(w)))
     stats = d2.groupBy(*keys).agg(F.avg("second_diff").alias("_m"), F.stddev_pop("second_diff").alias("_s"))
     j = d2.join(stats, on=list(keys), how="left")
     flag = F.coalesce(F.col("second_diff") > F.col("_m") + F.lit(k) * F.col("_s"), F.lit(False))
@@ -112,17 +116,18 @@ def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       label: Column | str, length: int, stride: int) -> DataFrame:
     """Fixed-length sequences with a stride within each key: (keys, start, items, label=max).
 
-    Each row collects the next ``length - 1`` rows (a bounded frame); rows
-    whose position is a stride multiple and whose frame is full are kept.
+    Positions come from the skew-safe row index; each row collects the next
+    ``length - 1`` rows within its bucket plus halo rows from the next bucket;
+    rows whose position is a stride multiple and whose frame is full are kept.
     """
-    w = _w(keys, order)
-    frame = w.rowsBetween(Window.currentRow, length - 1)
     it = F.col(item) if isinstance(item, str) else item
     lb = F.col(label) if isinstance(label, str) else label
-    out = (df.withColumn("_rn", F.row_number().over(w))
-             .withColumn("items", F.collect_list(it).over(frame))
-             .withColumn("label", F.max(lb).over(frame)))
-    out = out.filter((((F.col("_rn") - 1) % stride) == 0) & (F.size("items") == length))
+    base = row_index(df.withColumn("_it", it).withColumn("_lb", lb), keys, order, "_rn")
+    h = with_halo(base, keys, order, ahead=length - 1)
+    frame = bucket_window(keys, order).rowsBetween(Window.currentRow, length - 1)
+    out = (h.withColumn("items", F.collect_list("_it").over(frame))
+             .withColumn("label", F.max("_lb").over(frame)))
+    out = drop_halo(out).filter((((F.col("_rn") - 1) % stride) == 0) & (F.size("items") == length))
     return out.select(*keys, (F.col("_rn") - 1).alias("start"), "items", "label")
 
 
@@ -134,21 +139,30 @@ def trailing_window(df: DataFrame, keys: Sequence[str], ts: str, value: str, win
     form one emission; a RANGE frame over epoch microseconds then sums
     count / sum / sum of squares over [t - window, t].  Emits when count >=
     ``min_count``: mean, sd_pop, count, window_start (first ts in frame),
-    window_end (t).
+    window_end (t).  The frame runs per (range bucket, key); rows of the
+    previous bucket within ``window`` of a bucket's first time are copied in
+    as halo rows, so a key with most of the events is split over buckets.
     """
+    k = list(keys)
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     v = nan_to_null(F.col(value).cast("double"))
-    per_ts = df.groupBy(*keys, t.alias("_t")).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"),
-                                                  F.sum(v * v).alias("_ss"))
-    w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-window_us, Window.currentRow)
-    agg = per_ts.select(*keys, "_t", F.sum("_n").over(w).alias("count"), F.sum("_s").over(w).alias("_sum"),
-                        F.sum("_ss").over(w).alias("_sumsq"), F.min("_t").over(w).alias("_first"))
+    per_ts = df.groupBy(*k, t.alias("_t")).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"),
+                                               F.sum(v * v).alias("_ss"))
+    b = per_ts.withColumn("_bkt", bucket_column(per_ts, k + ["_t"])).withColumn("_halo", F.lit(False))
+    starts = b.groupBy("_bkt", *k).agg(F.min("_t").alias("_start"))
+    nxt = starts.withColumn("_bkt", F.col("_bkt") - 1)  # the next bucket's start, keyed by this bucket
+    halo = (b.join(nxt, ["_bkt", *k]).filter(F.col("_t") >= F.col("_start") - window_us)
+            .drop("_start").withColumn("_bkt", F.col("_bkt") + 1).withColumn("_halo", F.lit(True)))
+    h = b.unionByName(halo)
+    w = Window.partitionBy("_bkt", *k).orderBy("_t").rangeBetween(-window_us, Window.currentRow)
+    agg = h.select(*k, "_t", "_halo", F.sum("_n").over(w).alias("count"), F.sum("_s").over(w).alias("_sum"),
+                   F.sum("_ss").over(w).alias("_sumsq"), F.min("_t").over(w).alias("_first"))
+    agg = agg.filter(~F.col("_halo"))
     mean = F.col("_sum") / F.col("count")
     var = F.greatest(F.col("_sumsq") / F.col("count") - mean * mean, F.lit(0.0))
-    out = agg.filter(F.col("count") >= min_count).select(
-        *keys, F.timestamp_micros("_first").alias("window_start"), F.timestamp_micros("_t").alias("window_end"),
+    return agg.filter(F.col("count") >= min_count).select(
+        *k, F.timestamp_micros("_first").alias("window_start"), F.timestamp_micros("_t").alias("window_end"),
         "count", mean.alias("mean"), F.sqrt(var).alias("sd_pop"))
-    return out
 
 
 def stratified_folds(df: DataFrame, id_col: str, strata: Sequence[str], k: int, seed: int = 42) -> DataFrame:

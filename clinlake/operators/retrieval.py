@@ -162,13 +162,15 @@ def semantic_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], ve
                     threshold: float = 0.85) -> DataFrame:
     """Gaps and islands: a new chunk starts where cos(previous, current) < threshold.
 
-    The break flag uses ``lag`` per key; the chunk number is a skew-safe
-    running sum of breaks; chunks are summarised with one grouped aggregate.
+    The break flag uses ``lag`` per (range bucket, key) with one halo row
+    from the previous bucket; the chunk number is a skew-safe running sum of
+    breaks; chunks are summarised with one grouped aggregate.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    prev = F.lag(vec_col).over(w)
+    from clinlake.plans.halo import bucket_window, drop_halo, with_halo
+    h = with_halo(df, keys, order, behind=1)
+    prev = F.lag(vec_col).over(bucket_window(keys, order))
     brk = F.when(prev.isNull(), F.lit(1)).when(cosine(prev, F.col(vec_col)) < threshold, F.lit(1)).otherwise(0)
-    flagged = df.withColumn("_brk", brk)
+    flagged = drop_halo(h.withColumn("_brk", brk))
     numbered = running_sum(flagged, keys, order, ["_brk"], ["chunk_no"])
     first, last = F.struct(*[F.col(c) for c in order]), F.struct(*[F.col(c) for c in order])
     return numbered.groupBy(*keys, "chunk_no").agg(F.min(first).alias("_first"), F.max(last).alias("_last"),

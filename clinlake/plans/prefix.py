@@ -29,8 +29,13 @@ def _n_buckets(n_rows: int, rows_per_bucket: int) -> int:
 
 
 def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 17) -> Column:
-    """Range-bucket id over ``order_cols`` (lexicographic), from sampled split points."""
+                  rows_per_bucket: int | None = None, seed: int = 17) -> Column:
+    """Range-bucket id over ``order_cols`` (lexicographic), from sampled split points.
+
+    ``rows_per_bucket`` defaults to the module's ``ROWS_PER_BUCKET`` read at call
+    time (tests lower it to force many buckets on small tables)."""
+    if rows_per_bucket is None:
+        rows_per_bucket = ROWS_PER_BUCKET
     if n_rows is None:
         n_rows = df.select(*order_cols).count()
     n = _n_buckets(n_rows, rows_per_bucket)
@@ -44,14 +49,15 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None =
         return F.lit(0)
     splits = sorted({keys[(i * len(keys)) // n] for i in range(1, n)})
     key_struct = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
-    split_arr = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(s)])
+    types = [df.schema[c].dataType for c in order_cols]
+    split_arr = F.array(*[F.struct(*[F.lit(v).cast(types[i]).alias(f"k{i}") for i, v in enumerate(s)])
                           for s in splits])
     return F.size(F.filter(split_arr, lambda s: s <= key_struct))
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
                 value_cols: Sequence[str], out_cols: Sequence[str] | None = None,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` per ``partition_cols`` along ``order_cols``.
 
     ``order_cols`` must be unique within a partition (add a tiebreaker), as
@@ -74,7 +80,7 @@ def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
 
 
 def row_index(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
-              out: str = "row_idx", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              out: str = "row_idx", rows_per_bucket: int | None = None) -> DataFrame:
     """1-based ``row_number()`` per partition along a unique order, skew-safe."""
     one = df.withColumn("_one", F.lit(1))
     res = running_sum(one, partition_cols, order_cols, ["_one"], [out], rows_per_bucket)
@@ -82,7 +88,7 @@ def row_index(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence
 
 
 def dense_codes(df: DataFrame, value_col: str, out: str = "code",
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int | None = None) -> DataFrame:
     """Sorted dictionary codes 0..k-1 for the distinct values of ``value_col``.
 
     Returns a (value, code) table with one row per distinct value.
