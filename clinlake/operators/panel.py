@@ -71,11 +71,12 @@ def interpolate_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
 
     Positions come from the skew-safe row index; the previous and next known
     (position, value) pairs are carried across buckets."""
-    pos = row_index(df, keys, order, "_pos")
+    bkt = bucket_column(df, list(keys) + list(order))  # one sampling pass shared by the three steps
+    pos = row_index(df, keys, order, "_pos", bucket=bkt)
     v = nan_to_null(F.col(column).cast("double"))
     known = F.when(v.isNotNull(), F.struct(F.col("_pos").alias("p"), v.alias("v")))
-    tmp = carry_last_non_null(pos, keys, order, known, "_prev", forward=True)
-    tmp = carry_last_non_null(tmp, keys, order, known, "_next", forward=False)
+    tmp = carry_last_non_null(pos, keys, order, known, "_prev", forward=True, bucket=bkt)
+    tmp = carry_last_non_null(tmp, keys, order, known, "_next", forward=False, bucket=bkt)
     pp, pv = F.col("_prev.p"), F.col("_prev.v")
     np_, nv = F.col("_next.p"), F.col("_next.v")
     blend = pv + (nv - pv) * (F.col("_pos") - pp).cast("double") / F.nullif(np_ - pp, F.lit(0)).cast("double")
@@ -122,8 +123,10 @@ def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     it = F.col(item) if isinstance(item, str) else item
     lb = F.col(label) if isinstance(label, str) else label
-    base = row_index(df.withColumn("_it", it).withColumn("_lb", lb), keys, order, "_rn")
-    h = with_halo(base, keys, order, ahead=length - 1)
+    src = df.withColumn("_it", it).withColumn("_lb", lb)
+    bkt = bucket_column(src, list(keys) + list(order))
+    base = row_index(src, keys, order, "_rn", bucket=bkt)
+    h = with_halo(base, keys, order, ahead=length - 1, bucket=bkt)
     frame = bucket_window(keys, order).rowsBetween(Window.currentRow, length - 1)
     out = (h.withColumn("items", F.collect_list("_it").over(frame))
              .withColumn("label", F.max("_lb").over(frame)))

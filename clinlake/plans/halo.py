@@ -25,11 +25,11 @@ from clinlake.plans.prefix import bucket_column
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], behind: int = 0, ahead: int = 0,
-              rows_per_bucket: int | None = None) -> DataFrame:
+              rows_per_bucket: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Rows of ``df`` tagged with ``_bkt`` plus halo copies (``_halo`` true)."""
     k = list(keys)
-    b = df.withColumn("_bkt", bucket_column(df, k + list(order), rows_per_bucket=rows_per_bucket)) \
-          .withColumn("_halo", F.lit(False))
+    bcol = bucket if bucket is not None else bucket_column(df, k + list(order), rows_per_bucket=rows_per_bucket)
+    b = df.withColumn("_bkt", bcol).withColumn("_halo", F.lit(False))
     parts = [b]
     if behind > 0:
         w = Window.partitionBy("_bkt", *k).orderBy(*[F.col(c).desc() for c in order])
@@ -55,7 +55,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def carry_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                        out: str, forward: bool = True) -> DataFrame:
+                        out: str, forward: bool = True, bucket: Column | None = None) -> DataFrame:
     """Last (forward) or next (backward) non-null ``value`` at or before / after
     each row of its key, across buckets.
 
@@ -64,7 +64,8 @@ def carry_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     (later) bucket of the same key, found on the per-(bucket, key) table."""
     k = list(keys)
     v = value
-    b = df.withColumn("_bkt", bucket_column(df, k + list(order))).withColumn("_v", v)
+    bcol = bucket if bucket is not None else bucket_column(df, k + list(order))
+    b = df.withColumn("_bkt", bcol).withColumn("_v", v)
     w = Window.partitionBy("_bkt", *k).orderBy(*order)
     if forward:
         inner = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

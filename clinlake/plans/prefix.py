@@ -57,15 +57,17 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None =
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
                 value_cols: Sequence[str], out_cols: Sequence[str] | None = None,
-                rows_per_bucket: int | None = None) -> DataFrame:
+                rows_per_bucket: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` per ``partition_cols`` along ``order_cols``.
 
     ``order_cols`` must be unique within a partition (add a tiebreaker), as
     for a ROWS frame.  Output has the input columns plus ``out_cols``.
+    ``bucket`` reuses a bucket column already computed for the same ordering.
     """
     out_cols = list(out_cols or [f"cum_{v}" for v in value_cols])
     keys = list(partition_cols)
-    bcol = bucket_column(df, keys + list(order_cols), rows_per_bucket=rows_per_bucket)
+    bcol = bucket if bucket is not None else bucket_column(df, keys + list(order_cols),
+                                                           rows_per_bucket=rows_per_bucket)
     b = df.withColumn("_bkt", bcol)
     totals = b.groupBy("_bkt", *keys).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(value_cols)])
     w_tot = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,10 +82,10 @@ def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
 
 
 def row_index(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
-              out: str = "row_idx", rows_per_bucket: int | None = None) -> DataFrame:
+              out: str = "row_idx", rows_per_bucket: int | None = None, bucket: Column | None = None) -> DataFrame:
     """1-based ``row_number()`` per partition along a unique order, skew-safe."""
     one = df.withColumn("_one", F.lit(1))
-    res = running_sum(one, partition_cols, order_cols, ["_one"], [out], rows_per_bucket)
+    res = running_sum(one, partition_cols, order_cols, ["_one"], [out], rows_per_bucket, bucket)
     return res.drop("_one")
 
 
