@@ -44,7 +44,8 @@ def pii_hits(df: DataFrame, id_col: str, text_cols: Sequence[str],
     Text columns are stacked with ``unpivot`` (narrow), each pattern is one
     ``rlike``; hits are exploded from an array of matched pattern names.
     """
-    long = df.select(id_col, *text_cols).unpivot([id_col], list(text_cols), "column", "text")
+    from clinlake.plans.parallel import spread
+    long = spread(df.select(id_col, *text_cols), [id_col]).unpivot([id_col], list(text_cols), "column", "text")
     long = long.dropna(subset=["text"])
     matched = F.array_compact(F.array(*[F.when(F.col("text").rlike(java_pattern(p)), F.lit(n))
                                         for n, p in patterns.items()]))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from clinlake.functions.exprs import cosine
 from clinlake.operators.text import whitespace_tokens
 from clinlake.plans.broadcast import bounded_broadcast, is_small
+from clinlake.plans.parallel import spread
 from clinlake.plans.prefix import running_sum
 
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -53,10 +54,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return tf, dl
 
 
-def bm25_idf(tf: DataFrame, n_docs: Column) -> DataFrame:
-    """Okapi idf = ln(N - df + 0.5) - ln(df + 0.5); negative idf replaced by
-    epsilon x the mean idf over all terms."""
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bm25_idf(df_t: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """Okapi idf = ln(N - df + 0.5) - ln(df + 0.5) from a (term, df) table; negative
+    idf replaced by epsilon x the mean idf over all terms."""
     raw = df_t.crossJoin(bounded_broadcast(n_docs)).withColumn(
         "idf_raw", F.log(F.col("_N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     avg = raw.agg(F.avg("idf_raw").alias("_avg_idf"))
@@ -65,19 +65,40 @@ def bm25_idf(tf: DataFrame, n_docs: Column) -> DataFrame:
                     .otherwise(F.col("idf_raw")).alias("idf"))
 
 
+def _query_terms(queries: DataFrame, q_id: str, q_text: str) -> DataFrame:
+    return (queries.select(q_id, F.explode(whitespace_tokens(q_text)).alias("term"))
+            .groupBy(q_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
 def bm25_scores(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
-                salts: int = 16) -> DataFrame:
-    """BM25 score of every (query, document) pair sharing at least one term."""
-    tf, dl = postings(docs, doc_id, doc_text)
-    stats = dl.agg(F.count(F.lit(1)).alias("_N"), F.avg("dl").alias("_avgdl"))
-    idf = bm25_idf(tf, stats.select("_N"))
-    q = queries.select(q_id, F.explode(whitespace_tokens(q_text)).alias("term")) \
-               .groupBy(q_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = q.join(idf, "term", "inner")
-    # salt: postings of one term go to `salts` tasks; query terms are replicated per salt
-    post = tf.join(dl, doc_id).withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
-    qs = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    j = qs.join(post, ["term", "_salt"]).crossJoin(bounded_broadcast(stats.select("_avgdl")))
+                salts: int = 16, max_query_terms: int = 2_000_000) -> DataFrame:
+    """BM25 score of every (query, document) pair sharing at least one term.
+
+    The corpus is tokenised once, into one (doc, term) -> tf aggregate that
+    carries the document length; document frequencies (for every term: the
+    epsilon floor needs the mean idf over the vocabulary), the token total
+    (avgdl = tokens / N) and the postings of query terms are all read from
+    that one exchange.  N counts every document (no text is read for it).
+    When the query-term table is proven small it is broadcast; otherwise the
+    postings are salted and joined by a shuffle."""
+    n_docs = docs.agg(F.count(F.lit(1)).alias("_N"))
+    toks = spread(docs.select(doc_id, doc_text), [doc_id]).select(doc_id, whitespace_tokens(doc_text).alias("_tok"))
+    ex = toks.select(doc_id, F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
+    tf_all = ex.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    total = tf_all.agg(F.sum("tf").alias("_tokens"))
+    stats = n_docs.crossJoin(total).select("_N", (F.col("_tokens") / F.col("_N")).alias("_avgdl"))
+    df_t = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = bm25_idf(df_t, stats.select("_N"))
+    qt = _query_terms(queries, q_id, q_text)
+    small = is_small(qt, max_query_terms)  # checked on the query side alone (cheap)
+    q = qt.join(idf, "term", "inner")
+    if small:
+        j = tf_all.join(F.broadcast(q), "term")
+    else:
+        tf = tf_all.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
+        qs = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = qs.join(tf, ["term", "_salt"])
+    j = j.crossJoin(bounded_broadcast(stats.select("_avgdl")))
     norm = F.col("tf") + F.lit(BM25_K1) * (1 - F.lit(BM25_B) + F.lit(BM25_B) * F.col("dl") / F.col("_avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(BM25_K1 + 1) / norm
     return j.groupBy(q_id, doc_id).agg(F.sum(part).alias("score"))
@@ -144,18 +165,25 @@ def rrf(rankings: Sequence[DataFrame], q_id: str, doc_id: str, rank_col: str = "
 
 
 def jaccard_scores(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
-                   salts: int = 16) -> DataFrame:
+                   salts: int = 16, max_query_terms: int = 2_000_000) -> DataFrame:
     """Token-set Jaccard of (query, document) pairs sharing a term, from term joins:
-    |A n B| = shared distinct terms, |A u B| = |A| + |B| - |A n B|."""
-    dterms = docs.select(doc_id, F.explode(F.array_distinct(whitespace_tokens(doc_text))).alias("term"))
-    dsize = dterms.groupBy(doc_id).agg(F.count(F.lit(1)).alias("_nd"))
-    qterms = queries.select(q_id, F.explode(F.array_distinct(whitespace_tokens(q_text))).alias("term"))
-    qsize = qterms.groupBy(q_id).agg(F.count(F.lit(1)).alias("_nq"))
-    post = dterms.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
-    qs = qterms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    shared = qs.join(post, ["term", "_salt"]).groupBy(q_id, doc_id).agg(F.count(F.lit(1)).alias("_inter"))
-    j = shared.join(dsize, doc_id).join(qsize, q_id)
-    return j.select(q_id, doc_id, (F.col("_inter") / (F.col("_nd") + F.col("_nq") - F.col("_inter"))).alias("score"))
+    |A n B| = shared distinct terms, |A u B| = |A| + |B| - |A n B|.  Set sizes are
+    array sizes per row; the term join is broadcast when the query side is
+    proven small, salted otherwise."""
+    dset = spread(docs.select(doc_id, doc_text), [doc_id]).select(
+        doc_id, F.array_distinct(whitespace_tokens(doc_text)).alias("_set"))
+    dterms = dset.select(doc_id, F.size("_set").alias("_nd"), F.explode("_set").alias("term"))
+    qset = queries.select(q_id, F.array_distinct(whitespace_tokens(q_text)).alias("_set"))
+    qterms = qset.select(q_id, F.size("_set").alias("_nq"), F.explode("_set").alias("term"))
+    if is_small(qterms, max_query_terms):
+        j = dterms.join(F.broadcast(qterms), "term")
+    else:
+        post = dterms.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
+        qs = qterms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = qs.join(post, ["term", "_salt"])
+    shared = j.groupBy(q_id, doc_id).agg(F.count(F.lit(1)).alias("_inter"), F.max("_nd").alias("_nd"),
+                                         F.max("_nq").alias("_nq"))
+    return shared.select(q_id, doc_id, (F.col("_inter") / (F.col("_nd") + F.col("_nq") - F.col("_inter"))).alias("score"))
 
 
 def semantic_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], vec_col: str,

@@ -20,7 +20,7 @@ WORD_TOKEN = "[a-z0-9]+"
 def whitespace_tokens(text: str | Column) -> Column:
     """``text.lower().split()``: lower-case, split on whitespace, no empty tokens."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), r"\s+"), "")
 
 
 def word_set(text: str | Column) -> Column:
