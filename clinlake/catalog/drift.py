@@ -25,11 +25,7 @@ def _long_sql():
 
 
 def psi_three_modes(spark, sf):
-    long = _lineitem_long(spark, sf)
-    a = drift.psi(long, "smoothed").withColumnRenamed("psi", "psi_smoothed")
-    b = drift.psi(long, "widened").withColumnRenamed("psi", "psi_widened")
-    c = drift.psi(long, "prediction").withColumnRenamed("psi", "psi_prediction")
-    j = a.join(b, "feature").join(c, "feature")
+    j = drift.psi_modes(_lineitem_long(spark, sf))
     return j.select("feature", *[F.round(x, 6).alias(x) for x in ("psi_smoothed", "psi_widened", "psi_prediction")])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.plans.broadcast import bounded_broadcast
-from clinlake.plans.prefix import running_sum
+from clinlake.plans.prefix import bucket_column, running_sum
 
 # PSI severity tiers and thresholds.
 PSI_MINOR, PSI_WARNING, PSI_CRITICAL = 0.10, 0.20, 0.25
@@ -20,57 +20,76 @@ MEAN_SHIFT_THRESHOLD = 0.15
 PREDICTION_PSI_ALERT = 0.25
 
 
-def psi(long: DataFrame, mode: str = "smoothed", n_bins: int = 10, min_n: int = 10) -> DataFrame:
-    """PSI per feature between side 'ref' and side 'cur'.
+PSI_MODES = ("smoothed", "widened", "prediction")
+
+
+def psi_modes(long: DataFrame, modes=PSI_MODES, n_bins: int = 10, min_n: int = 10) -> DataFrame:
+    """PSI per feature between side 'ref' and side 'cur', for several smoothings in one pass.
 
     mode 'smoothed': bins over the joint [min, max]; pct = (c + 1e-6)/(N + 1e-6 n);
         either side with fewer than ``min_n`` values -> 0.
     mode 'widened': bins over [min - 1e-8, max + 1e-8]; pct = c/max(N,1) + 1e-8.
     mode 'prediction': bins over [min, max]; pct = c/max(N,1); log((cur+1e-8)/(ref+1e-8)).
     The result is floored at 0 for 'smoothed' and 'widened'.
+
+    One range aggregate, then one grouped count per (feature, plain bin,
+    widened bin) serves every mode; the rest works on (feature x bin) rows.
     """
     v = long.dropna(subset=["value"])
     rng = v.groupBy("feature").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.count(F.when(F.col("side") == "ref", 1)).alias("n_ref"),
         F.count(F.when(F.col("side") == "cur", 1)).alias("n_cur"))
-    if mode == "widened":
-        rng = rng.withColumns({"lo": F.col("lo") - F.lit(1e-8), "hi": F.col("hi") + F.lit(1e-8)})
-    width = (F.col("hi") - F.col("lo")) / F.lit(n_bins)
-    raw = F.floor(F.try_divide(F.col("value") - F.col("lo"), F.nullif(width, F.lit(0.0))))
-    b = F.coalesce(F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1)), F.lit(0)).cast("int")
-    binned = v.join(bounded_broadcast(rng.select("feature", "lo", "hi")), "feature").withColumn("bin", b)
-    counts = binned.groupBy("feature", "bin").agg(
+
+    def bin_of(lo: Column, hi: Column) -> Column:
+        width = (hi - lo) / F.lit(n_bins)
+        raw = F.floor(F.try_divide(F.col("value") - lo, F.nullif(width, F.lit(0.0))))
+        return F.coalesce(F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1)), F.lit(0)).cast("int")
+
+    binned = v.join(bounded_broadcast(rng.select("feature", "lo", "hi")), "feature").select(
+        "feature", "side", bin_of(F.col("lo"), F.col("hi")).alias("b_plain"),
+        bin_of(F.col("lo") - F.lit(1e-8), F.col("hi") + F.lit(1e-8)).alias("b_wide"))
+    counts = binned.groupBy("feature", "b_plain", "b_wide").agg(
         F.count(F.when(F.col("side") == "ref", 1)).alias("c_ref"),
         F.count(F.when(F.col("side") == "cur", 1)).alias("c_cur"))
-    grid = rng.select("feature", "n_ref", "n_cur",
-                      F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    g = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["c_ref", "c_cur"])
-    cr, cc = F.col("c_ref").cast("double"), F.col("c_cur").cast("double")
-    nr, nc = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
-    if mode == "smoothed":
-        eps = F.lit(1e-6)
-        e = (cr + eps) / (nr + eps * n_bins)
-        a = (cc + eps) / (nc + eps * n_bins)
-        term = (a - e) * F.log(a / e)
-    elif mode == "widened":
-        e = cr / F.greatest(nr, F.lit(1.0)) + F.lit(1e-8)
-        a = cc / F.greatest(nc, F.lit(1.0)) + F.lit(1e-8)
-        term = (a - e) * F.log(a / e)
-    elif mode == "prediction":
-        e = cr / F.greatest(nr, F.lit(1.0))
-        a = cc / F.greatest(nc, F.lit(1.0))
-        term = (a - e) * F.log((a + F.lit(1e-8)) / (e + F.lit(1e-8)))
-    else:
-        raise ValueError(mode)
-    out = g.groupBy("feature").agg(F.sum(term).alias("psi"), F.max("n_ref").alias("n_ref"),
-                                   F.max("n_cur").alias("n_cur"))
-    val = F.col("psi")
-    if mode in ("smoothed", "widened"):
-        val = F.greatest(val, F.lit(0.0))
-    if mode == "smoothed":
-        val = F.when((F.col("n_ref") < min_n) | (F.col("n_cur") < min_n), F.lit(0.0)).otherwise(val)
-    return out.select("feature", val.alias("psi"))
+    grid = rng.select("feature", "n_ref", "n_cur", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    out = rng.select("feature", "n_ref", "n_cur")
+    for mode in modes:
+        bcol = "b_wide" if mode == "widened" else "b_plain"
+        per = counts.groupBy("feature", F.col(bcol).alias("bin")).agg(F.sum("c_ref").alias("c_ref"),
+                                                                      F.sum("c_cur").alias("c_cur"))
+        g = grid.join(per, ["feature", "bin"], "left").fillna(0, ["c_ref", "c_cur"])
+        cr, cc = F.col("c_ref").cast("double"), F.col("c_cur").cast("double")
+        nr, nc = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
+        if mode == "smoothed":
+            eps = F.lit(1e-6)
+            e = (cr + eps) / (nr + eps * n_bins)
+            a = (cc + eps) / (nc + eps * n_bins)
+            term = (a - e) * F.log(a / e)
+        elif mode == "widened":
+            e = cr / F.greatest(nr, F.lit(1.0)) + F.lit(1e-8)
+            a = cc / F.greatest(nc, F.lit(1.0)) + F.lit(1e-8)
+            term = (a - e) * F.log(a / e)
+        elif mode == "prediction":
+            e = cr / F.greatest(nr, F.lit(1.0))
+            a = cc / F.greatest(nc, F.lit(1.0))
+            term = (a - e) * F.log((a + F.lit(1e-8)) / (e + F.lit(1e-8)))
+        else:
+            raise ValueError(mode)
+        agg = g.groupBy("feature").agg(F.sum(term).alias(f"psi_{mode}"))
+        out = out.join(agg, "feature")
+        val = F.col(f"psi_{mode}")
+        if mode in ("smoothed", "widened"):
+            val = F.greatest(val, F.lit(0.0))
+        if mode == "smoothed":
+            val = F.when((F.col("n_ref") < min_n) | (F.col("n_cur") < min_n), F.lit(0.0)).otherwise(val)
+        out = out.withColumn(f"psi_{mode}", val)
+    return out.drop("n_ref", "n_cur")
+
+
+def psi(long: DataFrame, mode: str = "smoothed", n_bins: int = 10, min_n: int = 10) -> DataFrame:
+    """PSI in one smoothing mode (see ``psi_modes``)."""
+    return psi_modes(long, (mode,), n_bins, min_n).withColumnRenamed(f"psi_{mode}", "psi")
 
 
 def severity(p: str | Column) -> Column:
@@ -122,7 +141,8 @@ def ks_two_sample(long: DataFrame, min_n: int = 10) -> DataFrame:
     counts = v.groupBy("feature", "value").agg(
         F.count(F.when(F.col("side") == "ref", 1)).alias("c_ref"),
         F.count(F.when(F.col("side") == "cur", 1)).alias("c_cur"))
-    cum = running_sum(counts, ["feature"], ["value"], ["c_ref", "c_cur"], ["cum_ref", "cum_cur"])
+    bkt = bucket_column(v.select("feature", "value"), ["feature", "value"])
+    cum = running_sum(counts, ["feature"], ["value"], ["c_ref", "c_cur"], ["cum_ref", "cum_cur"], bucket=bkt)
     sizes = counts.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
     j = cum.join(bounded_broadcast(sizes), "feature")
     diff = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))

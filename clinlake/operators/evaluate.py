@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.plans.broadcast import bounded_broadcast
-from clinlake.plans.prefix import running_sum
+from clinlake.plans.prefix import bucket_column, running_sum
 from clinlake.plans.quantile import exact_quantiles
 
 
@@ -31,7 +31,8 @@ def roc_auc(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
     """
     g = list(groups)
     c = _score_counts(df, g, y, p)
-    cum = running_sum(c, g, ["_s"], ["_neg"], ["_neg_le"])
+    bkt = bucket_column(df.select(*g, F.col(p).cast("double").alias("_s")), g + ["_s"])
+    cum = running_sum(c, g, ["_s"], ["_neg"], ["_neg_le"], bucket=bkt)
     term = F.col("_pos") * (F.col("_neg_le") - F.col("_neg") + F.col("_neg") * 0.5)
     agg = cum.groupBy(*g).agg(F.sum(term).alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(0.5)).otherwise(
@@ -44,7 +45,8 @@ def roc_points(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFram
     precision = tp / (tp + fp)."""
     g = list(groups)
     c = _score_counts(df, g, y, p).withColumn("_neg_s", -F.col("_s"))
-    cum = running_sum(c, g, ["_neg_s"], ["_pos", "_neg"], ["tp", "fp"])
+    bkt = bucket_column(df.select(*g, (-F.col(p).cast("double")).alias("_neg_s")), g + ["_neg_s"])
+    cum = running_sum(c, g, ["_neg_s"], ["_pos", "_neg"], ["tp", "fp"], bucket=bkt)
     tot = c.groupBy(*g).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     j = cum.join(bounded_broadcast(tot), on=g, how="inner") if g else cum.crossJoin(bounded_broadcast(tot))
     return j.select(*g, F.col("_s").alias("threshold"), "tp", "fp",
@@ -275,7 +277,7 @@ def _kth_smallest(scores: DataFrame, ks: DataFrame) -> DataFrame:
     """The k-th smallest score for each (alpha, k) via counts per distinct score and
     a skew-safe running count (no sort of the whole column in one task)."""
     c = scores.groupBy("s").agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sum(c, [], ["s"], ["_c"], ["_cum"])
+    cum = running_sum(c, [], ["s"], ["_c"], ["_cum"], bucket=bucket_column(scores, ["s"]))
     j = cum.crossJoin(bounded_broadcast(ks))
     hit = (F.col("_cum") - F.col("_c") < F.col("k")) & (F.col("_cum") >= F.col("k"))
     return j.filter(hit).select("alpha", F.col("s").alias("qhat"))

@@ -96,5 +96,6 @@ def dense_codes(df: DataFrame, value_col: str, out: str = "code",
     Returns a (value, code) table with one row per distinct value.
     """
     distinct = df.select(value_col).distinct()
-    idx = row_index(distinct, [], [value_col], "_rn", rows_per_bucket)
+    bkt = bucket_column(df.select(value_col), [value_col], rows_per_bucket=rows_per_bucket)
+    idx = row_index(distinct, [], [value_col], "_rn", rows_per_bucket, bucket=bkt)
     return idx.select(value_col, (F.col("_rn") - 1).cast("int").alias(out))

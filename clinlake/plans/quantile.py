@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
-from clinlake.plans.prefix import running_sum
+from clinlake.plans.prefix import bucket_column, running_sum
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -26,9 +26,11 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     g = list(group_cols)
     vals = df.select(*g, nan_to_null(F.col(value_col).cast("double")).alias("_v")).dropna(subset=["_v"])
     counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sum(counts, g, ["_v"], ["_c"], ["_cum"])
+    # split points sampled from the scan itself, so sampling never re-runs the aggregate
+    bkt = bucket_column(vals, g + ["_v"])
+    cum = running_sum(counts, g, ["_v"], ["_c"], ["_cum"], bucket=bkt)
     sizes = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    j = cum.join(sizes, on=g, how="inner") if g else cum.crossJoin(sizes)
+    j = cum.join(sizes, on=g, how="inner") if g else cum.crossJoin(F.broadcast(sizes))  # one row
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
