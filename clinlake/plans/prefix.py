@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 1_024
 
 
 def _n_buckets(n_rows: int, rows_per_bucket: int) -> int:
@@ -48,11 +48,24 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None =
     if not keys:
         return F.lit(0)
     splits = sorted({keys[(i * len(keys)) // n] for i in range(1, n)})
-    key_struct = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
     types = [df.schema[c].dataType for c in order_cols]
-    split_arr = F.array(*[F.struct(*[F.lit(v).cast(types[i]).alias(f"k{i}") for i, v in enumerate(s)])
-                          for s in splits])
-    return F.size(F.filter(split_arr, lambda s: s <= key_struct))
+    if len(order_cols) == 1:
+        key = F.col(order_cols[0])
+        lits = [F.lit(sp[0]).cast(types[0]) for sp in splits]
+    else:
+        key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
+        lits = [F.struct(*[F.lit(v).cast(types[i]).alias(f"k{i}") for i, v in enumerate(sp)]) for sp in splits]
+    return _search_tree(key, lits, 0, len(lits))
+
+
+def _search_tree(key: Column, splits: list[Column], lo: int, hi: int) -> Column:
+    """Bucket id = number of sorted split points <= key, as a balanced tree of
+    native comparisons (log2(n) comparisons per row, no lambda)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2  # buckets lo..mid-1 lie below splits[mid-1]
+    return F.when(key < splits[mid - 1], _search_tree(key, splits, lo, mid - 1)).otherwise(
+        _search_tree(key, splits, mid, hi))
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
