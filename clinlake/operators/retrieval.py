@@ -25,6 +25,7 @@ from clinlake.functions.exprs import cosine
 from clinlake.operators.text import whitespace_tokens
 from clinlake.plans.broadcast import bounded_broadcast, is_small
 from clinlake.plans.parallel import spread
+from clinlake.session import checkpoint_dir
 from clinlake.plans.prefix import running_sum
 
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -85,6 +86,10 @@ def bm25_scores(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     toks = spread(docs.select(doc_id, doc_text), [doc_id]).select(doc_id, whitespace_tokens(doc_text).alias("_tok"))
     ex = toks.select(doc_id, F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
     tf_all = ex.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    # the postings table feeds four consumers whose pruned plans differ, so Spark
+    # would not reuse its exchange: write it once to the shared checkpoint folder
+    checkpoint_dir(docs.sparkSession)
+    tf_all = tf_all.checkpoint(eager=True)
     total = tf_all.agg(F.sum("tf").alias("_tokens"))
     stats = n_docs.crossJoin(total).select("_N", (F.col("_tokens") / F.col("_N")).alias("_avgdl"))
     df_t = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

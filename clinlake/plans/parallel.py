@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+def spread(df: DataFrame, key_cols: Sequence[str] | None = None) -> DataFrame:
+    """Hash-partition ``df`` over the task slots when it has fewer partitions
+    than slots (by ``key_cols``, or a hash of all columns); else unchanged."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots, *[F.col(c) for c in key_cols])
+    if not key_cols:
+        first = df.schema.fields[0]
+        # an integer id leads most tables: hashing it is cheap and well spread
+        key_cols = [first.name] if first.dataType.typeName() in ("long", "integer") else list(df.columns)
+    return df.repartition(slots, F.xxhash64(*[F.col(c) for c in key_cols]))

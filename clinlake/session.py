@@ -60,10 +60,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one driver table; selecting ``columns`` here keeps ReadSchema narrow."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+          spread_small: bool = True) -> DataFrame:
+    """Read one driver table; selecting ``columns`` here keeps ReadSchema narrow.
+
+    A scan with fewer splits than task slots (a few files of one row group)
+    is hash-spread over the slots so downstream per-row work runs in
+    parallel; a large table is returned as scanned (no extra shuffle)."""
+    from clinlake.plans.parallel import spread
+
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if spread_small else df
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
