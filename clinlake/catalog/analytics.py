@@ -325,7 +325,42 @@ def robustness_suite(spark, sf):
     return evaluate.robustness_suite(d, "rid", models_q.FEATURES, "y", models_q.SCORE)
 
 
+def fusion_weight_grid(spark, sf):
+    from clinlake.operators import models
+    docs = table(spark, sf, "documents", ["doc_id", "n_chars"])
+    lab = table(spark, sf, "labels", ["doc_id", "quality"])
+    d = docs.join(lab, "doc_id").select(
+        "quality", (F.col("n_chars") / (F.col("n_chars") + 2000.0)).alias("p_text"),
+        (F.col("n_chars") / (F.col("n_chars") + 8000.0)).alias("p_long"),
+        (F.lit(1.0) - F.col("n_chars") / (F.col("n_chars") + 500.0)).alias("p_short"),
+        (F.pmod(F.col("doc_id") * F.lit(2654435761) + F.lit(3), F.lit(4294967296)) % 5).alias("fold"))
+    g = models.fusion_weight_search(d, "quality", ["p_text", "p_long", "p_short"], "fold", step=0.25)
+    return g.select("trial", "w_p_text", "w_p_long", "w_p_short", _r("mean_auc"), "is_best")
+
+
+def _fusion_grid_sql():
+    from clinlake.operators.models import weight_grid
+    trials = ", ".join(f"({i}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)"
+                       for i, w in enumerate(weight_grid(3, 0.25)))
+    return f"""
+WITH d AS (SELECT quality AS y, n_chars / (n_chars + 2000.0) AS p1, n_chars / (n_chars + 8000.0) AS p2,
+                  1.0 - n_chars / (n_chars + 500.0) AS p3, ((d.doc_id * 2654435761 + 3) % 4294967296) % 5 AS fold
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+t(trial, w1, w2, w3) AS (VALUES {trials}),
+s AS (SELECT trial, fold, y, 0.0 + w1 * p1 + w2 * p2 + w3 * p3 AS p FROM d, t),
+c AS (SELECT trial, fold, p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM s GROUP BY ALL),
+k AS (SELECT *, sum(neg) OVER (PARTITION BY trial, fold ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le FROM c),
+a AS (SELECT trial, fold, CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.5
+             ELSE sum(pos * (le - neg + neg * 0.5)) / (sum(pos) * sum(neg)) END AS auc FROM k GROUP BY ALL),
+m AS (SELECT trial, avg(auc) AS mean_auc FROM a GROUP BY trial),
+b AS (SELECT arg_max(trial, (round(mean_auc, 12), -trial)) AS best FROM m)
+SELECT m.trial, w1 AS w_p_text, w2 AS w_p_long, w3 AS w_p_short, round(mean_auc, 6) AS mean_auc, m.trial = best AS is_best
+FROM m JOIN t ON m.trial = t.trial, b
+"""
+
+
 QUERIES = {
+    "fusion_weight_grid": fusion_weight_grid,
     "retrain_trigger": retrain_trigger,
     "evidence_context": evidence_context,
     "nearest_centroid_report": nearest_centroid_report,
@@ -347,6 +382,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "fusion_weight_grid": _fusion_grid_sql(),
     "retrain_trigger": _retrain_sql(),
     "evidence_context": _evidence_sql(),
     "nearest_centroid_report": _CENTROID_REPORT_SQL,

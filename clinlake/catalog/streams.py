@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from clinlake.catalog.panel import METRIC_OF, TRAILING_WINDOW_US, _daily_sql, _TRAILING_SQL
+from clinlake.catalog.panel import _TRAILING_SQL, _WEEKLY_SQL, METRIC_OF, TRAILING_WINDOW_US, _daily_sql
 from clinlake.streaming import events as sev
 from clinlake.streaming import sinks, windows
 
@@ -47,6 +47,24 @@ def stream_trailing_window(spark, sf):
                       F.round("mean", 6).alias("mean"), F.round("sd_pop", 4).alias("sd_pop"))
 
 
+def stream_weekly_deterioration(spark, sf):
+    """Monday-aligned weekly deterioration index as a streaming window aggregate
+    (update mode; the latest emission per (user, week) is the result)."""
+    ev = _event_stream(spark, sf)
+
+    def avg_of(et):
+        return F.avg(F.when(F.col("event_type") == et, F.col("value")))
+    agg = (ev.withWatermark("ts", "1 day").groupBy("user_id", windows.weekly_window("ts").alias("w"))
+           .agg((F.lit(0.4) * (avg_of("click") - avg_of("view")) + F.lit(0.4) * avg_of("purchase")
+                 + F.lit(0.2) * avg_of("error")).alias("deterioration_index"))
+           .select("user_id", F.col("w.start").alias("week"), "deterioration_index"))
+    path = sinks.scratch_path(spark, "weekly")
+    sinks.run_available_now(agg, path, output_mode="update")
+    out = sinks.latest_per_key(sinks.read_sink(spark, path).drop("schema_version", "updated_at"), ["user_id", "week"])
+    return out.select("user_id", F.col("week").cast("timestamp_ntz").alias("week"),
+                      F.round("deterioration_index", 6).alias("deterioration_index"))
+
+
 def stream_dedupe(spark, sf):
     ev = _event_stream(spark, sf)
     d = windows.dedupe_within_watermark(ev, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type")
@@ -59,10 +77,12 @@ QUERIES = {
     "stream_daily_summary": stream_daily_summary,
     "stream_trailing_window": stream_trailing_window,
     "stream_dedupe": stream_dedupe,
+    "stream_weekly_deterioration": stream_weekly_deterioration,
 }
 
 ORACLE = {
     "stream_daily_summary": _daily_sql(),
     "stream_trailing_window": _TRAILING_SQL,
     "stream_dedupe": "SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events",
+    "stream_weekly_deterioration": _WEEKLY_SQL,
 }

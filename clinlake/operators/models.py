@@ -307,3 +307,40 @@ def local_surrogate(df: DataFrame, id_col: str, features: Sequence[str], score:
 
     return ex.select(id_col, "_p", "_w", *dcols).groupBy(id_col).applyInPandas(
         fit, f"{id_col} {idt}, feature string, weight double, rank long")
+
+
+def weight_grid(n_modalities: int, step: float) -> list[tuple[float, ...]]:
+    """All weight vectors on a simplex grid (weights multiples of ``step`` summing to 1)."""
+    k = int(round(1 / step))
+    out = []
+
+    def rec(prefix, left, slots):
+        if slots == 1:
+            out.append(tuple(prefix + [left * step]))
+            return
+        for i in range(left + 1):
+            rec(prefix + [i * step], left - i, slots - 1)
+    rec([], k, n_modalities)
+    return out
+
+
+def fusion_weight_search(df: DataFrame, label: str, prob_cols: Sequence[str], fold: str, step: float = 0.25) -> DataFrame:
+    """Score every weight vector of the grid on every fold by AUC; mean AUC per trial.
+
+    Rows are expanded by the (fixed, parameter-bounded) trial list and the AUC
+    is the distributed rank-count AUC grouped by (trial, fold)."""
+    from clinlake.operators.evaluate import roc_auc
+    trials = weight_grid(len(prob_cols), step)
+    arr = F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
+                    for i, ws in enumerate(trials)])
+    ex = df.select(F.col(label).alias("_y"), F.col(fold).alias("fold"), *prob_cols, F.explode(arr).alias("_t"))
+    fused = sum((F.col(f"_t.w{j}") * F.col(c) for j, c in enumerate(prob_cols)), F.lit(0.0))
+    scored = ex.select("_y", "fold", F.col("_t.trial").alias("trial"), fused.alias("_p"))
+    auc = roc_auc(scored, ["trial", "fold"], "_y", "_p")
+    per = auc.groupBy("trial").agg(F.avg("auc").alias("mean_auc"))
+    spark = df.sparkSession
+    dim = spark.createDataFrame([(i, *map(float, ws)) for i, ws in enumerate(trials)],
+                                "trial int, " + ", ".join(f"w_{c} double" for c in prob_cols))
+    best = per.agg(F.max_by("trial", F.struct(F.round("mean_auc", 12), -F.col("trial"))).alias("_best"))
+    return per.join(bounded_broadcast(dim), "trial").crossJoin(bounded_broadcast(best)) \
+              .withColumn("is_best", F.col("trial") == F.col("_best")).drop("_best")
