@@ -234,6 +234,45 @@ def quality_score(spark, sf):
                       F.col("outlier_count").cast("long").alias("outlier_count"), _r6(score).alias("quality_score"))
 
 
+def _quality_sql():
+    cols = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+    comp = " + ".join(f"round(avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END), 4)" for c in cols)
+    hits = []
+    for n, p in pii.PII_PATTERNS.items():
+        pat, flags = (p[4:], ", 'i'") if p.startswith("(?i)") else (p, "")
+        for c in ("text", "lang", "source"):
+            hits.append(f"SELECT 1 FROM b WHERE {c} IS NOT NULL AND regexp_matches({c}, $${pat}$${flags})")
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM b" for c in
+                              ("n_chars", "quality", "toxic"))
+    return f"""
+WITH b AS (SELECT d.doc_id, text, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+comp AS (SELECT ({comp}) / {len(cols)}.0 AS completeness_avg, count(*) AS n_rows FROM b),
+l AS (SELECT CASE WHEN lang = 'en' THEN 'ref' ELSE 'cur' END AS side, CAST(n_chars AS DOUBLE) AS value FROM b),
+r AS (SELECT min(value) AS lo, max(value) AS hi, count(*) FILTER (WHERE side = 'ref') AS n_ref,
+             count(*) FILTER (WHERE side = 'cur') AS n_cur FROM l WHERE value IS NOT NULL),
+bn AS (SELECT side, CAST(coalesce(least(greatest(floor((value - lo) / nullif((hi - lo) / 10, 0)), 0), 9), 0) AS INTEGER) AS bin
+       FROM l, r WHERE value IS NOT NULL),
+c AS (SELECT bin, count(*) FILTER (WHERE side = 'ref') AS c_ref, count(*) FILTER (WHERE side = 'cur') AS c_cur FROM bn GROUP BY bin),
+g AS (SELECT CAST(x AS INTEGER) AS bin, n_ref::DOUBLE AS nr, n_cur::DOUBLE AS nc FROM range(0, 10) t(x), r),
+j AS (SELECT nr, nc, coalesce(c_ref, 0)::DOUBLE AS cr, coalesce(c_cur, 0)::DOUBLE AS cc FROM g LEFT JOIN c ON g.bin = c.bin),
+psi AS (SELECT CASE WHEN max(nr) < 10 OR max(nc) < 10 THEN 0.0 ELSE greatest(sum(((cc + 1e-6) / (nc + 1e-6 * 10) - (cr + 1e-6) / (nr + 1e-6 * 10))
+              * ln(((cc + 1e-6) / (nc + 1e-6 * 10)) / ((cr + 1e-6) / (nr + 1e-6 * 10)))), 0.0) END AS psi FROM j),
+pii AS (SELECT count(*) AS pii_flags FROM ({' UNION ALL '.join(hits)})),
+ol AS ({long}),
+os AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n,
+              quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ol WHERE value IS NOT NULL GROUP BY feature),
+oc AS (SELECT feature, max(n) AS n, count(*) FILTER (WHERE abs((value - mu) / nullif(sd, 0)) > 4.0) AS z,
+              count(*) FILTER (WHERE (q3 - q1) > 0 AND (value < q1 - 3.0 * (q3 - q1) OR value > q3 + 3.0 * (q3 - q1))) AS iq
+       FROM ol JOIN os USING (feature) WHERE value IS NOT NULL GROUP BY feature),
+o AS (SELECT sum(CASE WHEN n < 10 THEN 0 ELSE greatest(z, iq) END) AS outlier_count FROM oc)
+SELECT n_rows, round(completeness_avg, 6) AS completeness_avg, psi >= 0.25 AS drift_alert, pii_flags,
+       CAST(outlier_count AS BIGINT) AS outlier_count,
+       round(greatest(0.0, completeness_avg - CASE WHEN psi >= 0.25 THEN 0.1 ELSE 0.0 END - least(0.2, pii_flags * 0.02)
+                      - least(0.15, outlier_count / greatest(n_rows, 1) * 0.5)), 6) AS quality_score
+FROM comp, psi, pii, o
+"""
+
+
 QUERIES = {
     "profile_one_pass": profile_one_pass,
     "completeness_by_group": completeness_by_group,
@@ -259,4 +298,5 @@ ORACLE = {
     "pii_scan": _pii_scan_sql(),
     "pii_scrub": _pii_scrub_sql(),
     "deid_counts": _deid_sql(),
+    "quality_score": _quality_sql(),
 }

@@ -202,7 +202,8 @@ def stacking_oof(df: DataFrame, id_col: str, features: Sequence[str], label: str
     meta_in = _assemble(oof.join(base.select(id_col, "_y"), id_col), ["p_lr", "p_rf"])
     meta = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50).fit(meta_in)
     return meta.transform(meta_in).select(id_col, "p_lr", "p_rf",
-                                          vector_to_array("probability")[1].alias("p_stack"), "_y")
+                                          vector_to_array("probability")[1].alias("p_stack"),
+                                          F.col("_y").alias("label"))
 
 
 def platt_calibrate(df: DataFrame, score: str, label: str, out: str = "p_calibrated") -> DataFrame:
