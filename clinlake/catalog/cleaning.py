@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clinlake.functions.exprs import hmac_sha256_hex
 from clinlake.operators import align, encode, panel
 from clinlake.operators.retrieval import top_k_per_group
-from clinlake.plans.broadcast import sized_broadcast
+from clinlake.plans.broadcast import runtime_sized
 from clinlake.plans.prefix import row_index
 from clinlake.plans.quantile import exact_quantiles
 from clinlake.session import table
@@ -51,7 +51,7 @@ def override_merge(spark, sf):
     s = table(spark, sf, "supplier", ["s_nationkey", "s_name", "s_acctbal"])
     overrides = s.filter(F.col("s_acctbal") > 9000).groupBy(F.col("s_nationkey").alias("n_nationkey")) \
         .agg(F.max("s_name").alias("name_override"))
-    j = n.join(sized_broadcast(overrides), "n_nationkey", "left")
+    j = n.join(runtime_sized(overrides), "n_nationkey", "left")
     return j.select("n_nationkey", F.coalesce("name_override", "n_name").alias("name"))
 
 
@@ -217,7 +217,7 @@ def gene_panel_summary(spark, sf):
     disease = encode.ordered_substring_class(F.col("gene"), [(k.lower(), v) for k, v in PANEL_DISEASE.items()], "other")
     g = g.withColumn("disease", F.when(F.substring("gene", 1, 7).isin(list(PANEL_DISEASE)), disease).otherwise("other"))
     per_d = g.groupBy("disease").agg(F.sum("n_pathogenic").alias("_nd"))
-    g = g.join(sized_broadcast(per_d), "disease").withColumn(
+    g = g.join(runtime_sized(per_d), "disease").withColumn(
         "disease_prs", F.least(F.col("_nd") * PRS_STEP, F.lit(PRS_CAP))).drop("_nd")
     return g.select("gene", "disease", "n_total_variants", "n_pathogenic", "max_pathogenic_af", "sum_pathogenic_af",
                     F.round("disease_prs", 4).alias("disease_prs"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import equal_width_bin
-from clinlake.plans.broadcast import bounded_broadcast, sized_broadcast
+from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.quantile import exact_quantiles
 
 
@@ -30,7 +30,7 @@ def proportional_threshold(edges: DataFrame, q: float = 0.85) -> DataFrame:
     # |r| to 9 decimals: r = +-1 from two points differs in the last bits between engines
     nz = edges.filter(F.col("r").isNotNull() & (F.col("r") != 0)).withColumn("_a", F.round(F.abs("r"), 9))
     cut = exact_quantiles(nz, ["scan"], "_a", [q], ["_cut"])
-    kept = nz.join(sized_broadcast(cut), "scan").filter(F.col("_a") >= F.col("_cut"))
+    kept = nz.join(runtime_sized(cut), "scan").filter(F.col("_a") >= F.col("_cut"))
     fwd = kept.select("scan", F.col("roi_i").alias("src"), F.col("roi_j").alias("dst"), "r")
     return fwd.unionByName(fwd.select("scan", F.col("dst").alias("src"), F.col("src").alias("dst"), "r"))
 
@@ -109,7 +109,7 @@ def node_features(long: DataFrame, edges: DataFrame, scan: str, roi: str, value:
 def normative_z(long: DataFrame, roi: str, value: str, clip_at: float = 5.0) -> DataFrame:
     """z against the population mean / sd (ddof 0) of each region, sd 0 -> 1, clipped."""
     st = long.groupBy(roi).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    j = long.join(sized_broadcast(st), roi)
+    j = long.join(runtime_sized(st), roi)
     sd = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_s"))
     z = F.least(F.greatest((F.col(value) - F.col("_m")) / sd, F.lit(-clip_at)), F.lit(clip_at))
     return j.withColumn("z", z).drop("_m", "_s")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import clip, col, count_char, when_chain
-from clinlake.plans.broadcast import bounded_broadcast, sized_broadcast
+from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.prefix import dense_codes
 
 
@@ -26,7 +26,7 @@ def label_encode_sorted(df: DataFrame, column: str, out: str | None = None) -> D
     out = out or f"{column}_code"
     norm = df.withColumn("_lbl", normalised_label(column))
     codes = dense_codes(norm, "_lbl", out)
-    return norm.join(sized_broadcast(codes), on="_lbl", how="left").drop("_lbl")
+    return norm.join(runtime_sized(codes), on="_lbl", how="left").drop("_lbl")
 
 
 def ordered_substring_class(c: str | Column, aliases: Sequence[tuple[str, str]], fallback: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
-from clinlake.plans.broadcast import bounded_broadcast, sized_broadcast
+from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 
 
 def af_weight(af: str | Column) -> Column:
@@ -38,7 +38,7 @@ def pathway_burden(burden: DataFrame, membership: DataFrame, patient: str, gene:
     size = membership.groupBy(pathway).agg(F.countDistinct(gene).alias("_size"))
     j = burden.join(membership.select(pathway, gene).distinct(), gene)
     s = j.groupBy(patient, pathway).agg(F.sum(F.coalesce("burden", F.lit(0.0))).alias("_sum"))
-    return s.join(sized_broadcast(size), pathway).select(patient, pathway, (F.col("_sum") / F.col("_size")).alias("pathway_burden"))
+    return s.join(runtime_sized(size), pathway).select(patient, pathway, (F.col("_sum") / F.col("_size")).alias("pathway_burden"))
 
 
 def risk_blend(prs: str | Column, rare: str | Column, w_prs: float = 0.7, w_rare: float = 0.3) -> Column:
@@ -139,6 +139,6 @@ def polygenic_scores(genotypes: DataFrame, betas: DataFrame, variant: str, sampl
     j = genotypes.join(betas, variant)
     prs = j.groupBy(sample, trait).agg(F.sum(F.col("beta") * F.col(dosage)).alias("prs"))
     st = prs.groupBy(trait).agg(F.avg("prs").alias("_m"), F.stddev_pop("prs").alias("_s"))
-    k = prs.join(sized_broadcast(st), trait)
+    k = prs.join(runtime_sized(st), trait)
     sd = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_s"))
     return k.select(sample, trait, "prs", F.coalesce((F.col("prs") - F.col("_m")) / sd, F.lit(0.0)).alias("prs_z"))

@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null, safe_div
-from clinlake.plans.broadcast import bounded_broadcast, sized_broadcast
+from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.quantile import exact_quantiles
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     if not group_cols:
         return df.crossJoin(bounded_broadcast(stats))  # one row by construction
-    return df.join(sized_broadcast(stats), on=list(group_cols), how="left")
+    return df.join(runtime_sized(stats), on=list(group_cols), how="left")
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = (),
@@ -106,7 +106,7 @@ def prior_fill(df: DataFrame, column: str, key: str, literature: DataFrame, file
     file_t = file_scores.select(F.col(key), F.col("prior").alias("_file"))
     priors = lit_t.join(file_t, on=key, how="full").select(
         key, F.coalesce(F.col("_file"), F.col("_lit")).alias("_prior"))
-    j = df.join(sized_broadcast(priors), on=key, how="left")
+    j = df.join(runtime_sized(priors), on=key, how="left")
     return j.withColumn(out, F.coalesce(nan_to_null(F.col(column).cast("double")), F.col("_prior"))).drop("_prior")
 
 
@@ -115,7 +115,7 @@ def site_demean(df: DataFrame, columns: Sequence[str], site: str, add_global_mea
     """Remove the per-site mean (optionally add back the global mean)."""
     site_stats = df.groupBy(site).agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"_sm_{c}")
                                         for c in columns])
-    j = df.join(sized_broadcast(site_stats), on=site, how="left")
+    j = df.join(runtime_sized(site_stats), on=site, how="left")
     if add_global_mean:
         g = df.agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"_gm_{c}") for c in columns])
         j = j.crossJoin(bounded_broadcast(g))
@@ -162,7 +162,7 @@ def combat_location_scale(df: DataFrame, columns: Sequence[str], site: str, suff
         ds = w * d2 + (F.lit(1.0) - w) * F.col(f"_db_{c}")
         cols += [gs.alias(f"_gs_{c}"), ds.alias(f"_ds_{c}")]
     params = shrunk.select(*cols)
-    k = j.join(sized_broadcast(params), on=site, how="left")
+    k = j.join(runtime_sized(params), on=site, how="left")
     outs = {}
     for c in columns:
         ds = F.when(F.coalesce(F.col(f"_ds_{c}"), F.lit(0.0)) <= 0, F.lit(1.0)).otherwise(F.col(f"_ds_{c}"))
@@ -192,8 +192,8 @@ def bootstrap_oversample(df: DataFrame, label: str, plan: DataFrame, noise_cols:
     """
     sd = df.groupBy(label).agg(*[F.stddev_pop(nan_to_null(F.col(c).cast("double"))).alias(f"_sd_{c}")
                                  for c in noise_cols])
-    p = plan.filter(F.col("n_add") > 0).join(sized_broadcast(sd), on=label, how="left")
-    j = df.join(sized_broadcast(p), on=label, how="inner")
+    p = plan.filter(F.col("n_add") > 0).join(runtime_sized(sd), on=label, how="left")
+    j = df.join(runtime_sized(p), on=label, how="inner")
     u = (F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed)).cast("double") / F.lit(2.0 ** 63) + 1) / 2
     base = F.floor(F.col("n_add") / F.col("n"))
     extra = (u < (F.col("n_add") % F.col("n")) / F.col("n")).cast("long")

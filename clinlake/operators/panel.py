@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
-from clinlake.plans.broadcast import sized_broadcast
+from clinlake.plans.broadcast import runtime_sized
 from clinlake.plans.halo import bucket_window, carry_last_non_null, drop_halo, with_halo
 from clinlake.plans.prefix import bucket_column, row_index, running_sum
 
@@ -90,7 +90,7 @@ def interpolate_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
 def group_mean_fill(df: DataFrame, keys: Sequence[str], column: str, out: str | None = None) -> DataFrame:
     """fillna(group mean) via a grouped aggregate joined back (no window)."""
     m = df.groupBy(*keys).agg(F.avg(nan_to_null(F.col(column).cast("double"))).alias("_gm"))
-    j = df.join(sized_broadcast(m), on=list(keys), how="left")
+    j = df.join(runtime_sized(m), on=list(keys), how="left")
     return j.withColumn(out or column, F.coalesce(nan_to_null(F.col(column).cast("double")), F.col("_gm"))).drop("_gm")
 
 

@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # runtime broadcast of join sides measured under this size (aggregate sides are sized here)
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Parquet splits of 128 MiB keep scan tasks well inside executor memory.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.plans.broadcast import sized_broadcast
+from clinlake.plans.broadcast import runtime_sized
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] = (),
@@ -34,7 +34,7 @@ def stamp_audit(df: DataFrame, schema_version: int, at: Column | None = None) ->
 def replace_by_key(target: DataFrame, batch: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Per key, every stored row is replaced by the batch's rows for that key."""
     keys = batch.select(*key_cols).distinct()
-    kept = target.join(sized_broadcast(keys), on=list(key_cols), how="left_anti")
+    kept = target.join(runtime_sized(keys), on=list(key_cols), how="left_anti")
     return kept.unionByName(batch.select(*target.columns))
 
 
