@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 1_024
 
 
