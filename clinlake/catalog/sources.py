@@ -168,7 +168,39 @@ UNION ALL SELECT s_suppkey, f.s_nationkey, round(s_acctbal - m, 6), true FROM f
 """
 
 
+def domain_contract_append(spark, sf):
+    """Orders as model predictions through the domain contract: valid rows are
+    appended identity-partitioned by (patient_cohort, ingestion_date) with
+    audit columns, failing rows quarantined; counts per cohort."""
+    from clinlake import schema
+    o = table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                    "o_orderpriority"])
+    preds = o.select(F.col("o_orderkey").cast("string").alias("prediction_id"),
+                     F.col("o_custkey").cast("string").alias("patient_id"),
+                     F.col("o_orderpriority").alias("patient_cohort"),
+                     # one ingestion batch per order year
+                     F.to_date(F.date_trunc("year", "o_orderdate")).alias("ingestion_date"),
+                     F.lit("price_model").alias("model_name"),
+                     F.lit("v1").alias("model_version"), F.col("o_orderdate").cast("timestamp").alias("prediction_time"),
+                     (F.col("o_totalprice") / 450000.0).alias("risk_score"), F.col("o_orderstatus").alias("risk_label"))
+    good, bad = schema.contract_append(preds, "model_predictions")
+    path = scratch_path(spark, "predictions")
+    sinks.write_partitioned(good, path, schema.PARTITION_COLS, mode="append")
+    stored = spark.read.parquet(path).groupBy("patient_cohort").agg(F.count(F.lit(1)).alias("n_valid"))
+    q = bad.groupBy("patient_cohort").agg(F.count(F.lit(1)).alias("n_quarantined"))
+    return stored.join(q, "patient_cohort", "full").fillna(0, ["n_valid", "n_quarantined"])
+
+
+_DOMAIN_SQL = """
+SELECT o_orderpriority AS patient_cohort,
+       count(*) FILTER (WHERE o_totalprice / 450000.0 BETWEEN 0.0 AND 1.0) AS n_valid,
+       count(*) FILTER (WHERE NOT (o_totalprice / 450000.0 BETWEEN 0.0 AND 1.0)) AS n_quarantined
+FROM orders GROUP BY 1
+"""
+
+
 QUERIES = {
+    "domain_contract_append": domain_contract_append,
     "csv_scan": csv_scan,
     "tsv_comment_scan": tsv_comment_scan,
     "whitespace_scan": whitespace_scan,
@@ -180,6 +212,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "domain_contract_append": _DOMAIN_SQL,
     "csv_scan": _CUSTOMER_SQL,
     "tsv_comment_scan": _SUPPLIER_SQL,
     "whitespace_scan": _WS_SQL,

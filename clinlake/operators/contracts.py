@@ -24,6 +24,7 @@ class Rule:
     pattern: str | None = None
     dtype: str | None = None
     nullable: bool = True
+    lo_open: bool = False  # strict lower bound (x > lo)
 
     @property
     def name(self) -> str:
@@ -40,7 +41,7 @@ def rule_violation(rule: Rule) -> Column:
         x = c.try_cast("double")
         bad = F.lit(False)
         if rule.lo is not None:
-            bad = bad | (x < rule.lo)
+            bad = bad | ((x <= rule.lo) if rule.lo_open else (x < rule.lo))
         if rule.hi is not None:
             bad = bad | (x > rule.hi)
         return F.when(c.isNull(), null_bad).otherwise(bad | (x.isNull() & c.isNotNull()) | F.isnan(x))
