@@ -199,7 +199,53 @@ FROM orders GROUP BY 1
 """
 
 
+def merged_table_build(spark, sf):
+    """The batch table build as one DAG: two heterogeneous sources aligned to
+    one schema and unioned, rich rows de-duplicated, invalid balances nulled,
+    imputed with the source median (zero fallback), clipped, binarised,
+    validated and written partitioned by source; the written table read back."""
+    from clinlake.functions.exprs import binarise, clip
+    from clinlake.operators import contracts, impute
+    from clinlake.catalog.frames import _ALIGN_SCHEMA
+    cust = align.rename(table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+                        {"c_custkey": "patient_id", "c_nationkey": "site", "c_acctbal": "acctbal",
+                         "c_mktsegment": "segment"}).withColumn("data_source", F.lit("customer"))
+    supp = align.rename(table(spark, sf, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]),
+                        {"s_suppkey": "patient_id", "s_nationkey": "site", "s_acctbal": "acctbal"}
+                        ).withColumn("data_source", F.lit("supplier"))
+    merged = align.union_aligned([cust, supp], _ALIGN_SCHEMA, {"segment": "Unknown"})
+    merged = align.conditional_dedupe(merged, ["patient_id", "site", "acctbal", "segment"],
+                                      ["patient_id", "data_source"], min_non_null=4)
+    merged = merged.withColumn("acctbal", F.when(F.col("acctbal") >= 0, F.col("acctbal")))
+    filled = impute.median_fill(merged, ["acctbal"], ["data_source"])
+    out = filled.select("patient_id", "site", "segment", "data_source",
+                        clip("acctbal", 0.0, 9000.0).alias("acctbal"),
+                        binarise(F.col("acctbal") / 5000.0 - 0.5).alias("high_balance"))
+    checked = contracts.validate(out, [contracts.Rule("acctbal", "range", lo=0.0, hi=9000.0, nullable=False)])
+    path = scratch_path(spark, "merged")
+    sinks.write_partitioned(checked.drop("violations"), path, ["data_source"])
+    back = spark.read.parquet(path)
+    return back.select("patient_id", "site", "segment", "data_source", F.round("acctbal", 6).alias("acctbal"),
+                       "high_balance", "is_valid")
+
+
+_MERGED_SQL = """
+WITH u AS (SELECT c_custkey AS patient_id, c_nationkey AS site, c_acctbal AS acctbal, coalesce(c_mktsegment, 'Unknown') AS segment,
+                  'customer' AS data_source FROM customer
+           UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'Unknown', 'supplier' FROM supplier),
+d AS (SELECT DISTINCT ON (patient_id, data_source) * FROM u),
+n AS (SELECT patient_id, site, segment, data_source, CASE WHEN acctbal >= 0 THEN acctbal END AS acctbal FROM d),
+m AS (SELECT data_source, quantile_cont(acctbal, 0.5) AS med FROM n GROUP BY data_source),
+f AS (SELECT n.patient_id, site, segment, n.data_source, coalesce(acctbal, med, 0.0) AS acctbal FROM n JOIN m ON n.data_source = m.data_source)
+SELECT patient_id, site, segment, data_source, round(least(greatest(acctbal, 0.0), 9000.0), 6) AS acctbal,
+       round_even(least(greatest(coalesce(acctbal / 5000.0 - 0.5, 0.0), 0.0), 1.0), 0) AS high_balance,
+       least(greatest(acctbal, 0.0), 9000.0) BETWEEN 0.0 AND 9000.0 AS is_valid
+FROM f
+"""
+
+
 QUERIES = {
+    "merged_table_build": merged_table_build,
     "domain_contract_append": domain_contract_append,
     "csv_scan": csv_scan,
     "tsv_comment_scan": tsv_comment_scan,
@@ -212,6 +258,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "merged_table_build": _MERGED_SQL,
     "domain_contract_append": _DOMAIN_SQL,
     "csv_scan": _CUSTOMER_SQL,
     "tsv_comment_scan": _SUPPLIER_SQL,
