@@ -223,7 +223,43 @@ FROM documents GROUP BY lang, source
 """
 
 
+def citation_guard(spark, sf):
+    """Hallucination guard: documents a second ranker cites (top-10 by token
+    Jaccard) that the retriever did not return (BM25 top-10), per query, via an
+    anti join; with the share of unsupported citations."""
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    qs = table(spark, sf, "benchmark", ["item_id", "text"])
+    retrieved = retrieval.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", K).select("item_id", "doc_id")
+    jac = retrieval.jaccard_scores(docs, "doc_id", "text", qs, "item_id", "text")
+    cited = retrieval.top_k_per_group(jac, ["item_id"], [F.col("score").desc(), F.col("doc_id")], K,
+                                      salt_of=F.xxhash64("doc_id")).select("item_id", "doc_id")
+    missing = cited.join(retrieved, ["item_id", "doc_id"], "left_anti")
+    per = cited.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_cited"))
+    bad = missing.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
+    j = per.join(bad, "item_id", "left").fillna(0, ["n_unsupported"])
+    return j.select("item_id", "n_cited", "n_unsupported",
+                    F.round(F.col("n_unsupported") / F.col("n_cited"), 6).alias("unsupported_rate"))
+
+
+_GUARD_SQL = f"""
+WITH {_BM25_CTE},
+b AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}),
+dset AS (SELECT DISTINCT doc_id, {_TOKENS} AS term FROM documents),
+qset AS (SELECT DISTINCT item_id, {_TOKENS} AS term FROM benchmark),
+nd AS (SELECT doc_id, count(*) AS nd FROM dset GROUP BY doc_id),
+nq AS (SELECT item_id, count(*) AS nq FROM qset GROUP BY item_id),
+sh AS (SELECT item_id, doc_id, count(*) AS inter FROM qset JOIN dset USING (term) GROUP BY ALL),
+j AS (SELECT item_id, doc_id, inter / (nd + nq - inter) AS score FROM sh JOIN nd USING (doc_id) JOIN nq USING (item_id)),
+c AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM j) WHERE rank <= {K}),
+m AS (SELECT item_id, count(*) AS n_unsupported FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.item_id = c.item_id AND b.doc_id = c.doc_id) GROUP BY item_id),
+p AS (SELECT item_id, count(*) AS n_cited FROM c GROUP BY item_id)
+SELECT p.item_id, n_cited, coalesce(n_unsupported, 0) AS n_unsupported, round(coalesce(n_unsupported, 0) / n_cited, 6) AS unsupported_rate
+FROM p LEFT JOIN m ON p.item_id = m.item_id
+"""
+
+
 QUERIES = {
+    "citation_guard": citation_guard,
     "bm25_topk": bm25_topk,
     "rrf_fusion": rrf_fusion,
     "cosine_topk": cosine_topk,
@@ -237,6 +273,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "citation_guard": _GUARD_SQL,
     "bm25_topk": _BM25_SQL,
     "rrf_fusion": _RRF_SQL,
     "cosine_topk": _COSINE_SQL,

@@ -118,3 +118,20 @@ def pad_array(c: str | Column, length: int, fill: float = 0.0) -> Column:
     a = F.col(c) if isinstance(c, str) else c
     pad = F.array_repeat(F.lit(fill), F.greatest(F.lit(length) - F.size(a), F.lit(0)))
     return F.slice(F.concat(a, pad), 1, length)
+
+
+def field_id_columns(df: DataFrame, mapping: Mapping[str, str], instance: int = 0) -> DataFrame:
+    """Coded biobank headers ``f.<field>.<instance>.<array>`` -> named columns.
+
+    Only the given instance is used; for each mapped field id the first array
+    column present wins (decided on column names, driver side).  Columns are
+    kept as they are typed (codes such as ICD-10 stay strings)."""
+    picked = {}
+    for c in df.columns:
+        parts = c.split(".")
+        if len(parts) == 4 and parts[0] == "f" and parts[2] == str(instance) and parts[1] in mapping:
+            name = mapping[parts[1]]
+            if name not in picked or int(parts[3]) < int(picked[name].split(".")[3]):
+                picked[name] = c
+    keep = [c for c in df.columns if not c.startswith("f.")]
+    return df.select(*keep, *[F.col(f"`{src}`").alias(dst) for dst, src in picked.items()])

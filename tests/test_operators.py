@@ -113,3 +113,12 @@ def test_welch_matches_direct_numpy(spark):
     assert np.allclose(got["psd"].to_numpy(), exp)
     feats = signal.band_features(spark.createDataFrame(got.assign(k=1)), ["k"]).collect()[0]
     assert abs(feats["gait_cadence"] - 1.5 * 60) < fs / nper * 60 + 1e-9
+
+
+def test_field_id_columns(spark):
+    df = spark.createDataFrame([(1, 61, 62, "G30", "G20", 5)],
+                               "eid int, `f.21003.0.0` int, `f.21003.1.0` int, `f.41270.0.1` string, "
+                               "`f.41270.0.0` string, `f.999.0.0` int")
+    out = align.field_id_columns(df, {"21003": "age", "41270": "icd10_primary"})
+    r = out.collect()[0]
+    assert out.columns == ["eid", "age", "icd10_primary"] and (r["age"], r["icd10_primary"]) == (61, "G20")
