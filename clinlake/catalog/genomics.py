@@ -118,7 +118,24 @@ FROM lineitem LEFT JOIN seg ON l_orderkey >= st AND l_orderkey < en
 """
 
 
+def sample_qc(spark, sf):
+    """Per-sample call rate over the variant set, pass at >= 0.95."""
+    g = _genotypes(spark, sf)
+    nv = table(spark, sf, "part", ["p_partkey"]).agg(F.count(F.lit(1)).alias("_n_variants"))
+    q = genomics.sample_call_rate(g, "l_suppkey", "dosage", nv, 0.95)
+    return q.select("l_suppkey", F.round("call_rate", 6).alias("call_rate"), "pass_qc")
+
+
+_SAMPLE_QC_SQL = """
+WITH g AS (SELECT l_suppkey, l_partkey FROM lineitem GROUP BY ALL),
+c AS (SELECT l_suppkey, count(*) AS called FROM g GROUP BY 1),
+n AS (SELECT count(*) AS nv FROM part)
+SELECT l_suppkey, round(called / nv, 6) AS call_rate, called / nv >= 0.95 AS pass_qc FROM c, n
+"""
+
+
 QUERIES = {
+    "sample_qc": sample_qc,
     "variant_burden": variant_burden,
     "pathway_burden": pathway_burden,
     "genomic_risk": genomic_risk,
@@ -127,6 +144,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sample_qc": _SAMPLE_QC_SQL,
     "variant_burden": _BURDEN_SQL,
     "pathway_burden": _PATHWAY_SQL,
     "genomic_risk": _RISK_SQL,

@@ -276,7 +276,64 @@ def local_surrogate_attribution(spark, sf):
     return models.local_surrogate(f, "c_custkey", ["a", "n"], score, n_perturb=200)
 
 
+def sequence_lengths(spark, sf):
+    """Encoder / prediction lengths from the data: the fewest visits any patient
+    has (one grouped count, one global min), split into encoder and horizon."""
+    o = table(spark, sf, "orders", ["o_custkey"])
+    per = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    m = per.agg(F.min("n").alias("min_points"), F.max("n").alias("max_points"),
+                F.count(F.lit(1)).alias("patients"))
+    return m.select("patients", "min_points", "max_points",
+                    F.greatest(F.lit(1), F.floor(F.col("min_points") * 2 / 3)).cast("long").alias("encoder_length"),
+                    F.greatest(F.lit(1), F.col("min_points") - F.floor(F.col("min_points") * 2 / 3)).cast("long")
+                    .alias("prediction_length"))
+
+
+_SEQ_LEN_SQL = """
+WITH p AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+m AS (SELECT min(n) AS min_points, max(n) AS max_points, count(*) AS patients FROM p)
+SELECT patients, min_points, max_points, CAST(greatest(1, floor(min_points * 2 / 3)) AS BIGINT) AS encoder_length,
+       CAST(greatest(1, min_points - floor(min_points * 2 / 3)) AS BIGINT) AS prediction_length FROM m
+"""
+
+
+def ensemble_disagreement(spark, sf):
+    """Variance (ddof 0) of the available base-model probabilities per row."""
+    li = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"])
+    probs = F.array_compact(F.array(F.least(F.col("l_discount") * 10, F.lit(1.0)),
+                                    F.nullif("l_tax", F.lit(0.0)) * 12.5, F.col("l_quantity") / 50.0))
+    return li.select("l_orderkey", "l_linenumber",
+                     F.round(models.array_variance(probs), 9).alias("disagreement"))
+
+
+_DISAGREE_SQL = """
+WITH p AS (SELECT l_orderkey, l_linenumber,
+                  list_filter([least(l_discount * 10, 1.0), nullif(l_tax, 0) * 12.5, l_quantity / 50.0], lambda x: x IS NOT NULL) AS a
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+       round(list_sum(list_transform(a, lambda x: (x - list_avg(a)) * (x - list_avg(a)))) / len(a), 9) AS disagreement FROM p
+"""
+
+
+def correlation_matrix(spark, sf):
+    """Pearson correlation matrix of the lineitem measures with MLlib
+    ``Correlation`` (one distributed pass; the F x F result is small), as
+    (feature_i, feature_j, r) rows for the conditional-independence step."""
+    li = table(spark, sf, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return models.correlation_long(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def _corr_sql():
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    parts = [f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, round(corr({a}, {b}), 6) AS r FROM lineitem"
+             for a in cols for b in cols]
+    return " UNION ALL ".join(parts)
+
+
 QUERIES = {
+    "sequence_lengths": sequence_lengths,
+    "ensemble_disagreement": ensemble_disagreement,
+    "correlation_matrix": correlation_matrix,
     "weighted_fusion": weighted_fusion,
     "modality_contribution": modality_contribution,
     "counterfactuals": counterfactuals,
@@ -295,6 +352,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sequence_lengths": _SEQ_LEN_SQL,
+    "ensemble_disagreement": _DISAGREE_SQL,
+    "correlation_matrix": _corr_sql(),
     "weighted_fusion": _FUSION_SQL,
     "modality_contribution": _CONTRIB_SQL,
     "counterfactuals": _cf_sql(),

@@ -65,6 +65,32 @@ def stream_weekly_deterioration(spark, sf):
                       F.round("deterioration_index", 6).alias("deterioration_index"))
 
 
+def stream_segment_activity(spark, sf):
+    """Stream-static join: each event is enriched with its user's market segment
+    from the static customer table, then counted per (segment, day) in a
+    watermarked window (update mode; latest emission per key)."""
+    from clinlake.session import table
+    ev = _event_stream(spark, sf).select("user_id", "ts", "value")
+    cust = table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    enriched = ev.join(cust, ev.user_id == cust.c_custkey, "inner")
+    agg = (enriched.withWatermark("ts", "1 day")
+           .groupBy("c_mktsegment", F.window("ts", "1 day").alias("w"))
+           .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"))
+           .select("c_mktsegment", F.col("w.start").alias("day"), "events", "value_sum"))
+    path = sinks.scratch_path(spark, "segments")
+    sinks.run_available_now(agg, path, output_mode="update")
+    out = sinks.latest_per_key(sinks.read_sink(spark, path).drop("schema_version", "updated_at"),
+                               ["c_mktsegment", "day"])
+    return out.select("c_mktsegment", F.col("day").cast("timestamp_ntz").alias("day"), "events",
+                      F.round("value_sum", 6).alias("value_sum"))
+
+
+_SEGMENT_SQL = """
+SELECT c_mktsegment, date_trunc('day', ts) AS day, count(*) AS events, round(sum(value), 6) AS value_sum
+FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2
+"""
+
+
 def stream_dedupe(spark, sf):
     ev = _event_stream(spark, sf)
     d = windows.dedupe_within_watermark(ev, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type")
@@ -78,6 +104,7 @@ QUERIES = {
     "stream_trailing_window": stream_trailing_window,
     "stream_dedupe": stream_dedupe,
     "stream_weekly_deterioration": stream_weekly_deterioration,
+    "stream_segment_activity": stream_segment_activity,
 }
 
 ORACLE = {
@@ -85,4 +112,5 @@ ORACLE = {
     "stream_trailing_window": _TRAILING_SQL,
     "stream_dedupe": "SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events",
     "stream_weekly_deterioration": _WEEKLY_SQL,
+    "stream_segment_activity": _SEGMENT_SQL,
 }

@@ -345,3 +345,22 @@ def fusion_weight_search(df: DataFrame, label: str, prob_cols: Sequence[str], fo
     best = per.agg(F.max_by("trial", F.struct(F.round("mean_auc", 12), -F.col("trial"))).alias("_best"))
     return per.join(bounded_broadcast(dim), "trial").crossJoin(bounded_broadcast(best)) \
               .withColumn("is_best", F.col("trial") == F.col("_best")).drop("_best")
+
+
+def array_variance(a: Column) -> Column:
+    """Population variance of the values of an array (null for an empty array)."""
+    n = F.size(a).cast("double")
+    mean = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n
+    ss = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    return F.when(n > 0, ss / n)
+
+
+def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson matrix with MLlib ``Correlation`` over assembled rows (rows with a
+    missing value dropped), returned as (feature_i, feature_j, r) rows."""
+    from pyspark.ml.stat import Correlation
+    x = _assemble(df.dropna(subset=list(columns)), columns)
+    m = Correlation.corr(x, "_features", "pearson").head()[0].toArray()  # F x F, bounded by the columns
+    spark = df.sparkSession
+    rows = [(a, b, float(round(m[i][j], 6))) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return spark.createDataFrame(rows, "feature_i string, feature_j string, r double")
