@@ -300,7 +300,30 @@ SELECT round(1.0 - obs / (s2a + s2b - 2.0 * s1a * s1b / n), 6) AS kappa FROM m
 """
 
 
+def concordance_ratings(spark, sf):
+    """C-index of a length-based rating (1..5) against the label rating (1, 3, 5)."""
+    s = _scores(spark, sf)
+    r = s.select((F.lit(1) + F.col("y") * 2 + F.col("toxic") * 2).alias("truth"),
+                 F.least(F.lit(5), F.lit(1) + F.floor(F.col("n_chars") / 2000)).alias("rating"))
+    c = evaluate.concordance_index(r, "truth", "rating")
+    return c.select(F.col("concordant").cast("long").alias("concordant"),
+                    F.col("discordant").cast("long").alias("discordant"),
+                    F.col("tied").cast("long").alias("tied"), F.round("c_index", 6).alias("c_index"))
+
+
+_CONCORDANCE_SQL = f"""
+WITH {_SCORES_CTE},
+r AS (SELECT (1 + y * 2 + toxic * 2)::DOUBLE AS truth, least(5, 1 + floor(n_chars / 2000))::DOUBLE AS rating FROM s),
+p AS (SELECT a.rating AS ra, b.rating AS rb FROM r a JOIN r b ON a.truth < b.truth),
+c AS (SELECT count(*) FILTER (WHERE ra < rb) AS concordant, count(*) FILTER (WHERE ra > rb) AS discordant,
+             count(*) FILTER (WHERE ra = rb) AS tied FROM p)
+SELECT CAST(concordant AS BIGINT) AS concordant, CAST(discordant AS BIGINT) AS discordant, CAST(tied AS BIGINT) AS tied,
+       round((concordant + 0.5 * tied) / (concordant + discordant + tied), 6) AS c_index FROM c
+"""
+
+
 QUERIES = {
+    "concordance_ratings": concordance_ratings,
     "roc_auc_by_group": roc_auc_by_group,
     "youden_threshold": youden_threshold,
     "average_precision_by_group": average_precision_by_group,
@@ -317,6 +340,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "concordance_ratings": _CONCORDANCE_SQL,
     "roc_auc_by_group": _AUC_SQL,
     "youden_threshold": _YOUDEN_SQL,
     "average_precision_by_group": _AP_SQL,

@@ -397,3 +397,31 @@ def attribution_stability(importance: DataFrame, replica: str, feature: str, val
     j = pairs.join(inter, ["r1", "r2"], "left").fillna(0, ["i"])
     jac = F.col("i") / (F.lit(2 * top) - F.col("i"))
     return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(jac).alias("mean_jaccard"))
+
+
+def concordance_index(df: DataFrame, y: str, p: str, levels: int | None = None) -> DataFrame:
+    """Harrell's C without censoring: over pairs with different y, the share
+    ordered the same way by p (ties in p count 1/2).
+
+    Rows are reduced to counts per (y, p) level; concordant / discordant /
+    tied pair counts come from joining that level table with itself on
+    y_a < y_b, so no row pairs are formed.  With ``levels`` set, p is first cut
+    into that many equal-width bins (exact when p has at most that many
+    distinct values, approximate otherwise); the level table is bounded by
+    distinct(y) x distinct(p)."""
+    pc = F.col(p).cast("double")
+    if levels is not None:
+        rng = df.agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
+        from clinlake.functions.exprs import equal_width_bin
+        df = df.crossJoin(bounded_broadcast(rng)).withColumn("_pl", equal_width_bin(p, "_lo", "_hi", levels))
+        pc = F.col("_pl").cast("double")
+    cells = df.groupBy(F.col(y).cast("double").alias("_y"), pc.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    a, b = cells.alias("a"), cells.alias("b")
+    pairs = a.join(b, F.col("a._y") < F.col("b._y"))
+    w = F.col("a._n") * F.col("b._n")
+    agg = pairs.agg(F.sum(F.when(F.col("a._p") < F.col("b._p"), w).otherwise(0)).alias("concordant"),
+                    F.sum(F.when(F.col("a._p") > F.col("b._p"), w).otherwise(0)).alias("discordant"),
+                    F.sum(F.when(F.col("a._p") == F.col("b._p"), w).otherwise(0)).alias("tied"))
+    total = F.col("concordant") + F.col("discordant") + F.col("tied")
+    return agg.select("concordant", "discordant", "tied",
+                      F.when(total > 0, (F.col("concordant") + 0.5 * F.col("tied")) / total).alias("c_index"))
