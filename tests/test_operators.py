@@ -122,3 +122,36 @@ def test_field_id_columns(spark):
     out = align.field_id_columns(df, {"21003": "age", "41270": "icd10_primary"})
     r = out.collect()[0]
     assert out.columns == ["eid", "age", "icd10_primary"] and (r["age"], r["icd10_primary"]) == (61, "G20")
+
+
+def test_betweenness_brute_force(spark):
+    edges = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f"), ("b", "e"), ("f", "a")]
+    nodes = sorted({x for e in edges for x in e})
+    adj = {n: [b for a, b in edges if a == n] for n in nodes}
+
+    def bfs(s):
+        dist, sig, q = {s: 0}, {s: 1}, [s]
+        for u in q:
+            for v in adj[u]:
+                if v not in dist:
+                    dist[v], sig[v] = dist[u] + 1, 0
+                    q.append(v)
+                if dist[v] == dist[u] + 1:
+                    sig[v] += sig[u]
+        return dist, sig
+    info = {s: bfs(s) for s in nodes}
+    exp = {v: 0.0 for v in nodes}
+    for s in nodes:
+        ds, ss = info[s]
+        for t in nodes:
+            if t == s or t not in ds:
+                continue
+            for v in nodes:
+                if v in (s, t) or v not in ds:
+                    continue
+                dv, sv = info[v]
+                if t in dv and ds[v] + dv[t] == ds[t]:
+                    exp[v] += ss[v] * sv[t] / ss[t]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
+    assert all(abs(got.get(v, 0.0) - exp[v]) < 1e-9 for v in nodes)
