@@ -330,7 +330,32 @@ def _corr_sql():
     return " UNION ALL ".join(parts)
 
 
+def granger_event_series(spark, sf):
+    """Pairwise Granger tests (max lag 2) between the daily mean values of the
+    event types, ordered by day."""
+    from clinlake.operators import causal
+    ev = table(spark, sf, "events", ["ts", "event_type", "value"])
+    types = ["click", "view", "purchase", "signup", "error"]
+    daily = ev.groupBy(F.to_date("ts").alias("day")).pivot("event_type", types).agg(F.avg("value"))
+    return causal.granger_pairs(daily.dropna(), ["day"], types, maxlag=2)
+
+
+def pc_skeleton_orders(spark, sf):
+    """PC skeleton (Fisher z, alpha 0.05) over per-order measures: line count,
+    total quantity, total extended price, mean discount and the order price."""
+    from clinlake.operators import causal
+    li = table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"])
+    per = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("double").alias("n_lines"),
+                                       F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_price"),
+                                       F.avg("l_discount").alias("mean_discount"))
+    o = table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    d = per.join(o, per.l_orderkey == o.o_orderkey)
+    return causal.pc_edges(d, ["n_lines", "sum_qty", "sum_price", "mean_discount", "o_totalprice"])
+
+
 QUERIES = {
+    "granger_event_series": granger_event_series,
+    "pc_skeleton_orders": pc_skeleton_orders,
     "sequence_lengths": sequence_lengths,
     "ensemble_disagreement": ensemble_disagreement,
     "correlation_matrix": correlation_matrix,

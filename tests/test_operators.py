@@ -155,3 +155,41 @@ def test_betweenness_brute_force(spark):
     df = spark.createDataFrame(edges, "src string, dst string")
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
     assert all(abs(got.get(v, 0.0) - exp[v]) < 1e-9 for v in nodes)
+
+
+def test_f_tail_and_granger_against_numpy(spark):
+    from clinlake.operators import causal
+    assert abs(causal.f_sf(4.9646, 1, 10) - 0.05) < 1e-4
+    rng = np.random.default_rng(7)
+    n = 200
+    x = rng.normal(size=n)
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 0.8 * x[t - 1] + 0.3 * rng.normal()
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(n), "x": x, "y": y}))
+    got = {(r["cause"], r["effect"]): r["p_value"] for r in causal.granger_pairs(df, ["t"], ["x", "y"], 2).collect()}
+    assert got[("x", "y")] < 1e-6 and got[("y", "x")] > 0.01
+
+    def brute(cause, effect, L):
+        yy, xx = {"x": x, "y": y}[effect], {"x": x, "y": y}[cause]
+        rows = range(L, n)
+        own = np.array([[1.0] + [yy[t - k] for k in range(1, L + 1)] for t in rows])
+        full = np.array([[1.0] + [yy[t - k] for k in range(1, L + 1)] + [xx[t - k] for k in range(1, L + 1)] for t in rows])
+        target = np.array([yy[t] for t in rows])
+        rss = [float(((target - a @ np.linalg.lstsq(a, target, rcond=None)[0]) ** 2).sum()) for a in (own, full)]
+        dfd = len(target) - 2 * L - 1
+        return causal.f_sf(((rss[0] - rss[1]) / L) / (rss[1] / dfd), L, dfd)
+    exp = min(brute("y", "x", 1), brute("y", "x", 2))
+    assert abs(got[("y", "x")] - exp) < 1e-9
+
+
+def test_pc_skeleton_chain(spark):
+    from clinlake.operators import causal
+    rng = np.random.default_rng(3)
+    n = 3000
+    a = rng.normal(size=n)
+    b = a + 0.5 * rng.normal(size=n)
+    c = b + 0.5 * rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c}))
+    edges = {(r["source"], r["target"]) for r in causal.pc_edges(df, ["a", "b", "c"]).collect()}
+    assert edges == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}
