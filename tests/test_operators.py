@@ -193,3 +193,23 @@ def test_pc_skeleton_chain(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c}))
     edges = {(r["source"], r["target"]) for r in causal.pc_edges(df, ["a", "b", "c"]).collect()}
     assert edges == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}
+
+
+def test_imaging_qc_deid_volume(spark):
+    from clinlake.operators import imaging
+    hdr = spark.createDataFrame([("s1", 1.0, 1.0, 1.0, "100010", 3.0), ("s2", 0.9, 0.9, 1.2, "100001", 3.0),
+                                 ("s3", 1.0, 1.0, 5.0, "100001", 7.0)],
+                                "scan string, px double, py double, thk double, orient string, fs double")
+    q = {r["scan"]: (r["qc_pass"], r["qc_flags"]) for r in
+         imaging.qc_flags(hdr, "px", "py", "thk", "orient", "fs", (1.0, 3.5)).collect()}
+    assert q["s1"] == (False, ["orientation_unexpected"]) and q["s2"] == (True, [])
+    assert q["s3"] == (False, ["voxel_size_outlier", "field_strength_outlier"])
+    tags = spark.createDataFrame([("f1", 0x0010, 0x0010, "Doe^Jane", "p1"), ("f1", 0x0010, 0x0020, "MRN1", "p1"),
+                                  ("f1", 0x0008, 0x0060, "MR", "p1")],
+                                 "file string, grp int, elem int, value string, patient string")
+    out = {(r["grp"], r["elem"]): r["value"] for r in
+           imaging.deidentify_tags(tags, "grp", "elem", "value", "patient", "k").collect()}
+    assert out[(0x0010, 0x0010)] == "" and out[(0x0008, 0x0060)] == "MR" and len(out[(0x0010, 0x0020)]) == 64
+    vox = spark.createDataFrame([("s1", v, 1.0, 1.0, 2.0) for v in (0, 3, 5, 0, 1)],
+                                "scan string, v int, vx double, vy double, vz double")
+    assert imaging.scan_volumes(vox, "scan", "v", "vx", "vy", "vz").collect()[0]["volume_mm3"] == 6.0
