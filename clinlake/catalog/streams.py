@@ -91,6 +91,17 @@ FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2
 """
 
 
+def stream_ring_features(spark, sf):
+    """Ring-buffer signal features per modality stream (last 4096 samples,
+    emitted from 128 samples on, value / 100 as the magnitude)."""
+    ev = _event_stream(spark, sf).select("event_type", "ts", (F.col("value") / 100.0).alias("mag"))
+    feats = windows.ring_buffer_features(ev, ["event_type"], ["string"], "ts", "mag", capacity=4096, min_samples=128)
+    path = sinks.scratch_path(spark, "ring")
+    sinks.run_available_now(feats, path)
+    return sinks.read_sink(spark, path).select("event_type", "ts", "n_samples", "gait_cadence", "tremor_index",
+                                               "bradykinesia_score")
+
+
 def stream_dedupe(spark, sf):
     ev = _event_stream(spark, sf)
     d = windows.dedupe_within_watermark(ev, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type")
@@ -105,6 +116,7 @@ QUERIES = {
     "stream_dedupe": stream_dedupe,
     "stream_weekly_deterioration": stream_weekly_deterioration,
     "stream_segment_activity": stream_segment_activity,
+    "stream_ring_features": stream_ring_features,
 }
 
 ORACLE = {

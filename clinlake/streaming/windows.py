@@ -88,3 +88,42 @@ def trailing_window_stateful(events: DataFrame, keys: Sequence[str], key_types:
     prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
     return prepared.groupBy(*keys).applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RING_OUT = "ts timestamp, n_samples long, gait_cadence double, tremor_index double, bradykinesia_score double"
+
+
+def ring_buffer_features(events: DataFrame, keys: Sequence[str], key_types: Sequence[str], ts: str, value: str,
+                         capacity: int = 4096, min_samples: int = 128, fs: float = 50.0,
+                         watermark: str = "1 hour") -> DataFrame:
+    """Per-key ring buffer of the last ``capacity`` samples (keyed state,
+    ``applyInPandasWithState``); every new sample, once at least
+    ``min_samples`` are buffered, emits the features of the buffer.  State is
+    bounded by ``capacity``; it is dropped when the key's event time falls
+    behind the watermark."""
+    from clinlake.operators.signal import buffer_features
+    out_schema = ", ".join([f"{k} {t}" for k, t in zip(keys, key_types)] + [RING_OUT])
+    key_names = list(keys)
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        buf = list(state.get[0]) if state.exists else []
+        new = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t"], kind="stable")
+        rows = []
+        for t, v in zip(new["_t"].to_numpy(dtype=np.int64), new[value].to_numpy(dtype=np.float64)):
+            buf.append(float(v))
+            if len(buf) > capacity:
+                del buf[: len(buf) - capacity]
+            if len(buf) >= min_samples:
+                cad, trem, brady = buffer_features(np.asarray(buf), fs)
+                rows.append((*key, pd.Timestamp(int(t), unit="us"), len(buf), cad, trem, brady))
+        state.update((buf,))
+        state.setTimeoutTimestamp(int(new["_t"].max() // 1000) + 3_600_000)
+        yield pd.DataFrame(rows, columns=key_names + ["ts", "n_samples", "gait_cadence", "tremor_index",
+                                                      "bradykinesia_score"])
+
+    prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
+    return prepared.groupBy(*keys).applyInPandasWithState(
+        step, out_schema, "buf array<double>", "append", GroupStateTimeout.EventTimeTimeout)

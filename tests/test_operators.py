@@ -213,3 +213,24 @@ def test_imaging_qc_deid_volume(spark):
     vox = spark.createDataFrame([("s1", v, 1.0, 1.0, 2.0) for v in (0, 3, 5, 0, 1)],
                                 "scan string, v int, vx double, vy double, vz double")
     assert imaging.scan_volumes(vox, "scan", "v", "vx", "vy", "vz").collect()[0]["volume_mm3"] == 6.0
+
+
+def test_ring_buffer_stream_features(spark):
+    from clinlake.operators.signal import buffer_features
+    from clinlake.streaming import sinks, windows
+    rng = np.random.default_rng(11)
+    n, cap, minimum = 300, 200, 128
+    t0 = pd.Timestamp("2026-04-08 10:00:00")
+    vals = np.sin(2 * np.pi * 1.2 * np.arange(n) / 50.0) + 0.2 * rng.normal(size=n)
+    pdf = pd.DataFrame({"device": "d1", "ts": [t0 + pd.Timedelta(milliseconds=20 * i) for i in range(n)], "mag": vals})
+    src = tempfile.mkdtemp(prefix="clinlake-ring-")
+    spark.createDataFrame(pdf).coalesce(1).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    feats = windows.ring_buffer_features(stream, ["device"], ["string"], "ts", "mag", capacity=cap, min_samples=minimum)
+    path = sinks.scratch_path(spark, "ring")
+    sinks.run_available_now(feats, path)
+    got = sinks.read_sink(spark, path).orderBy("ts").toPandas()
+    assert len(got) == n - minimum + 1
+    last = buffer_features(vals[-cap:])
+    assert got["n_samples"].iloc[-1] == cap
+    assert np.allclose(got[["gait_cadence", "tremor_index", "bradykinesia_score"]].iloc[-1].to_numpy(), last)
