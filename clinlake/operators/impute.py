@@ -230,3 +230,9 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 10, re
             cur = pred.drop("_fx", "prediction")
         cur = cur.checkpoint(eager=True)
     return cur.drop(*miss.values())
+
+
+def exclude_augmented(df: DataFrame, source_col: str = "data_source") -> DataFrame:
+    """Drop synthetic / augmented rows (source tagged *augmented* or *synthetic*)
+    before drift or quality statistics."""
+    return df.filter(~F.coalesce(F.lower(F.col(source_col)).rlike("augmented|synthetic"), F.lit(False)))

@@ -104,3 +104,40 @@ def evidence_block(ranked: DataFrame, key: str, rank: str, doc_id: str, lang: st
                                 .alias("_ps"))
     return g.select(key, "n_passages",
                     F.concat(F.lit(header + "\n"), F.array_join(F.transform("_ps", lambda s: s["p"]), "\n")).alias("context"))
+
+
+REPORT_SCHEMA = ("intervention_recommendations array<struct<intervention: string, supporting_pmids: array<string>>>, "
+                 "deterioration_forecast struct<dci_median: array<double>, dci_ci_80_lower: array<double>, "
+                 "dci_ci_80_upper: array<double>, months_to_clinical_threshold: map<string, double>>, "
+                 "uncertainty_flags array<string>")
+
+
+def report_metrics(reports: DataFrame, id_col: str, json_col: str, known_ids: DataFrame, known_col: str) -> DataFrame:
+    """Validity, citation hallucination and plausibility of generated JSON reports.
+
+    valid = parses against the report schema with its three sections present;
+    hallucination = cited ids (over valid reports) missing from ``known_ids``,
+    via explode + anti join; plausibility = 1 - 0.25 per forecast point not
+    satisfying 0 <= lower < median < upper <= 100, - 0.25 for a non-positive
+    months-to-threshold estimate, - 0.25 without uncertainty flags, floored at
+    0 (0 for an invalid report).  One row of rates."""
+    parsed = reports.select(id_col, F.from_json(F.col(json_col), REPORT_SCHEMA).alias("r"))
+    valid = (F.col("r").isNotNull() & F.col("r.intervention_recommendations").isNotNull()
+             & F.col("r.deterioration_forecast").isNotNull() & F.col("r.uncertainty_flags").isNotNull())
+    p = parsed.withColumn("valid", valid)
+    f = F.col("r.deterioration_forecast")
+    pts = F.arrays_zip(f["dci_ci_80_lower"].alias("l"), f["dci_median"].alias("m"), f["dci_ci_80_upper"].alias("h"))
+    bad_pts = F.size(F.filter(pts, lambda z: ~((z["l"] >= 0) & (z["l"] < z["m"]) & (z["m"] < z["h"]) & (z["h"] <= 100))))
+    est = F.coalesce(F.try_element_at(f["months_to_clinical_threshold"], F.lit("estimate")), F.lit(0.0))
+    score = (F.lit(1.0) - F.lit(0.25) * bad_pts - F.when(est <= 0, 0.25).otherwise(0.0)
+             - F.when(F.size("r.uncertainty_flags") < 1, 0.25).otherwise(0.0))
+    p = p.withColumn("plausibility", F.when(F.col("valid"), F.greatest(score, F.lit(0.0))).otherwise(0.0))
+    cites = p.filter("valid").select(id_col, F.explode(F.flatten(F.transform(
+        "r.intervention_recommendations", lambda rec: rec["supporting_pmids"]))).alias("_pmid"))
+    bad = cites.join(known_ids.select(F.col(known_col).alias("_pmid")), "_pmid", "left_anti")
+    counts = cites.agg(F.count(F.lit(1)).alias("_total")).crossJoin(bad.agg(F.count(F.lit(1)).alias("_bad")))
+    rates = p.agg(F.avg(F.col("valid").cast("double")).alias("json_validity_rate"),
+                  F.avg("plausibility").alias("clinical_plausibility"))
+    return rates.crossJoin(counts).select(
+        "json_validity_rate", (F.col("_bad") / F.greatest(F.col("_total"), F.lit(1))).alias("pmid_hallucination_rate"),
+        "clinical_plausibility")

@@ -234,3 +234,36 @@ def test_ring_buffer_stream_features(spark):
     last = buffer_features(vals[-cap:])
     assert got["n_samples"].iloc[-1] == cap
     assert np.allclose(got[["gait_cadence", "tremor_index", "bradykinesia_score"]].iloc[-1].to_numpy(), last)
+
+
+def test_report_metrics(spark):
+    import json
+    from clinlake.operators import text
+    good = {"intervention_recommendations": [{"intervention": "x", "supporting_pmids": ["1", "2"]}],
+            "deterioration_forecast": {"dci_median": [50, 60], "dci_ci_80_lower": [40, 70], "dci_ci_80_upper": [60, 80],
+                                       "months_to_clinical_threshold": {"estimate": 12}},
+            "uncertainty_flags": ["small cohort"]}
+    other = {"intervention_recommendations": [{"intervention": "y", "supporting_pmids": ["3"]}],
+             "deterioration_forecast": {"dci_median": [10], "dci_ci_80_lower": [5], "dci_ci_80_upper": [20],
+                                        "months_to_clinical_threshold": {"estimate": 0}},
+             "uncertainty_flags": []}
+    reps = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(other)), (3, "not json")], "id int, js string")
+    known = spark.createDataFrame([("1",), ("3",)], "pmid string")
+    r = text.report_metrics(reps, "id", "js", known, "pmid").collect()[0]
+    assert abs(r["json_validity_rate"] - 2 / 3) < 1e-12
+    assert abs(r["pmid_hallucination_rate"] - 1 / 3) < 1e-12
+    # report 1: one implausible point (-0.25); report 2: estimate <= 0 and no flags (-0.5); report 3: invalid (0)
+    assert abs(r["clinical_plausibility"] - (0.75 + 0.5 + 0.0) / 3) < 1e-12
+
+
+def test_derived_clinical_and_augmented_guard(spark):
+    from clinlake.operators import impute
+    df = spark.createDataFrame([(1.0, 0.0, None, 1.0, 16.0, 27.0, 600.0, 30.0, "adni"),
+                                (0.0, 1.0, 1.0, None, 12.0, 20.0, 500.0, 0.0, "bootstrap_augmented")],
+                               "Hypertension double, Diabetes double, CardiovascularDisease double, Smoking double, "
+                               "EducationLevel double, MMSE double, CSF_Abeta42 double, CSF_pTau double, data_source string")
+    out = derive.clinical_derived(df).collect()
+    assert out[0]["VascularRiskComposite"] == 2.0 and out[1]["ComorbidityCount"] == 2.0
+    assert out[0]["AbetaTauRatio"] == 20.0 and out[1]["AbetaTauRatio"] is None
+    assert abs(out[0]["CognitiveReserve"] - (16 + 27 / 30)) < 1e-12
+    assert [r["data_source"] for r in impute.exclude_augmented(df, "data_source").collect()] == ["adni"]
