@@ -353,7 +353,23 @@ def pc_skeleton_orders(spark, sf):
     return causal.pc_edges(d, ["n_lines", "sum_qty", "sum_price", "mean_discount", "o_totalprice"])
 
 
+def per_segment_models(spark, sf):
+    """One logistic model per market segment predicting a high balance from
+    the order history of the customer (orders, mean price, late-status share)."""
+    c = table(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"])
+    o = table(spark, sf, "orders", ["o_custkey", "o_totalprice", "o_orderstatus"])
+    hist = o.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"),
+                                      F.avg("o_totalprice").alias("mean_price"),
+                                      F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("share_f"))
+    d = c.join(hist, c.c_custkey == hist.o_custkey).select(
+        "c_custkey", "c_mktsegment", "n_orders", "mean_price", "share_f",
+        (F.col("c_acctbal") > 5000).cast("int").alias("high_balance"))
+    m = models.per_group_models(d, "c_mktsegment", ["n_orders", "mean_price", "share_f"], "high_balance")
+    return m.select("c_custkey", "c_mktsegment", "high_balance", F.round("p_group_model", 6).alias("p_group_model"))
+
+
 QUERIES = {
+    "per_segment_models": per_segment_models,
     "granger_event_series": granger_event_series,
     "pc_skeleton_orders": pc_skeleton_orders,
     "sequence_lengths": sequence_lengths,

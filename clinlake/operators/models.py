@@ -364,3 +364,26 @@ def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     rows = [(a, b, float(round(m[i][j], 6))) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return spark.createDataFrame(rows, "feature_i string, feature_j string, r double")
+
+
+def per_group_models(df: DataFrame, group: str, features: Sequence[str], label: str, min_rows: int = 10,
+                     max_groups: int = 64) -> DataFrame:
+    """One logistic regression per group (e.g. per disease), fitted on that group's
+    rows with MLlib and used to score them; groups with fewer than ``min_rows``
+    rows (or a single class) are skipped.  The group list is a checked small
+    aggregate; every fit is a distributed MLlib job."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
+    groups = sizes.filter((F.col("n") >= min_rows) & (F.col("k") > 1)).select(group).limit(max_groups + 1).collect()
+    if len(groups) > max_groups:
+        raise ValueError(f"more than {max_groups} groups; fit with a group feature instead")
+    out = None
+    for (g,) in groups:
+        part = _assemble(df.filter(F.col(group) == g), features).withColumn("_y", F.col(label).cast("double"))
+        model = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50).fit(part)
+        scored = model.transform(part).select(*df.columns, vector_to_array("probability")[1].alias("p_group_model"))
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        return df.withColumn("p_group_model", F.lit(None).cast("double")).limit(0)
+    return out
