@@ -142,3 +142,31 @@ def polygenic_scores(genotypes: DataFrame, betas: DataFrame, variant: str, sampl
     k = prs.join(runtime_sized(st), trait)
     sd = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_s"))
     return k.select(sample, trait, "prs", F.coalesce((F.col("prs") - F.col("_m")) / sd, F.lit(0.0)).alias("prs_z"))
+
+
+def genotype_pca(genotypes: DataFrame, variant: str, sample: str, dosage: str, k: int = 10,
+                 max_variants: int = 50_000) -> DataFrame:
+    """Top-k principal components of the sample x variant dosage matrix (MLlib PCA).
+
+    Variants get dense indexes (sorted codes); each sample row is its dosage
+    vector over the panel, built natively from an (index -> dosage) map with
+    missing calls as 0.  The panel width is checked against ``max_variants``
+    (PCA's covariance is width x width); rows are samples, so the sample count
+    is unbounded."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from clinlake.plans.broadcast import is_small
+    from clinlake.plans.prefix import dense_codes
+    codes = dense_codes(genotypes.select(variant), variant, "_idx")
+    if not is_small(codes, max_variants):
+        raise ValueError(f"more than {max_variants} variants: prune the panel first")
+    width = codes.agg(F.count(F.lit(1)).alias("w")).collect()[0]["w"]
+    g = genotypes.join(codes, variant).select(sample, "_idx", F.col(dosage).cast("double").alias("_d"))
+    per = g.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("_idx", "_d"))).alias("_m"))
+    dense = per.select(sample, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+                                                           lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))))
+                       .alias("_x"))
+    model = PCA(k=min(k, width), inputCol="_x", outputCol="_pc").fit(dense)
+    pcs = model.transform(dense).select(sample, vector_to_array("_pc").alias("_a"))
+    return pcs.select(sample, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(min(k, width))])
