@@ -5,7 +5,6 @@ model-based (rows-checked) operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clinlake.catalog import drift as drift_q
@@ -179,10 +178,12 @@ TYPES = ["click", "view", "purchase", "signup", "error"]
 
 
 def _transition_shares(spark, sf, run=None):
+    from clinlake.plans.halo import bucket_window, drop_halo, with_halo
     ev = table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    tr = ev.withColumn("b", F.lead("event_type").over(w)).filter(F.col("b").isNotNull()) \
-           .withColumnRenamed("event_type", "a")
+    h = with_halo(ev, ["user_id"], ["ts", "event_id"], ahead=1)  # a user's next event, split over buckets
+    w = bucket_window(["user_id"], ["ts", "event_id"])
+    tr = drop_halo(h.withColumn("b", F.lead("event_type").over(w))).filter(F.col("b").isNotNull()) \
+        .withColumnRenamed("event_type", "a")
     keys = ["user_id"] if run is None else [run]
     if run == "week":
         tr = tr.withColumn("week", F.date_trunc("week", "ts"))

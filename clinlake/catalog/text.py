@@ -7,7 +7,6 @@ pages = raw documents with links.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clinlake.operators import pii, retrieval, text
@@ -184,10 +183,12 @@ DEFAULT_SYSTEM = "You are a clinical research assistant."
 
 
 def instruction_split(spark, sf):
+    from clinlake.plans.halo import bucket_window, drop_halo, with_halo
     conv = table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = (conv.withColumn("_next_role", F.lead("role").over(w)).withColumn("_next_text", F.lead("text").over(w))
-             .filter((F.col("role") == "user") & (F.col("_next_role") == "assistant")))
+    h = with_halo(conv, ["conv_id"], ["turn"], ahead=1)  # next turn, even across a bucket edge
+    w = bucket_window(["conv_id"], ["turn"])
+    pairs = drop_halo(h.withColumn("_next_role", F.lead("role").over(w)).withColumn("_next_text", F.lead("text").over(w))) \
+        .filter((F.col("role") == "user") & (F.col("_next_role") == "assistant"))
     system = conv.filter(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("_sys"))
     ex = pairs.join(system, "conv_id", "left").select(
         "conv_id", "turn", text.chat_format(F.coalesce("_sys", F.lit(DEFAULT_SYSTEM)), F.col("text"),

@@ -14,7 +14,7 @@ BUCKETED = [
     "trailing_window_stats", "stratified_split", "first_visits_per_patient", "quantile_bin_weights",
     "roc_auc_by_group", "youden_threshold", "average_precision_by_group", "conformal_coverage", "semantic_chunks",
     "instruction_split", "baseline_profile", "quota_selection", "latency_percentiles", "motion_scrub",
-    "proportional_threshold",
+    "proportional_threshold", "adjacency_edges", "edge_stability",
 ]
 
 
