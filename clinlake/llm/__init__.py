@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "sharding"]
+MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints"]
 
 
 def _gather(name: str) -> dict:

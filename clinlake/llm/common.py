@@ -6,11 +6,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import clinlake
 from clinlake.session import checkpoint_dir
 
+# functions travel to the executors with their code: the package need not be installed there
+cloudpickle.register_pickle_by_value(clinlake)
+
 #: The separators of a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
 #: Rows of one numbering bucket (see ``hash_index``).
