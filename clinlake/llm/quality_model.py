@@ -66,7 +66,7 @@ def vector(text: str, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), x / np.sqrt((x * x).sum())
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 3, alpha: float = 2.0, beta: float = 1.0,
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 10, alpha: float = 2.0, beta: float = 1.0,
          l1: float = 0.005, l2: float = 0.01) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (label, coordinates, weights): the non-zero
     coordinates, their weights and the bias."""
