@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints", "quality_model", "packing", "mixing", "jaccard_join"]
+MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints", "quality_model", "packing", "mixing", "jaccard_join", "pii_spans"]
 
 
 def _gather(name: str) -> dict:

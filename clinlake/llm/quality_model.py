@@ -124,37 +124,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return weights, bias
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text",
-          keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, ``keep`` columns) of every row; a null text is empty and
-    scores by the bias."""
+def scorer(weights: np.ndarray, bias: float):
+    """A pandas UDF: text -> score.  A null text is empty and scores by the bias."""
     at = np.flatnonzero(weights)
     pairs = at, weights[at].astype(np.float32)
-    schema = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__t"), *keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.zeros(DIMS)
         w[pairs[0]] = pairs[1]
         known = WordHash()
-        for pdf in batches:
+        for texts in batches:
             s = []
-            for t in pdf["__t"]:
-                i, x = vector(t, known) if isinstance(t, str) else (at[:0], np.empty(0))
+            for t in texts:
+                i, x = vector(t if isinstance(t, str) else "", known)
                 s.append(1.0 / (1.0 + np.exp(-np.clip(bias + w[i] @ x, -35, 35))))
-            out = pdf.drop(columns="__t")
-            out["__score"] = s
-            yield out.astype({id_col: "Int64"})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.drop("__t").schema.fields)
-    return schema.mapInPandas(run, f"{fields}, `__score` double").withColumnRenamed("__score", "score")
+            yield pd.Series(s, dtype="float64")
+    return run
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", **kw) -> DataFrame:
     """(id, held_out, score, predicted) of every document.  Nulls, empty texts
-    and repeated rows: see ``train`` and ``score``; an empty table gives an
+    and repeated rows: see ``train`` and ``scorer``; an empty table gives an
     empty table; other columns are ignored."""
     weights, bias = train(docs, labels, id_col, text_col, label_col, **kw)
-    out = score(docs, weights, bias, id_col, text_col)
+    out = docs.select(id_col, scorer(weights, bias)(text_col).alias("score"))
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
