@@ -18,7 +18,6 @@ The windows laid end to end are one stream without gaps, cut into sequences of
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
@@ -26,7 +25,6 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,62 +38,92 @@ WINDOW_TOKENS = 16 * SEQ_LEN
 #: More sources than this share queues (by a hash of their name).
 MAX_QUEUES = 256
 BUCKET_DOCS = 4_000
-#: Words whose pieces can be found before encoding: no case or normal form that
-#: depends on neighbours, no white space.
-PLAIN = re.compile("[!-~¡-įı-ɏ]+")
-#: The tokenizer's own split of a word into pieces (fixed value of the vocabulary file).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MAX_WORDS = 500_000
+#: Texts of these characters alone are cut into pieces here: none has a case or
+#: normal form that depends on its neighbours, and all white space is plain.
+PLAIN = re.compile("[ \n!-~¡-įı-ɏ‐-‧‰-⁞€]*")
+#: The tokenizer's own pieces of such a text: runs of letters, single digits,
+#: English endings, runs of anything else (fixed by the vocabulary file).
+LETTERS, DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^ {LETTERS}{DIGITS}]+| ")
+MAX_WORDS = 1_000_000
 
 
-class WordIds:
-    """Token ids of words, as bytes of unsigned integers.
+class Numbered(dict):
+    """string -> number, in the order of first use."""
 
-    The vocabulary drops white space, so a text is the concatenation of its
-    words.  Unknown words are encoded together: their distinct pieces are joined
-    by spaces, and the ids are cut after each end-of-word token.  The memory of
-    words is bounded."""
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+def spans(stop: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of ``items`` laid end to end, where item n's values
+    lie between stop[n] and stop[n + 1]; and where each item ends."""
+    size = stop[items + 1] - stop[items]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(stop[items] - upto[:-1], size) + np.arange(upto[-1]), upto
+
+
+class TextIds:
+    """Token ids of texts as bytes of unsigned integers.
+
+    The vocabulary drops white space and never merges across pieces, so a text's
+    ids are those of its words in a row, and a word's those of its pieces.  New
+    words of a batch are cut into pieces together, new pieces are encoded
+    together (joined by spaces; the ids are cut after each end-of-word token).
+    The memory of words and pieces is bounded.  A text of other characters goes
+    through the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.piecewise = Tokenizer.from_file(path)
+        self.piecewise.normalizer = None  # pieces are lower case and in normal form
         vocab = self.tokenizer.get_vocab()
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 2 ** 16 else "<u4")
         self.ends = np.zeros(size, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-
-    def learn(self, wanted: set[str]) -> None:
-        if len(self.words) > MAX_WORDS:
-            self.words = {"": b""}
-        new = [w for w in wanted if w not in self.words]
-        split, pieces = {}, set()
-        for w in new:
-            if "<|" not in w and PLAIN.fullmatch(w):
-                split[w] = found = PIECES.findall(unicodedata.normalize("NFC", w).lower())
-                pieces.update(found)
-            else:
-                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        known, listed = {}, list(pieces)
-        for lo in range(0, len(listed), 2_000):
-            part = listed[lo:lo + 2_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.pieces = Numbered(), Numbered({" ": 0})  # a space is a piece without ids
+        self.piece_stop, self.piece_ids = np.zeros(2, dtype=np.int64), np.empty(0, self.dtype)
+        self.word_stop, self.word_ids = np.zeros(1, dtype=np.int64), np.empty(0, self.dtype)
+
+    def learn(self) -> None:
+        new = list(self.words)[len(self.word_stop) - 1:]
+        if not new:
+            return
+        found = PIECES.findall(" ".join(new).lower())
+        items = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        fresh = list(self.pieces)[len(self.piece_stop) - 1:]
+        for lo in range(0, len(fresh), 5_000):
+            part = fresh[lo:lo + 5_000]
+            ids = np.array(self.piecewise.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("pieces and end-of-word tokens do not pair up")
-            known.update((p, x.tobytes()) for p, x in zip(part, np.split(ids, cuts[:-1])))
-        for w, found in split.items():
-            self.words[w] = b"".join([known[p] for p in found])
+            self.piece_stop = np.concatenate([self.piece_stop, cuts + self.piece_stop[-1]])
+            self.piece_ids = np.concatenate([self.piece_ids, ids])
+        places, upto = spans(self.piece_stop, items)
+        ends = np.concatenate([upto[:-1][items == 0], upto[-1:]])  # words end at the spaces between them
+        self.word_stop = np.concatenate([self.word_stop, ends + self.word_stop[-1]])
+        self.word_ids = np.concatenate([self.word_ids, self.piece_ids[places]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        self.learn(wanted)
-        return [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        if len(self.words) > MAX_WORDS:
+            self.forget()
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        used = [np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)) for found in (
+            t.replace("\n", " ").split(" ") if p else [] for t, p in zip(texts, plain))]
+        self.learn()
+        places, upto = spans(self.word_stop, np.concatenate([*used, np.empty(0, np.int64)]))
+        ids, at = self.word_ids[places], upto[np.cumsum([0] + [len(u) for u in used])]
+        return [ids[at[i]:at[i + 1]].tobytes() if p else
+                np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+                for i, p in enumerate(plain)]
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
@@ -106,14 +134,14 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
     queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)
-        end = np.array([END_ID], words.dtype).tobytes()
+        ids_of = TextIds(tokenizer)
+        end = np.array([END_ID], ids_of.dtype).tobytes()
         for pdf in batches:
             for lo in range(0, len(pdf), 1_000):
                 part = pdf.iloc[lo:lo + 1_000]
-                ids = [x + end for x in words.encode([t if isinstance(t, str) else "" for t in part["t"]])]
+                ids = [x + end for x in ids_of.encode([t if isinstance(t, str) else "" for t in part["t"]])]
                 yield pd.DataFrame({"id": part["id"].astype("Int64"), "queue": part["queue"], "h": part["h"],
-                                    "n": [len(x) // words.dtype.itemsize for x in ids], "ids": ids})
+                                    "n": [len(x) // ids_of.dtype.itemsize for x in ids], "ids": ids})
     src = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"),
                       F.xxhash64(F.lit("pack"), F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
     return src.mapInPandas(run, "id long, queue string, h long, n long, ids binary")
