@@ -54,8 +54,9 @@ def _pagerank_sql(iters=20, d=0.85):
 
 
 def ancestors_count(spark, sf):
-    anc = graph.reachable_ancestors(_edges(spark, sf))
-    return (anc.filter(F.col("node").startswith("r")).groupBy("node")
+    edges = _edges(spark, sf)
+    regions = edges.filter(F.col("dst").startswith("r")).select(F.col("dst").alias("node"))
+    return (graph.reachable_ancestors(edges, targets=regions).groupBy("node")
             .agg(F.count(F.lit(1)).alias("n_ancestors")))
 
 
@@ -127,7 +128,7 @@ def betweenness_centrality(spark, sf):
     """Exact Brandes betweenness (every node a source) on the directed
     customer / part -> supplier -> nation -> region graph."""
     b = graph.betweenness(_edges(spark, sf))
-    return b.filter(F.col("betweenness") > 0).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return b.select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def _betweenness_sql(depth: int = 4):
@@ -146,9 +147,10 @@ def _betweenness_sql(depth: int = 4):
             f"JOIN e ON p.v = e.src JOIN b{d + 1} w ON w.s = p.s AND w.v = e.dst GROUP BY p.s, p.v), "
             f"b{d} AS (SELECT l{d}.s, l{d}.v, l{d}.sigma, coalesce(c{d}.delta, 0.0) AS delta FROM l{d} "
             f"LEFT JOIN c{d} ON c{d}.s = l{d}.s AND c{d}.v = l{d}.v)")
-    union = " UNION ALL ".join(f"SELECT v AS node, delta FROM b{d}" for d in range(1, depth + 1))
+    union = " UNION ALL ".join(["SELECT node, 0.0::DOUBLE AS delta FROM nodes",
+                                *[f"SELECT v AS node, delta FROM b{d}" for d in range(1, depth + 1)]])
     return ("WITH " + ",\n".join(ctes) + f"\nSELECT node, round(sum(delta), 6) AS betweenness FROM ({union}) "
-            "GROUP BY node HAVING sum(delta) > 0")
+            "GROUP BY node")
 
 
 QUERIES = {

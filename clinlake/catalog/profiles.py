@@ -22,7 +22,7 @@ def profile_one_pass(spark, sf):
 
 
 def _profile_sql():
-    parts = [f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd, "
+    parts = [f"SELECT '{c}' AS feature, round(CAST(sum(CAST({c} AS DECIMAL(28, 12))) AS DOUBLE) / count({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd, "
              f"min({c}) AS min, max({c}) AS max, count({c}) AS n FROM lineitem" for c in LI_FEATURES]
     return "\nUNION ALL\n".join(parts)
 

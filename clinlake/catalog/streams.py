@@ -1,7 +1,7 @@
 """Structured Streaming queries over the events table as a landing folder.
 
-Each query drains the events file stream (trigger availableNow) through the
-validated foreachBatch sink into a fresh folder under the session's shared
+Each query drains the events (landed as several files out of time order, one
+per batch, trigger availableNow) through the validated foreachBatch sink into a fresh folder under the session's shared
 checkpoint directory and returns the sink read back; the result must equal
 the batch operator on the same rows.
 """
@@ -17,9 +17,26 @@ from clinlake.streaming import events as sev
 from clinlake.streaming import sinks, windows
 
 
-def _event_stream(spark, sf):
-    schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
-    s = sev.file_stream(spark, sf, schema, "parquet", glob="events.parquet", max_files_per_trigger=1)
+FILES, LATE_S = 8, 1_800
+
+
+def _event_stream(spark, sf, repeats=False):
+    """The events as a landing folder of ``FILES`` files, read one per batch.
+
+    Events arrive up to half an hour late, so files overlap in event time and
+    none is sorted; with ``repeats`` every tenth event arrives twice."""
+    ev = spark.read.parquet(os.path.join(sf, "events.parquet"))
+    late = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "event_id"), F.lit(LATE_S))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    arrivals = ev.withColumn("_at", at + late("first"))
+    if repeats:
+        arrivals = arrivals.union(ev.filter(F.xxhash64("event_id") % 10 == 0).withColumn("_at", at + late("again")))
+    lo, hi = arrivals.agg(F.min("_at"), F.max("_at")).first()
+    path = sinks.scratch_path(spark, "landing")
+    part = F.floor((F.col("_at") - F.lit(lo)) * FILES / F.lit((hi or 0) - (lo or 0) + 1))
+    for i in range(FILES):  # written in the order of arrival
+        (arrivals.filter(part == i).drop("_at").repartition(1, "event_id").write.mode("append").parquet(path))
+    s = sev.file_stream(spark, path, ev.schema, "parquet", max_files_per_trigger=1)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -40,8 +57,9 @@ def stream_trailing_window(spark, sf):
     st = windows.trailing_window_stateful(ev, ["user_id", "event_type"], ["long", "string"], "ts", "value",
                                           TRAILING_WINDOW_US, watermark="1 day")
     path = sinks.scratch_path(spark, "trailing")
-    sinks.run_available_now(st, path, output_mode="append")
-    out = sinks.read_sink(spark, path)
+    sinks.run_available_now(st, path, output_mode="update")
+    out = sinks.latest_per_key(sinks.read_sink(spark, path).drop("schema_version", "updated_at"),
+                               ["user_id", "event_type", "window_end"])
     return out.select("user_id", "event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "count",
                       F.round("mean", 6).alias("mean"), F.round("sd_pop", 4).alias("sd_pop"))
@@ -103,7 +121,7 @@ def stream_ring_features(spark, sf):
 
 
 def stream_dedupe(spark, sf):
-    ev = _event_stream(spark, sf)
+    ev = _event_stream(spark, sf, repeats=True)
     d = windows.dedupe_within_watermark(ev, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type")
     path = sinks.scratch_path(spark, "dedupe")
     sinks.run_available_now(d, path, output_mode="append")

@@ -7,6 +7,7 @@ as a value.  Every scan of a numeric column and every division goes through
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +121,19 @@ def hmac_sha256_hex(message: str | Column, key: str) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit(opad)), inner), 256)
 
 
+def hash_uniform(seed: int, *keys: Column) -> Column:
+    """U(0, 1) from a hash of ``keys`` and ``seed``: the same row draws the same
+    value whatever its partition."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
+    return (h.cast("double") + 0.5) / F.lit(2.0 ** 53)
+
+
+def hash_normal(seed: int, *keys: Column) -> Column:
+    """N(0, 1) from two hash uniforms (Box-Muller)."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(hash_uniform(2 * seed, *keys)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * hash_uniform(2 * seed + 1, *keys))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Dot product of two numeric arrays of equal length."""
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")),

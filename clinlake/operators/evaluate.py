@@ -19,19 +19,26 @@ from clinlake.plans.prefix import bucket_column, running_sum
 from clinlake.plans.quantile import exact_quantiles
 
 
+def _scored(df: DataFrame, p: str) -> DataFrame:
+    """Rows with a score: a null or NaN score has no place in an order and is left out."""
+    s = F.col(p).cast("double")
+    return df.filter(s.isNotNull() & ~F.isnan(s))
+
+
 def _score_counts(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
-    return df.groupBy(*groups, F.col(p).cast("double").alias("_s")).agg(
+    return _scored(df, p).groupBy(*groups, F.col(p).cast("double").alias("_s")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("_pos"), F.count(F.when(F.col(y) == 0, 1)).alias("_neg"))
 
 
 def roc_auc(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
     """Mann-Whitney AUC per group with ties counted 1/2; a single class -> 0.5.
+    Rows without a score (null or NaN) are left out; n_pos and n_neg count the rest.
 
     AUC = sum_s pos(s) * (neg(< s) + neg(s)/2) / (P * N).
     """
     g = list(groups)
     c = _score_counts(df, g, y, p)
-    bkt = bucket_column(df.select(*g, F.col(p).cast("double").alias("_s")), g + ["_s"])
+    bkt = bucket_column(_scored(df, p).select(*g, F.col(p).cast("double").alias("_s")), g + ["_s"])
     cum = running_sum(c, g, ["_s"], ["_neg"], ["_neg_le"], bucket=bkt)
     term = F.col("_pos") * (F.col("_neg_le") - F.col("_neg") + F.col("_neg") * 0.5)
     agg = cum.groupBy(*g).agg(F.sum(term).alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
@@ -45,7 +52,7 @@ def roc_points(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFram
     precision = tp / (tp + fp)."""
     g = list(groups)
     c = _score_counts(df, g, y, p).withColumn("_neg_s", -F.col("_s"))
-    bkt = bucket_column(df.select(*g, (-F.col(p).cast("double")).alias("_neg_s")), g + ["_neg_s"])
+    bkt = bucket_column(_scored(df, p).select(*g, (-F.col(p).cast("double")).alias("_neg_s")), g + ["_neg_s"])
     cum = running_sum(c, g, ["_neg_s"], ["_pos", "_neg"], ["tp", "fp"], bucket=bkt)
     tot = c.groupBy(*g).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     j = cum.join(bounded_broadcast(tot), on=g, how="inner") if g else cum.crossJoin(bounded_broadcast(tot))
@@ -253,7 +260,9 @@ def gate_decision(metrics: DataFrame, gates=GATES) -> DataFrame:
 def conformal_lac(calib: DataFrame, test: DataFrame, y: str, p: str, alphas: Sequence[float]) -> DataFrame:
     """Binary LAC conformal sets: s = 1 - p_true on calibration rows,
     qhat = the ceil((n+1)(1-a))-th smallest score (capped at the max), a class is in
-    the set when 1 - p_class <= qhat; coverage and mean set size on test rows."""
+    the set when 1 - p_class <= qhat; coverage and mean set size on test rows.
+    Rows without a score or label are left out of both."""
+    calib, test = (_scored(d, p).filter(F.col(y).isNotNull()) for d in (calib, test))
     sc = calib.select((F.lit(1.0) - F.when(F.col(y) == 1, F.col(p)).otherwise(1 - F.col(p))).alias("s"))
     n = sc.agg(F.count(F.lit(1)).alias("n"))
     rows = []
@@ -321,7 +330,7 @@ def score_quantiles(df: DataFrame, groups: Sequence[str], p: str, probs: Sequenc
 
 def _uniform(seed: int, *cols) -> Column:
     """Repeatable U(0,1) per row from a seeded hash of the given columns."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return hash_uniform(seed, *cols)
 
 
 def robustness_suite(df: DataFrame, id_col: str, features: Sequence[str], label: str, score,
@@ -330,8 +339,9 @@ def robustness_suite(df: DataFrame, id_col: str, features: Sequence[str], label:
 
     Tests: Gaussian noise (0.1 sd), 20 % dropout to the median, +0.5 sd
     covariate shift of each feature, 10 % label noise.  Perturbations are
-    seeded per row, so a rerun gives the same table; each test is one AUC
-    over the whole table (distributed score counts)."""
+    drawn from a hash of the row's id and the seed, so a rerun gives the same
+    table under any partitioning; each test is one AUC over the whole table
+    (distributed score counts)."""
     from clinlake.plans.quantile import exact_quantiles
     stats = df.agg(*[F.stddev_pop(c).alias(f"_sd_{c}") for c in features])
     meds = None
@@ -341,7 +351,7 @@ def robustness_suite(df: DataFrame, id_col: str, features: Sequence[str], label:
     base = df.crossJoin(bounded_broadcast(stats)).crossJoin(bounded_broadcast(meds))
     x = {c: F.col(c) for c in features}
     tests = {"baseline": (score(x), F.col(label))}
-    tests["gaussian_noise"] = (score({c: F.col(c) + F.randn(seed + i) * 0.1 * F.col(f"_sd_{c}")
+    tests["gaussian_noise"] = (score({c: F.col(c) + hash_normal(seed + i, F.col(id_col)) * 0.1 * F.col(f"_sd_{c}")
                                       for i, c in enumerate(features)}), F.col(label))
     tests["dropout_to_median"] = (score({c: F.when(_uniform(seed + i, F.col(id_col)) < 0.2, F.col(f"_med_{c}"))
                                          .otherwise(F.col(c)) for i, c in enumerate(features)}), F.col(label))
@@ -412,7 +422,7 @@ def concordance_index(df: DataFrame, y: str, p: str, levels: int | None = None)
     pc = F.col(p).cast("double")
     if levels is not None:
         rng = df.agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
-        from clinlake.functions.exprs import equal_width_bin
+        from clinlake.functions.exprs import equal_width_bin, hash_normal, hash_uniform
         df = df.crossJoin(bounded_broadcast(rng)).withColumn("_pl", equal_width_bin(p, "_lo", "_hi", levels))
         pc = F.col("_pl").cast("double")
     cells = df.groupBy(F.col(y).cast("double").alias("_y"), pc.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))

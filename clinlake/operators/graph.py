@@ -8,6 +8,8 @@ most a few rounds.  All per-node state stays distributed.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ def pagerank(edges: DataFrame, src: str = "src", dst: str = "dst", iterations: i
 
     r' = (1 - d)/N + d * (sum_{u->v} r(u)/outdeg(u) + dangling/N)
     """
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().checkpoint(eager=True)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
@@ -50,17 +53,22 @@ def pagerank(edges: DataFrame, src: str = "src", dst: str = "dst", iterations: i
     return ranks.select("node", "rank")
 
 
-def reachable_ancestors(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
-    """(node, ancestor) for every transitive predecessor, by frontier joins to a fixpoint."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
-    reach = e.select(F.col("b").alias("node"), F.col("a").alias("ancestor")).distinct()
+def reachable_ancestors(edges: DataFrame, src: str = "src", dst: str = "dst", targets: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor) for every transitive predecessor of the ``targets``
+    (column node; all nodes when None), by frontier joins to the fixpoint.  The
+    edges are materialised once; only the targets' ancestors are built."""
+    checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct().checkpoint(eager=True)
+    reach = e.select(F.col("b").alias("node"), F.col("a").alias("ancestor"))
+    if targets is not None:
+        reach = reach.join(targets.select("node").distinct(), "node", "left_semi")
     frontier = reach
-    for i in range(max_rounds):
+    for i in itertools.count():
         step = (frontier.join(e, frontier.ancestor == e.b)
                 .select("node", F.col("a").alias("ancestor")).distinct())
         new = step.join(reach, ["node", "ancestor"], "left_anti")
-        new = _cut(new, i)
-        if new.limit(1).count() == 0:
+        new = _cut(new, i, every=1)
+        if new.isEmpty():
             break
         reach = _cut(reach.unionByName(new), i)
         frontier = new
@@ -193,8 +201,7 @@ def causal_role(w: str):
     return F.when(c < PROTECTIVE_BELOW, "protective").when(c > AMPLIFIER_ABOVE, "amplifier").otherwise("neutral")
 
 
-def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: DataFrame | None = None,
-                max_depth: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: DataFrame | None = None) -> DataFrame:
     """Brandes betweenness (directed) from the given source nodes (all nodes when None).
 
     Forward: a BFS for every source at once by frontier joins, keeping
@@ -205,13 +212,15 @@ def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: D
     Betweenness(v) = sum over sources of delta(s, v).  Sampling sources gives
     the usual approximation; all sources give the exact value.
     """
-    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).distinct()
+    checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).distinct().checkpoint(eager=True)
+    nodes = e.select(F.col("_a").alias("node")).union(e.select(F.col("_b").alias("node"))).distinct()
     if sources is None:
-        sources = e.select(F.col("_a").alias("node")).union(e.select(F.col("_b").alias("node"))).distinct()
+        sources = nodes
     level = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma"))
     visited = level.select("s", "v")
     levels = []
-    for d in range(1, max_depth + 1):
+    while True:
         nxt = (level.join(e, level["v"] == e["_a"]).groupBy("s", F.col("_b").alias("v"))
                .agg(F.sum("sigma").alias("sigma")))
         nxt = _cut(nxt.join(visited, ["s", "v"], "left_anti"), 0, every=1)
@@ -220,7 +229,7 @@ def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: D
         levels.append(nxt)
         visited = _cut(visited.unionByName(nxt.select("s", "v")), 0, every=1)
         level = nxt
-    out = None
+    out = nodes.select("node", F.lit(0.0).alias("delta"))  # nodes on no shortest path score 0
     deeper = None  # (s, v, sigma, delta) of the next level
     for cur in reversed(levels):
         if deeper is None:
@@ -232,8 +241,6 @@ def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: D
             with_delta = cur.join(contrib, ["s", "v"], "left").fillna(0.0, ["delta"])
         with_delta = _cut(with_delta, 0, every=1)
         part = with_delta.select(F.col("v").alias("node"), "delta")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
         deeper = with_delta
-    if out is None:
-        return sources.select("node", F.lit(0.0).alias("betweenness"))
     return out.groupBy("node").agg(F.sum("delta").alias("betweenness"))

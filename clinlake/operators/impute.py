@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.functions.exprs import nan_to_null, safe_div
+from clinlake.functions.exprs import hash_normal, nan_to_null, safe_div
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.quantile import exact_quantiles
 
@@ -199,7 +199,7 @@ def bootstrap_oversample(df: DataFrame, label: str, plan: DataFrame, noise_cols:
     extra = (u < (F.col("n_add") % F.col("n")) / F.col("n")).cast("long")
     reps = (base + extra).cast("int")
     ex = j.filter(reps > 0).withColumn("_rep", F.explode(F.sequence(F.lit(1), reps)))
-    outs = {c: F.col(c).cast("double") + F.randn(seed + i) * F.lit(noise_frac) *
+    outs = {c: F.col(c).cast("double") + hash_normal(seed + i, *[F.col(x) for x in df.columns], F.col("_rep")) * F.lit(noise_frac) *
             F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)) for i, c in enumerate(noise_cols)}
     outs[source_col] = F.lit(tag)
     ex = ex.withColumns(outs)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinlake.functions.exprs import clip, nan_to_null
+from clinlake.functions.exprs import clip, hash_normal, nan_to_null, when_chain
 from clinlake.plans.broadcast import bounded_broadcast
 
 ScoreFn = Callable[[Mapping[str, Column]], Column]
@@ -116,38 +116,47 @@ def what_if(df: DataFrame, features: Sequence[str], score: ScoreFn, column: str,
                      (after - before).alias("risk_change"))
 
 
-# Trajectory months and regime constants.
+# Months of the curve, and the regimes by starting risk: lower
+# bound of the start, level that the curve tends to, half width of its band.
 TRAJECTORY_MONTHS = [6.0, 12.0, 18.0, 24.0, 30.0, 36.0]
+TRAJECTORY_REGIMES = [(0.7, 0.95, 0.04), (0.4, 0.82, 0.06), (0.0, 0.58, 0.08)]
+# Speed per half year and order of the three growth curves.
+SATURATION_SPEED, LOGISTIC_SPEED, LOGISTIC_SHIFT, LOGISTIC_BASE = 0.09, 0.9, 3.0, 0.8
+POWER, POWER_BASE, POWER_GAIN = 1.2, 0.4, 0.6
+# Best score and weight of each impairment scale.
+IMPAIRMENT_SCALES = [(30.0, 0.45), (10.0, 0.3), (10.0, 0.25)]
 
 
 def trajectory(p0: Column, rate: Column) -> Column:
-    """Risk trajectory over 6..36 months in three regimes of p0 (clipped 0.01..0.99),
-    as an array of structs (month, risk, lower, upper)."""
-    p = F.least(F.greatest(p0, F.lit(0.01)), F.lit(0.99))
-    months = F.array(*[F.lit(m) for m in TRAJECTORY_MONTHS])
-
-    def point(m):
-        growth = 1 - F.exp(F.lit(-0.09) * (m / 6.0) * (1 + rate))
-        high = p + (F.lit(0.95) - p) * growth
-        x = m / 6.0 - 3.0
-        sig = 1 / (1 + F.exp(F.lit(-0.9) * x * (F.lit(0.8) + rate)))
-        mid = p + (F.lit(0.82) - p) * sig
-        slow = F.pow(m / 36.0, 1.2)
-        low = p + (F.lit(0.58) - p) * slow * (F.lit(0.4) + F.lit(0.6) * rate)
-        t = F.when(p > 0.7, high).when(p > 0.4, mid).otherwise(low)
-        t = F.least(F.greatest(t, F.lit(0.01)), F.lit(0.98))
-        band = F.when(p > 0.7, 0.04).when(p > 0.4, 0.06).otherwise(0.08)
-        return F.struct(m.alias("month"), t.alias("risk"),
-                        F.least(F.greatest(t - band, F.lit(0.0)), F.lit(1.0)).alias("lower"),
-                        F.least(F.greatest(t + band, F.lit(0.0)), F.lit(1.0)).alias("upper"))
-    return F.transform(months, point)
+    """Risk over 6..36 months as an array of structs (month, risk, lower, upper).
+
+    One rule for all regimes: the start moves towards its regime's level by the
+    share that the regime's growth curve has covered at that month."""
+    start = clip(p0, 0.01, 0.99)
+    regime = when_chain([(start > bound, i) for i, (bound, _, _) in enumerate(TRAJECTORY_REGIMES[:-1])],
+                        len(TRAJECTORY_REGIMES) - 1)
+    pick = lambda values: F.get(F.array(*values), regime)
+    level = pick([F.lit(x) for _, x, _ in TRAJECTORY_REGIMES])
+    band = pick([F.lit(x) for _, _, x in TRAJECTORY_REGIMES])
+
+    def covered(month: float) -> Column:
+        half_years, share = month / TRAJECTORY_MONTHS[0], month / TRAJECTORY_MONTHS[-1]
+        return pick([
+            F.lit(1.0) - F.exp((rate + 1.0) * (-SATURATION_SPEED * half_years)),
+            F.lit(1.0) / (F.exp((rate + LOGISTIC_BASE) * (LOGISTIC_SPEED * (LOGISTIC_SHIFT - half_years))) + 1.0),
+            (rate * POWER_GAIN + POWER_BASE) * share ** POWER])
+
+    def point(month: float) -> Column:
+        risk = clip(start + (level - start) * covered(month), 0.01, 0.98)
+        return F.struct(F.lit(month).alias("month"), risk.alias("risk"), clip(risk - band, 0.0, 1.0).alias("lower"),
+                        clip(risk + band, 0.0, 1.0).alias("upper"))
+    return F.array(*[point(m) for m in TRAJECTORY_MONTHS])
 
 
 def impairment_rate(mmse: Column, functional: Column, adl: Column) -> Column:
-    imp = clip((30 - mmse) / 30.0, 0.0, 1.0)
-    fr = clip((10 - functional) / 10.0, 0.0, 1.0)
-    ar = clip((10 - adl) / 10.0, 0.0, 1.0)
-    return F.lit(0.45) * imp + F.lit(0.3) * fr + F.lit(0.25) * ar
+    """Weighted mean shortfall from the best score of each scale."""
+    return sum((clip((best - score) / best, 0.0, 1.0) * weight
+                for score, (best, weight) in zip((mmse, functional, adl), IMPAIRMENT_SCALES)), F.lit(0.0))
 
 
 def class_weights(df: DataFrame, label: str, costs: Mapping[str, float], default: float = 1.0,
@@ -256,6 +265,16 @@ def adjusted_effect(df: DataFrame, outcome: str, treatment: str, confounders: Se
     return float(m.coefficients[0])
 
 
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) by inverse CDF of a uniform (up to 18, beyond which a double has no mass left)."""
+    steps, upto, term = [], 0.0, float(np.exp(-1.0))
+    for k in range(18):
+        upto += term
+        steps.append((u < upto, k))
+        term /= k + 1
+    return when_chain(steps, 18)
+
+
 def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders: Sequence[str], n_boot: int = 20,
                       seed: int = 7) -> DataFrame:
     """Bootstrap replicas as Poisson(1) row weights (seeded hash per row and replica):
@@ -263,13 +282,11 @@ def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders:
     from pyspark.ml.regression import LinearRegression
     spark = df.sparkSession
     base = _assemble(df, [treatment, *confounders]).withColumn("_y", F.col(outcome).cast("double")) \
-        .withColumn("_rid", F.monotonically_increasing_id())
+        .withColumn("_rid", F.xxhash64(*df.columns))  # the row's content: independent of partitions
     rows = []
     for r in range(n_boot):
         u = (F.xxhash64(F.col("_rid"), F.lit(seed), F.lit(r)).cast("double") / F.lit(2.0 ** 64) + 0.5)
-        # Poisson(1) by inverse CDF on a uniform: P(0)=e^-1, P(<=1)=2e^-1, P(<=2)=2.5e^-1, P(<=3)=8/3 e^-1
-        e = float(np.exp(-1.0))
-        w = (F.when(u < e, 0).when(u < 2 * e, 1).when(u < 2.5 * e, 2).when(u < (8.0 / 3.0) * e, 3).otherwise(4))
+        w = poisson_one(u)
         m = LinearRegression(featuresCol="_features", labelCol="_y", weightCol="_w", regParam=0.0,
                              solver="normal").fit(base.withColumn("_w", w.cast("double")))
         rows.append((r, float(m.coefficients[0])))
@@ -279,13 +296,13 @@ def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders:
 def local_surrogate(df: DataFrame, id_col: str, features: Sequence[str], score: ScoreFn, n_perturb: int = 200,
                     sigma: float = 0.3, alpha: float = 1.0, seed: int = 42, top: int = 10) -> DataFrame:
     """Local surrogate attribution per row: ``n_perturb`` Gaussian perturbations
-    (seeded ``randn``), scored with the model expression, kernel-weighted
+    (a hash of the row's id, repeat and seed), scored with the model expression, kernel-weighted
     (width sqrt(F) * 0.75), and a weighted ridge fitted per row from its
     normal equations in a grouped NumPy step (each group has n_perturb + 1 rows)."""
     nf = len(features)
     width = np.sqrt(nf) * 0.75
     ex = df.select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perturb))).alias("_i"))
-    noise = {c: F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(F.randn(seed + j) * sigma) for j, c in enumerate(features)}
+    noise = {c: F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(hash_normal(seed + j, F.col(id_col), F.col("_i")) * sigma) for j, c in enumerate(features)}
     ex = ex.withColumns({f"_d_{c}": v for c, v in noise.items()})
     ex = ex.withColumn("_p", score({c: F.col(c) + F.col(f"_d_{c}") for c in features}))
     dist2 = sum((F.col(f"_d_{c}") * F.col(f"_d_{c}") for c in features), F.lit(0.0))

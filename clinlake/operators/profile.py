@@ -25,11 +25,14 @@ def to_long(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str] = (),
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """mean, sd (ddof=0), min, max, non-null count per feature: one aggregate pass."""
+    """mean, sd (ddof=0), min, max, non-null count per feature: one aggregate pass.
+
+    The mean is a decimal sum (12 places, exact in any order) divided once, so it
+    does not depend on how the rows are partitioned."""
     aggs = []
     for c in columns:
         x = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.avg(x).alias(f"{c}\u0001mean"), F.stddev_pop(x).alias(f"{c}\u0001sd"),
+        aggs += [(F.sum(x.cast("decimal(28,12)")).cast("double") / F.count(x)).alias(f"{c}\u0001mean"), F.stddev_pop(x).alias(f"{c}\u0001sd"),
                  F.min(x).alias(f"{c}\u0001min"), F.max(x).alias(f"{c}\u0001max"),
                  F.count(x).alias(f"{c}\u0001n")]
     wide = df.agg(*aggs)

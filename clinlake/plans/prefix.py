@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 1_024
+MAX_BUCKETS = 4_096
 
 
 def _n_buckets(n_rows: int, rows_per_bucket: int) -> int:
@@ -32,6 +32,8 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None =
                   rows_per_bucket: int | None = None, seed: int = 17) -> Column:
     """Range-bucket id over ``order_cols`` (lexicographic), from sampled split points.
 
+    The order is Spark's ascending order in every bucket count: a null key lies
+    before all others (first bucket), NaN after them (last bucket).
     ``rows_per_bucket`` defaults to the module's ``ROWS_PER_BUCKET`` read at call
     time (tests lower it to force many buckets on small tables)."""
     if rows_per_bucket is None:
@@ -41,7 +43,8 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], n_rows: int | None =
     n = _n_buckets(n_rows, rows_per_bucket)
     if n == 1 or n_rows == 0:
         return F.lit(0)
-    frac = min(1.0, SAMPLE_ROWS / max(n_rows, 1))
+    # half the room, so the limit below does not cut the draw off at one end
+    frac = min(1.0, SAMPLE_ROWS / 2 / max(n_rows, 1))
     sample = (df.select(*order_cols).sample(fraction=frac, seed=seed)
               .dropna().limit(SAMPLE_ROWS).collect())
     keys = sorted(tuple(r) for r in sample)
@@ -64,7 +67,7 @@ def _search_tree(key: Column, splits: list[Column], lo: int, hi: int) -> Column:
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi + 1) // 2  # buckets lo..mid-1 lie below splits[mid-1]
-    return F.when(key < splits[mid - 1], _search_tree(key, splits, lo, mid - 1)).otherwise(
+    return F.when(F.coalesce(key < splits[mid - 1], F.lit(True)), _search_tree(key, splits, lo, mid - 1)).otherwise(
         _search_tree(key, splits, mid, hi))
 
 

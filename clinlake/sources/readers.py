@@ -85,14 +85,14 @@ def flatten_items(df: DataFrame, subject: str, items: str, item_map: Mapping[str
     builds the columns (no extra pass to find pivot values)."""
     spark = df.sparkSession
     dim = spark.createDataFrame(sorted(item_map.items()), "link string, feature string")
-    ex = df.select(subject, F.explode(items).alias("_it"))
+    ex = df.select(subject, F.posexplode(items).alias("_at", "_it"))
     link = F.ltrim(F.col("_it.link_id").cast("string"), F.lit("0"))
-    ex = ex.select(subject, F.when(link == "", "0").otherwise(link).alias("link"),
+    ex = ex.select(subject, "_at", F.when(link == "", "0").otherwise(link).alias("link"),
                    F.coalesce(F.col("_it.answer").cast("double"), F.lit(0.0)).alias("val"))
     j = ex.join(bounded_broadcast(dim), "link")
     j = j.withColumn("val", F.when(F.col("feature").isin(list(invert)), 1.0 - F.col("val")).otherwise(F.col("val")))
     levels = list(out_levels or dict.fromkeys(item_map.values()))
-    return j.groupBy(subject).pivot("feature", levels).agg(F.last("val"))
+    return j.groupBy(subject).pivot("feature", levels).agg(F.max_by("val", "_at"))  # of a repeated item the last answer
 
 
 def zip_member_lines(spark: SparkSession, path: str, suffixes: Sequence[str] = (".data", ".csv")) -> DataFrame:

@@ -17,9 +17,7 @@ from clinlake.plans.broadcast import runtime_sized
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] = (),
                       mode: str = "overwrite") -> None:
     """Parquet sink; dynamic partition overwrite replaces only touched partitions."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     w.parquet(path)

@@ -23,14 +23,15 @@ def validated_append(path: str, rules: Sequence[Rule] = (), schema_version: int
     ``batch_id=<n>``. A replayed batch overwrites its own folder, so the sink
     is idempotent; rows failing the contract go to ``_quarantine``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch
-        if rules:
-            v = validate(batch, rules)
+        out, stamp = batch, {"schema_version": F.lit(schema_version), "updated_at": F.current_timestamp()}
+        if rules:  # the batch is evaluated once: its checked rows are written, then read again for the two sides
+            checked = os.path.join(path, "_checked", f"batch_id={batch_id}")
+            validate(batch, rules).write.mode("overwrite").parquet(checked)
+            v = batch.sparkSession.read.parquet(checked)
             v.filter(~F.col("is_valid")).write.mode("overwrite").parquet(
                 os.path.join(path, "_quarantine", f"batch_id={batch_id}"))
             out = v.filter("is_valid").drop("violations", "is_valid")
-        out = out.withColumns({"schema_version": F.lit(schema_version), "updated_at": F.current_timestamp()})
-        out.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        out.withColumns(stamp).write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 

@@ -43,51 +43,53 @@ TRAILING_OUT = ("window_start timestamp, window_end timestamp, count long, mean
 
 def trailing_window_stateful(events: DataFrame, keys: Sequence[str], key_types: Sequence[str], ts: str,
                              value: str, window_us: int, watermark: str, min_count: int = 2) -> DataFrame:
-    """Per-event trailing window with keyed state (``applyInPandasWithState``).
-
-    State per key holds the events of the last ``window_us`` microseconds
-    (bounded by the window, never the whole history).  For every distinct
-    new event time t of the key, count / mean / sd_pop over the events in
-    [t - window, t] are emitted when count >= ``min_count``; peers at the same
-    instant form one emission, as in the batch operator.  Events later than
-    the watermark are dropped by Spark before reaching the function.
+    """Per-event trailing window with keyed state (``applyInPandasWithState``, update mode).
+
+    For every distinct event time t of a key, count / mean / sd_pop over the
+    events in [t - window, t] are emitted when count >= ``min_count``; peers at
+    the same instant form one emission, as in the batch operator.  An accepted
+    late event emits its own time and emits again every later time whose window
+    holds it, so the latest emission per (key, window_end) equals the batch
+    result (``sinks.latest_per_key``).  State reaches back to the watermark less
+    one window, as far as an accepted event can look back.  Events later than the
+    watermark are dropped by Spark before reaching the function.
     """
     out_schema = ", ".join([f"{k} {t}" for k, t in zip(keys, key_types)] + [TRAILING_OUT])
     state_schema = "ts array<long>, v array<double>"
-    key_names = list(keys)
+    columns = [*keys, "window_start", "window_end", "count", "mean", "sd_pop"]
 
     def step(key, pdfs, state):
-        if state.hasTimedOut:  # the watermark passed the key's horizon: drop its state
+        if state.hasTimedOut:  # no accepted event can reach back to this key's events any more
             state.remove()
             return
-        old_t, old_v = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        new = pd.concat(list(pdfs), ignore_index=True)
-        t_new = new["_t"].to_numpy(dtype=np.int64)
-        v_new = new[value].to_numpy(dtype=np.float64)
-        t_all = np.concatenate([np.asarray(old_t, dtype=np.int64), t_new])
-        v_all = np.concatenate([np.asarray(old_v, dtype=np.float64), v_new])
-        order = np.argsort(t_all, kind="stable")
-        t_all, v_all = t_all[order], v_all[order]
+        old_t, old_v = state.get if state.exists else ([], [])
+        times, values = [np.asarray(old_t, dtype=np.int64)], [np.asarray(old_v, dtype=np.float64)]
+        for pdf in pdfs:
+            times.append(pdf["_t"].to_numpy(dtype=np.int64))
+            values.append(pdf[value].to_numpy(dtype=np.float64))
+        new = np.unique(np.concatenate(times[1:]))
+        t, v = np.concatenate(times), np.concatenate(values)
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        at = np.unique(t)
+        # times at or after a new event, within one window of the last new event before them
+        last_new = np.searchsorted(new, at, side="right") - 1
+        at = at[(last_new >= 0) & (at - new[np.maximum(last_new, 0)] <= window_us)]
         rows = []
-        for t in np.unique(t_new):
-            lo = np.searchsorted(t_all, t - window_us, side="left")
-            hi = np.searchsorted(t_all, t, side="right")
-            vals = v_all[lo:hi]
-            vals = vals[~np.isnan(vals)]
-            if len(vals) >= min_count:
-                rows.append((*key, pd.Timestamp(int(t_all[lo]), unit="us"), pd.Timestamp(int(t), unit="us"),
-                             len(vals), float(vals.mean()), float(vals.std(ddof=0))))
-        horizon = t_all.max() - window_us if len(t_all) else 0
-        keep = t_all >= horizon
-        state.update((t_all[keep].tolist(), v_all[keep].tolist()))
-        # no event at or after the watermark can reach back past max_t + window
-        state.setTimeoutTimestamp(int(t_all.max() // 1000) + window_us // 1000 + 1)
-        cols = key_names + ["window_start", "window_end", "count", "mean", "sd_pop"]
-        yield pd.DataFrame(rows, columns=cols)
+        for end, lo, hi in zip(at, np.searchsorted(t, at - window_us), np.searchsorted(t, at, side="right")):
+            seen = v[lo:hi][~np.isnan(v[lo:hi])]
+            if len(seen) >= min_count:
+                rows.append((*key, pd.Timestamp(int(t[lo]), unit="us"), pd.Timestamp(int(end), unit="us"), len(seen),
+                             float(seen.mean()), float(seen.std())))
+        mark = state.getCurrentWatermarkMs()
+        keep = t >= mark * 1000 - window_us
+        state.update((t[keep].tolist(), v[keep].tolist()))
+        state.setTimeoutTimestamp(max(int(t.max()) // 1000 + window_us // 1000, mark) + 1)
+        yield pd.DataFrame(rows, columns=columns)
 
     prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
     return prepared.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        step, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 RING_OUT = "ts timestamp, n_samples long, gait_cadence double, tremor_index double, bradykinesia_score double"
@@ -98,31 +100,36 @@ def ring_buffer_features(events: DataFrame, keys: Sequence[str], key_types: Sequ
                          watermark: str = "1 hour") -> DataFrame:
     """Per-key ring buffer of the last ``capacity`` samples (keyed state,
     ``applyInPandasWithState``); every new sample, once at least
-    ``min_samples`` are buffered, emits the features of the buffer.  State is
+    ``min_samples`` are buffered, emits the features of the buffer (computed for
+    blocks of samples together, over sliding windows of one array).  State is
     bounded by ``capacity``; it is dropped when the key's event time falls
     behind the watermark."""
-    from clinlake.operators.signal import buffer_features
+    from clinlake.operators.signal import window_features
     out_schema = ", ".join([f"{k} {t}" for k, t in zip(keys, key_types)] + [RING_OUT])
-    key_names = list(keys)
+    columns = [*keys, "ts", "n_samples", "gait_cadence", "tremor_index", "bradykinesia_score"]
 
     def step(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        buf = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t"], kind="stable")
-        rows = []
-        for t, v in zip(new["_t"].to_numpy(dtype=np.int64), new[value].to_numpy(dtype=np.float64)):
-            buf.append(float(v))
-            if len(buf) > capacity:
-                del buf[: len(buf) - capacity]
-            if len(buf) >= min_samples:
-                cad, trem, brady = buffer_features(np.asarray(buf), fs)
-                rows.append((*key, pd.Timestamp(int(t), unit="us"), len(buf), cad, trem, brady))
-        state.update((buf,))
-        state.setTimeoutTimestamp(int(new["_t"].max() // 1000) + 3_600_000)
-        yield pd.DataFrame(rows, columns=key_names + ["ts", "n_samples", "gait_cadence", "tremor_index",
-                                                      "bradykinesia_score"])
+        held = np.asarray(state.get[0] if state.exists else [], dtype=np.float64)
+        latest = 0
+        for pdf in pdfs:  # one Arrow batch at a time
+            pdf = pdf.sort_values("_t", kind="stable")
+            t = pdf["_t"].to_numpy(dtype=np.int64)
+            latest = max(latest, int(t.max()))
+            x = np.concatenate([held, pdf[value].to_numpy(dtype=np.float64)])
+            size = np.minimum(np.arange(len(held) + 1, len(x) + 1), capacity)  # samples in the buffer after each event
+            ends = np.arange(len(held) + 1, len(x) + 1)
+            for n in np.unique(size[size >= min_samples]):  # every window length at once; one length once full
+                full = np.lib.stride_tricks.sliding_window_view(x, n)
+                for part in np.array_split(np.flatnonzero(size == n), -(-(size == n).sum() // 64)):
+                    got = window_features(full[ends[part] - n], fs)
+                    yield pd.DataFrame([(*key, pd.Timestamp(int(t[i]), unit="us"), int(n), *g)
+                                        for i, g in zip(part, got)], columns=columns)
+            held = x[-capacity:]
+        state.update((held.tolist(),))
+        state.setTimeoutTimestamp(max(latest // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
 
     prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
     return prepared.groupBy(*keys).applyInPandasWithState(

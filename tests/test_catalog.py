@@ -11,8 +11,6 @@ from tests.conftest import SMOKE
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-# the iterative / streaming ones are covered by test_fixtures and tools/oracle_check.py at sf0.01
-SKIP = {"pagerank_20", "ann_ivf_topk", "stream_daily_summary", "stream_trailing_window", "stream_dedupe"}
 
 
 def _norm(v):
@@ -36,7 +34,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(se.oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(se.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = se.queries()[name](spark, SMOKE)
     srecs = [tuple(r) for r in df.collect()]

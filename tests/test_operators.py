@@ -216,7 +216,7 @@ def test_imaging_qc_deid_volume(spark):
 
 
 def test_ring_buffer_stream_features(spark):
-    from clinlake.operators.signal import buffer_features
+    from clinlake.operators.signal import window_features
     from clinlake.streaming import sinks, windows
     rng = np.random.default_rng(11)
     n, cap, minimum = 300, 200, 128
@@ -231,7 +231,7 @@ def test_ring_buffer_stream_features(spark):
     sinks.run_available_now(feats, path)
     got = sinks.read_sink(spark, path).orderBy("ts").toPandas()
     assert len(got) == n - minimum + 1
-    last = buffer_features(vals[-cap:])
+    last = window_features(vals[None, -cap:])[0]
     assert got["n_samples"].iloc[-1] == cap
     assert np.allclose(got[["gait_cadence", "tremor_index", "bradykinesia_score"]].iloc[-1].to_numpy(), last)
 

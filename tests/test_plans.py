@@ -55,3 +55,40 @@ def test_top_k_per_group_two_phase(spark):
     top = top_k_per_group(df, ["k"], [F.col("v").desc(), F.col("t")], 5, salt_of=F.xxhash64("t"), salts=8).toPandas()
     exp = pdf.sort_values(["k", "v", "t"], ascending=[True, False, True]).groupby("k").head(5)
     assert sorted(zip(top["k"], top["t"])) == sorted(zip(exp["k"], exp["t"]))
+
+
+def test_null_and_nan_keys_under_any_buckets_and_partitions(spark, monkeypatch):
+    """Order keys with nulls and NaN: Spark's order, whatever the bucket size and partitioning."""
+    import random
+
+    import clinlake.plans.prefix as prefix
+    from clinlake.operators import evaluate
+    rnd = random.Random(4)
+    rows = [(i, i % 2 if rnd.random() < 0.8 else 1 - i % 2,
+             None if i % 9 == 0 else float("nan") if i % 31 == 0 else round(rnd.random() + (i % 2) * 0.2, 2))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, y int, p double")
+    results = []
+    for per_bucket in (4_000_000, 20):
+        monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", per_bucket)
+        for parts in (1, 3, 16):
+            d = df.repartition(parts)
+            index = {r["id"]: r["at"] for r in prefix.row_index(d, [], ["p", "id"], "at").collect()}
+            single = prefix.row_index(d.groupBy("p").count(), [], ["p"], "at").collect()
+            auc = evaluate.roc_auc(d, [], "y", "p").first()
+            best = evaluate.youden(d, [], "y", "p").first()
+            sets = [tuple(r) for r in evaluate.conformal_lac(d, d, "y", "p", [0.1, 0.2]).orderBy("alpha").collect()]
+            results.append((index, sorted((str(r["p"]), r["at"]) for r in single), tuple(auc), tuple(best), sets))
+    assert all(r == results[0] for r in results)
+    assert [i for i, _ in sorted(results[0][0].items(), key=lambda x: x[1])][:45] == [i for i in range(400) if i % 9 == 0]
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from clinlake.functions.exprs import hash_normal, hash_uniform
+    df = spark.range(20_000).select("id", hash_uniform(3, F.col("id")).alias("u"), hash_normal(3, F.col("id")).alias("z"))
+    a, b = (sorted(map(tuple, df.repartition(n).collect())) for n in (1, 7))
+    assert a == b
+    s = df.agg(F.avg("u"), F.stddev("u"), F.avg("z"), F.stddev("z")).first()
+    assert abs(s[0] - 0.5) < 0.01 and abs(s[1] - 12 ** -0.5) < 0.01 and abs(s[2]) < 0.03 and abs(s[3] - 1) < 0.03
