@@ -133,9 +133,8 @@ def trajectory(p0: Column, rate: Column) -> Column:
     One rule for all regimes: the start moves towards its regime's level by the
     share that the regime's growth curve has covered at that month."""
     start = clip(p0, 0.01, 0.99)
-    regime = when_chain([(start > bound, i) for i, (bound, _, _) in enumerate(TRAJECTORY_REGIMES[:-1])],
-                        len(TRAJECTORY_REGIMES) - 1)
-    pick = lambda values: F.get(F.array(*values), regime)
+    bounds = [bound for bound, _, _ in TRAJECTORY_REGIMES[:-1]]
+    pick = lambda values: when_chain([(start > bound, x) for bound, x in zip(bounds, values)], values[-1])
     level = pick([F.lit(x) for _, x, _ in TRAJECTORY_REGIMES])
     band = pick([F.lit(x) for _, _, x in TRAJECTORY_REGIMES])
 
