@@ -138,18 +138,18 @@ def trajectory(p0: Column, rate: Column) -> Column:
     level = pick([F.lit(x) for _, x, _ in TRAJECTORY_REGIMES])
     band = pick([F.lit(x) for _, _, x in TRAJECTORY_REGIMES])
 
-    def covered(month: float) -> Column:
+    def covered(month: Column) -> Column:
         half_years, share = month / TRAJECTORY_MONTHS[0], month / TRAJECTORY_MONTHS[-1]
         return pick([
-            F.lit(1.0) - F.exp((rate + 1.0) * (-SATURATION_SPEED * half_years)),
-            F.lit(1.0) / (F.exp((rate + LOGISTIC_BASE) * (LOGISTIC_SPEED * (LOGISTIC_SHIFT - half_years))) + 1.0),
-            (rate * POWER_GAIN + POWER_BASE) * share ** POWER])
-
-    def point(month: float) -> Column:
-        risk = clip(start + (level - start) * covered(month), 0.01, 0.98)
-        return F.struct(F.lit(month).alias("month"), risk.alias("risk"), clip(risk - band, 0.0, 1.0).alias("lower"),
-                        clip(risk + band, 0.0, 1.0).alias("upper"))
-    return F.array(*[point(m) for m in TRAJECTORY_MONTHS])
+            F.lit(1.0) - F.exp((rate + 1.0) * half_years * -SATURATION_SPEED),
+            F.lit(1.0) / (F.exp((rate + LOGISTIC_BASE) * (F.lit(LOGISTIC_SHIFT) - half_years) * LOGISTIC_SPEED) + 1.0),
+            (rate * POWER_GAIN + POWER_BASE) * F.pow(share, F.lit(POWER))])
+
+    at = F.transform(F.array(*[F.lit(m) for m in TRAJECTORY_MONTHS]), lambda m: F.struct(
+        m.alias("month"), clip(start + (level - start) * covered(m), 0.01, 0.98).alias("risk")))
+    return F.transform(at, lambda x: F.struct(
+        x["month"].alias("month"), x["risk"].alias("risk"), clip(x["risk"] - band, 0.0, 1.0).alias("lower"),
+        clip(x["risk"] + band, 0.0, 1.0).alias("upper")))
 
 
 def impairment_rate(mmse: Column, functional: Column, adl: Column) -> Column:
