@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(clinlake)
 #: The separators of a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
 #: Rows of one numbering bucket (see ``hash_index``).
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -70,7 +70,7 @@ def hash_index(df: DataFrame, groups: Sequence[str], order: Sequence[str], out:
     offsets = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inner = Window.partitionBy(*keys).orderBy("_h", *order)
+    inner = Window.partitionBy(*keys).orderBy(unit(F.col("_h")), "_h", *order)
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     cond = on[0]
     for c in on[1:]:

@@ -1,30 +1,39 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
 Two documents link when the Jaccard similarity of their shingle sets is at
-least ``num / den``.  The symmetric difference |x ^ y| is a metric on sets, and
-a link with the smaller set of size a needs |x ^ y| <= a * (den - num) / num.
+least ``num / den``.  The size of the symmetric difference, |x ^ y|, is a metric
+on sets, and a link whose smaller set has a members needs
+|x ^ y| <= a * (den - num) / num.
 
-Pivots and regions.  Whole documents make poor pivots: unrelated shingle sets
-are all at distance 1 from each other, no window around a cell excludes
-anything.  So the pivots are taken where distances do separate:
+Pivots and regions.  Unrelated shingle sets are all equally far apart, so cells
+around whole documents alone would hold everything.  The space is divided twice
+by pivots at which distances do separate:
 
-* the empty set.  Its distance to x is |x|, its cells are size rings, and by the
+* The empty set.  Its distance to x is |x|, its cells are size rings, and by the
   triangle inequality a document near the border of a ring is copied into the
-  ring below (``rings``);
-* in each ring the shingle universe is split by a hash into more parts than a
+  ring below (``rings``).
+* In each ring the shingle universe is split by a hash into more parts than a
   linked pair can have differences, so two linked documents have the same
-  projection on some part.  Every projection is a pivot, its region holds the
-  documents at distance 0 from it there.
-
-Regions join recursively and exactly.  Equal sets are one member.  First each
-region is joined around its own pivot document (a star: linear in its members);
-the links contract members to classes.  A region whose members are all in one
-class is done.  Where few classes are left, all pairs of classes are joined
-member by member; where many are left, the members go to the next level, which
-splits the universe anew with an independent hash, until the last level joins
-whatever is left.  Candidate pairs are cut down by a lower bound of the distance
-(the L1 distance of 64-bin histograms) and then decided on the full sets, so no
-link is lost or invented; only hash collisions of 64 bits are neglected.
+  projection on some part.  Every projection is a pivot; its region holds the
+  documents at distance 0 from it there (``region_keys``).
+
+Inside a region the pivot is a document p, the member that meets most others
+(regions of one family agree on it, and are joined together).  Every member x is
+described by its difference D(x) = x ^ p, for which |D(x) ^ D(y)| = |x ^ y|:
+
+* a member within the limit of p links with p;
+* if |D(x)| + |D(y)| is within the limit, the triangle inequality puts both
+  within the limit of p, so p connects them;
+* otherwise x and y share part of their differences, and the join goes down one
+  level, to regions around single elements: ordered by rarity, the first shared
+  element lies among the first K/2 + 1 of the smaller difference and the first
+  K + 1 of the larger (K: the limit), and windows of the triangle inequality,
+  ||D(x)| - |D(y)|| <= K, cut down what meets there.
+
+Members of one class need not meet again.  Candidates that remain are cut down
+by a lower bound of the distance (64-bin histograms) and decided on the full
+sets, so no link is lost or invented; only collisions of 64-bit hashes are
+neglected.
 """
 
 from __future__ import annotations
@@ -34,18 +43,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.llm.common import read, staged
 from clinlake.plans.broadcast import sized_broadcast
 
 BINS = 64
-LEVELS = 3
-#: A region with more classes than this is split anew instead of being paired.
-CLASSES = 24
 RING = 1.4
 MAX_WORDS = 300_000
+NO_KEYS = np.empty(0, np.int64)
+#: So many keys of regions with several members are sent to all executors (8 bytes
+#: each); more are joined by a shuffle.
+LIVE_KEYS = 3_000_000
 
 
 class WordHash(dict):
@@ -100,14 +110,14 @@ def rings(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def region_keys(s: np.ndarray, num: int, den: int, level: int) -> np.ndarray:
+def region_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the regions that a set lies in: one for each part of each ring.
 
     With p parts and at most d differences, p - d parts agree.  Parts with few
     members are weak pivots; they are left out when fewer than p - d of them
     exist, for then an agreeing part is still among the others."""
     keys = []
-    base = mix(s ^ np.uint64((0x51ED270B * (2 * level + 1)) & (2 ** 64 - 1)))
+    base = mix(s ^ np.uint64(0x51ED270B))
     value = mix(base + np.uint64(0x632BE59BD9B4E019))
     for ring, parts, differ in rings(len(s), num, den):
         part = (base >> np.uint64(32)) % np.uint64(parts)
@@ -120,15 +130,25 @@ def region_keys(s: np.ndarray, num: int, den: int, level: int) -> np.ndarray:
             if least == 0 or (size < least).sum() < parts - differ:
                 break
         used = np.flatnonzero(size >= least)
-        tag = np.uint64(((level * 4096 + ring) << 32) & (2 ** 64 - 1))
+        tag = np.uint64((ring + 1) << 32)
         keys.append(mix(total[used] ^ mix(tag + used.astype(np.uint64)) ^ (size[used].astype(np.uint64) << np.uint64(20))))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def _signed(docs: DataFrame, k: int, num: int, den: int, level: int) -> DataFrame:
-    """(id, sid, n, hist, keys) of each document; an empty set has a null sid."""
+def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, sid, n, hist, keys) of each document; an empty set has a null sid.
+    A set met before in the same task has no keys again, so a group of copies
+    weighs as much as the tasks that hold it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
+        known, seen = WordHash(), set()
+
+        def keys(s):
+            if (sid := set_id(s)) in seen:
+                return NO_KEYS
+            if len(seen) > MAX_WORDS:
+                seen.clear()
+            seen.add(sid)
+            return region_keys(s, num, den).view(np.int64)
         for pdf in batches:
             for lo in range(0, len(pdf), 1_000):
                 part = pdf.iloc[lo:lo + 1_000]
@@ -139,7 +159,7 @@ def _signed(docs: DataFrame, k: int, num: int, den: int, level: int) -> DataFram
                     "n": [len(s) for s in sets],
                     "hist": [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535)
                              .astype("<u2").tobytes() for s in sets],
-                    "keys": [region_keys(s, num, den, level).view(np.int64) for s in sets]})
+                    "keys": [keys(s) for s in sets]})
     return docs.mapInPandas(run, "id long, sid long, n long, hist binary, keys array<long>")
 
 
@@ -159,7 +179,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sizes and histograms allow a link."""
     side = lambda c: sets.select(F.col("sid").alias(f"s{c}"), F.col("n").alias(f"n{c}"),
-                                 F.col("hist").alias(f"h{c}"), F.col("rep").alias(f"rep{c}"))
+                                 F.col("hist").alias(f"h{c}"))
     both = (pairs.join(side("a"), F.col("a") == F.col("sa")).join(side("b"), F.col("b") == F.col("sb"))
             .filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
 
@@ -169,16 +189,17 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(pdf[c]), dtype="<u2").reshape(len(pdf), BINS).astype(np.int32)
                         for c in ("ha", "hb"))
                 ok = np.abs(x - y).sum(1) <= np.minimum(pdf["na"], pdf["nb"]).to_numpy() * (den - num) // num
-                yield pdf.loc[ok, ["a", "b", "repa", "repb"]].astype({"repa": "Int64", "repb": "Int64"})
-    return both.select("a", "b", "na", "nb", "ha", "hb", "repa", "repb").mapInPandas(
-        run, "a long, b long, repa long, repb long")
+                yield pdf.loc[ok, ["a", "b"]]
+    return both.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(run, "a long, b long")
+
+
+def _members_of(docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame:
+    return staged(_full_sets(docs, ids, k).dropDuplicates(["sid"]), f"sets-{name}")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that are links, decided on the full sets."""
-    near = staged(_near(pairs.select("a", "b").distinct(), sets, num, den), f"near-{name}")
-    wanted = near.select(F.col("repa").alias("rep")).union(near.select(F.col("repb").alias("rep")))
-    members = staged(_full_sets(docs, wanted, k).dropDuplicates(["sid"]), f"sets-{name}")
+    near = _near(pairs.select("a", "b").distinct(), sets, num, den)
     side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
     both = near.join(side("a"), F.col("a") == F.col("sa")).join(side("b"), F.col("b") == F.col("sb"))
 
@@ -190,7 +211,55 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * inter >= num * (len(x) + len(y) - inter))
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
-    return staged(both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long"), f"links-{name}")
+    return staged(both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long"), "links")
+
+
+def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, x, k, d, linked, diff) of each member x of a pivot p: its limit k, the
+    size of its difference, whether it links with p, and (where p has further
+    members) the difference itself."""
+    many = pairs.groupBy("p").agg((F.count(F.lit(1)) > 1).alias("many")).withColumnRenamed("p", "gp")
+    side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
+    both = (pairs.join(many, F.col("p") == F.col("gp")).join(side("x"), F.col("x") == F.col("sx"))
+            .join(side("p"), F.col("p") == F.col("sp")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, x, more, mx, mp in zip(pdf["p"], pdf["x"], pdf["many"], pdf["mx"], pdf["mp"]):
+                a, b = np.frombuffer(mx, np.uint64), np.frombuffer(mp, np.uint64)
+                diff = np.setxor1d(a, b, assume_unique=True)
+                inter = (len(a) + len(b) - len(diff)) // 2
+                out.append((p, x, most_differences(len(a), num, den), len(diff),
+                            den * inter >= num * (inter + len(diff)), diff.view(np.int64) if more else None))
+            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "diff"])
+    return both.select("p", "x", "many", "mx", "mp").mapInPandas(
+        run, "p long, x long, k long, d long, linked boolean, diff array<long>")
+
+
+def _shared_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): members of one pivot, of different classes, whose
+    differences share an element early enough in the order of rarity."""
+    rows = around.filter("diff is not null").join(labels, F.col("x") == F.col("v"), "left").select(
+        "p", "x", "k", "d", "diff", F.coalesce("c", "x").alias("c"))
+    each = rows.select("p", "x", F.explode("diff").alias("e"))
+    # an element of one member alone takes a place in its order, but meets nobody
+    held = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = each.join(held.select(F.col("p").alias("hp"), F.col("e").alias("he"), "df"),
+                       (F.col("p") == F.col("hp")) & (F.col("e") == F.col("he"))).select("p", "x", "e", "df")
+    own = Window.partitionBy("p", "x")  # one document's difference to one pivot
+    placed = shared.select("p", "x", "e", F.row_number().over(own.orderBy("df", "e")).alias("r"),
+                           F.count(F.lit(1)).over(own).alias("n"))
+    placed = placed.join(rows.select(F.col("p").alias("rp"), F.col("x").alias("rx"), "k", "d", "c"),
+                         (F.col("p") == F.col("rp")) & (F.col("x") == F.col("rx")))
+    placed = staged(placed.withColumn("at", F.col("d") - F.col("n") + F.col("r")).filter("at <= k + 1")
+                    .select("p", "e", "x", "k", "d", "c", "at"), "elements")
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}{s}") for c in ("p", "e", "x", "k", "d", "c")])
+    small, large = side(placed.filter("at <= floor(k / 2) + 1"), 1), side(placed, 2)
+    meet = small.join(large, (F.col("p1") == F.col("p2")) & (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2"))
+                      & ((F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("x1") < F.col("x2"))))
+                      & (F.col("d2") - F.col("d1") <= F.least("k1", "k2")))
+    return meet.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,8 +288,8 @@ def _classes(members: DataFrame, labels: DataFrame) -> DataFrame:
         "c", F.coalesce("c", "sid")).drop("v")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-         classes: int = CLASSES, levels: int = LEVELS) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable
     by links, its own included).
 
@@ -229,45 +298,30 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     null.  Repeated rows are equal sets.  An empty table gives an empty table;
     other columns are ignored."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    signed = staged(_signed(docs, k, num, den, 0), "signed")
+    signed = staged(_signed(docs, k, num, den), "signed")
     sets = staged(signed.filter("sid is not null").groupBy("sid").agg(
         F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("id").alias("rep")), "sets")
-    keyed = signed.select("sid", "keys")
-    found, labels = None, None
-    for level in range(levels):
-        in_regions = keyed.select("sid", F.explode("keys").alias("key"))
-        live = in_regions.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).filter("p <> q")
-        members = staged(in_regions.join(live.select(F.col("key").alias("lk"), "p"), F.col("key") == F.col("lk"))
-                         .select("key", "sid", "p").distinct(), "members")
-        star = members.filter("sid <> p").select(F.col("p").alias("a"), F.col("sid").alias("b"))
-        new = _links(star, docs, sets, k, num, den, f"star{level}")
-        found = new if found is None else found.union(new)
-        labels = components(found)
-        placed = staged(_classes(members.select("key", "sid"), labels).select("key", "sid", "c"), "placed")
-        open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        parts = placed.join(open_.select(F.col("key").alias("ok")), F.col("key") == F.col("ok")).select("key", "c").distinct()
-        many = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "mk")
-        parts = staged(parts.join(many, F.col("key") == F.col("mk")).select("key", "c", "n"), "parts")
-        last = level == levels - 1
-        few = parts if last else parts.filter(F.col("n") <= classes)
-        x, y = (few.select(F.col("key").alias(f"k{c}"), F.col("c").alias(c)) for c in "xy")
-        meet = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y"))).select("x", "y").distinct()
-        of = staged(placed.select("sid", "c").distinct(), "of")
-        pairs = (meet.join(of.select(F.col("sid").alias("a"), F.col("c").alias("ca")), F.col("x") == F.col("ca"))
-                 .join(of.select(F.col("sid").alias("b"), F.col("c").alias("cb")), F.col("y") == F.col("cb")))
-        found = found.union(_links(pairs, docs, sets, k, num, den, f"pairs{level}"))
-        labels = components(found)
-        again = placed.join(parts.filter(F.col("n") > classes).select(F.col("key").alias("gk")).distinct(),
-                            F.col("key") == F.col("gk"), "left_semi").select("sid").distinct()
-        again = staged(again, "again")
-        if last or again.isEmpty():
-            break
-        reps = sets.join(again.withColumnRenamed("sid", "g"), F.col("sid") == F.col("g"), "left_semi").select("rep")
-        hit = docs.join(sized_broadcast(staged(reps.distinct(), "reps").withColumnRenamed("rep", "wid")),
-                        F.col("id").eqNullSafe(F.col("wid")), "left_semi")
-        keyed = staged(_signed(hit, k, num, den, level + 1).select("sid", "keys").dropDuplicates(["sid"]), "signed")
-        keyed = keyed.join(again.withColumnRenamed("sid", "g"), F.col("sid") == F.col("g"), "left_semi")
-    named = _classes(sets.select("sid", "rep"), labels)
+    in_regions = signed.select("sid", F.explode("keys").alias("key"))
+    live = staged(in_regions.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+                  .filter("lo <> hi").select(F.col("key").alias("lk")), "live")
+    placed = staged(in_regions.join(sized_broadcast(live, LIVE_KEYS), F.col("key") == F.col("lk"), "left_semi")
+                    .distinct().select("key", "sid"), "members")
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "nk")
+    met = placed.join(sizes, F.col("key") == F.col("nk")).groupBy("sid").agg(F.sum("n").alias("met"))
+    ranked = placed.join(met.withColumnRenamed("sid", "ms"), F.col("sid") == F.col("ms"))
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "sid")).alias("top")).select(
+        F.col("key").alias("pk"), F.col("top.sid").alias("p"))
+    pairs = staged(placed.join(pivots, F.col("key") == F.col("pk")).filter("sid <> p")
+                   .select("p", F.col("sid").alias("x")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("p", "x")).alias("w")).distinct()
+    reps = staged(sets.join(wanted, F.col("sid") == F.col("w"), "left_semi").select("rep"), "wanted")
+    members = _members_of(docs, reps, k, "pivots")
+    around = staged(_around_pivots(pairs, members, num, den), "around")
+    direct = around.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    further = _links(_shared_differences(around, components(direct)), members, sets, num, den)
+    labels = components(direct.union(further))
+    named = sets.select("sid", "rep").join(labels, F.col("sid") == F.col("v"), "left").select(
+        "sid", "rep", F.coalesce("c", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least")).withColumnRenamed("c", "lc")
     to = named.join(least, F.col("c") == F.col("lc")).select(F.col("sid").alias("ts"), "least")
     return signed.join(to, F.col("sid") == F.col("ts"), "left").select(
