@@ -210,7 +210,8 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: st
     buckets = max(1, min(20_000, -(-docs.count() // (bucket_docs or BUCKET_DOCS))))
     t = tokenised(docs, id_col, text_col, source_col, path)
     t = t.withColumn("b", F.floor(unit(F.col("h")) * F.lit(buckets) / F.lit(2 ** 31)).cast("int"))
-    earlier = Window.partitionBy("queue", "b").orderBy("h", "id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (Window.partitionBy("queue", "b").orderBy(unit(F.col("h")), "h", "id", "ids")
+               .rowsBetween(Window.unboundedPreceding, -1))
     t = staged(t.withColumn("x", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "tokens", "zstd")
     totals = t.groupBy("queue", "b").agg(F.sum("n").alias("n"))
     lengths = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # <= MAX_QUEUES
