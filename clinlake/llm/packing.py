@@ -25,6 +25,8 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,9 @@ WINDOW_TOKENS = 16 * SEQ_LEN
 #: More sources than this share queues (by a hash of their name).
 MAX_QUEUES = 256
 BUCKET_DOCS = 4_000
-#: Texts of these characters alone are cut into pieces here: none has a case or
-#: normal form that depends on its neighbours, and all white space is plain.
-PLAIN = re.compile("[ \n!-~¡-įı-ɏ‐-‧‰-⁞€]*")
+#: A text without any of these is cut into pieces here: no other character has a
+#: case or normal form that depends on its neighbours, all other white space is plain.
+ODD = "[^ \\n!-~¡-įı-ɏ‐-‧‰-⁞€]|<\\|"
 #: The tokenizer's own pieces of such a text: runs of letters, single digits,
 #: English endings, runs of anything else (fixed by the vocabulary file).
 LETTERS, DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
@@ -59,9 +61,14 @@ class Numbered(dict):
 def spans(stop: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the values of ``items`` laid end to end, where item n's values
     lie between stop[n] and stop[n + 1]; and where each item ends."""
-    size = stop[items + 1] - stop[items]
-    upto = np.concatenate([[0], np.cumsum(size)])
-    return np.repeat(stop[items] - upto[:-1], size) + np.arange(upto[-1]), upto
+    first = stop[items]
+    size = stop[items + 1] - first
+    upto = np.zeros(len(items) + 1, dtype=np.int32)  # a batch holds far fewer than 2^31 ids
+    np.cumsum(size, out=upto[1:])
+    first -= upto[:-1]
+    places = np.repeat(first, size)
+    places += np.arange(upto[-1], dtype=np.int32)
+    return places, upto
 
 
 class TextIds:
@@ -89,41 +96,47 @@ class TextIds:
 
     def forget(self) -> None:
         self.words, self.pieces = Numbered(), Numbered({" ": 0})  # a space is a piece without ids
-        self.piece_stop, self.piece_ids = np.zeros(2, dtype=np.int64), np.empty(0, self.dtype)
-        self.word_stop, self.word_ids = np.zeros(1, dtype=np.int64), np.empty(0, self.dtype)
+        self.piece_stop, self.piece_ids = np.zeros(2, dtype=np.int32), np.empty(0, self.dtype)
+        self.word_stop, self.word_ids = np.zeros(1, dtype=np.int32), np.empty(0, self.dtype)
 
     def learn(self) -> None:
         new = list(self.words)[len(self.word_stop) - 1:]
         if not new:
             return
         found = PIECES.findall(" ".join(new).lower())
-        items = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        items = np.fromiter(map(self.pieces.__getitem__, found), np.int32, len(found))
         fresh = list(self.pieces)[len(self.piece_stop) - 1:]
-        for lo in range(0, len(fresh), 5_000):
-            part = fresh[lo:lo + 5_000]
+        stops, known = [self.piece_stop], [self.piece_ids]
+        for lo in range(0, len(fresh), 1_000):
+            part = fresh[lo:lo + 1_000]
             ids = np.array(self.piecewise.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = np.flatnonzero(self.ends[ids]).astype(np.int32) + 1
             if len(cuts) != len(part):
                 raise ValueError("pieces and end-of-word tokens do not pair up")
-            self.piece_stop = np.concatenate([self.piece_stop, cuts + self.piece_stop[-1]])
-            self.piece_ids = np.concatenate([self.piece_ids, ids])
+            stops.append(cuts + stops[-1][-1])
+            known.append(ids)
+        self.piece_stop, self.piece_ids = np.concatenate(stops), np.concatenate(known)
         places, upto = spans(self.piece_stop, items)
         ends = np.concatenate([upto[:-1][items == 0], upto[-1:]])  # words end at the spaces between them
         self.word_stop = np.concatenate([self.word_stop, ends + self.word_stop[-1]])
         self.word_ids = np.concatenate([self.word_ids, self.piece_ids[places]])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
         if len(self.words) > MAX_WORDS:
             self.forget()
-        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        used = [np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)) for found in (
-            t.replace("\n", " ").split(" ") if p else [] for t, p in zip(texts, plain))]
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        number = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
         self.learn()
-        places, upto = spans(self.word_stop, np.concatenate([*used, np.empty(0, np.int64)]))
-        ids, at = self.word_ids[places], upto[np.cumsum([0] + [len(u) for u in used])]
-        return [ids[at[i]:at[i + 1]].tobytes() if p else
-                np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
-                for i, p in enumerate(plain)]
+        places, upto = spans(self.word_stop, number[coded.indices.to_numpy()])
+        ids, at = self.word_ids[places], upto[split.offsets.to_numpy()]
+        out = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            whole = self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+            out[i] = np.array(whole, self.dtype).tobytes()
+        return out
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
@@ -133,18 +146,33 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
     few = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TextIds(tokenizer)
         end = np.array([END_ID], ids_of.dtype).tobytes()
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1_000):
-                part = pdf.iloc[lo:lo + 1_000]
-                ids = [x + end for x in ids_of.encode([t if isinstance(t, str) else "" for t in part["t"]])]
-                yield pd.DataFrame({"id": part["id"].astype("Int64"), "queue": part["queue"], "h": part["h"],
-                                    "n": [len(x) // ids_of.dtype.itemsize for x in ids], "ids": ids})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4_000):
+                part = batch.slice(lo, 4_000)
+                ids = [x + end for x in ids_of.encode(pa.concat_arrays([part.column("t")]).cast(pa.string()))]
+                n = pa.array([len(x) // ids_of.dtype.itemsize for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("queue"), part.column("h"), n,
+                                                  pa.array(ids, pa.binary())], ["id", "queue", "h", "n", "ids"])
     src = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"),
                       F.xxhash64(F.lit("pack"), F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, "id long, queue string, h long, n long, ids binary")
+    return src.mapInArrow(run, "id long, queue string, h long, n long, ids binary")
+
+
+class Spent:
+    """Tokens that each queue has given after k windows (the last few are remembered)."""
+
+    def __init__(self, m: list[int], windows: int):
+        self.m, self.windows, self.known = m, windows, {}
+
+    def __call__(self, k: int) -> list[int]:
+        if k not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[k] = [m * k // self.windows for m in self.m]
+        return self.known[k]
 
 
 def phases(tokens: Mapping[str, int], weights: Mapping[str, float] | None, window_tokens: int) -> list[dict]:
@@ -160,7 +188,7 @@ def phases(tokens: Mapping[str, int], weights: Mapping[str, float] | None, windo
         m = [upto[s] - spent[s] for s in names]
         if total := sum(m):
             out.append({"m": m, "base": [spent[s] for s in names], "windows": -(-total // window_tokens),
-                        "start": start})
+                        "start": start, "spent": Spent(m, -(-total // window_tokens))})
             start += total
         spent = upto
     return out
@@ -175,16 +203,13 @@ def place(queue: int, x: int, n: int, plan: list[dict], seq_len: int) -> list[tu
         lo, hi = max(x + done, base), min(x + n, base + m)
         if lo >= hi or lo != x + done:
             continue
-        ms = np.array(ph["m"], dtype=np.int64)
-
-        def spent(k):  # tokens that each queue has given after k windows
-            return ms // k_all * k + ms % k_all * k // k_all
+        spent = ph["spent"]
         first, last = ((lo - base + 1) * k_all - 1) // m, ((hi - base) * k_all - 1) // m
         before = spent(first)
         for k in range(first, last + 1):
             after = spent(k + 1)
-            a, b = max(lo, base + int(before[queue])), min(hi, base + int(after[queue]))
-            g = (ph["start"] + int(before.sum()) + int((after - before)[:queue].sum()) + a - base - int(before[queue]))
+            a, b = max(lo, base + before[queue]), min(hi, base + after[queue])
+            g = ph["start"] + sum(before) + sum(after[:queue]) - sum(before[:queue]) + a - base - before[queue]
             while a < b:
                 take = min(b - a, seq_len - g % seq_len)
                 out.append((a - x, take, g // seq_len, g % seq_len))
