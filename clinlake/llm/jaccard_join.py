@@ -17,7 +17,8 @@ by pivots at which distances do separate:
   projection on some part.  Every projection is a pivot; its region holds the
   documents at distance 0 from it there (``region_keys``).
 
-Inside a region the pivot is a document p, the member that meets most others
+A region of at most four members is joined pair by pair.  Inside a larger one
+the pivot is a document p, the member that meets most others
 (regions of one family agree on it, and are joined together).  Every member x is
 described by its difference D(x) = x ^ p, for which |D(x) ^ D(y)| = |x ^ y|:
 
@@ -25,10 +26,11 @@ described by its difference D(x) = x ^ p, for which |D(x) ^ D(y)| = |x ^ y|:
 * if |D(x)| + |D(y)| is within the limit, the triangle inequality puts both
   within the limit of p, so p connects them;
 * otherwise x and y share part of their differences, and the join goes down one
-  level, to regions around single elements: ordered by rarity, the first shared
-  element lies among the first K/2 + 1 of the smaller difference and the first
-  K + 1 of the larger (K: the limit), and windows of the triangle inequality,
-  ||D(x)| - |D(y)|| <= K, cut down what meets there.
+  level, to regions around single elements: in any order that both keep (here
+  the elements that p lacks come first, they are the rare ones), the first
+  shared element lies among the first K/2 + 1 of the smaller difference and the
+  first K + 1 of the larger (K: the limit), and windows of the triangle
+  inequality, ||D(x)| - |D(y)|| <= K, cut down what meets there.
 
 Members of one class need not meet again.  Candidates that remain are cut down
 by a lower bound of the distance (64-bin histograms) and decided on the full
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.llm.common import read, staged
@@ -56,6 +58,8 @@ NO_KEYS = np.empty(0, np.int64)
 #: So many keys of regions with several members are sent to all executors (8 bytes
 #: each); more are joined by a shuffle.
 LIVE_KEYS = 3_000_000
+#: Regions of so many members are joined pair by pair.
+FEW = 4
 
 
 class WordHash(dict):
@@ -105,17 +109,23 @@ def rings(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
         hi = max(lo + 1, int(lo * RING))  # sizes lo .. hi - 1
         if hi > least:
             k = most_differences(hi - 1, num, den)
-            out.append((ring, k + 1 + (k + 9) // 10, k))
+            spare = k // 4 if 6 * (den - num) > num else k // 10
+            out.append((ring, k + 2 + spare, k))
         lo, ring = hi, ring + 1
     return out
 
 
 def region_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the regions that a set lies in: one for each part of each ring.
-
-    With p parts and at most d differences, p - d parts agree.  Parts with few
-    members are weak pivots; they are left out when fewer than p - d of them
-    exist, for then an agreeing part is still among the others."""
+    """Keys of the regions that a set lies in: its projections on the parts of each ring.
+
+    With p parts and at most d differences, p - d parts agree.  Projections of
+    few members are weak pivots, many unrelated sets share them.  Where fewer
+    than p - d parts have less than three (or two) members, those are left out:
+    an agreeing part is still among the others.  Else parts of one member count
+    in twos: if no agreeing part has two members, then of the p - d at least
+    p - d - z have one (z: empty parts), so two of them lie at most
+    (p - 1) / (p - d - z - 1) parts apart; each such two make one key.  Where z
+    leaves less than two, the weak parts are keys themselves."""
     keys = []
     base = mix(s ^ np.uint64(0x51ED270B))
     value = mix(base + np.uint64(0x632BE59BD9B4E019))
@@ -125,13 +135,25 @@ def region_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         size = np.bincount(part.astype(np.int64), minlength=parts)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value[order], dtype=np.uint64)])
         ends = np.cumsum(size)
-        total = sums[ends] - sums[ends - size]
-        for least in (3, 2, 1, 0):
-            if least == 0 or (size < least).sum() < parts - differ:
-                break
-        used = np.flatnonzero(size >= least)
+        total, agree = sums[ends] - sums[ends - size], parts - differ
         tag = np.uint64((ring + 1) << 32)
-        keys.append(mix(total[used] ^ mix(tag + used.astype(np.uint64)) ^ (size[used].astype(np.uint64) << np.uint64(20))))
+        key = mix(total ^ mix(tag + np.arange(parts, dtype=np.uint64)) ^ (size.astype(np.uint64) << np.uint64(20)))
+        least = next((m for m in (3, 2) if (size < m).sum() < agree), 0)
+        keys.append(key[size >= (least or 2)])
+        if least:
+            continue
+        empty, single = int((size == 0).sum()), np.flatnonzero(size == 1)
+        sure = agree - empty >= 2
+        apart = (parts - 1) // (agree - empty - 1) if sure else parts
+        for step in range(1, len(single)):
+            near = single[step:] - single[:-step] <= apart
+            if not near.any():
+                break
+            keys.append(mix(key[single[:-step][near]] * np.uint64(0x9E3779B97F4A7C15) + key[single[step:][near]]))
+        if not sure:
+            keys.append(key[single])
+            if empty >= agree:
+                keys.append(key[size == 0])
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -197,9 +219,8 @@ def _members_of(docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame
     return staged(_full_sets(docs, ids, k).dropDuplicates(["sid"]), f"sets-{name}")
 
 
-def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that are links, decided on the full sets."""
-    near = _near(pairs.select("a", "b").distinct(), sets, num, den)
+def _links(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are links, decided on the full sets."""
     side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
     both = near.join(side("a"), F.col("a") == F.col("sa")).join(side("b"), F.col("b") == F.col("sb"))
 
@@ -215,9 +236,10 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den:
 
 
 def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(p, x, k, d, linked, diff) of each member x of a pivot p: its limit k, the
+    """(p, x, k, d, linked, first) of each member x of a pivot p: its limit k, the
     size of its difference, whether it links with p, and (where p has further
-    members) the difference itself."""
+    members) the first k + 1 elements of the difference: those of x alone in
+    the order of their hashes, then those of p alone."""
     many = pairs.groupBy("p").agg((F.count(F.lit(1)) > 1).alias("many")).withColumnRenamed("p", "gp")
     side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
     both = (pairs.join(many, F.col("p") == F.col("gp")).join(side("x"), F.col("x") == F.col("sx"))
@@ -228,37 +250,30 @@ def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) ->
             out = []
             for p, x, more, mx, mp in zip(pdf["p"], pdf["x"], pdf["many"], pdf["mx"], pdf["mp"]):
                 a, b = np.frombuffer(mx, np.uint64), np.frombuffer(mp, np.uint64)
-                diff = np.setxor1d(a, b, assume_unique=True)
-                inter = (len(a) + len(b) - len(diff)) // 2
-                out.append((p, x, most_differences(len(a), num, den), len(diff),
-                            den * inter >= num * (inter + len(diff)), diff.view(np.int64) if more else None))
-            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "diff"])
+                own, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                k, d, inter = most_differences(len(a), num, den), len(own) + len(lost), len(a) - len(own)
+                out.append((p, x, k, d, den * inter >= num * (inter + d),
+                            np.concatenate([own, lost])[:k + 1].view(np.int64) if more else None))
+            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "first"])
     return both.select("p", "x", "many", "mx", "mp").mapInPandas(
-        run, "p long, x long, k long, d long, linked boolean, diff array<long>")
+        run, "p long, x long, k int, d int, linked boolean, first array<long>")
 
 
 def _shared_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs (a, b): members of one pivot, of different classes, whose
-    differences share an element early enough in the order of rarity."""
-    rows = around.filter("diff is not null").join(labels, F.col("x") == F.col("v"), "left").select(
-        "p", "x", "k", "d", "diff", F.coalesce("c", "x").alias("c"))
-    each = rows.select("p", "x", F.explode("diff").alias("e"))
-    # an element of one member alone takes a place in its order, but meets nobody
-    held = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = each.join(held.select(F.col("p").alias("hp"), F.col("e").alias("he"), "df"),
-                       (F.col("p") == F.col("hp")) & (F.col("e") == F.col("he"))).select("p", "x", "e", "df")
-    own = Window.partitionBy("p", "x")  # one document's difference to one pivot
-    placed = shared.select("p", "x", "e", F.row_number().over(own.orderBy("df", "e")).alias("r"),
-                           F.count(F.lit(1)).over(own).alias("n"))
-    placed = placed.join(rows.select(F.col("p").alias("rp"), F.col("x").alias("rx"), "k", "d", "c"),
-                         (F.col("p") == F.col("rp")) & (F.col("x") == F.col("rx")))
-    placed = staged(placed.withColumn("at", F.col("d") - F.col("n") + F.col("r")).filter("at <= k + 1")
-                    .select("p", "e", "x", "k", "d", "c", "at"), "elements")
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}{s}") for c in ("p", "e", "x", "k", "d", "c")])
-    small, large = side(placed.filter("at <= floor(k / 2) + 1"), 1), side(placed, 2)
-    meet = small.join(large, (F.col("p1") == F.col("p2")) & (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2"))
-                      & ((F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("x1") < F.col("x2"))))
-                      & (F.col("d2") - F.col("d1") <= F.least("k1", "k2")))
+    differences share an early element."""
+    rows = around.filter("first is not null").join(labels, F.col("x") == F.col("v"), "left").select(
+        "p", "x", "k", "d", "first", F.coalesce("c", "x").alias("c"))
+
+    def side(take, i):
+        kd = F.shiftleft(F.col("k").cast("long"), 32) + F.col("d")  # one word of the shuffled row
+        return rows.select("p", F.col("x").alias(f"x{i}"), kd.alias(f"kd{i}"), F.col("c").alias(f"c{i}"),
+                           F.explode(take).alias("e")).select(F.xxhash64("p", "e").alias(f"e{i}"), f"x{i}", f"kd{i}", f"c{i}")
+    small, large = side(F.slice("first", F.lit(1), F.floor(F.col("k") / 2).cast("int") + 1), 1), side(F.col("first"), 2)
+    d1, d2 = (F.col(f"kd{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in (1, 2))
+    k1, k2 = (F.shiftright(f"kd{i}", 32) for i in (1, 2))
+    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2"))
+                      & ((d1 < d2) | ((d1 == d2) & (F.col("x1") < F.col("x2")))) & (d2 - d1 <= F.least(k1, k2)))
     return meet.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
 
 
@@ -307,19 +322,28 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     placed = staged(in_regions.join(sized_broadcast(live, LIVE_KEYS), F.col("key") == F.col("lk"), "left_semi")
                     .distinct().select("key", "sid"), "members")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "nk")
-    met = placed.join(sizes, F.col("key") == F.col("nk")).groupBy("sid").agg(F.sum("n").alias("met"))
-    ranked = placed.join(met.withColumnRenamed("sid", "ms"), F.col("sid") == F.col("ms"))
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "sid")).alias("top")).select(
-        F.col("key").alias("pk"), F.col("top.sid").alias("p"))
-    pairs = staged(placed.join(pivots, F.col("key") == F.col("pk")).filter("sid <> p")
+    sized = staged(placed.join(sizes, F.col("key") == F.col("nk")).select("key", "sid", "n"), "sized")
+    # a region of a few members: all its pairs (at most three a member)
+    few = sized.filter(F.col("n") <= FEW)
+    couples = few.select("key", F.col("sid").alias("a")).join(
+        few.select(F.col("key").alias("k2"), F.col("sid").alias("b")), (F.col("key") == F.col("k2")) & (F.col("a") < F.col("b")))
+    near = staged(_near(couples.select("a", "b").distinct(), sets, num, den), "near")
+    # a larger one: around its pivot
+    large = sized.filter(F.col("n") > FEW)
+    met = large.groupBy("sid").agg(F.sum("n").alias("met")).withColumnRenamed("sid", "ms")
+    pivots = large.join(met, F.col("sid") == F.col("ms")).groupBy("key").agg(
+        F.max(F.struct("met", "sid")).alias("top")).select(F.col("key").alias("pk"), F.col("top.sid").alias("p"))
+    pairs = staged(large.join(pivots, F.col("key") == F.col("pk")).filter("sid <> p")
                    .select("p", F.col("sid").alias("x")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("p", "x")).alias("w")).distinct()
+    wanted = (pairs.select(F.explode(F.array("p", "x")).alias("w"))
+              .union(near.select(F.explode(F.array("a", "b")).alias("w"))).distinct())
     reps = staged(sets.join(wanted, F.col("sid") == F.col("w"), "left_semi").select("rep"), "wanted")
     members = _members_of(docs, reps, k, "pivots")
     around = staged(_around_pivots(pairs, members, num, den), "around")
-    direct = around.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    further = _links(_shared_differences(around, components(direct)), members, sets, num, den)
-    labels = components(direct.union(further))
+    direct = around.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")).union(
+        _links(near, members, num, den))
+    shared = _near(_shared_differences(around, components(direct)), sets, num, den)
+    labels = components(direct.union(_links(shared, members, num, den)))
     named = sets.select("sid", "rep").join(labels, F.col("sid") == F.col("v"), "left").select(
         "sid", "rep", F.coalesce("c", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least")).withColumnRenamed("c", "lc")

@@ -141,8 +141,8 @@ def test_join_against_brute_force(spark, k, num):
 
 def test_linked_sets_share_a_region():
     rnd = random.Random(4)
-    for _ in range(400):
-        num, n = rnd.choice((50, 80, 90)), rnd.choice((1, 2, 5, 9, 10, 20, 60, 200))
+    for _ in range(1_500):
+        num, n = rnd.choice((50, 80, 90)), rnd.choice((1, 2, 5, 9, 10, 20, 60, 200, 500))
         x = np.array([rnd.getrandbits(64) for _ in range(n)], dtype=np.uint64)
         y = x.copy()
         for i in rnd.sample(range(n), rnd.randint(0, max(0, n // 4))):
