@@ -358,3 +358,20 @@ def op2_voronoi_join(spark, sf_dir):
 
 
 QUERIES = {"op2_voronoi_join": op2_voronoi_join}
+
+ORACLE = {"op2_voronoi_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i
+                                                     FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+links AS (SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b
+                                ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) p
+          JOIN n nx ON nx.doc_id = p.x JOIN n ny ON ny.doc_id = p.y WHERE 100 * p.c >= 90 * (nx.k + ny.k - p.c)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.x = w.doc_id
+"""}

@@ -114,3 +114,30 @@ def op10_line_rules(spark, sf_dir):
 
 
 QUERIES = {"op10_line_rules": op10_line_rules}
+
+ORACLE = {"op10_line_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+          FROM (SELECT doc_id, i, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d))),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c >= 2) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
+          FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS x FROM d)
+          WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+doubles AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM lines GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+frequent AS (SELECT l.host, l.line FROM lines l JOIN hosts h ON l.host = h.host GROUP BY l.host, l.line, h.docs
+             HAVING count(DISTINCT l.t) > greatest(20.0, 0.02 * h.docs)),
+gone AS (SELECT l.doc_id, sum(len(regexp_extract_all(l.x, '[^\x20\x09-\x0D]+'))) AS removed
+         FROM lines l JOIN frequent f ON l.host = f.host AND l.line = f.line GROUP BY l.doc_id),
+s AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+      FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id LEFT JOIN doubles u ON u.doc_id = d.doc_id
+      LEFT JOIN gone g ON g.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words FROM f
+"""}
