@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -97,6 +98,9 @@ BOILER_NAME = re.compile(
     r"recommend\w*|share|sharing|social|footer|foot|masthead|topbar|toolbar|pagination|pager|comments?|comment-?\w*|"
     r"disqus|respon[ds]e?s?|replies|reply|search\w*|copyright|legal|disclaimer|complementary|contentinfo|navigation|"
     r"alertdialog|dialog|alert)(?:$|[\s_-]|\d)", re.I)
+#: Names that tell of something elsewhere ("has-sidebar"), and articles that are not the article.
+STATE_NAME = re.compile(r"(?:has|with|no|show|hide|is|not)[_-]", re.I)
+ARTICLE_LIKE = re.compile(r"(?:comments?|reply|replies|teasers?|related)(?:[_-]|$)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|$|=)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(
@@ -118,15 +122,17 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     if HIDDEN.search(attrs):
         return True
+    names = [n for value in NAMED.findall(attrs) for n in "".join(value).split() if not STATE_NAME.match(n)]
     if tag in ("article", "main"):
-        return any(re.search(r"comment|reply|teaser|related", a or b or c, re.I) for a, b, c in NAMED.findall(attrs))
-    return any(BOILER_NAME.search(a or b or c) for a, b, c in NAMED.findall(attrs))
+        return any(ARTICLE_LIKE.match(n) for n in names)
+    return any(BOILER_NAME.search(n) for n in names)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, boiler, article, heading) of each non-empty block."""
     out, parts, link_words = [], [], 0
     stack: list[tuple[str, bool, bool, bool]] = []  # open elements: tag, boiler, article, heading
+    opened: Counter = Counter()
     links = 0
     pos, end = 0, len(page)
 
@@ -175,17 +181,26 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 links = max(0, links - 1)
             if not inline:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (not inline or all(t[0] in INLINE for t in stack[depth:])):
-                del stack[depth:]
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag and (not inline or stack[depth][0] in INLINE):
+                    depth -= 1
+                if stack[depth][0] == tag:
+                    opened.subtract(t[0] for t in stack[depth:])
+                    del stack[depth:]
             continue
         if not inline:
             flush()
             links = 0
-            if tag in ENDS_P and (p := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) \
-                    is not None and all(t[0] in INLINE or t[0] == "p" for t in stack[p:]):
-                del stack[p:]
+            if tag in ENDS_P and opened["p"]:  # a paragraph that holds only inline elements ends here
+                top = len(stack) - 1
+                while top >= 0 and stack[top][0] in INLINE:
+                    top -= 1
+                if top >= 0 and stack[top][0] == "p":
+                    opened.subtract(t[0] for t in stack[top:])
+                    del stack[top:]
             if tag == "li" and stack and stack[-1][0] == "li":
+                opened["li"] -= 1
                 stack.pop()
         if tag in VOID or attrs.endswith("/"):
             continue
@@ -195,6 +210,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         mine = _boiler(tag, attrs, article)
         if inline and mine and not boiler:
             flush()
+        opened[tag] += 1
         stack.append((tag, boiler or mine, article or tag in ("article", "main"),
                       heading or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")))
     flush()

@@ -336,7 +336,7 @@ def test_pii_against_plain_patterns(spark):
     rnd = random.Random(5)
     letters = "ab1 2.3@4-+()%_é,\n0"
     rows = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 200)))) for i in range(600)]
-    rows += [(901, "1" * 50_000), (902, "a" * 50_000 + "@b.c%x@d.e"), (903, "+" * 2_000 + "1" * 3_000),
+    rows += [(901, "1" * 4_000), (902, "a" * 50_000 + "@b.c%x@d.e"), (903, "+" * 2_000 + "1" * 3_000),
              (904, "4111 1111 1111 1111 x +49 (30) 1234-5678, 1.2.3.4.5.6.7.8 999.1.1.1 000.01.255.0255"),
              (905, "😀 a.b@c.d 😀+1 (017) 555-7713"), (906, "1." * 9_000), (907, "1 " * 9_000)]
     rows += list(texts(documents(spark, "/root/testdata/sf0.01")).items())[:300]

@@ -85,11 +85,11 @@ def test_text_of_the_given_pages(spark):
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
-TEMPLATE = """<!doctype html><html><head><title>T</title><style>p{color:red}</style><script>if (a<b) x("</p>")</script></head>
+TEMPLATE = """<!doctype html><html><head><title>T</title><style>p{{color:red}}</style><script>if (a<b) x("</p>")</script></head>
 <body class="page"><header class="top"><h1>Site name</h1><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>
 </header><div id="cookie-banner"><p>We use cookies to make this site better for all of our visitors, read on.</p><button>OK</button></div>
 <div class="sidebar"><h3>Related</h3><ul><li><a href=/1>First other story</a></li><li><a href=/2>Second other story</a></li></ul></div>
-<main><h2>The head&shy;line &amp; more</h2><p>{one}</p>
+<main class="content has-sidebar no-comments"><h2>The head&shy;line &amp; more</h2><p>{one}</p>
 <div class="ad">Buy now, this is a long advert text that has very many words in it indeed</div>
 <p>{two} <a href="/x">a link</a> inside.</p><blockquote>{three}</blockquote><ul><li>first point</li><li>second point</li></ul></main>
 <form action=/q>Search <input name=q><select><option>all</option></select></form>
@@ -107,7 +107,7 @@ def test_text_of_another_layout(spark):
 def test_text_edges(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "no tags at all"), (4, "u", "<p title='a>b'>x < y <b>z"),
             (4, "u", "<p title='a>b'>x < y <b>z"), (None, "u", "<article><p>kept text"), (6, "u", "<" * 3_000),
-            (7, "u", "<article>" + "<div>" * 3_000 + "deep &#x41;&nbsp; text"), (8, "u", "<p x='" + "a" * 20_000),
+            (7, "u", "<article>" + "<div>" * 3_000 + "deep &#x41;&nbsp; text" + "</p>" * 3_000), (8, "u", "<p x='" + "a" * 20_000),
             (9, "u", "<article><p>" + "word " * 30_000 + "</p></article>")]
     got = html_text.extract(pages(spark, rows)).toPandas()
     assert len(got) == len(rows)
