@@ -53,11 +53,11 @@ from clinlake.plans.broadcast import sized_broadcast
 
 BINS = 64
 RING = 1.4
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 NO_KEYS = np.empty(0, np.int64)
 #: So many keys of regions with several members are sent to all executors (8 bytes
 #: each); more are joined by a shuffle.
-LIVE_KEYS = 3_000_000
+LIVE_KEYS, BLOCK_KEYS = 3_000_000, 400_000
 #: Regions of so many members are joined pair by pair.
 FEW = 4
 
@@ -303,6 +303,24 @@ def _classes(members: DataFrame, labels: DataFrame) -> DataFrame:
         "c", F.coalesce("c", "sid")).drop("v")
 
 
+def _members_of_live(in_regions: DataFrame, live: DataFrame) -> DataFrame:
+    """(key, sid) of the regions with several members.  Up to ``LIVE_KEYS`` such
+    keys are sent to the executors, a block of ``BLOCK_KEYS`` at a time; more
+    are joined by a shuffle."""
+    n = live.count()
+    if n > LIVE_KEYS:
+        return staged(in_regions.join(live, F.col("key") == F.col("lk"), "left_semi").distinct().select("key", "sid"),
+                      "members")
+    blocks, out = max(1, -(-n // BLOCK_KEYS)), None
+    for i in range(blocks):
+        mine = lambda c: F.pmod(F.col(c), F.lit(blocks)) == i  # noqa: B023, E731  used at once
+        part = staged(in_regions.filter(mine("key")).join(
+            F.broadcast(live.filter(mine("lk"))), F.col("key") == F.col("lk"), "left_semi").distinct().select("key", "sid"),
+            "members")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable
@@ -319,8 +337,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     in_regions = signed.select("sid", F.explode("keys").alias("key"))
     live = staged(in_regions.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
                   .filter("lo <> hi").select(F.col("key").alias("lk")), "live")
-    placed = staged(in_regions.join(sized_broadcast(live, LIVE_KEYS), F.col("key") == F.col("lk"), "left_semi")
-                    .distinct().select("key", "sid"), "members")
+    placed = _members_of_live(in_regions, live)
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "nk")
     sized = staged(placed.join(sizes, F.col("key") == F.col("nk")).select("key", "sid", "n"), "sized")
     # a region of a few members: all its pairs (at most three a member)

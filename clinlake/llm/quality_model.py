@@ -29,7 +29,7 @@ from clinlake.llm.common import read
 DIMS = 2 ** 20
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 CAPITALS, AGAIN = "<capitals>", "<again>"
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 
 class WordHash(dict):
