@@ -3,9 +3,13 @@ whitespace word expressions and skew-safe row numbers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +45,15 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a Python task: the
+    worker stays alive for later stages, and what it holds counts there."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-separators, in order."""
     return F.array_remove(F.split(text, WS), "")

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.llm.common import read, staged
+from clinlake.llm.common import read, release_memory, staged
 from clinlake.plans.broadcast import sized_broadcast
 
 BINS = 64
@@ -182,6 +182,9 @@ def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     "hist": [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535)
                              .astype("<u2").tobytes() for s in sets],
                     "keys": [keys(s) for s in sets]})
+        known.clear()
+        seen.clear()
+        release_memory()
     return docs.mapInPandas(run, "id long, sid long, n long, hist binary, keys array<long>")
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinlake.llm.common import read, staged, unit
+from clinlake.llm.common import read, release_memory, staged, unit
 from clinlake.plans.broadcast import sized_broadcast
 
 TOKENIZER = "word_bpe_49k.json"
@@ -156,6 +156,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
                 n = pa.array([len(x) // ids_of.dtype.itemsize for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("queue"), part.column("h"), n,
                                                   pa.array(ids, pa.binary())], ["id", "queue", "h", "n", "ids"])
+        ids_of.forget()
+        release_memory()
     src = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"),
                       F.xxhash64(F.lit("pack"), F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
     return src.mapInArrow(run, "id long, queue string, h long, n long, ids binary")

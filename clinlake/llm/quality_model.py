@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.llm.common import read
+from clinlake.llm.common import read, release_memory
 
 DIMS = 2 ** 20
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -140,6 +140,8 @@ def scorer(weights: np.ndarray, bias: float):
                 i, x = vector(t if isinstance(t, str) else "", known)
                 s.append(1.0 / (1.0 + np.exp(-np.clip(bias + w[i] @ x, -35, 35))))
             yield pd.Series(s, dtype="float64")
+        known.clear()
+        release_memory()
     return run
 
 
