@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import clinlake
+from clinlake.plans.broadcast import sized_broadcast
 from clinlake.session import checkpoint_dir
 
 # functions travel to the executors with their code: the package need not be installed there
@@ -64,6 +65,19 @@ def unit(hash64: Column) -> Column:
     return F.shiftrightunsigned(hash64, 33)
 
 
+def file_order(df: DataFrame, out: str) -> DataFrame:
+    """``df``, read from Parquet files that Spark wrote, with each row's gapless
+    0-based place in the order of the files' numbers and of the rows in them."""
+    name = F.col("_metadata.file_name")
+    rows = df.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    number = [F.regexp_extract("_of", pattern, 1).try_cast("long") for pattern in (r"part-(\d+)", r"-c(\d+)\.")]
+    before = Window.orderBy(*number, "_of").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = df.select(name.alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return rows.join(sized_broadcast(files), F.col("_file") == F.col("_of")).select(
+        *df.columns, (F.col("_o") + F.col("_row")).alias(out))
+
+
 def hash_index(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str,
                n_rows: int | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Gapless 0-based position of each row within its group, along a seeded

@@ -139,12 +139,17 @@ class TextIds:
         return out
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str,
+              place_col: str | None = None) -> DataFrame:
     """(id, queue, h, n, ids) written once: token ids of each document with the
-    end id, and its place hash."""
+    end id, and its place hash (or its place, all documents in the queue "")."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    few = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-    queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
+    if place_col:
+        queue, h = F.lit(""), F.col(place_col).cast("long")
+    else:
+        few = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
+        queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
+        h = F.xxhash64(F.lit("pack"), F.col(id_col).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TextIds(tokenizer)
@@ -158,8 +163,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
                                                   pa.array(ids, pa.binary())], ["id", "queue", "h", "n", "ids"])
         ids_of.forget()
         release_memory()
-    src = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"),
-                      F.xxhash64(F.lit("pack"), F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"), h.alias("h"),
+                      F.col(text_col).alias("t"))
     return src.mapInArrow(run, "id long, queue string, h long, n long, ids binary")
 
 
@@ -225,18 +230,25 @@ def place(queue: int, x: int, n: int, plan: list[dict], seq_len: int) -> list[tu
 
 def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", seq_len: int = SEQ_LEN, window_tokens: int = WINDOW_TOKENS,
-         tokenizer: str | None = None, bucket_docs: int | None = None) -> DataFrame:
+         tokenizer: str | None = None, bucket_docs: int | None = None, place_col: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and the queue.
 
     ``weights`` gives every queue's target share (None: in proportion to its
     tokens, so that each window mirrors the corpus).  Nulls: a null text is
     empty and packs its end id alone, a null source is the queue "", a null id
-    stays.  Repeated rows are packed each.  An empty table gives no piece."""
+    stays.  Repeated rows are packed each.  An empty table gives no piece.
+
+    ``place_col`` names a gapless 0-based place: the documents are then mixed
+    already and form one queue "" in that order (``weights`` do not apply)."""
+    if place_col and weights:
+        raise ValueError("documents with a place are mixed already")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    buckets = max(1, min(20_000, -(-docs.count() // (bucket_docs or BUCKET_DOCS))))
-    t = tokenised(docs, id_col, text_col, source_col, path)
-    t = t.withColumn("b", F.floor(unit(F.col("h")) * F.lit(buckets) / F.lit(2 ** 31)).cast("int"))
+    n_docs = docs.count()
+    buckets = max(1, min(20_000, -(-n_docs // (bucket_docs or BUCKET_DOCS))))
+    t = tokenised(docs, id_col, text_col, source_col, path, place_col)
+    share = F.col("h") / F.lit(max(n_docs, 1)) if place_col else unit(F.col("h")) / F.lit(2 ** 31)
+    t = t.withColumn("b", F.floor(share * F.lit(buckets)).cast("int"))
     earlier = (Window.partitionBy("queue", "b").orderBy(unit(F.col("h")), "h", "id", "ids")
                .rowsBetween(Window.unboundedPreceding, -1))
     t = staged(t.withColumn("x", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "tokens", "zstd")

@@ -1,7 +1,7 @@
 import zlib
 
 import corpus_pipeline as cp
-from clinlake.llm import common, quality_model
+from clinlake.llm import common, mixing, quality_model
 from tests.llm.data import texts
 from tests.llm.test_documents import assert_packed, base_spans, brute_components, ids_of
 
@@ -66,3 +66,19 @@ def test_stages_take_empty_and_odd_documents(spark):
             if name == "near_duplicates" and rows:
                 assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, 2, 3, None]
         assert docs.count() == (4 if rows else 0)
+
+
+def test_mix_weights_reach_the_sequences(spark, monkeypatch):
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents")
+    sources = sorted(r.source for r in docs.select("source").distinct().collect())
+    plain, found = mixing.mix, []
+    for heavy in (sources[0], sources[-1]):
+        weights = {s: 50.0 if s == heavy else 1.0 for s in sources}
+        monkeypatch.setattr(mixing, "mix", lambda d, w=weights: plain(d, weights=w, block_docs=2))
+        got = run(spark, "pack", run(spark, "mix", docs)).toPandas().sort_values(["sequence_id", "offset"])
+        order = list(dict.fromkeys(got.doc_id))
+        place = {r.row.doc_id: r.position for r in mixing.mix(docs).collect()}
+        assert order == sorted(place, key=place.get)
+        assert_packed(got, {d: ids_of(t) for d, t in texts(docs).items()}, 4096)
+        found.append(list(zip(got.doc_id, got.sequence_id, got.offset)))
+    assert found[0] != found[1]
