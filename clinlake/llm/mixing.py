@@ -8,29 +8,33 @@ earliest-deadline-first schedule over unit slots meets every deadline and never
 starts a block early, so after every slot each source is less than one block
 away from the fluid mix.
 
-Weights are rounded to whole blocks per cycle.  At the end of a cycle every
-source has received a whole number of blocks, so cycles are independent, and
-cycles with the same blocks have the same schedule: only the few distinct ones
-(at most two per source and one) are scheduled, on the driver, from the table of
-block counts.  Every block then finds its slot by a join with that table; no
-block is dropped or repeated.  Documents pass through DataFrame functions only.
+Release times and deadlines are computed in whole numbers from the exact weights,
+so nothing adds up over a long mix.  The driver schedules all blocks, in
+chunks that are written to the shared folder as they are made: it holds one
+entry a source and one chunk.  Every source has a queue of its own.  Every block
+then finds its slot by a join with that table; no block is dropped or repeated.
+Documents pass through DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import accumulate, islice
+from math import lcm
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.llm.common import hash_index, read, staged
+from clinlake.llm.common import hash_index, read, scratch, staged
+from clinlake.plans.broadcast import sized_broadcast
 
 BLOCK_DOCS = 32
-#: Slots of a full cycle: the resolution to which weights are kept.
-CYCLE = 1_024
-#: More sources than this share queues (by a hash of their name).
-MAX_QUEUES = 256
+#: Blocks of the schedule that the driver holds at a time.
+CHUNK_BLOCKS = 500_000
 
 
 def cycle_shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -43,101 +47,89 @@ def cycle_shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     return share
 
 
-def edf(blocks: Sequence[int], share: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
-    """One cycle: (queue, block, slot, release, deadline) for queues that bring
-    ``blocks`` of their ``share``.  Times are slots from the start of the cycle;
-    release and deadline are those of the fluid mix, rounded outwards."""
-    jobs = []
-    for q, (k, w) in enumerate(zip(blocks, share)):
-        fluid = lambda j, w=w: sum(min(ku * w, wu * j) for ku, wu in zip(blocks, share))  # noqa: E731  times w
-        jobs += [(fluid(j) // w, -(-fluid(j + 1) // w), q, j) for j in range(k)]
-    jobs.sort()
-    ready, out, at = [], [], 0
-    for slot in range(len(jobs)):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, deadline, q, j = jobs[at]
+def edf(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """The schedule, slot by slot: (queue, block, slot, release, deadline).  Release
+    and deadline are those of the fluid mix, rounded outwards.
+
+    The fluid mix has served min(blocks, weight * v) of each queue at its own
+    time v, so block j of a queue ends when v is (j + 1) / weight.  Between two ends of
+    queues the slots are linear in v: what the ended queues had, and v times the
+    weight of the others."""
+    names = sorted(s for s in blocks if blocks[s])
+    exact = [Fraction(weights[s]) for s in names]
+    if any(w <= 0 for w in exact):
+        raise ValueError("weights must be positive")
+    unit = lcm(*(w.denominator for w in exact))
+    w, n = [int(x * unit) for x in exact], [blocks[s] for s in names]
+    by_end = sorted(range(len(names)), key=lambda q: Fraction(n[q], w[q]))
+    ends = [Fraction(n[q], w[q]) for q in by_end]
+    ended = [0, *accumulate(n[q] for q in by_end)]
+    left = [sum(w), *(sum(w) - x for x in accumulate(w[q] for q in by_end))]
+    rank = [0] * len(names)  # the stretch between two ends in which each queue is
+    upto = [(0, 1)] * len(names)
+
+    def times(q: int, j: int) -> tuple[int, int]:
+        """Release and deadline of block j; the blocks of a queue are asked for in order."""
+        k = rank[q]
+        begins = ended[k] + left[k] * j // w[q]
+        if (j + 1) * upto[q][1] > upto[q][0] * w[q] or not j:  # it ends in a later stretch
+            k = rank[q] = bisect.bisect_left(ends, Fraction(j + 1, w[q]))
+            upto[q] = ends[k].numerator, ends[k].denominator
+        return begins, ended[k] - (-left[k] * (j + 1) // w[q])
+
+    coming, ready = [(*times(q, 0), q, 0) for q in range(len(names))], []
+    heapq.heapify(coming)
+    for slot in range(sum(n)):
+        while coming and coming[0][0] <= slot:
+            release, deadline, q, j = heapq.heappop(coming)
             heapq.heappush(ready, (deadline, q, j, release))
-            at += 1
         deadline, q, j, release = heapq.heappop(ready)
-        out.append((q, j, slot, release, deadline))
-    return out
-
-
-def timetable(blocks: Mapping[str, int], share: Mapping[str, int]) -> tuple[list[int], list[tuple]]:
-    """Starts of the ranges of equal cycles, and a row for each range and block
-    of a cycle: (range, queue, block, slot, release, deadline, slots of a cycle,
-    first slot of the range, first cycle of the range)."""
-    names = sorted(blocks)
-    ends = {blocks[s] // share[s] for s in names} | {-(-blocks[s] // share[s]) for s in names}
-    starts = sorted({0} | ends)
-    rows, base = [], 0
-    for r, c in enumerate(starts):
-        k = [min(max(blocks[s] - share[s] * c, 0), share[s]) for s in names]
-        if not sum(k):
-            break
-        rows += [(r, names[q], j, slot, a, b, sum(k), base, c) for q, j, slot, a, b in edf(k, [share[s] for s in names])]
-        if r + 1 < len(starts):
-            base += sum(k) * (starts[r + 1] - c)
-    return starts, rows
-
-
-def _range_of(cycle: Column, starts: Sequence[int]) -> Column:
-    def search(lo, hi):
-        if lo == hi:
-            return F.lit(lo - 1)
-        mid = (lo + hi + 1) // 2
-        return F.when(cycle < starts[mid - 1], search(lo, mid - 1)).otherwise(search(mid, hi))
-    return search(1, len(starts))
+        yield names[q], j, slot, release, deadline
+        if j + 1 < n[q]:
+            heapq.heappush(coming, (*times(q, j + 1), q, j + 1))
+
+
+def timetable(spark, count: Mapping[str, int], weights: Mapping[str, float], block_docs: int) -> DataFrame:
+    """A row for each block (queue ``q``, block ``j``): slot, release, deadline and
+    the position of its first document (the last block of a queue can be short)."""
+    path, first = scratch(spark, "slots"), 0
+    schema = "q string, j long, s long, r long, d long, p long"
+    rows = edf({s: -(-n // block_docs) for s, n in count.items()}, weights)
+    chunks = iter(lambda: list(islice(rows, CHUNK_BLOCKS)), [])
+    spark.createDataFrame([], schema).write.parquet(path)
+    for chunk in chunks:
+        size = [min(block_docs, count[q] - j * block_docs) for q, j, *_ in chunk]
+        columns = [*map(list, zip(*chunk)), list(accumulate(size, initial=first))[:-1]]
+        first += sum(size)
+        spark.createDataFrame(pa.table(columns, names=list("qjsrdp")), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id",
-        source_col: str = "source", exponent: float = 0.5, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE) -> DataFrame:
+        source_col: str = "source", exponent: float = 0.5, block_docs: int = BLOCK_DOCS,
+        cycle: int | None = None) -> DataFrame:
     """``row`` (the input row as a struct), queue, block (0-based within its
     queue), release, deadline and slot of the block, and position: the gapless
     place of the document in the mix.
 
     ``weights`` gives each source's target weight; without it the weights are
-    the sources' numbers of blocks to the power ``exponent``.  Nulls: a null
-    source is the source "", a null id sorts by its hash like any other.
-    Repeated rows are placed one after the other.  An empty table gives an empty
-    table; other columns travel inside ``row``, whatever their names."""
+    the sources' numbers of blocks to the power ``exponent``.  They are kept exactly;
+    only a caller that gives a ``cycle`` has them rounded to whole blocks of so
+    many slots.  Nulls: a null source is the source "", a null id sorts by its hash
+    like any other.  Repeated rows are placed one after the other.  An empty table
+    gives an empty table; other columns travel inside ``row``, whatever their names."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    few = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-    queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
-    rows = docs.select(queue.alias("queue"), F.col(id_col).cast("string").alias("id"), F.struct("*").alias("row"))
-    count = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {s: -(-n // block_docs) for s, n in count.items()}
-    share = cycle_shares(weights and {s: weights[s] for s in blocks} or {s: b ** exponent for s, b in blocks.items()},
-                         max(cycle, len(blocks)))
-    starts, table = timetable(blocks, share)
-    spark = docs.sparkSession
-    slots = spark.createDataFrame(table, "rng int, q string, j long, s long, r long, d long, size long, base long, "
-                                         "c0 long")
-    shares = spark.createDataFrame(sorted(share.items()), "sq string, w long")
+    rows = docs.select(source.alias("queue"), F.col(id_col).cast("string").alias("id"), F.struct("*").alias("row"))
+    count = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    target = {s: weights[s] if weights else (-(-n // block_docs)) ** exponent for s, n in count.items()}
+    if cycle:
+        target = cycle_shares(target, max(cycle, len(target)))
+    slots = sized_broadcast(timetable(docs.sparkSession, count, target, block_docs))
     placed = hash_index(rows, ["queue"], ["id", "row"], "pos", n_rows=sum(count.values()))
-    placed = placed.join(F.broadcast(shares), F.col("queue") == F.col("sq"))  # a row per queue
-    i = F.floor(F.col("pos") / block_docs)
-    placed = placed.withColumn("block", i).withColumn("cyc", F.floor(i / F.col("w")))
-    # bounded by the parameters: at most (2 * MAX_QUEUES + 1) * cycle rows
-    placed = placed.join(F.broadcast(slots), (F.col("queue") == F.col("q")) & (F.col("block") % F.col("w") == F.col("j"))
-                         & (_range_of(F.col("cyc"), starts) == F.col("rng")))
-    shift = F.col("base") + (F.col("cyc") - F.col("c0")) * F.col("size")
-    # only the last block of a queue can be short: what lies after it moves up
-    gaps = []
-    for s, n in count.items():
-        last, short = blocks[s] - 1, blocks[s] * block_docs - n
-        c, j = divmod(last, share[s])
-        rng = max(k for k, a in enumerate(starts) if a <= c)
-        at = next(b + (c - c0) * size + slot for r, q, jj, slot, _, _, size, b, c0 in table
-                  if (r, q, jj) == (rng, s, j))
-        if short:
-            gaps.append((at, short))
-    slot = shift + F.col("s")
-    position = slot * block_docs + F.col("pos") % block_docs
-    for at, short in gaps:
-        position = position - F.when(slot > at, F.lit(short)).otherwise(F.lit(0))
-    return placed.select("row", "queue", "block", (shift + F.col("r")).alias("release"),
-                         (shift + F.col("d")).alias("deadline"), slot.alias("slot"), position.alias("position"))
+    placed = placed.withColumn("block", F.floor(F.col("pos") / block_docs))
+    placed = placed.join(slots, (F.col("queue") == F.col("q")) & (F.col("block") == F.col("j")))
+    return placed.select("row", "queue", "block", F.col("r").alias("release"), F.col("d").alias("deadline"),
+                         F.col("s").alias("slot"), (F.col("p") + F.col("pos") % block_docs).alias("position"))
 
 
 def op4_pfair_mix(spark, sf_dir):

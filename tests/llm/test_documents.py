@@ -229,6 +229,40 @@ def test_mix_deviates_by_less_than_a_block(spark, cycle):
     assert_pfair(got, 2, mixing.cycle_shares({q: weights[q] for q in set(got["queue"])}, cycle))
 
 
+@pytest.mark.parametrize("exponent", [0.0, 0.5])
+def test_schedule_keeps_the_exact_weights(exponent):
+    blocks = {f"s{i:02}": 200 + 17 * i for i in range(20)} | {"tiny": 3}
+    weights = {s: n ** exponent for s, n in blocks.items()} | {"tiny": 1e-4}
+    slots = list(mixing.edf(blocks, weights))
+    assert sorted((q, j) for q, j, *_ in slots) == sorted((q, j) for q in blocks for j in range(blocks[q]))
+    assert all(r <= s < d for _, _, s, r, d in slots)
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    ends = sorted((Fraction(blocks[s]) / exact[s], s) for s in blocks)
+    done, live, v, gone = dict.fromkeys(blocks, 0), sum(exact.values()), Fraction(0), 0
+    for t, (q, *_) in enumerate(slots, 1):  # the fluid mix against the unrounded weights
+        done[q] += 1
+        while gone < len(ends) and sum(blocks[s] for _, s in ends[:gone]) + live * ends[gone][0] <= t:
+            live -= exact[ends[gone][1]]
+            gone += 1
+        if live:
+            v = (t - sum(blocks[s] for _, s in ends[:gone])) / live
+        else:
+            v = ends[-1][0]
+        assert max(abs(done[s] - min(blocks[s], exact[s] * v)) for s in blocks) < 1
+
+
+def test_mix_keeps_every_source_apart(spark, monkeypatch):
+    rows = [(i, f"s{i % 300}" if i % 3 else "hot") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {f"s{i}": 1.0 + i % 5 for i in range(300)} | {"hot": 400.0}
+    monkeypatch.setattr(mixing, "CHUNK_BLOCKS", 100)
+    got = mixing.mix(docs, weights=weights, block_docs=2).toPandas()
+    assert all(r["source"] == q for r, q in zip(got.row, got["queue"])) and got["queue"].nunique() == 201
+    assert sorted(got.position) == list(range(1800))
+    assert (got.sort_values("position").slot.diff().dropna() >= 0).all()
+    assert (got.release <= got.slot).all() and (got.slot < got.deadline).all()
+
+
 def test_mix_edges_and_buckets(spark, monkeypatch):
     one = mixing.mix(edge(spark), block_docs=1).toPandas()
     assert len(one) == len(EDGE) and sorted(one.position) == list(range(len(EDGE)))
