@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQ_LEN = 4096
 WINDOW_TOKENS = 16 * SEQ_LEN
-#: More sources than this share queues (by a hash of their name).
-MAX_QUEUES = 256
+#: Numbers that ``Spent`` remembers.
+MAX_SPENT = 200_000
 BUCKET_DOCS = 4_000
 #: A text without any of these is cut into pieces here: no other character has a
 #: case or normal form that depends on its neighbours, all other white space is plain.
@@ -143,12 +144,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
               place_col: str | None = None) -> DataFrame:
     """(id, queue, h, n, ids) written once: token ids of each document with the
     end id, and its place hash (or its place, all documents in the queue "")."""
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     if place_col:
         queue, h = F.lit(""), F.col(place_col).cast("long")
     else:
-        few = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-        queue = source if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
+        queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
         h = F.xxhash64(F.lit("pack"), F.col(id_col).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +168,18 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
 
 
 class Spent:
-    """Tokens that each queue has given after k windows (the last few are remembered)."""
+    """Tokens that each queue has given after k windows, and those of the queues
+    before each (the last few are remembered)."""
 
     def __init__(self, m: list[int], windows: int):
         self.m, self.windows, self.known = m, windows, {}
 
-    def __call__(self, k: int) -> list[int]:
+    def __call__(self, k: int) -> tuple[list[int], list[int]]:
         if k not in self.known:
-            if len(self.known) > 10_000:
+            if len(self.known) * len(self.m) > MAX_SPENT:
                 self.known.clear()
-            self.known[k] = [m * k // self.windows for m in self.m]
+            given = [m * k // self.windows for m in self.m]
+            self.known[k] = given, list(accumulate(given, initial=0))
         return self.known[k]
 
 
@@ -210,18 +211,16 @@ def place(queue: int, x: int, n: int, plan: list[dict], seq_len: int) -> list[tu
         lo, hi = max(x + done, base), min(x + n, base + m)
         if lo >= hi or lo != x + done:
             continue
-        spent = ph["spent"]
-        first, last = ((lo - base + 1) * k_all - 1) // m, ((hi - base) * k_all - 1) // m
-        before = spent(first)
-        for k in range(first, last + 1):
-            after = spent(k + 1)
-            a, b = max(lo, base + before[queue]), min(hi, base + after[queue])
-            g = ph["start"] + sum(before) + sum(after[:queue]) - sum(before[:queue]) + a - base - before[queue]
+        spent, a = ph["spent"], lo
+        while a < hi:
+            k = ((a - base + 1) * k_all - 1) // m  # the window of token a; a short queue skips windows
+            (before, ahead), (after, ahead_after) = spent(k), spent(k + 1)
+            b = min(hi, base + after[queue])
+            g = ph["start"] + ahead[-1] + ahead_after[queue] - ahead[queue] + a - base - before[queue]
             while a < b:
                 take = min(b - a, seq_len - g % seq_len)
                 out.append((a - x, take, g // seq_len, g % seq_len))
                 a, g = a + take, g + take
-            before = after
         done = hi - x
         if done == n:
             break
@@ -253,7 +252,7 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: st
                .rowsBetween(Window.unboundedPreceding, -1))
     t = staged(t.withColumn("x", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "tokens", "zstd")
     totals = t.groupBy("queue", "b").agg(F.sum("n").alias("n"))
-    lengths = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # <= MAX_QUEUES
+    lengths = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).toLocalIterator()}
     names, plan = sorted(lengths), phases(lengths, weights, window_tokens)
     number = {s: i for i, s in enumerate(names)}
     before = Window.partitionBy("queue").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

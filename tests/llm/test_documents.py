@@ -312,6 +312,22 @@ def test_packing_round_trip(spark, weights):
         assert all(abs(n - 4 * 2048 * weights(q) / total) < 2048 * weights(q) / total + 4 for q, n in share.items())
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_keeps_every_source_apart(spark, weighted):
+    rows = [(i, f"some words of number {i} " * (1 + i % 4), f"s{i % 300}" if i % 3 else "hot") for i in range(900)]
+    weights = {f"s{i}": 1 + i % 5 for i in range(300)} | {"hot": 200}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"),
+                       weights=weights if weighted else None, seq_len=64, window_tokens=512, bucket_docs=50).toPandas()
+    source = {d: s for d, _, s in rows}
+    assert all(source[d] == q for d, q in zip(got.doc_id, got["queue"])) and got["queue"].nunique() == 201
+    import public_tokenizers
+    import pyarrow as pa
+
+    coded = packing.TextIds(public_tokenizers.path(packing.TOKENIZER)).encode(pa.array([t for _, t, _ in rows]))
+    assert_packed(got, {d: np.append(np.frombuffer(x, "<u2"), packing.END_ID).astype("<u4")
+                        for (d, *_), x in zip(rows, coded)}, 64)
+
+
 def test_packing_ids_of_odd_texts():
     import public_tokenizers
 
