@@ -183,8 +183,8 @@ def _splits(runs: DataFrame, range_rows: int) -> list[tuple]:
     ranges = max(1, -(-n // range_rows))
     if ranges == 1:
         return []
-    keep = min(20_000, 200 * ranges) / n
-    sample = (runs.filter(F.xxhash64("archive", "offset") % 1_000_000 < F.lit(int(keep * 500_000) + 1))
+    keep = min(10_000, 200 * ranges) / n  # half of the limit at most: the draw covers all archives
+    sample = (runs.filter(F.shiftrightunsigned(F.xxhash64("archive", "offset"), 1) < F.lit(int(min(keep, 1) * (2 ** 63 - 1))))
               .select(*KEY).limit(20_000).collect())
     keys = sorted((r[0], r[1], r[2] is not None, r[2] or 0, r[3], r[4]) for r in sample)
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges) if keys})

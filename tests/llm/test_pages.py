@@ -60,6 +60,15 @@ def test_capture_index_over_many_runs_and_ranges(spark):
     assert keys == sorted(keys) and len(keys) == df.count() + 120
 
 
+def test_split_points_cover_a_sorted_table_above_the_limit(spark):
+    rows = spark.range(60_000, numPartitions=6).selectExpr(
+        "format_string('org,h%05d)/', int(id / 10)) as urlkey", "'2024-01-01T00:00:00Z' as ts", "id as page_id",
+        "format_string('a%02d.gz', int(id / 2500)) as archive", "id % 2500 * 300 as offset")
+    splits = warc._splits(common.staged(rows, "sorted"), 1_000)
+    ends = [0, *(s[3] for s in splits), 60_000]
+    assert len(splits) == 59 and max(b - a for a, b in zip(ends, ends[1:])) < 2_000
+
+
 def test_loser_tree():
     import random
 
