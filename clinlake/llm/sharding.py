@@ -4,7 +4,9 @@ A document is a point whose coordinates come from its text alone: size in
 bytes, share of multi-byte characters and line density.  Equal texts are the
 same point and always share a shard.  The tree splits a node along its widest
 coordinate at the weighted median (weighted quantile when the node holds an odd
-number of leaves) until every leaf is one shard.
+number of leaves) until every leaf is one shard.  A point that outweighs a shard takes one to
+itself; the tree divides the others among the remaining shards, and a cut that falls
+beside its quantile leaves each side shards by the weight that lies there.
 
 The split point is found without sorting or collecting rows: a coordinate and
 the text's hash are joined into one 42-bit integer, and three rounds of 14-bit
@@ -76,8 +78,8 @@ def _narrow(rows: DataFrame, state: list[dict]) -> list[dict]:
 
 
 def kd_tree(pts: DataFrame, n_leaves: int) -> dict:
-    """node -> (dimension, cut, left, right); nodes not in it are leaves.  Leaf
-    ids are turned into 0..n-1 by ``leaf_numbers``."""
+    """node -> (dimension, cut, left, right); nodes not in it are leaves (a node of
+    a single point is always one).  Leaf ids are turned into 0..n-1 by ``leaf_numbers``."""
     dims = [c for c in pts.columns if c.startswith("k")]
     tree, open_nodes, fresh = {}, {0: n_leaves}, 1
     while open_nodes:
@@ -93,8 +95,11 @@ def kd_tree(pts: DataFrame, n_leaves: int) -> dict:
                 continue
             r = info[node]
             wide = max(range(len(dims)), key=lambda i: (r[f"s{i}"] / scale[i], -i))
+            if not r[f"s{wide}"]:
+                continue
             state.append({"node": node, "dim": wide, "lo": 0, "width": 2 ** (ROUND_BITS * (ROUNDS - 1)),
-                          "want": r["w"] * (leaves // 2) / leaves, "leaves": leaves})
+                          "want": r["w"] * (leaves // 2) / leaves, "leaves": leaves, "w": r["w"],
+                          "goal": r["w"] * (leaves // 2) / leaves})
         if not state:
             break
         pick = F.coalesce(*[F.when(F.col("node") == s["node"], F.col(dims[s["dim"]])) for s in state])
@@ -103,31 +108,46 @@ def kd_tree(pts: DataFrame, n_leaves: int) -> dict:
             state = _narrow(keyed, state)
         following = {}
         for s in state:
-            # the last bin is one key: it goes to the side it unbalances less
-            cut = s["lo"] + (1 if s["want"] * 2 >= s["bin_w"] else 0)
-            tree[s["node"]] = (s["dim"], cut, fresh, fresh + 1)
-            following[fresh], following[fresh + 1] = s["leaves"] // 2, s["leaves"] - s["leaves"] // 2
+            # the last bin is one key: it goes to the side it unbalances less, but no side stays empty
+            below = round(s["goal"] - s["want"])
+            key_left = not below or (s["want"] * 2 >= s["bin_w"] and below + s["bin_w"] < s["w"])
+            tree[s["node"]] = (s["dim"], s["lo"] + key_left, fresh, fresh + 1)
+            left = round(s["leaves"] * (below + key_left * s["bin_w"]) / s["w"])
+            following[fresh] = min(max(left, 1), s["leaves"] - 1)
+            following[fresh + 1] = s["leaves"] - following[fresh]
             fresh += 2
         open_nodes = following
     return tree
 
 
-def leaf_numbers(tree: dict, n_leaves: int) -> dict:
-    """node id of a leaf -> first shard number, in tree order (an empty side of
-    a split leaves its shard numbers unused)."""
+def leaf_numbers(tree: dict) -> dict:
+    """node id of a leaf -> shard number, in tree order."""
     numbers = {}
 
-    def walk(node, first, leaves):
+    def walk(node):
         if node not in tree:
-            numbers[node] = first
+            numbers[node] = len(numbers)
             return
-        _, _, left, right = tree[node]
-        walk(left, first, leaves // 2)
-        walk(right, first + leaves // 2, leaves - leaves // 2)
-    walk(0, 0, n_leaves)
+        walk(tree[node][2])
+        walk(tree[node][3])
+    walk(0)
     return numbers
 
 
+def heavy_points(pts: DataFrame, n_shards: int, total: int) -> list[tuple]:
+    """The points that outweigh an equal part of what the others leave, heaviest
+    first (fewer than ``n_shards``)."""
+    dims = [c for c in pts.columns if c.startswith("k")]
+    most = pts.groupBy(*dims).agg(F.sum("size").alias("w")).filter(F.col("w") * F.lit(2 * n_shards) > F.lit(total))
+    heavy, left = [], total
+    for r in most.orderBy(F.desc("w"), *dims).limit(n_shards - 1).collect():
+        if r["w"] * (n_shards - len(heavy)) <= left:
+            break
+        heavy.append(tuple(r[c] for c in dims))
+        left -= r["w"]
+    return heavy
+
+
 def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: size (UTF-8 bytes plus 16), crc32 of the text, shard
@@ -137,12 +157,22 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     Nulls: a null text is empty; a null id stays.  Repeated rows share a shard
     and take a slot each.  An empty table gives an empty table."""
     pts = staged(points(docs, id_col, text_col), "points")
+    total = pts.agg(F.sum("size").alias("w")).first()["w"] or 0
     if n_shards is None:
-        total = pts.agg(F.sum("size").alias("w")).first()["w"] or 0
         n_shards = max(1, -(-total // target_bytes))
-    tree = kd_tree(pts, n_shards)
     dims = [c for c in pts.columns if c.startswith("k")]
-    rows = pts.select("id", "size", "crc", _assign(tree, dims, leaf_numbers(tree, n_shards)).cast("int").alias("shard"))
+    rest, own = pts, None
+    if heavy := heavy_points(pts, n_shards, total) if n_shards > 1 else []:
+        alone = F.broadcast(docs.sparkSession.createDataFrame(  # fewer rows than shards
+            [(*k, i) for i, k in enumerate(heavy)], [*(f"h{c}" for c in dims), "own"]))
+        same = [F.col(c) == F.col(f"h{c}") for c in dims]
+        pts = staged(pts.join(alone, same, "left").select(*pts.columns, "own"), "points")
+        rest, own = pts.filter("own is null"), F.col("own")
+    tree = kd_tree(rest, n_shards - len(heavy))
+    numbers = leaf_numbers(tree)
+    in_tree = _assign(tree, dims, numbers)
+    number = in_tree if own is None else F.coalesce(own + F.lit(len(numbers)), in_tree)
+    rows = pts.select("id", "size", "crc", number.cast("int").alias("shard"))
     return hash_index(rows, ["shard"], ["id", "crc"], "slot").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 

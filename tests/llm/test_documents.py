@@ -444,6 +444,17 @@ def test_shards_with_a_third_of_equal_texts(spark):
     assert same["shard"].nunique() == 1 and got["shard"].nunique() >= 6
 
 
+def test_no_shard_is_empty_beside_a_group_of_equal_texts(spark):
+    rows = [(i, "the same text of a third of all rows") for i in range(2_000)]
+    rows += [(i, f"text number {i} of {i * 7919 % 10_007} " + "x" * (i % 50)) for i in range(2_000, 6_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=40).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert sorted(size.index) == list(range(40))
+    group = got[got.doc_id < 2_000]["shard"].unique()
+    rest = size.drop(group)
+    assert len(group) == 1 and rest.max() <= 1.1 * rest.min()
+
+
 # ---- operator 10 ----------------------------------------------------------------------------------------------------
 
 def line_stats(text):
