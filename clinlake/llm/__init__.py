@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints", "quality_model", "packing", "mixing", "jaccard_join", "pii_spans"]
+MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints", "quality_model", "packing", "mixing", "jaccard_join", "pii_spans",
+           "fill_middle"]
 
 
 def _gather(name: str) -> dict:
