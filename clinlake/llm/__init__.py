@@ -7,7 +7,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["quality_rules", "sharding", "warc", "html_text", "fingerprints", "quality_model", "packing", "mixing", "jaccard_join", "pii_spans",
-           "fill_middle", "source_audit"]
+           "fill_middle", "source_audit", "graph_search"]
 
 
 def _gather(name: str) -> dict:
