@@ -11,7 +11,7 @@ import importlib
 
 _MODULES = [
     "frames", "cleaning", "profiles", "drift", "panel", "evaluation",
-    "text", "graph", "genomics", "signal", "streams", "models", "sources", "analytics",
+    "text", "graph", "genomics", "signal", "streams", "models", "sources", "analytics", "linkage",
 ]
 
 

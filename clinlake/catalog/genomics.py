@@ -134,24 +134,7 @@ SELECT l_suppkey, round(called / nv, 6) AS call_rate, called / nv >= 0.95 AS pas
 """
 
 
-PCA_PANEL = 256
-
-
-def genotype_pca(spark, sf):
-    """Ten genotype principal components per sample (supplier) over a PCA panel:
-    the PCA_PANEL variants called in the most samples (ties by id), as a
-    QC-selected panel stands in for the pruned set."""
-    from clinlake.operators.retrieval import top_k_per_group
-    g = _genotypes(spark, sf)
-    calls = g.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("called")).withColumn("_all", F.lit(1))
-    panel = top_k_per_group(calls, ["_all"], [F.col("called").desc(), F.col("l_partkey")], PCA_PANEL,
-                            salt_of=F.xxhash64("l_partkey")).select("l_partkey")
-    pcs = genomics.genotype_pca(g.join(panel, "l_partkey", "left_semi"), "l_partkey", "l_suppkey", "dosage", k=10)
-    return pcs.select("l_suppkey", *[F.round(f"pc{i}", 6).alias(f"pc{i}") for i in range(1, 11)])
-
-
 QUERIES = {
-    "genotype_pca": genotype_pca,
     "sample_qc": sample_qc,
     "variant_burden": variant_burden,
     "pathway_burden": pathway_burden,

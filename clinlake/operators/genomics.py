@@ -65,6 +65,16 @@ HWE_P_MIN = 1e-6
 HWE_CHI2_MAX = chi2_1df_critical(HWE_P_MIN)
 
 
+def hwe_chi2(n: Column, p: Column) -> Column:
+    """Chi-square (1 df) of the genotype counts n0, n1, n2 of ``n`` called samples
+    against Hardy-Weinberg proportions at allele frequency ``p``."""
+    q = 1 - p
+
+    def term(o, e):
+        return F.when(e > 0, F.pow(F.col(o) - e, 2) / e).otherwise(F.lit(0.0))
+    return term("n0", n * q * q) + term("n1", 2 * n * p * q) + term("n2", n * p * p)
+
+
 def variant_qc(genotypes: DataFrame, variant: str, sample: str, dosage: str, n_samples: Column,
                min_af: float = 0.01, min_call_rate: float = 0.98) -> DataFrame:
     """Per-variant allele frequency, call rate and HWE chi-square (1 df) from
@@ -77,14 +87,9 @@ def variant_qc(genotypes: DataFrame, variant: str, sample: str, dosage: str, n_s
     c = c.crossJoin(bounded_broadcast(n_samples))
     n = F.col("called").cast("double")
     p = F.col("alt") / (2 * n)
-    q = 1 - p
-    e0, e1, e2 = n * q * q, 2 * n * p * q, n * p * p
-
-    def term(o, e):
-        return F.when(e > 0, F.pow(F.col(o) - e, 2) / e).otherwise(F.lit(0.0))
-    chi2 = term("n0", e0) + term("n1", e1) + term("n2", e2)
+    chi2 = hwe_chi2(n, p)
     call_rate = n / F.col("_n_samples")
-    af = F.least(p, q)
+    af = F.least(p, 1 - p)
     return c.select(variant, "called", "n0", "n1", "n2", af.alias("maf"), call_rate.alias("call_rate"),
                     chi2.alias("hwe_chi2"),
                     ((af >= min_af) & (call_rate >= min_call_rate) & (chi2 <= HWE_CHI2_MAX)).alias("pass_qc"))
@@ -144,29 +149,52 @@ def polygenic_scores(genotypes: DataFrame, betas: DataFrame, variant: str, sampl
     return k.select(sample, trait, "prs", F.coalesce((F.col("prs") - F.col("_m")) / sd, F.lit(0.0)).alias("prs_z"))
 
 
-def genotype_pca(genotypes: DataFrame, variant: str, sample: str, dosage: str, k: int = 10,
-                 max_variants: int = 50_000) -> DataFrame:
-    """Top-k principal components of the sample x variant dosage matrix (MLlib PCA).
-
-    Variants get dense indexes (sorted codes); each sample row is its dosage
-    vector over the panel, built natively from an (index -> dosage) map with
-    missing calls as 0.  The panel width is checked against ``max_variants``
-    (PCA's covariance is width x width); rows are samples, so the sample count
-    is unbounded."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from clinlake.plans.broadcast import is_small
-    from clinlake.plans.prefix import dense_codes
-    codes = dense_codes(genotypes.select(variant), variant, "_idx")
-    if not is_small(codes, max_variants):
-        raise ValueError(f"more than {max_variants} variants: prune the panel first")
-    width = codes.agg(F.count(F.lit(1)).alias("w")).collect()[0]["w"]
-    g = genotypes.join(codes, variant).select(sample, "_idx", F.col(dosage).cast("double").alias("_d"))
-    per = g.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("_idx", "_d"))).alias("_m"))
-    dense = per.select(sample, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                                                           lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))))
-                       .alias("_x"))
-    model = PCA(k=min(k, width), inputCol="_x", outputCol="_pc").fit(dense)
-    pcs = model.transform(dense).select(sample, vector_to_array("_pc").alias("_a"))
-    return pcs.select(sample, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(min(k, width))])
+# Codes of the annotation's categories.
+CONSEQUENCE_CODES = {
+    "intergenic_variant": 0, "intron_variant": 1, "synonymous_variant": 2, "missense_variant": 3, "stop_gained": 4,
+    "splice_region_variant": 5, "splice_acceptor_variant": 6, "splice_donor_variant": 7, "frameshift_variant": 8,
+    "start_lost": 9, "transcript_ablation": 10,
+}
+IMPACT_CODES = {"LOW": 0, "MODERATE": 1, "HIGH": 2, "MODIFIER": -1}
+CLINVAR_CODES = {"benign": -1, "likely_benign": -1, "uncertain_significance": 0, "vus": 0, "likely_pathogenic": 1, "pathogenic": 2}
+
+
+def variant_feature_matrix(annotated: DataFrame, prs: DataFrame, expression: DataFrame | None = None,
+                           patient: str = "patient_id") -> DataFrame:
+    """One row per (patient, annotated variant): the patient, variant_id and 16 encoded columns.
+
+    ``annotated`` has the annotator's columns (any of them may be absent or null);
+    ``prs`` (patient, prs_ad, prs_pd, prs_als) weighs every variant of a patient and
+    ``expression`` (gene_symbol, gtex_brain_expression) every variant of a gene; what
+    they lack counts as 0."""
+    def given(name: str, default) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in annotated.columns else F.lit(default)
+
+    def number(name: str, default: float) -> Column:
+        return F.coalesce(nan_to_null(given(name, str(default)).try_cast("double")), F.lit(default))
+
+    def code(value: Column, codes: dict[str, int], default: int) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+        return F.coalesce(F.try_element_at(known, value), F.lit(default))
+    place = F.split(given("Location", "0:0"), ":")
+    rows = annotated.select(
+        patient, given("variant_id", "").alias("variant_id"), given("SYMBOL", "UNK").alias("gene_symbol"),
+        place[0].alias("chromosome"),
+        F.coalesce(F.get(place, F.lit(1)).try_cast("double").cast("long"), F.lit(0)).alias("position"),
+        given("Allele", "N").alias("ref"), given("Allele", "N").alias("alt"),
+        code(F.split(given("Consequence", "intergenic_variant"), ",")[0], CONSEQUENCE_CODES, 0).alias("consequence_category"),
+        code(given("IMPACT", "MODIFIER"), IMPACT_CODES, -1).alias("impact_score"),
+        (F.least(F.greatest(number("CADD_PHRED", 0.0), F.lit(0.0)), F.lit(50.0)) / 50.0).alias("cadd_phred"),
+        F.least(F.greatest(number("gnomADg_AF", 0.0), F.lit(0.0)), F.lit(1.0)).alias("gnomad_af"),
+        code(F.lower(given("ClinVar_CLNSIG", "uncertain_significance")), CLINVAR_CODES, 0).alias("clinvar_encoded"),
+        number("SIFT", 0.5).alias("sift_score"), number("PolyPhen", 0.5).alias("polyphen_score"))
+    level = F.lit(0.0).alias("gtex_brain_expression")
+    if expression is not None:
+        rows = rows.join(runtime_sized(expression), "gene_symbol", "left")
+        level = F.coalesce(F.col("gtex_brain_expression").cast("double"), F.lit(0.0)).alias("gtex_brain_expression")
+    rows = rows.join(runtime_sized(prs), patient, "left")
+    weights = [(F.coalesce(F.col(f"prs_{t}").cast("double"), F.lit(0.0)) if f"prs_{t}" in prs.columns else F.lit(0.0))
+               .alias(f"prs_weight_{t}") for t in ("ad", "pd", "als")]
+    return rows.select(patient, "variant_id", "gene_symbol", "chromosome", "position", "ref", "alt", "consequence_category",
+                       "impact_score", "cadd_phred", "gnomad_af", "clinvar_encoded", "sift_score", "polyphen_score",
+                       level, *weights)
