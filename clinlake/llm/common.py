@@ -7,7 +7,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -38,10 +38,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that take down the paths of staged tables, see ``staging``.
+_NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staging() -> Iterator[list[str]]:
+    """The paths of all tables that are staged meanwhile."""
+    _NOTED.append([])
+    try:
+        yield _NOTED[-1]
+    finally:
+        _NOTED.pop()
+
+
+def drop_staged(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete staged tables that nothing reads any more, in whatever store they lie."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends
     there, and a lost executor costs no recomputation of what lies before."""
     path = scratch(df.sparkSession, name)
+    for noted in _NOTED:
+        noted.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,17 +88,30 @@ def unit(hash64: Column) -> Column:
     return F.shiftrightunsigned(hash64, 33)
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def file_order(df: DataFrame, out: str) -> DataFrame:
     """``df``, read from Parquet files that Spark wrote, with each row's gapless
-    0-based place in the order of the files' numbers and of the rows in them."""
+    0-based place in the order of the files' numbers and of the rows in them.
+    ``out`` must be the name of no column."""
+    file, row, of, n, first = unused([*df.columns, out], "_file", "_row", "_of", "_n", "_first")
     name = F.col("_metadata.file_name")
-    rows = df.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    number = [F.regexp_extract("_of", pattern, 1).try_cast("long") for pattern in (r"part-(\d+)", r"-c(\d+)\.")]
-    before = Window.orderBy(*number, "_of").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = df.select(name.alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return rows.join(sized_broadcast(files), F.col("_file") == F.col("_of")).select(
-        *df.columns, (F.col("_o") + F.col("_row")).alias(out))
+    rows = df.select("*", name.alias(file), F.col("_metadata.row_index").alias(row))
+    number = [F.regexp_extract(of, pattern, 1).try_cast("long") for pattern in (r"part-(\d+)", r"-c(\d+)\.")]
+    before = Window.orderBy(*number, of).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = df.select(name.alias(of)).groupBy(of).agg(F.count(F.lit(1)).alias(n)).select(
+        of, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    return rows.join(sized_broadcast(files), F.col(file) == F.col(of)).select(
+        *df.columns, (F.col(first) + F.col(row)).alias(out))
 
 
 def hash_index(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str,

@@ -25,14 +25,16 @@ described by its difference D(x) = x ^ p, for which |D(x) ^ D(y)| = |x ^ y|:
 * a member within the limit of p links with p;
 * if |D(x)| + |D(y)| is within the limit, the triangle inequality puts both
   within the limit of p, so p connects them;
-* otherwise x and y share part of their differences, and the join goes down one
-  level, to regions around single elements: in any order that both keep (here
-  the elements that p lacks come first, they are the rare ones), the first
-  shared element lies among the first K/2 + 1 of the smaller difference and the
-  first K + 1 of the larger (K: the limit), and windows of the triangle
-  inequality, ||D(x)| - |D(y)|| <= K, cut down what meets there.
-
-Members of one class need not meet again.  Candidates that remain are cut down
+* otherwise x and y share part of their differences: in any order that both
+  keep (here the elements that p lacks come first, they are the rare ones), the
+  first shared element lies among the first K/2 + 1 of the smaller difference and
+  the first K + 1 of the larger (K: the limit).  The members that share such an
+  element are a region of the next level, which has a pivot of its own, and so on
+  until a region has few members or those of one class only.  A region never
+  holds the pivot above it, so regions shrink; what is left after ``LEVELS`` pivots
+  is joined pair by pair.
+
+Members of one class need not meet again.  Pairs that remain are cut down
 by a lower bound of the distance (64-bin histograms) and decided on the full
 sets, so no link is lost or invented; only collisions of 64-bit hashes are
 neglected.
@@ -58,8 +60,9 @@ NO_KEYS = np.empty(0, np.int64)
 #: So many keys of regions with several members are sent to all executors (8 bytes
 #: each); more are joined by a shuffle.
 LIVE_KEYS, BLOCK_KEYS = 3_000_000, 400_000
-#: Regions of so many members are joined pair by pair.
+#: Regions of so many members are joined pair by pair, and so are those this many pivots deep.
 FEW = 4
+LEVELS = 8
 
 
 class WordHash(dict):
@@ -262,22 +265,33 @@ def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) ->
         run, "p long, x long, k int, d int, linked boolean, first array<long>")
 
 
-def _shared_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): members of one pivot, of different classes, whose
-    differences share an early element."""
+def _sub_regions(around: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, sid, c, n): the members of one pivot that share an early element of their
+    differences, where they are of several classes ``c``; n: the region's size."""
     rows = around.filter("first is not null").join(labels, F.col("x") == F.col("v"), "left").select(
-        "p", "x", "k", "d", "first", F.coalesce("c", "x").alias("c"))
-
-    def side(take, i):
-        kd = F.shiftleft(F.col("k").cast("long"), 32) + F.col("d")  # one word of the shuffled row
-        return rows.select("p", F.col("x").alias(f"x{i}"), kd.alias(f"kd{i}"), F.col("c").alias(f"c{i}"),
-                           F.explode(take).alias("e")).select(F.xxhash64("p", "e").alias(f"e{i}"), f"x{i}", f"kd{i}", f"c{i}")
-    small, large = side(F.slice("first", F.lit(1), F.floor(F.col("k") / 2).cast("int") + 1), 1), side(F.col("first"), 2)
-    d1, d2 = (F.col(f"kd{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in (1, 2))
-    k1, k2 = (F.shiftright(f"kd{i}", 32) for i in (1, 2))
-    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2"))
-                      & ((d1 < d2) | ((d1 == d2) & (F.col("x1") < F.col("x2")))) & (d2 - d1 <= F.least(k1, k2)))
-    return meet.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
+        "p", F.col("x").alias("sid"), F.coalesce("c", "x").alias("c"), (F.col("k") / 2).alias("half"), F.posexplode("first"))
+    rows = rows.select(F.xxhash64("p", "col").alias("key"), "sid", "c", (F.col("pos") <= F.col("half")).alias("early"))
+    # of a linked pair of different classes the nearer member has a shared element in the first half
+    alive = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                    F.max("early").alias("some")).filter("some and lo <> hi").select(F.col("key").alias("ak"), "n")
+    return rows.join(alive, F.col("key") == F.col("ak")).select("key", "sid", "c", "n")
+
+
+def _couples(regions: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes inside each region."""
+    one = regions.select("key", F.col("sid").alias("a"), F.col("c").alias("ca"))
+    two = regions.select(F.col("key").alias("k2"), F.col("sid").alias("b"), F.col("c").alias("cb"))
+    met = one.join(two, (F.col("key") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    return met.select("a", "b").distinct()
+
+
+def _pivot_pairs(regions: DataFrame) -> DataFrame:
+    """(p, x): each member of a region with the region's pivot, the member that lies
+    in the most and largest regions."""
+    met = regions.groupBy("sid").agg(F.sum("n").alias("met")).withColumnRenamed("sid", "ms")
+    pivots = regions.join(met, F.col("sid") == F.col("ms")).groupBy("key").agg(
+        F.max(F.struct("met", "sid")).alias("top")).select(F.col("key").alias("pk"), F.col("top.sid").alias("p"))
+    return regions.join(pivots, F.col("key") == F.col("pk")).filter("sid <> p").select("p", F.col("sid").alias("x")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,28 +356,26 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
                   .filter("lo <> hi").select(F.col("key").alias("lk")), "live")
     placed = _members_of_live(in_regions, live)
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "nk")
-    sized = staged(placed.join(sizes, F.col("key") == F.col("nk")).select("key", "sid", "n"), "sized")
-    # a region of a few members: all its pairs (at most three a member)
-    few = sized.filter(F.col("n") <= FEW)
-    couples = few.select("key", F.col("sid").alias("a")).join(
-        few.select(F.col("key").alias("k2"), F.col("sid").alias("b")), (F.col("key") == F.col("k2")) & (F.col("a") < F.col("b")))
-    near = staged(_near(couples.select("a", "b").distinct(), sets, num, den), "near")
-    # a larger one: around its pivot
-    large = sized.filter(F.col("n") > FEW)
-    met = large.groupBy("sid").agg(F.sum("n").alias("met")).withColumnRenamed("sid", "ms")
-    pivots = large.join(met, F.col("sid") == F.col("ms")).groupBy("key").agg(
-        F.max(F.struct("met", "sid")).alias("top")).select(F.col("key").alias("pk"), F.col("top.sid").alias("p"))
-    pairs = staged(large.join(pivots, F.col("key") == F.col("pk")).filter("sid <> p")
-                   .select("p", F.col("sid").alias("x")).distinct(), "pairs")
-    wanted = (pairs.select(F.explode(F.array("p", "x")).alias("w"))
-              .union(near.select(F.explode(F.array("a", "b")).alias("w"))).distinct())
-    reps = staged(sets.join(wanted, F.col("sid") == F.col("w"), "left_semi").select("rep"), "wanted")
-    members = _members_of(docs, reps, k, "pivots")
-    around = staged(_around_pivots(pairs, members, num, den), "around")
-    direct = around.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")).union(
-        _links(near, members, num, den))
-    shared = _near(_shared_differences(around, components(direct)), sets, num, den)
-    labels = components(direct.union(_links(shared, members, num, den)))
+    regions = staged(placed.join(sizes, F.col("key") == F.col("nk")).select("key", "sid", F.col("sid").alias("c"), "n"), "sized")
+    links = members = labels = None
+    for level in range(LEVELS + 1):
+        # a region of a few members: all its pairs; a larger one: around its pivot, then region by region again
+        few = regions if level == LEVELS else regions.filter(F.col("n") <= FEW)
+        near = staged(_near(_couples(few), sets, num, den), "near")
+        pairs = staged(_pivot_pairs(regions.filter(F.lit(level < LEVELS) & (F.col("n") > FEW))), "pairs")
+        if members is None:  # regions further in hold members of those before them only
+            wanted = (pairs.select(F.explode(F.array("p", "x")).alias("w"))
+                      .union(near.select(F.explode(F.array("a", "b")).alias("w"))).distinct())
+            reps = staged(sets.join(wanted, F.col("sid") == F.col("w"), "left_semi").select("rep"), "wanted")
+            members = _members_of(docs, reps, k, "pivots")
+        around = staged(_around_pivots(pairs, members, num, den), "around")
+        found = around.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")).union(
+            _links(near, members, num, den))
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        regions = staged(_sub_regions(around, labels), "regions")
+        if regions.isEmpty():
+            break
     named = sets.select("sid", "rep").join(labels, F.col("sid") == F.col("v"), "left").select(
         "sid", "rep", F.coalesce("c", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least")).withColumnRenamed("c", "lc")

@@ -490,9 +490,10 @@ def brute_rules(rows, max_share, max_docs, min_left):
 def test_line_rules_against_brute_force(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    common_line = "This very line Stands in many documents of the host and says nothing at all about them"
-    rows += [(5_000 + i, "\n".join([common_line] * 3 + [f"word{i} and {i}", common_line.upper()]) + " end" * (i % 3), "h")
-             for i in range(40)]
+    shared = [" ".join(f"Shared{n}word{j}" for j in range(18)) for n in "abc"]
+    rows += [(5_000 + i, "\n".join([*shared, f"word{i} and {i}", shared[0].upper()]) + " end" * (i % 3), "h")
+             for i in range(40)]  # depleted
+    rows += [(6_000 + i, "\n".join([*shared, " ".join(f"own{i}x{j}" for j in range(70))]), "h") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = quality_rules.line_frequency_rules(df, max_share=0.1, max_docs=3).collect()
     expected = brute_rules(rows, 0.1, 3, 0.5)

@@ -68,6 +68,46 @@ def test_stages_take_empty_and_odd_documents(spark):
         assert docs.count() == (4 if rows else 0)
 
 
+def test_clashing_columns_and_rows_that_differ_elsewhere(spark):
+    """Names that the stages use themselves, and two rows equal in id and text only."""
+    names = ["g", "r", "h", "n", "stays", "place", "at", "position", "_file", "_row", "_of", "_n", "row", "spans", "queue", "C"]
+    text = "some words that stand here twice in the same table"
+    rows = [(1, text, "en", s, 50, *[f"{s}{c}" for c in names]) for s in ("b", "a", "c")]
+    rows += [(2, "other words of another document, mail x@y.org", None, "a", 45, *names), (3, None, "en", None, None, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, schema)
+        for name, stage in cp.STAGES[1:-1]:
+            docs = common.staged(stage(spark, docs, SF), name)
+            assert docs.columns == spark.createDataFrame([], schema).columns
+        found = {r.doc_id: tuple(r) for r in docs.collect()}
+        assert set(found) == {1, 2, 3} and found[1] in rows and found[2][5:] == tuple(names) and "[EMAIL]" in found[2][1]
+        kept.append(found)
+        assert run(spark, "pack", docs).select("doc_id").distinct().count() == 3
+    assert kept[0] == kept[1]
+
+
+def test_quality_stage_takes_odd_rows(spark):
+    docs = common.read(spark, SF, "documents")
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (None, " \n", "en", "s", 3)], docs.schema)
+    good = cp.keep_good(spark, docs.unionByName(odd).unionByName(odd), SF)
+    counts = {r.doc_id: r["count"] for r in good.filter("doc_id < 0 or doc_id is null").groupBy("doc_id").count().collect()}
+    assert len(counts) in (0, 3) and set(counts.values()) <= {2}  # one score for all that are empty
+
+
+def test_tables_of_a_stage_go_when_the_next_one_begins(spark, tmp_path):
+    import os
+
+    docs = common.staged(common.read(spark, "/root/testdata/sf0.001", "documents"), "docs")
+    single = run(spark, "near_duplicates", docs)
+    old = list(cp._left["drop_near_duplicates"])
+    assert old and all(os.path.isdir(p.removeprefix("file:")) for p in old)
+    clean = run(spark, "pii", single)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in old)
+    assert clean.count() == single.count() and docs.count() == 200
+
+
 def test_mix_weights_reach_the_sequences(spark, monkeypatch):
     docs = common.read(spark, "/root/testdata/sf0.001", "documents")
     sources = sorted(r.source for r in docs.select("source").distinct().collect())
@@ -76,9 +116,10 @@ def test_mix_weights_reach_the_sequences(spark, monkeypatch):
         weights = {s: 50.0 if s == heavy else 1.0 for s in sources}
         monkeypatch.setattr(mixing, "mix", lambda d, w=weights: plain(d, weights=w, block_docs=2))
         got = run(spark, "pack", run(spark, "mix", docs)).toPandas().sort_values(["sequence_id", "offset"])
-        order = list(dict.fromkeys(got.doc_id))
+        order, source = list(dict.fromkeys(got.doc_id)), {r.doc_id: r.source for r in docs.collect()}
         place = {r.row.doc_id: r.position for r in mixing.mix(docs).collect()}
-        assert order == sorted(place, key=place.get)
+        assert sorted(order) == sorted(source)
+        assert [source[d] for d in order] == [source[d] for d in sorted(place, key=place.get)]
         assert_packed(got, {d: ids_of(t) for d, t in texts(docs).items()}, 4096)
         found.append(list(zip(got.doc_id, got.sequence_id, got.offset)))
     assert found[0] != found[1]
