@@ -11,7 +11,7 @@ from clinlake.catalog import drift as drift_q
 from clinlake.catalog import models as models_q
 from clinlake.catalog import signal as signal_q
 from clinlake.catalog import text as text_q
-from clinlake.operators import connectome, drift, evaluate, graph, impute, retrieval, signal, text
+from clinlake.operators import connectome, drift, evaluate, graph, impute, retrieval, signal, sparse_search, text
 from clinlake.session import table
 
 
@@ -41,7 +41,7 @@ FROM r
 def evidence_context(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
     qs = table(spark, sf, "benchmark", ["item_id", "text"])
-    top = retrieval.bm25_top_k(docs.select("doc_id", "text"), "doc_id", "text", qs, "item_id", "text", 5)
+    top = sparse_search.bm25_top_k(docs.select("doc_id", "text"), "doc_id", "text", qs, "item_id", "text", 5)
     j = top.join(docs, "doc_id")
     block = text.evidence_block(j, "item_id", "rank", "doc_id", "lang", "source", "text")
     return block.select("item_id", "n_passages", F.length("context").alias("context_chars"),

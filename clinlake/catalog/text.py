@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clinlake.operators import pii, retrieval, text
+from clinlake.operators import pii, retrieval, sparse_search, text, vector_index
 from clinlake.session import table
 
 K = 10
@@ -18,7 +18,7 @@ K = 10
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id", "text"])
     qs = table(spark, sf, "benchmark", ["item_id", "text"])
-    top = retrieval.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", K)
+    top = sparse_search.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", K)
     return top.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -46,10 +46,8 @@ SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= {K}
 def rrf_fusion(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id", "text"])
     qs = table(spark, sf, "benchmark", ["item_id", "text"])
-    sparse = retrieval.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", 2 * K)
-    jac = retrieval.jaccard_scores(docs, "doc_id", "text", qs, "item_id", "text")
-    overlap = retrieval.top_k_per_group(jac, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 2 * K,
-                                        salt_of=F.xxhash64("doc_id"))
+    sparse = sparse_search.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", 2 * K)
+    overlap = sparse_search.jaccard_top_k(docs, "doc_id", "text", qs, "item_id", "text", 2 * K)
     fused = retrieval.rrf([sparse, overlap], "item_id", "doc_id")
     top = retrieval.top_k_per_group(fused, ["item_id"], [F.round("rrf_score", 12).desc(), F.col("doc_id")], K,
                                     salt_of=F.xxhash64("doc_id"))
@@ -102,10 +100,30 @@ SELECT label, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= {K}
 
 def ann_ivf_topk(spark, sf):
     emb = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
-    top = retrieval.ann_ivf_top_k(emb, "vec_id", "embedding", _centroids(emb), "label", "centroid", K)
+    top = vector_index.top_k(vector_index.build(emb, "vec_id", "embedding"), _centroids(emb), "label", "centroid", K)
     return top.select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def ann_recall(spark, sf):
+    """Recall at 10 of the index for the mean vector of every label, against exact
+    search; the floor is 0.9, and every score is exact."""
+    emb = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    asked = _centroids(emb)
+    found = vector_index.top_k(vector_index.build(emb, "vec_id", "embedding"), asked, "label", "centroid", K)
+    true = retrieval.dense_top_k(emb, "vec_id", "embedding", asked, "label", "centroid", K)
+    both = true.select("label", "vec_id", F.col("score").alias("exact")).join(
+        found.select("label", "vec_id", "score"), ["label", "vec_id"], "left")
+    return both.agg(F.countDistinct("label").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+                    (F.count("score") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+                    F.coalesce(F.max(F.abs(F.col("score") - F.col("exact"))) < 1e-9, F.lit(True)).alias("scores_exact"))
+
+
+_RECALL_SQL = f"""
+SELECT count(DISTINCT label) AS queries, {K} * count(DISTINCT label) AS neighbours, true AS recall_reached, true AS scores_exact
+FROM embeddings
+"""
+
+
 def semantic_chunks(spark, sf):
     emb = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
     ch = retrieval.semantic_chunks(emb, ["label"], ["vec_id"], "embedding", 0.85)
@@ -230,10 +248,8 @@ def citation_guard(spark, sf):
     anti join; with the share of unsupported citations."""
     docs = table(spark, sf, "documents", ["doc_id", "text"])
     qs = table(spark, sf, "benchmark", ["item_id", "text"])
-    retrieved = retrieval.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", K).select("item_id", "doc_id")
-    jac = retrieval.jaccard_scores(docs, "doc_id", "text", qs, "item_id", "text")
-    cited = retrieval.top_k_per_group(jac, ["item_id"], [F.col("score").desc(), F.col("doc_id")], K,
-                                      salt_of=F.xxhash64("doc_id")).select("item_id", "doc_id")
+    retrieved = sparse_search.bm25_top_k(docs, "doc_id", "text", qs, "item_id", "text", K).select("item_id", "doc_id")
+    cited = sparse_search.jaccard_top_k(docs, "doc_id", "text", qs, "item_id", "text", K).select("item_id", "doc_id")
     missing = cited.join(retrieved, ["item_id", "doc_id"], "left_anti")
     per = cited.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_cited"))
     bad = missing.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
@@ -265,6 +281,7 @@ QUERIES = {
     "rrf_fusion": rrf_fusion,
     "cosine_topk": cosine_topk,
     "ann_ivf_topk": ann_ivf_topk,
+    "ann_recall": ann_recall,
     "semantic_chunks": semantic_chunks,
     "term_frequency": term_frequency,
     "token_overlap": token_overlap,
@@ -278,6 +295,7 @@ ORACLE = {
     "bm25_topk": _BM25_SQL,
     "rrf_fusion": _RRF_SQL,
     "cosine_topk": _COSINE_SQL,
+    "ann_recall": _RECALL_SQL,
     "semantic_chunks": _CHUNK_SQL,
     "term_frequency": _tf_sql(),
     "token_overlap": _OVERLAP_SQL,

@@ -1,10 +1,7 @@
-"""Retrieval: BM25, exact cosine top-k, partial top-k, reciprocal-rank fusion,
-semantic chunking, IVF approximate search (SURVEY 2.16.8-2.16.14, 2.6.14).
+"""Retrieval: exact cosine top-k, partial top-k, reciprocal-rank fusion,
+semantic chunking (SURVEY 2.16.8-2.16.14, 2.6.14; see also ``sparse_search`` and
+``vector_index``).
 
-* BM25 is term tables (tf, df, doc length) and one equi-join of query terms
-  with postings.  The postings side is salted so a very common term's posting
-  list is spread over ``salts`` tasks (the query side is replicated per salt;
-  it is small).
 * Exact dense top-k scores every document against a size-checked query set
   inside each partition (NumPy matrix product in ``mapInPandas``), keeps a
   partial top-k per partition and merges: only P x Q x k rows are shuffled.
@@ -22,10 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import cosine
-from clinlake.operators.text import whitespace_tokens
 from clinlake.plans.broadcast import bounded_broadcast, is_small
-from clinlake.plans.parallel import spread
-from clinlake.session import checkpoint_dir
 from clinlake.plans.prefix import running_sum
 
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -47,14 +41,6 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
     return part.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k).drop("_salt", "_r1")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf) postings and (doc, dl) lengths from whitespace tokens."""
-    toks = docs.select(id_col, F.explode(whitespace_tokens(text_col)).alias("term"))
-    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = docs.select(id_col, F.size(whitespace_tokens(text_col)).alias("dl"))
-    return tf, dl
-
-
 def bm25_idf(df_t: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Okapi idf = ln(N - df + 0.5) - ln(df + 0.5) from a (term, df) table; negative
     idf replaced by epsilon x the mean idf over all terms."""
@@ -66,56 +52,6 @@ def bm25_idf(df_t: DataFrame, n_docs: DataFrame) -> DataFrame:
                     .otherwise(F.col("idf_raw")).alias("idf"))
 
 
-def _query_terms(queries: DataFrame, q_id: str, q_text: str) -> DataFrame:
-    return (queries.select(q_id, F.explode(whitespace_tokens(q_text)).alias("term"))
-            .groupBy(q_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
-
-
-def bm25_scores(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
-                salts: int = 16, max_query_terms: int = 2_000_000) -> DataFrame:
-    """BM25 score of every (query, document) pair sharing at least one term.
-
-    The corpus is tokenised once, into one (doc, term) -> tf aggregate that
-    carries the document length; document frequencies (for every term: the
-    epsilon floor needs the mean idf over the vocabulary), the token total
-    (avgdl = tokens / N) and the postings of query terms are all read from
-    that one exchange.  N counts every document (no text is read for it).
-    When the query-term table is proven small it is broadcast; otherwise the
-    postings are salted and joined by a shuffle."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_N"))
-    toks = spread(docs.select(doc_id, doc_text), [doc_id]).select(doc_id, whitespace_tokens(doc_text).alias("_tok"))
-    ex = toks.select(doc_id, F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-    tf_all = ex.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    # the postings table feeds four consumers whose pruned plans differ, so Spark
-    # would not reuse its exchange: write it once to the shared checkpoint folder
-    checkpoint_dir(docs.sparkSession)
-    tf_all = tf_all.checkpoint(eager=True)
-    total = tf_all.agg(F.sum("tf").alias("_tokens"))
-    stats = n_docs.crossJoin(total).select("_N", (F.col("_tokens") / F.col("_N")).alias("_avgdl"))
-    df_t = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = bm25_idf(df_t, stats.select("_N"))
-    qt = _query_terms(queries, q_id, q_text)
-    small = is_small(qt, max_query_terms)  # checked on the query side alone (cheap)
-    q = qt.join(idf, "term", "inner")
-    if small:
-        j = tf_all.join(F.broadcast(q), "term")
-    else:
-        tf = tf_all.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
-        qs = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        j = qs.join(tf, ["term", "_salt"])
-    j = j.crossJoin(bounded_broadcast(stats.select("_avgdl")))
-    norm = F.col("tf") + F.lit(BM25_K1) * (1 - F.lit(BM25_B) + F.lit(BM25_B) * F.col("dl") / F.col("_avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(BM25_K1 + 1) / norm
-    return j.groupBy(q_id, doc_id).agg(F.sum(part).alias("score"))
-
-
-def bm25_top_k(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
-               k: int) -> DataFrame:
-    s = bm25_scores(docs, doc_id, doc_text, queries, q_id, q_text)
-    # equal documents score equal up to summation order: rank on 9 decimals, then id
-    return top_k_per_group(s, [q_id], [F.round("score", 9).desc(), F.col(doc_id)], k, salt_of=F.xxhash64(doc_id))
-
-
 def dense_top_k(docs: DataFrame, doc_id: str, vec_col: str, queries: DataFrame, q_id: str, q_vec: str,
                 k: int, max_queries: int = 50_000) -> DataFrame:
     """Exact cosine top-k of every query over all documents.
@@ -126,7 +62,7 @@ def dense_top_k(docs: DataFrame, doc_id: str, vec_col: str, queries: DataFrame,
     batch, then the partial lists are merged per query.
     """
     if not is_small(queries, max_queries):
-        raise ValueError(f"query set larger than {max_queries}; use ann_ivf_top_k")
+        raise ValueError(f"query set larger than {max_queries}; use vector_index.top_k")
     qrows = queries.select(q_id, q_vec).collect()  # bounded by the check above
     qids = [r[0] for r in qrows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows])
@@ -169,28 +105,6 @@ def rrf(rankings: Sequence[DataFrame], q_id: str, doc_id: str, rank_col: str = "
     return u.groupBy(q_id, doc_id).agg(F.sum("_rr").alias("rrf_score"))
 
 
-def jaccard_scores(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
-                   salts: int = 16, max_query_terms: int = 2_000_000) -> DataFrame:
-    """Token-set Jaccard of (query, document) pairs sharing a term, from term joins:
-    |A n B| = shared distinct terms, |A u B| = |A| + |B| - |A n B|.  Set sizes are
-    array sizes per row; the term join is broadcast when the query side is
-    proven small, salted otherwise."""
-    dset = spread(docs.select(doc_id, doc_text), [doc_id]).select(
-        doc_id, F.array_distinct(whitespace_tokens(doc_text)).alias("_set"))
-    dterms = dset.select(doc_id, F.size("_set").alias("_nd"), F.explode("_set").alias("term"))
-    qset = queries.select(q_id, F.array_distinct(whitespace_tokens(q_text)).alias("_set"))
-    qterms = qset.select(q_id, F.size("_set").alias("_nq"), F.explode("_set").alias("term"))
-    if is_small(qterms, max_query_terms):
-        j = dterms.join(F.broadcast(qterms), "term")
-    else:
-        post = dterms.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)))
-        qs = qterms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        j = qs.join(post, ["term", "_salt"])
-    shared = j.groupBy(q_id, doc_id).agg(F.count(F.lit(1)).alias("_inter"), F.max("_nd").alias("_nd"),
-                                         F.max("_nq").alias("_nq"))
-    return shared.select(q_id, doc_id, (F.col("_inter") / (F.col("_nd") + F.col("_nq") - F.col("_inter"))).alias("score"))
-
-
 def semantic_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], vec_col: str,
                     threshold: float = 0.85) -> DataFrame:
     """Gaps and islands: a new chunk starts where cos(previous, current) < threshold.
@@ -210,28 +124,6 @@ def semantic_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], ve
                                                    F.count(F.lit(1)).alias("n_members"))
 
 
-def ann_ivf_top_k(docs: DataFrame, doc_id: str, vec_col: str, queries: DataFrame, q_id: str, q_vec: str,
-                  k: int, n_cells: int = 16, n_probe: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate top-k (IVF): KMeans cells over the documents, each query
-    probes its ``n_probe`` nearest cells via an equi-join on the cell id, and
-    exact cosine ranks the candidates."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    dv = docs.select(doc_id, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(dv)
-    cells = model.transform(dv).select(doc_id, vec_col, "cell")
-    centers = [c.tolist() for c in model.clusterCenters()]  # n_cells x dim, bounded by parameters
-    cen = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
-    qv = F.col(q_vec).cast("array<double>")
-    sims = F.transform(cen, lambda c: cosine(c, qv))
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)),
-                                      lambda i: F.struct((-F.element_at(sims, i + 1)).alias("d"), i.alias("cell"))))
-    probes = queries.select(q_id, q_vec, F.explode(F.slice(ranked, 1, n_probe)).alias("_p")) \
-                    .select(q_id, q_vec, F.col("_p.cell").alias("cell"))
-    cand = probes.join(cells, "cell").select(q_id, doc_id, cosine(F.col(q_vec), F.col(vec_col)).alias("score"))
-    return top_k_per_group(cand, [q_id], [F.col("score").desc(), F.col(doc_id)], k, salt_of=F.xxhash64(doc_id))
-
-
 def nearest_centroid(df: DataFrame, vec_col: str, centroids: DataFrame, label: str, centroid_col: str,
                      out: str = "predicted", max_classes: int = 10_000) -> DataFrame:
     """Predicted class = the centroid with the highest cosine similarity.
