@@ -35,7 +35,7 @@ def cells_for(rows: int) -> int:
 
 def probes_for(cells: int) -> int:
     """Cells that a query visits: more of them as they get smaller, a falling share."""
-    return min(cells, 6 + math.ceil(2.5 * math.sqrt(cells)))
+    return min(cells, 8 + math.ceil(4 * math.sqrt(cells)))
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -153,6 +153,7 @@ def top_k(index: Index, queries: DataFrame, q_id: str, q_vec: str, k: int, probe
     found = routed.groupBy("cell", "part").cogroup(index.codes.groupBy("cell", "part")).applyInPandas(
         score, f"q {q_type}, id {id_type}, near double")
     short = top_k_per_group(found, ["q"], [F.col("near").desc(), F.col("id")], shortlist, salt_of=F.xxhash64("id"))
-    again = short.select("q", "id").join(asked, "q").join(index.vectors, F.col("id") == F.col(id_col))
-    exact = again.select(F.col("q").alias(q_id), id_col, cosine(F.col("v"), F.col(index.vec_col)).alias("score"))
+    rows = index.vectors.select(F.col(id_col).alias("_id"), F.col(index.vec_col).alias("_vec"))
+    again = short.select("q", F.col("id").alias("_i")).join(asked, "q").join(rows, F.col("_i") == F.col("_id"))
+    exact = again.select(F.col("q").alias(q_id), F.col("_id").alias(id_col), cosine(F.col("v"), F.col("_vec")).alias("score"))
     return top_k_per_group(exact, [q_id], [F.col("score").desc(), F.col(id_col)], k, salt_of=F.xxhash64(id_col))
