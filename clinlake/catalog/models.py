@@ -7,9 +7,11 @@ can recompute it; MLlib-fitted variants are checked on rows only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from clinlake.operators import impute, models
+from clinlake.operators import grouped_fit, impute, isotonic, models
 from clinlake.plans.quantile import exact_quantiles
 from clinlake.session import table
 
@@ -255,18 +257,107 @@ def platt_calibration(spark, sf):
     return models.platt_calibrate(s, "p", "quality").select("doc_id", "p", "p_calibrated")
 
 
-def isotonic_by_group(spark, sf):
+def _labelled(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id", "lang", "n_chars"])
     labels = table(spark, sf, "labels", ["doc_id", "quality"])
-    s = docs.join(labels, "doc_id").withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0))
-    return models.isotonic_by_group(s, "lang", "p", "quality", 50).select("doc_id", "lang", "p", "p_isotonic")
+    return docs.join(labels, "doc_id").withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0))
+
+
+def isotonic_by_group(spark, sf):
+    """Exact isotonic fit of the quality label on a length score, per language."""
+    fitted = isotonic.isotonic_by_group(_labelled(spark, sf), "lang", "p", "quality")
+    return fitted.select("doc_id", "lang", F.round("p", 9).alias("p"), F.round("p_isotonic", 9).alias("p_isotonic"))
+
+
+def group_thresholds(spark, sf):
+    """Decision threshold of every language: Youden and rate-matched cut averaged."""
+    limits, _ = isotonic.group_thresholds(_labelled(spark, sf), "lang", "p", "quality")
+    return limits.select("lang", "n", "threshold", "sensitivity", "specificity", F.round("global_threshold", 6).alias("global_threshold"))
+
+
+def fair_predictions(spark, sf):
+    """Calibrated scores against the threshold of the language (the global one where it has none)."""
+    out = isotonic.fair_predictions(_labelled(spark, sf), "lang", "p", "quality")
+    return out.select("doc_id", "lang", F.round("p_isotonic", 9).alias("p_isotonic"), F.round("threshold", 6).alias("threshold"),
+                      "prediction")
+
+
+#: Min-max formula of the isotonic fit: the largest, over all beginnings, of the least mean up to any later end.
+_ISO_CTE = """
+s AS (SELECT d.doc_id, lang, n_chars / (n_chars + 2000.0) AS p, quality AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+c AS (SELECT lang, p, count(*) AS n, sum(y) AS pos, row_number() OVER (PARTITION BY lang ORDER BY p) AS i FROM s GROUP BY lang, p),
+cum AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM c WINDOW w AS (PARTITION BY lang ORDER BY i)),
+av AS (SELECT a.lang, a.i AS a, b.i AS b, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM cum a JOIN cum b ON a.lang = b.lang AND a.i <= b.i),
+mn AS (SELECT lang, a, b AS i, min(m) OVER (PARTITION BY lang, a ORDER BY b DESC) AS m FROM av),
+iso AS (SELECT lang, i, max(m) AS fit FROM mn GROUP BY lang, i),
+f AS (SELECT s.doc_id, s.lang, s.p, s.y, fit FROM s JOIN c ON c.lang = s.lang AND c.p = s.p JOIN iso ON iso.lang = c.lang AND iso.i = c.i)"""
+
+_ISO_SQL = f"WITH {_ISO_CTE}\nSELECT doc_id, lang, round(p, 9) AS p, round(fit, 9) AS p_isotonic FROM f"
+
+_LIMITS_CTE = f"""{_ISO_CTE},
+z AS (SELECT lang, count(*) AS n, sum(y) AS pos, greatest(1, least(CAST(floor((SELECT avg(y) FROM s) * count(*)) AS BIGINT), count(*) - 1)) AS cut
+    FROM s GROUP BY lang),
+lev AS (SELECT lang, fit, row_number() OVER (PARTITION BY lang ORDER BY fit DESC) - 1 AS k FROM f),
+roc AS (SELECT lang, p, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp FROM c WINDOW w AS (PARTITION BY lang ORDER BY p DESC)),
+j AS (SELECT roc.lang, p, tp / greatest(z.pos, 1) AS tpr, fp / greatest(z.n - z.pos, 1) AS fpr FROM roc JOIN z ON z.lang = roc.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tpr - fpr DESC, p DESC) AS r FROM j),
+lim AS (SELECT z.lang, n, CASE WHEN pos IN (0, n) THEN 0.5 ELSE round(0.5 * p + 0.5 * fit, 4) END AS threshold,
+    CASE WHEN pos IN (0, n) THEN 0.0 ELSE round(tpr, 4) END AS sensitivity,
+    CASE WHEN pos IN (0, n) THEN 1.0 ELSE round(1 - fpr, 4) END AS specificity, pos IN (0, n) AS one
+    FROM z JOIN lev ON lev.lang = z.lang AND k = cut JOIN best ON best.lang = z.lang AND r = 1 WHERE n >= {isotonic.MIN_GROUP})"""
+
+_LIMITS_SQL = f"""WITH {_LIMITS_CTE}
+SELECT lang, n, threshold, sensitivity, specificity, round((SELECT avg(threshold) FROM lim), 6) AS global_threshold FROM lim"""
+
+_FAIR_SQL = f"""WITH {_LIMITS_CTE},
+q AS (SELECT doc_id, f.lang, CASE WHEN lim.lang IS NULL OR one THEN p ELSE fit END AS x, fit, p, one, lim.lang AS own,
+    coalesce(threshold, (SELECT avg(threshold) FROM lim)) AS t FROM f LEFT JOIN lim ON lim.lang = f.lang)
+SELECT doc_id, lang, round(x, 9) AS p_isotonic, round(t, 6) AS threshold, CAST(x >= t AS INTEGER) AS prediction FROM q"""
+
+
+N_BOOT = 50
 
 
 def bootstrap_effect_intervals(spark, sf):
-    li = table(spark, sf, "lineitem", ["l_extendedprice", "l_quantity", "l_discount", "l_tax"])
-    reps = models.bootstrap_effects(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], n_boot=10)
+    """10/90 and 2.5/97.5 % limits of the effect over 50 bootstraps, all in one pass."""
+    li = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])
+    reps = grouped_fit.bootstrap_effects(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"],
+                                         ["l_orderkey", "l_linenumber"], replicas=N_BOOT)
     q = exact_quantiles(reps, [], "effect", [0.025, 0.1, 0.9, 0.975], ["p025", "p10", "p90", "p975"])
-    return q
+    return q.select(*[F.round(c, 4).alias(c) for c in q.columns])
+
+
+def _solve_ctes(name, source, keys, size):
+    """CTEs that solve a_i_j x = b_i of every row of ``source`` by elimination; ``name``: keys, x_0, x_1, ..."""
+    cols = [[f"a_{min(i, j)}_{max(i, j)}" for j in range(size)] + [f"b_{i}"] for i in range(size)]
+    ctes = [f"{name}_0 AS MATERIALIZED (SELECT {keys}, " + ", ".join(
+        f"{cols[i][j]} AS m_{i}_{j}" for i in range(size) for j in range(size + 1)) + f" FROM {source})"]
+    for k in range(size):
+        row = ", ".join(f"m_{k}_{j} / m_{k}_{k} AS m_{k}_{j}" for j in range(size + 1))
+        rest = ", ".join(f"m_{i}_{j} - m_{i}_{k} * m_{k}_{j} / m_{k}_{k} AS m_{i}_{j}" for i in range(size) if i != k for j in range(size + 1))
+        ctes.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {keys}, {row}, {rest} FROM {name}_{k})")
+    ctes.append(f"{name} AS MATERIALIZED (SELECT {keys}, " + ", ".join(f"m_{i}_{size} AS x_{i}" for i in range(size)) + f" FROM {name}_{size})")
+    return ctes
+
+
+def _boot_sql():
+    upto, term, steps = 0.0, math.exp(-1.0), []
+    for k in range(18):
+        upto += term
+        steps.append(f"WHEN u < {upto!r} THEN {k}")
+        term /= k + 1
+    x = ["1", "t", "c1", "c2"]
+    a = ", ".join(f"sum(w * {x[i]} * {x[j]}) AS a_{i}_{j}" for i in range(4) for j in range(i, 4))
+    b = ", ".join(f"sum(w * y * {x[i]}) AS b_{i}" for i in range(4))
+    return f"""WITH m AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS mt, avg(l_discount) AS m1, avg(l_tax) AS m2 FROM lineitem),
+r AS (SELECT l_extendedprice - my AS y, l_quantity - mt AS t, l_discount - m1 AS c1, l_tax - m2 AS c2,
+    l_orderkey || '|' || l_linenumber AS k FROM lineitem, m),
+e AS (SELECT r.*, i, md5(k || '|7|' || i // 8) AS h FROM r, range({N_BOOT}) g(i)),
+u AS (SELECT *, (CAST('0x' || substr(h, 1 + 4 * (i % 8), 4) AS BIGINT) + 0.5) / 65536.0 AS u FROM e),
+w AS (SELECT *, CAST(CASE {' '.join(steps)} ELSE 18 END AS DOUBLE) AS w FROM u),
+n AS MATERIALIZED (SELECT i, {a}, {b} FROM w GROUP BY i),
+{', '.join(_solve_ctes('s', 'n', 'i', 4))}
+SELECT {', '.join(f"round(quantile_cont(x_1, {p}), 4) AS {c}" for p, c in ((0.025, 'p025'), (0.1, 'p10'), (0.9, 'p90'), (0.975, 'p975')))} FROM s"""
 
 
 def local_surrogate_attribution(spark, sf):
@@ -364,10 +455,39 @@ def per_segment_models(spark, sf):
     d = c.join(hist, c.c_custkey == hist.o_custkey).select(
         "c_custkey", "c_mktsegment", "n_orders", "mean_price", "share_f",
         (F.col("c_acctbal") > 5000).cast("int").alias("high_balance"))
-    m = models.per_group_models(d, "c_mktsegment", ["n_orders", "mean_price", "share_f"], "high_balance")
+    features = ["n_orders", "mean_price", "share_f"]
+    fits = grouped_fit.grouped_logistic(d, "c_mktsegment", features, "high_balance")
+    m = grouped_fit.grouped_scores(d, fits, "c_mktsegment", features, "p_group_model").filter("p_group_model is not null")
     return m.select("c_custkey", "c_mktsegment", "high_balance", F.round("p_group_model", 6).alias("p_group_model"))
 
 
+def _segments_sql(steps=9):
+    """Newton's steps written out."""
+    x = ["1", "x1", "x2", "x3"]
+    ctes = ["""h AS (SELECT o_custkey, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS mean_price,
+    avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS share_f FROM orders GROUP BY 1)""", """
+d AS (SELECT c_custkey, c_mktsegment AS g, n_orders, mean_price, share_f, CAST(c_acctbal > 5000 AS INTEGER) AS y FROM customer
+    JOIN h ON o_custkey = c_custkey)""", """
+st AS (SELECT g, avg(n_orders) AS m1, avg(mean_price) AS m2, avg(share_f) AS m3, coalesce(nullif(stddev_pop(n_orders), 0), 1) AS s1,
+    coalesce(nullif(stddev_pop(mean_price), 0), 1) AS s2, coalesce(nullif(stddev_pop(share_f), 0), 1) AS s3 FROM d GROUP BY g
+    HAVING count(*) >= 10 AND min(y) < max(y))""", """
+z AS MATERIALIZED (SELECT c_custkey, d.g, y, (n_orders - m1) / s1 AS x1, (mean_price - m2) / s2 AS x2, (share_f - m3) / s3 AS x3
+    FROM d JOIN st ON st.g = d.g)""", "t0 AS (SELECT g, 0.0 AS x_0, 0.0 AS x_1, 0.0 AS x_2, 0.0 AS x_3 FROM st)"]
+    for t in range(1, steps + 1):
+        a = ", ".join(f"sum(w * {x[i]} * {x[j]}){f' + {grouped_fit.RIDGE!r}' if i == j and i else ''} AS a_{i}_{j}"
+                      for i in range(4) for j in range(i, 4))
+        b = ", ".join(f"sum((y - p) * {x[i]}){f' - {grouped_fit.RIDGE!r} * any_value(x_{i})' if i else ''} AS b_{i}" for i in range(4))
+        ctes.append(f"p{t} AS (SELECT z.*, t.x_0, t.x_1, t.x_2, t.x_3, 1 / (1 + exp(-(x_0 + x_1 * x1 + x_2 * x2 + x_3 * x3))) AS p "
+                    f"FROM z JOIN t{t - 1} t ON t.g = z.g)")
+        ctes.append(f"n{t} AS MATERIALIZED (SELECT g, {a}, {b} FROM (SELECT *, p * (1 - p) AS w FROM p{t}) GROUP BY g)")
+        ctes += _solve_ctes(f"s{t}", f"n{t}", "g", 4)
+        ctes.append(f"t{t} AS MATERIALIZED (SELECT s.g, " + ", ".join(f"o.x_{i} + s.x_{i} AS x_{i}" for i in range(4))
+                    + f" FROM s{t} s JOIN t{t - 1} o ON o.g = s.g)")
+    return f"""WITH {', '.join(ctes)}
+SELECT c_custkey, z.g AS c_mktsegment, y AS high_balance, round(1 / (1 + exp(-(x_0 + x_1 * x1 + x_2 * x2 + x_3 * x3))), 6) AS p_group_model
+FROM z JOIN t{steps} t ON t.g = z.g"""
+
+
 QUERIES = {
     "per_segment_models": per_segment_models,
     "granger_event_series": granger_event_series,
@@ -388,6 +508,8 @@ QUERIES = {
     "stacking_oof": stacking_oof,
     "platt_calibration": platt_calibration,
     "isotonic_by_group": isotonic_by_group,
+    "group_thresholds": group_thresholds,
+    "fair_predictions": fair_predictions,
     "bootstrap_effect_intervals": bootstrap_effect_intervals,
     "local_surrogate_attribution": local_surrogate_attribution,
 }
@@ -406,4 +528,9 @@ ORACLE = {
     "class_weighted_counts": _weights_sql(),
     "uncertainty_aggregation": _UNCERT_SQL,
     "baseline_profile": _BASELINE_SQL,
+    "isotonic_by_group": _ISO_SQL,
+    "group_thresholds": _LIMITS_SQL,
+    "fair_predictions": _FAIR_SQL,
+    "bootstrap_effect_intervals": _boot_sql(),
+    "per_segment_models": _segments_sql(),
 }

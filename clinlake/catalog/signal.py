@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
-from clinlake.operators import connectome
+from clinlake.operators import connectome, signal
 from clinlake.session import table
 
 
@@ -97,7 +97,49 @@ SELECT user_id, round(sum(CASE WHEN d > 0 THEN -d * ln(d) END), 6) AS entropy FR
 """
 
 
+def peak_count(spark, sf):
+    """Steps of each user: peaks of the event values, ten samples apart at least."""
+    ev = table(spark, sf, "events", ["event_id", "ts", "user_id", "value"])
+    found = signal.peaks(ev, ["user_id"], ["ts", "event_id"], "value", 10)
+    n = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"), F.max("height").alias("highest"), F.sum("pos").alias("places"))
+    return ev.select("user_id").distinct().join(n, "user_id", "left").select(
+        "user_id", F.coalesce("steps", F.lit(0)).alias("steps"), "highest", "places")
+
+
+def peak_count_by_type(spark, sf):
+    """The same over the long series of every event type."""
+    ev = table(spark, sf, "events", ["event_id", "ts", "event_type", "value"])
+    found = signal.peaks(ev, ["event_type"], ["ts", "event_id"], "value", 10)
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("steps"), F.sum("pos").alias("places"))
+
+
+def _peaks_sql(key, select):
+    """Peaks one by one from the highest down; each names the later-ranked ones that it rules out."""
+    return f"""
+WITH RECURSIVE x AS (SELECT {key} AS g, value AS x, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS pos FROM events
+    WHERE value IS NOT NULL AND NOT isnan(value)),
+c AS (SELECT *, CASE WHEN lag(x) OVER w = x THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY g ORDER BY pos)),
+r AS (SELECT g, x, pos, sum(new) OVER (PARTITION BY g ORDER BY pos) AS run FROM c),
+runs AS (SELECT g, run, min(pos) AS lo, max(pos) AS hi, any_value(x) AS x FROM r GROUP BY g, run),
+tops AS (SELECT g, x, (lo + hi) // 2 AS pos, lag(x) OVER w < x AND lead(x) OVER w < x AS top FROM runs WINDOW w AS (PARTITION BY g ORDER BY run)),
+p AS MATERIALIZED (SELECT g, x, pos, row_number() OVER (PARTITION BY g ORDER BY x DESC, pos DESC) AS k FROM tops WHERE top),
+near AS MATERIALIZED (SELECT a.g, a.k, list(b.pos) AS others FROM p a JOIN p b ON a.g = b.g AND a.k < b.k AND abs(a.pos - b.pos) < 10 GROUP BY ALL),
+run AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM p
+    UNION ALL SELECT run.g, p.k, CASE WHEN list_contains(gone, p.pos) THEN gone ELSE list_concat(gone, coalesce(others, [])) END
+    FROM run JOIN p ON p.g = run.g AND p.k = run.k + 1 LEFT JOIN near ON near.g = p.g AND near.k = p.k),
+last AS (SELECT g, arg_max(gone, k) AS gone FROM run GROUP BY g),
+kept AS (SELECT p.* FROM p JOIN last ON last.g = p.g WHERE NOT list_contains(gone, p.pos))
+{select}"""
+
+
+_PEAKS_SQL = _peaks_sql("user_id", """SELECT u.user_id, count(pos) AS steps, max(x) AS highest, CAST(sum(pos) AS BIGINT) AS places
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN kept ON g = user_id GROUP BY u.user_id""")
+_PEAKS_TYPE_SQL = _peaks_sql("event_type", "SELECT g AS event_type, count(*) AS steps, CAST(sum(pos) AS BIGINT) AS places FROM kept GROUP BY g")
+
+
 QUERIES = {
+    "peak_count": peak_count,
+    "peak_count_by_type": peak_count_by_type,
     "pair_correlation_edges": pair_correlation_edges,
     "proportional_threshold": proportional_threshold,
     "population_edge_frequency": population_edge_frequency,
@@ -106,6 +148,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "peak_count": _PEAKS_SQL,
+    "peak_count_by_type": _PEAKS_TYPE_SQL,
     "pair_correlation_edges": _PC_SQL,
     "proportional_threshold": _PT_SQL,
     "population_edge_frequency": _POP_SQL,

@@ -33,6 +33,7 @@ from clinlake.functions.exprs import hash_normal
 from clinlake.operators.genomics import HWE_CHI2_MAX, hwe_chi2
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.prefix import dense_codes, row_index
+from clinlake.plans.suppress import greedy_leads
 from clinlake.session import checkpoint_dir
 
 #: Variants of one pruning bucket (a multiple of the window's step is used).
@@ -204,32 +205,9 @@ def ld_prune(packed: DataFrame, variant: str, window: int = 1000, step: int = 20
 
 def clump(edges: DataFrame, candidates: DataFrame, keys: Sequence[str], variant: str, p_value: str) -> DataFrame:
     """Lead variants among ``candidates`` (keys, variant, p_value): in order of the
-    p-value (then the id) each one not yet claimed leads and claims its neighbours.
-
-    ``edges`` (left, right) are the neighbours of each variant, in either
-    order.  A round makes all those leads that no open neighbour precedes; the
-    rounds end with the last edge between open variants."""
-    order = F.struct(F.col(p_value).alias("p"), F.col(variant).alias("v"))
-    nodes = candidates.select(*keys, variant, order.alias("o"))
-    a = nodes.select(*keys, F.col(variant).alias("left"), F.col("o").alias("ol"))
-    b = nodes.select(*keys, F.col(variant).alias("right"), F.col("o").alias("or"))
-    both = edges.select("left", "right").join(a, "left").join(b, [*keys, "right"])
-    first = F.col("ol") < F.col("or")
-    waits = stored(both.select(*keys, F.when(first, F.col("right")).otherwise(F.col("left")).alias("late"),
-                               F.when(first, F.col("left")).otherwise(F.col("right")).alias("early")).distinct())
-    claimed = None  # all others lead
-    late, early = [*keys, F.col("late").alias("node")], [*keys, F.col("early").alias("node")]
-    node = [*keys, "node"]
-    while not waits.isEmpty():
-        leads = waits.select(*early).distinct().join(waits.select(*late), node, "left_anti")
-        hit = stored(waits.join(leads.withColumnRenamed("node", "early"), [*keys, "early"], "left_semi").select(*late).distinct())
-        claimed = hit if claimed is None else claimed.unionByName(hit)
-        for end in ("late", "early"):
-            waits = waits.join(hit.withColumnRenamed("node", end), [*keys, end], "left_anti")
-        waits = stored(waits)
-    if claimed is None:
-        return candidates
-    return candidates.join(claimed.withColumnRenamed("node", variant), [*keys, variant], "left_anti")
+    p-value (then the id) each one not yet claimed leads and claims its neighbours,
+    the ``edges`` (left, right)."""
+    return greedy_leads(candidates, edges, keys, variant, F.struct(F.col(p_value).alias("p"), F.col(variant).alias("v")))
 
 
 def times(df: DataFrame, keep: str, columns: Sequence[str], matrix: np.ndarray) -> DataFrame:

@@ -230,31 +230,6 @@ def renormalise(probs: Column) -> Column:
     return F.transform(probs, lambda v: F.when(total > 0, v / total).otherwise(v))
 
 
-def isotonic_by_group(df: DataFrame, group: str, score: str, label: str, n_bins: int = 1000) -> DataFrame:
-    """Per-group isotonic calibration (PAVA) on binned scores: each group is reduced
-    to at most ``n_bins`` (bin, mean score, mean label, count) rows before the
-    grouped NumPy PAVA, so a group's work is bounded by the bin count."""
-    b = df.withColumn("_bin", F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1)).cast("int"))
-    agg = b.groupBy(group, "_bin").agg(F.avg(label).alias("_y"), F.count(F.lit(1)).alias("_n"))
-
-    def pava(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bin")
-        y, w = pdf["_y"].to_numpy(dtype=float), pdf["_n"].to_numpy(dtype=float)
-        vals, wts, cnt = [], [], []
-        for yi, wi in zip(y, w):
-            vals.append(yi); wts.append(wi); cnt.append(1)
-            while len(vals) > 1 and vals[-2] > vals[-1]:
-                v = (vals[-2] * wts[-2] + vals[-1] * wts[-1]) / (wts[-2] + wts[-1])
-                c = cnt[-2] + cnt[-1]; ww = wts[-2] + wts[-1]
-                vals[-2:], wts[-2:], cnt[-2:] = [v], [ww], [c]
-        fitted = np.repeat(vals, cnt)
-        return pd.DataFrame({group: pdf[group].to_numpy(), "_bin": pdf["_bin"].to_numpy(), "_fit": fitted})
-
-    gtype = df.schema[group].dataType.simpleString()
-    fit = agg.groupBy(group).applyInPandas(pava, f"{group} {gtype}, _bin int, _fit double")
-    return b.join(fit, [group, "_bin"], "left").withColumnRenamed("_fit", "p_isotonic").drop("_bin")
-
-
 def adjusted_effect(df: DataFrame, outcome: str, treatment: str, confounders: Sequence[str]) -> float:
     """Backdoor-adjusted linear effect: the treatment coefficient of an MLlib OLS
     of the outcome on treatment + common causes (one number)."""
@@ -274,24 +249,6 @@ def poisson_one(u: Column) -> Column:
     return when_chain(steps, 18)
 
 
-def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders: Sequence[str], n_boot: int = 20,
-                      seed: int = 7) -> DataFrame:
-    """Bootstrap replicas as Poisson(1) row weights (seeded hash per row and replica):
-    each replica is a weighted OLS fit; returns (replica, effect)."""
-    from pyspark.ml.regression import LinearRegression
-    spark = df.sparkSession
-    base = _assemble(df, [treatment, *confounders]).withColumn("_y", F.col(outcome).cast("double")) \
-        .withColumn("_rid", F.xxhash64(*df.columns))  # the row's content: independent of partitions
-    rows = []
-    for r in range(n_boot):
-        u = (F.xxhash64(F.col("_rid"), F.lit(seed), F.lit(r)).cast("double") / F.lit(2.0 ** 64) + 0.5)
-        w = poisson_one(u)
-        m = LinearRegression(featuresCol="_features", labelCol="_y", weightCol="_w", regParam=0.0,
-                             solver="normal").fit(base.withColumn("_w", w.cast("double")))
-        rows.append((r, float(m.coefficients[0])))
-    return spark.createDataFrame(rows, "replica int, effect double")
-
-
 def local_surrogate(df: DataFrame, id_col: str, features: Sequence[str], score: ScoreFn, n_perturb: int = 200,
                     sigma: float = 0.3, alpha: float = 1.0, seed: int = 42, top: int = 10) -> DataFrame:
     """Local surrogate attribution per row: ``n_perturb`` Gaussian perturbations
@@ -380,26 +337,3 @@ def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     rows = [(a, b, float(round(m[i][j], 6))) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return spark.createDataFrame(rows, "feature_i string, feature_j string, r double")
-
-
-def per_group_models(df: DataFrame, group: str, features: Sequence[str], label: str, min_rows: int = 10,
-                     max_groups: int = 64) -> DataFrame:
-    """One logistic regression per group (e.g. per disease), fitted on that group's
-    rows with MLlib and used to score them; groups with fewer than ``min_rows``
-    rows (or a single class) are skipped.  The group list is a checked small
-    aggregate; every fit is a distributed MLlib job."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
-    groups = sizes.filter((F.col("n") >= min_rows) & (F.col("k") > 1)).select(group).limit(max_groups + 1).collect()
-    if len(groups) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; fit with a group feature instead")
-    out = None
-    for (g,) in groups:
-        part = _assemble(df.filter(F.col(group) == g), features).withColumn("_y", F.col(label).cast("double"))
-        model = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50).fit(part)
-        scored = model.transform(part).select(*df.columns, vector_to_array("probability")[1].alias("p_group_model"))
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return df.withColumn("p_group_model", F.lit(None).cast("double")).limit(0)
-    return out
