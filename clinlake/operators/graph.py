@@ -32,25 +32,36 @@ def pagerank(edges: DataFrame, src: str = "src", dst: str = "dst", iterations: i
     """PageRank with uniform teleport and dangling mass spread uniformly.
 
     r' = (1 - d)/N + d * (sum_{u->v} r(u)/outdeg(u) + dangling/N)
-    """
+
+    Teleport and dangling mass are the same for all nodes, so a round's result is a sum
+    of the vectors y_j = (d P')^j (1/N), weighted by one number each.  A round is then one
+    join of the edges (kept partitioned by their source) with the last y and one
+    grouped sum; nodes without mass have no row, and the rounds end when none has.  The
+    weights follow from the dangling mass of each y, iterations + 1 numbers."""
     checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().checkpoint(eager=True)
-    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
-    ranks = nodes.crossJoin(bounded_broadcast(n)).select("node", (F.lit(1.0) / F.col("_n")).alias("rank"))
-    ranks = ranks.join(outdeg, ranks.node == outdeg.src, "left").select("node", "rank", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
-    for i in range(iterations):
-        contrib = (e.join(ranks.select(F.col("node").alias("src"), "rank", "outdeg"), "src")
-                   .groupBy("dst").agg(F.sum(F.col("rank") / F.col("outdeg")).alias("c")))
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0)).alias("_dm"))
-        upd = (ranks.join(contrib, ranks.node == contrib.dst, "left")
-               .crossJoin(bounded_broadcast(dangling)).crossJoin(bounded_broadcast(n)))
-        new_rank = (F.lit(1.0 - damping) / F.col("_n")
-                    + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + F.col("_dm") / F.col("_n")))
-        # ranks feed three places per round; cutting lineage every round keeps the plan flat
-        ranks = _cut(upd.select("node", new_rank.alias("rank"), "outdeg"), i, every=1)
-    return ranks.select("node", "rank")
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    outdeg = e.groupBy("src").agg((F.lit(damping) / F.count(F.lit(1))).alias("w"))
+    e = e.join(outdeg, "src").repartition("src").checkpoint(eager=True)
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().checkpoint(eager=True)
+    n = max(nodes.count(), 1)
+    y, found = nodes.withColumn("y", F.lit(1.0 / n)), nodes.limit(0).select("node", F.lit(0).alias("j"), F.lit(0.0).alias("y"))
+    for j in range(1, iterations + 1):
+        y = e.join(y.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
+            F.sum(F.col("w") * F.col("y")).alias("y")).checkpoint(eager=True)
+        if y.isEmpty():
+            break
+        found = found.unionByName(y.select("node", F.lit(j).alias("j"), "y"))
+    dangling = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").checkpoint(eager=True)
+    lost = {r["j"]: r["s"] for r in found.join(dangling, "node", "left_semi").groupBy("j").agg(F.sum("y").alias("s")).collect()}
+    lost[0] = dangling.count() / n
+    alpha: list[float] = []  # what every node gets in a round, times N
+    for t in range(iterations):
+        mass = lost.get(t, 0.0) + sum(alpha[t - 1 - j] * lost.get(j, 0.0) for j in range(t))
+        alpha.append(1.0 - damping + damping * mass)
+    weight = F.element_at(F.array(*[F.lit(a) for a in [*alpha[::-1], 1.0]]), F.col("j") + 1)
+    first = (alpha[-1] if iterations else 1.0) / n
+    moved = found.groupBy("node").agg(F.sum(weight * F.col("y")).alias("m"))
+    return nodes.join(moved, "node", "left").select("node", (F.lit(first) + F.coalesce("m", F.lit(0.0))).alias("rank"))
 
 
 def reachable_ancestors(edges: DataFrame, src: str = "src", dst: str = "dst", targets: DataFrame | None = None) -> DataFrame:
@@ -82,9 +93,12 @@ def path_effects(edges: DataFrame, targets: DataFrame, src: str = "src", dst: st
 
     Backward frontier expansion from the targets: each round joins the
     frontier's head with incoming edges, skipping nodes already on the path
-    (``array_contains`` on the carried path), and multiplies the weight.
+    (``array_contains`` on the carried path), and multiplies the weight.  The edges are
+    written once, partitioned by their head, for all rounds.
     """
+    checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), F.col(weight).cast("double").alias("_w"))
+    e = e.repartition("_d").checkpoint(eager=True)
     frontier = targets.select(F.col("target"), F.col("target").alias("head"), F.lit(1.0).alias("effect"),
                               F.array(F.col("target")).alias("path"))
     found = None
