@@ -92,6 +92,13 @@ def shingles(text: str | None, k: int, known: WordHash) -> np.ndarray:
     return np.unique(x)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of elements whether the set holds an odd number: four words.
+    The parities of two sets differ in at most as many classes as the sets have differences."""
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2 ** 63
 
@@ -239,10 +246,10 @@ def _links(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(p, x, k, d, linked, first) of each member x of a pivot p: its limit k, the
+    """(p, x, k, d, linked, first, odd) of each member x of a pivot p: its limit k, the
     size of its difference, whether it links with p, and (where p has further
     members) the first k + 1 elements of the difference: those of x alone in
-    the order of their hashes, then those of p alone."""
+    the order of their hashes, then those of p alone; and the parities of x."""
     many = pairs.groupBy("p").agg((F.count(F.lit(1)) > 1).alias("many")).withColumnRenamed("p", "gp")
     side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
     both = (pairs.join(many, F.col("p") == F.col("gp")).join(side("x"), F.col("x") == F.col("sx"))
@@ -256,26 +263,30 @@ def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) ->
                 own, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 k, d, inter = most_differences(len(a), num, den), len(own) + len(lost), len(a) - len(own)
                 out.append((p, x, k, d, den * inter >= num * (inter + d),
-                            np.concatenate([own, lost])[:k + 1].view(np.int64) if more else None))
-            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "first"])
+                            np.concatenate([own, lost])[:k + 1].view(np.int64) if more else None, parities(a)))
+            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "first", "odd"])
     return both.select("p", "x", "many", "mx", "mp").mapInPandas(
-        run, "p long, x long, k int, d int, linked boolean, first array<long>")
+        run, "p long, x long, k int, d int, linked boolean, first array<long>, odd array<long>")
 
 
 def _shared_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs (a, b): members of one pivot, of different classes, whose
-    differences share an early element."""
+    differences share an early element, and whose parities allow a link (before a row
+    is made of a pair, so that families of texts just below the limit make few)."""
     rows = around.filter("first is not null").join(labels, F.col("x") == F.col("v"), "left").select(
-        "p", "x", "k", "d", "first", F.coalesce("c", "x").alias("c"))
+        "p", "x", "k", "d", "first", F.coalesce("c", "x").alias("c"), *[F.col("odd")[i].alias(f"o{i}") for i in range(4)])
 
     def side(take, i):
         kd = F.shiftleft(F.col("k").cast("long"), 32) + F.col("d")  # one word of the shuffled row
         return rows.select("p", F.col("x").alias(f"x{i}"), kd.alias(f"kd{i}"), F.col("c").alias(f"c{i}"),
-                           F.explode(take).alias("e")).select(F.xxhash64("p", "e").alias(f"e{i}"), f"x{i}", f"kd{i}", f"c{i}")
+                           F.explode(take).alias("e"), *[F.col(f"o{j}").alias(f"o{j}_{i}") for j in range(4)]).select(
+            F.xxhash64("p", "e").alias(f"e{i}"), f"x{i}", f"kd{i}", f"c{i}", *[f"o{j}_{i}" for j in range(4)])
     small, large = side(F.slice("first", F.lit(1), F.floor(F.col("k") / 2).cast("int") + 1), 1), side(F.col("first"), 2)
     d1, d2 = (F.col(f"kd{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in (1, 2))
     k1, k2 = (F.shiftright(f"kd{i}", 32) for i in (1, 2))
-    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2"))
+    apart = sum((F.bit_count(F.col(f"o{j}_1").bitwiseXOR(F.col(f"o{j}_2"))) for j in range(1, 4)),
+                F.bit_count(F.col("o0_1").bitwiseXOR(F.col("o0_2"))))
+    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2")) & (apart <= F.least(k1, k2))
                       & ((d1 < d2) | ((d1 == d2) & (F.col("x1") < F.col("x2")))) & (d2 - d1 <= F.least(k1, k2)))
     return meet.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
 
