@@ -11,7 +11,7 @@ from clinlake.catalog import drift as drift_q
 from clinlake.catalog import models as models_q
 from clinlake.catalog import signal as signal_q
 from clinlake.catalog import text as text_q
-from clinlake.operators import connectome, drift, evaluate, graph, impute, retrieval, signal, sparse_search, text
+from clinlake.operators import connectome, drift, evaluate, graph, grouped_fit, impute, retrieval, signal, sparse_search, text
 from clinlake.session import table
 
 
@@ -256,14 +256,14 @@ SELECT event_id, user_id, round(CASE WHEN x IS NOT NULL THEN x
 FROM n
 """
 
-N_REPLICAS, N_DIMS, TOP = 5, 16, 5
+N_REPLICAS, TOP = 5, 5
 
 
 def attribution_jaccard(spark, sf):
     emb = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
     rep = F.pmod(F.col("vec_id") * F.lit(2654435761) + F.lit(13), F.lit(4294967296)) % N_REPLICAS
     long = emb.select(rep.alias("replica"), (F.col("label") >= 5).cast("double").alias("y"),
-                      F.posexplode(F.slice("embedding", 1, N_DIMS)).alias("dim", "x"))
+                      F.posexplode("embedding").alias("dim", "x"))
     imp = long.groupBy("replica", "dim").agg(F.abs(F.corr(F.col("x").cast("double"), "y")).alias("importance"))
     j = evaluate.attribution_stability(imp, "replica", "dim", "importance", TOP)
     return j.select("n_pairs", _r("mean_jaccard"))
@@ -272,7 +272,7 @@ def attribution_jaccard(spark, sf):
 _JACCARD_SQL = f"""
 WITH e AS (SELECT ((vec_id * 2654435761 + 13) % 4294967296) % {N_REPLICAS} AS replica,
                   CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y, embedding FROM embeddings),
-l AS (SELECT replica, y, unnest(generate_series(0, {N_DIMS - 1})) AS dim, unnest(embedding[1:{N_DIMS}])::DOUBLE AS x FROM e),
+l AS (SELECT replica, y, unnest(generate_series(0, len(embedding) - 1)) AS dim, unnest(embedding)::DOUBLE AS x FROM e),
 imp AS (SELECT replica, dim, abs(corr(x, y)) AS importance FROM l GROUP BY ALL),
 t AS (SELECT replica, dim FROM (SELECT *, row_number() OVER (PARTITION BY replica ORDER BY round(importance, 9) DESC, dim) AS rk FROM imp) WHERE rk <= {TOP}),
 reps AS (SELECT DISTINCT replica FROM imp),
@@ -297,15 +297,52 @@ def spectral_features(spark, sf):
 
 
 def regression_impute(spark, sf):
+    """Ten rounds of round-robin regression of discount and tax (0 is missing)."""
     li = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"])
     d = li.select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"),
                   F.nullif("l_tax", F.lit(0.0)).alias("l_tax"))
-    return impute.iterative_impute(d, ["l_quantity", "l_discount", "l_tax"], rounds=3)
+    out = grouped_fit.iterative_impute(d, ["l_quantity", "l_discount", "l_tax"], rounds=IMPUTE_ROUNDS)
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", _r("l_discount"), _r("l_tax"))
+
+
+IMPUTE_ROUNDS = 10
+
+
+def _impute_sql():
+    ctes = ["""r0 AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_quantity AS q, nullif(l_discount, 0) AS d0,
+    nullif(l_tax, 0) AS t0, coalesce(nullif(l_discount, 0), (SELECT avg(nullif(l_discount, 0)) FROM lineitem)) AS d,
+    coalesce(nullif(l_tax, 0), (SELECT avg(nullif(l_tax, 0)) FROM lineitem)) AS t FROM lineitem)"""]
+    last = "r0"
+    for i in range(1, IMPUTE_ROUNDS + 1):
+        for c, other in (("d", "t"), ("t", "d")):
+            x, name = ["1", "q", other], f"{c}{i}"
+            a = ", ".join(f"sum({x[j]} * {x[k]})::DOUBLE AS a_{j}_{k}" for j in range(3) for k in range(j, 3))
+            b = ", ".join(f"sum({c}0 * {x[j]}) AS b_{j}" for j in range(3))
+            ctes.append(f"n{name} AS MATERIALIZED (SELECT 1 AS one, {a}, {b} FROM {last} WHERE {c}0 IS NOT NULL)")
+            ctes += models_q._solve_ctes(f"s{name}", f"n{name}", "one", 3)
+            keep = f"{other}, coalesce({c}0, x_0 + x_1 * q + x_2 * {other}) AS {c}"
+            ctes.append(f"r{name} AS MATERIALIZED (SELECT id, l_orderkey, l_linenumber, q, d0, t0, {keep} FROM {last}, s{name})")
+            last = f"r{name}"
+    return f"WITH {', '.join(ctes)} SELECT l_orderkey, l_linenumber, q AS l_quantity, round(d, 6) AS l_discount, round(t, 6) AS l_tax FROM {last}"
 
 
 def combat_harmonise(spark, sf):
     s = table(spark, sf, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
-    return impute.combat_location_scale(s, ["s_acctbal"], "s_nationkey", suffix="_combat")
+    out = impute.combat_location_scale(s, ["s_acctbal"], "s_nationkey", suffix="_combat")
+    return out.select("s_suppkey", "s_nationkey", _r("s_acctbal"), _r("s_acctbal_combat"))
+
+
+_COMBAT_SQL = """
+WITH p AS (SELECT avg(s_acctbal) AS pm, stddev_pop(s_acctbal) AS ps FROM supplier),
+z AS (SELECT supplier.*, (s_acctbal - pm) / nullif(ps, 0) AS z, pm, ps FROM supplier, p),
+g AS (SELECT s_nationkey, count(*)::DOUBLE AS n, avg(z) AS g, coalesce(var_pop(z), 0) AS d FROM z GROUP BY 1),
+h AS (SELECT avg(g) AS gb, coalesce(var_pop(g), 0) AS t2, avg(d) AS db FROM g),
+w AS (SELECT s_nationkey, CASE WHEN n * t2 + d = 0 THEN gb ELSE (n * t2 * g + d * gb) / (n * t2 + d) END AS gs,
+    CASE WHEN n * t2 + d = 0 THEN 0 ELSE n * t2 / (n * t2 + d) END AS w, d, db FROM g, h),
+k AS (SELECT s_nationkey, gs, CASE WHEN w * d + (1 - w) * db <= 0 THEN 1 ELSE w * d + (1 - w) * db END AS ds FROM w)
+SELECT s_suppkey, z.s_nationkey, round(s_acctbal, 6) AS s_acctbal, round((z - gs) / sqrt(ds) * ps + pm, 6) AS s_acctbal_combat
+FROM z JOIN k ON k.s_nationkey = z.s_nationkey
+"""
 
 
 def bootstrap_oversample(spark, sf):
@@ -396,4 +433,6 @@ ORACLE = {
     "edge_stability": _STAB_SQL,
     "motion_scrub": _SCRUB_SQL,
     "attribution_jaccard": _JACCARD_SQL,
+    "combat_harmonise": _COMBAT_SQL,
+    "regression_impute": _impute_sql(),
 }

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from clinlake.operators import grouped_fit, impute, isotonic, models
+from clinlake.operators import evaluate, grouped_fit, impute, isotonic, models
 from clinlake.plans.quantile import exact_quantiles
 from clinlake.session import table
 
@@ -243,18 +243,99 @@ _BASELINE_SQL = " UNION ALL ".join(
 
 
 def stacking_oof(spark, sf):
-    """Rows-only: MLlib fits per fold; output one row per scored id."""
+    """Out-of-fold stack over all dimensions, five folds, isotonic last step (MLlib fits:
+    rows only; one row per scored id)."""
     e = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
-    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]
-    df = e.select("vec_id", *cols, (F.col("label") >= 5).cast("int").alias("y"))
-    return models.stacking_oof(df, "vec_id", [f"e{i}" for i in range(8)], "y", k=3)
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    df = e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(size)],
+                  (F.col("label") >= 5).cast("int").alias("y"))
+    out = models.stacking_oof(df, "vec_id", [f"e{i}" for i in range(size)], "y", k=5).withColumn("whole", F.lit(0))
+    return isotonic.isotonic_by_group(out, "whole", "p_stack", "label", "p_calibrated").drop("whole")
+
+
+def multiclass_classifier(spark, sf):
+    """Class-weighted softmax regression and forest over all dimensions, averaged; fitted on
+    four fifths of the rows.  What must hold for it: one row per vector, probabilities
+    that sum to 1, a known class, and a macro one-vs-rest AUC on the other fifth."""
+    e = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"]).withColumn(
+        "held_out", models.fold_column("vec_id", 5) == 0)
+    scored, _ = models.multiclass_classifier(e, "embedding", "label", ~F.col("held_out"))
+    scored = scored.checkpoint()
+    auc = evaluate.macro_auc_ovr(scored.filter("held_out"), "label", "probability", "classes")
+    total = F.abs(F.aggregate("probability", F.lit(0.0), lambda a, v: a + v) - 1)
+    return scored.agg(F.count(F.lit(1)).alias("n"), (F.max(total) < 1e-9).alias("sums_to_one"),
+                      F.bool_and(F.array_contains("classes", F.col("predicted"))).alias("known_class")).crossJoin(
+        F.broadcast(auc.select(F.col("macro_auc").between(0, 1).alias("has_auc"))))  # one row
+
+
+_MULTICLASS_SQL = "SELECT count(*) AS n, true AS sums_to_one, true AS known_class, true AS has_auc FROM embeddings"
+
+
+def feature_importance(spark, sf):
+    """Normalised importance of every dimension, averaged over the two models, ranked;
+    the importances sum to 1 (MLlib fits: rows only)."""
+    e = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    _, importance = models.multiclass_classifier(e, "embedding", "label", F.lit(True))
+    return importance
+
+
+def macro_auc(spark, sf):
+    """Macro one-vs-rest AUC of the market segment from three fixed scores."""
+    return evaluate.macro_auc_ovr(_segment_scores(spark, sf), "c_mktsegment", "probability", "classes").select(
+        "classes", F.round("macro_auc", 6).alias("macro_auc"))
+
+
+def _segment_scores(spark, sf):
+    c = table(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"])
+    names = sorted(r[0] for r in c.select("c_mktsegment").distinct().collect())  # one row a class
+    x = [F.exp(-F.abs(F.col("c_acctbal") / 2000.0 - i) + F.col("c_nationkey") * i / 50.0) for i in range(len(names))]
+    total = sum(x[1:], x[0])
+    return c.select("c_custkey", "c_mktsegment", F.array(*[v / total for v in x]).alias("probability"),
+                    F.array(*map(F.lit, names)).alias("classes"))
+
+
+_MACRO_AUC_SQL = """
+WITH k AS (SELECT seg, row_number() OVER (ORDER BY seg) - 1 AS i FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer)),
+x AS (SELECT c_custkey, c_mktsegment, k.seg, exp(-abs(c_acctbal / 2000.0 - i) + c_nationkey * i / 50.0) AS v FROM customer, k),
+p AS (SELECT *, v / sum(v) OVER (PARTITION BY c_custkey) AS p FROM x),
+c AS (SELECT seg, round(p, 12) AS p, count(*) FILTER (WHERE c_mktsegment = seg) AS pos, count(*) FILTER (WHERE c_mktsegment <> seg) AS neg FROM p GROUP BY ALL),
+u AS (SELECT seg, pos, sum(neg) OVER (PARTITION BY seg ORDER BY p) - neg / 2.0 AS below FROM c),
+t AS (SELECT seg, sum(pos) AS np, sum(neg) AS nn FROM c GROUP BY seg),
+a AS (SELECT u.seg, sum(pos * below) / max(np * nn) AS auc FROM u JOIN t ON t.seg = u.seg GROUP BY u.seg)
+SELECT count(*) AS classes, round(avg(auc), 6) AS macro_auc FROM a
+"""
 
 
-def platt_calibration(spark, sf):
+def _halves(spark, sf):
+    """Labelled documents; every second one (by CRC of its id) fits."""
     docs = table(spark, sf, "documents", ["doc_id", "n_chars"])
     labels = table(spark, sf, "labels", ["doc_id", "quality"])
-    s = docs.join(labels, "doc_id").withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0))
-    return models.platt_calibrate(s, "p", "quality").select("doc_id", "p", "p_calibrated")
+    return docs.join(labels, "doc_id").withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0)).withColumn(
+        "fits", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % 2 == 0)
+
+
+def platt_calibration(spark, sf):
+    """Sigmoid of the score, fitted on one half of the labelled rows and applied to the other."""
+    s = _halves(spark, sf).withColumn("whole", F.lit(0))
+    fit = grouped_fit.grouped_logistic(s.filter("fits"), "whole", ["p"], "quality")
+    out = grouped_fit.grouped_scores(s.filter(~F.col("fits")), fit, "whole", ["p"], "p_calibrated")
+    return out.select("doc_id", F.round("p", 9).alias("p"), F.round("p_calibrated", 6).alias("p_calibrated"))
+
+
+def _platt_sql(steps=12):
+    ctes = ["""s AS (SELECT d.doc_id, n_chars / (n_chars + 2000.0) AS p, quality AS y,
+    CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 4) AS BIGINT) % 2 = 0 AS fits FROM documents d JOIN labels l ON l.doc_id = d.doc_id)""",
+            "st AS (SELECT avg(p) AS m, coalesce(nullif(stddev_pop(p), 0), 1) AS sd FROM s WHERE fits)",
+            "z AS MATERIALIZED (SELECT (p - m) / sd AS x, y FROM s, st WHERE fits)", "t0 AS (SELECT 1 AS one, 0.0 AS x_0, 0.0 AS x_1)"]
+    r = repr(grouped_fit.RIDGE)
+    for t in range(1, steps + 1):
+        ctes.append(f"""n{t} AS MATERIALIZED (SELECT 1 AS one, sum(w) AS a_0_0, sum(w * x) AS a_0_1, sum(w * x * x) + {r} AS a_1_1,
+    sum(y - e) AS b_0, sum((y - e) * x) - {r} * any_value(x_1) AS b_1 FROM (SELECT *, e * (1 - e) AS w FROM (
+    SELECT z.*, x_1, 1 / (1 + exp(-(x_0 + x_1 * x))) AS e FROM z, t{t - 1})))""")
+        ctes += _solve_ctes(f"s{t}", f"n{t}", "one", 2)
+        ctes.append(f"t{t} AS MATERIALIZED (SELECT 1 AS one, o.x_0 + s.x_0 AS x_0, o.x_1 + s.x_1 AS x_1 FROM s{t} s, t{t - 1} o)")
+    return f"""WITH {', '.join(ctes)}
+SELECT doc_id, round(p, 9) AS p, round(1 / (1 + exp(-(x_0 + x_1 * (p - m) / sd))), 6) AS p_calibrated FROM s, st, t{steps} WHERE NOT fits"""
 
 
 def _labelled(spark, sf):
@@ -507,6 +588,9 @@ QUERIES = {
     "baseline_profile": baseline_profile,
     "stacking_oof": stacking_oof,
     "platt_calibration": platt_calibration,
+    "multiclass_classifier": multiclass_classifier,
+    "feature_importance": feature_importance,
+    "macro_auc": macro_auc,
     "isotonic_by_group": isotonic_by_group,
     "group_thresholds": group_thresholds,
     "fair_predictions": fair_predictions,
@@ -529,6 +613,9 @@ ORACLE = {
     "uncertainty_aggregation": _UNCERT_SQL,
     "baseline_profile": _BASELINE_SQL,
     "isotonic_by_group": _ISO_SQL,
+    "platt_calibration": _platt_sql(),
+    "multiclass_classifier": _MULTICLASS_SQL,
+    "macro_auc": _MACRO_AUC_SQL,
     "group_thresholds": _LIMITS_SQL,
     "fair_predictions": _FAIR_SQL,
     "bootstrap_effect_intervals": _boot_sql(),

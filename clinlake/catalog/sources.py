@@ -83,7 +83,7 @@ def questionnaire_flatten(spark, sf):
     path = scratch_path(spark, "nms")
     conv = table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     item = F.struct(F.lpad((F.col("turn") * 2 + 11).cast("string"), 3, "0").alias("link_id"),
-                    F.substring("text", 1, 40).alias("text"), (F.col("role") == "assistant").alias("answer"))
+                    F.col("text"), (F.col("role") == "assistant").alias("answer"))
     docs = conv.groupBy(F.col("conv_id").alias("subject_id")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("turn"), item.alias("it")))).alias("_items"))
     docs = docs.select(F.lit("QuestionnaireResponse").alias("resource_type"), "subject_id",

@@ -14,32 +14,42 @@ from pyspark.sql import functions as F
 
 from clinlake.catalog.panel import _TRAILING_SQL, _WEEKLY_SQL, METRIC_OF, TRAILING_WINDOW_US, _daily_sql
 from clinlake.streaming import events as sev
-from clinlake.streaming import sinks, windows
+from clinlake.streaming import freshness, sinks, windows
 
 
-FILES, LATE_S = 8, 1_800
+#: Slices of arrival time (a batch each), how late events arrive, and rows of a landing file.
+SLICES, LATE_S, FILE_ROWS = 8, 1_800, 2_000_000
 
 
 def _event_stream(spark, sf, repeats=False):
-    """The events as a landing folder of ``FILES`` files, read one per batch.
+    """The events as a landing folder, read one slice of arrival time per batch.
 
-    Events arrive up to half an hour late, so files overlap in event time and
-    none is sorted; with ``repeats`` every tenth event arrives twice."""
+    Events arrive up to half an hour late, so slices overlap in event time and
+    none is sorted; with ``repeats`` every tenth event arrives twice.  The arrivals are
+    scanned once and cut into slices; every slice then lands, in order, as the same number
+    of files, as many as its rows need, which are one batch."""
     ev = spark.read.parquet(os.path.join(sf, "events.parquet"))
     late = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "event_id"), F.lit(LATE_S))
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     arrivals = ev.withColumn("_at", at + late("first"))
     if repeats:
         arrivals = arrivals.union(ev.filter(F.xxhash64("event_id") % 10 == 0).withColumn("_at", at + late("again")))
-    lo, hi = arrivals.agg(F.min("_at"), F.max("_at")).first()
-    path = sinks.scratch_path(spark, "landing")
-    part = F.floor((F.col("_at") - F.lit(lo)) * FILES / F.lit((hi or 0) - (lo or 0) + 1))
-    for i in range(FILES):  # written in the order of arrival
-        (arrivals.filter(part == i).drop("_at").repartition(1, "event_id").write.mode("append").parquet(path))
-    s = sev.file_stream(spark, path, ev.schema, "parquet", max_files_per_trigger=1)
+    lo, hi, rows = arrivals.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
+    part = F.floor((F.col("_at") - F.lit(lo)) * SLICES / F.lit((hi or 0) - (lo or 0) + 1)).cast("int")
+    cut, path = sinks.scratch_path(spark, "arrivals"), sinks.scratch_path(spark, "landing")
+    arrivals.withColumn("_slice", part).drop("_at").write.partitionBy("_slice").parquet(cut)
+    files = max(1, -(-rows // (SLICES * FILE_ROWS)))
+    for i in range(SLICES):  # written in the order of arrival; an empty slice lands as empty files
+        mine = spark.read.schema(ev.schema).parquet(f"{cut}/_slice={i}") if i in _slices(spark, cut) else ev.limit(0)
+        mine.repartition(files, "event_id").write.mode("append").parquet(path)
+    s = sev.file_stream(spark, path, ev.schema, "parquet", max_files_per_trigger=files)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _slices(spark, cut):
+    return {r[0] for r in spark.read.parquet(cut).select("_slice").distinct().collect()}  # one row a slice
+
+
 def stream_daily_summary(spark, sf):
     ev = _event_stream(spark, sf)
     metrics = [(et, METRIC_OF[et]) for et in ("view", "click", "purchase")]
@@ -128,7 +138,49 @@ def stream_dedupe(spark, sf):
     return sinks.read_sink(spark, path).select("event_id", "user_id", "event_type")
 
 
+def _sources(ev):
+    """A source: the events of one type from one user."""
+    return ev.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("source"), "ts")
+
+
+def source_freshness(spark, sf):
+    """A source is pending when its last event is more than 7 days older than the last of all."""
+    from clinlake.session import table
+    ev = _sources(table(spark, sf, "events", ["user_id", "event_type", "ts"]))
+    return freshness.source_status(ev, "source", "ts").select(
+        "source", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "status")
+
+
+_FRESH_SQL = """
+SELECT user_id || ':' || event_type AS source, max(ts) AS last_seen,
+  CASE WHEN max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN 'pending' ELSE 'active' END AS status
+FROM events GROUP BY 1
+"""
+
+
+def stream_silences(spark, sf):
+    """Timers: each time a source fell silent for more than 7 days, found while the events
+    stream in; equal to the gaps of the whole table, whatever the order of arrival."""
+    ev = _sources(_event_stream(spark, sf))
+    path = sinks.scratch_path(spark, "silences")
+    sinks.run_available_now(freshness.silences(ev, "source", "string", "ts", watermark="1 day"), path, output_mode="append")
+    out = sinks.read_sink(spark, path)
+    last = spark.read.parquet(os.path.join(sf, "events.parquet")).agg(F.max(F.col("ts").cast("timestamp")).alias("m"))
+    # silences that the watermark (a day behind) has passed
+    return out.join(F.broadcast(last), F.col("silent_since") < F.col("m") - F.expr("INTERVAL 9 DAYS")).select(
+        "source", F.col("silent_since").cast("timestamp_ntz").alias("silent_since"))
+
+
+_SILENCE_SQL = """
+WITH g AS (SELECT user_id || ':' || event_type AS source, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS next,
+    (SELECT max(ts) FROM events) AS m FROM events)
+SELECT source, ts AS silent_since FROM g WHERE (next IS NULL OR next - ts > INTERVAL 7 DAY) AND ts < m - INTERVAL 9 DAY
+"""
+
+
 QUERIES = {
+    "source_freshness": source_freshness,
+    "stream_silences": stream_silences,
     "stream_daily_summary": stream_daily_summary,
     "stream_trailing_window": stream_trailing_window,
     "stream_dedupe": stream_dedupe,
@@ -138,6 +190,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "source_freshness": _FRESH_SQL,
+    "stream_silences": _SILENCE_SQL,
     "stream_daily_summary": _daily_sql(),
     "stream_trailing_window": _TRAILING_SQL,
     "stream_dedupe": "SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events",

@@ -436,3 +436,14 @@ def concordance_index(df: DataFrame, y: str, p: str, levels: int | None = None)
     total = F.col("concordant") + F.col("discordant") + F.col("tied")
     return agg.select("concordant", "discordant", "tied",
                       F.when(total > 0, (F.col("concordant") + 0.5 * F.col("tied")) / total).alias("c_index"))
+
+
+def macro_auc_ovr(df: DataFrame, label: str, probability: str, classes: str) -> DataFrame:
+    """(classes, macro_auc): the mean over the classes of the AUC of each against the rest.
+
+    ``probability`` and ``classes`` are arrays in the same order; scores that agree to 12
+    digits tie.  A class that does not occur (or is alone) counts 0.5."""
+    each = df.select(F.col(label).alias("_l"), F.explode(F.arrays_zip(F.col(classes).alias("c"), F.col(probability).alias("p"))).alias("z"))
+    rows = each.select(F.col("z.c").alias("c"), F.coalesce(F.col("_l") == F.col("z.c"), F.lit(False)).cast("int").alias("y"),
+                       F.round("z.p", 12).alias("p"))
+    return roc_auc(rows, ["c"], "y", "p").agg(F.count(F.lit(1)).alias("classes"), F.avg("auc").alias("macro_auc"))

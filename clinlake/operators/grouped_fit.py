@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinlake.functions.exprs import nan_to_null
 from clinlake.operators.models import poisson_one
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.session import checkpoint_dir
@@ -127,3 +128,33 @@ def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders:
     moments = j.groupBy("replica").agg(*_products(x, F.col("w")), *[F.sum(F.col("w") * F.col("y") * F.col(c)).alias(f"b_{i}")
                                                                     for i, c in enumerate(x)])
     return _solve(moments, ["replica"], len(x), 0.0).select("replica", F.col("beta")[1].alias("effect"))
+
+
+def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 10) -> DataFrame:
+    """Round-robin regression imputation of ``columns``: missing cells (null, NaN) begin as
+    the column's mean; in every round each incomplete column is fitted by least squares on
+    the others over its observed rows, and its missing cells become the prediction.
+
+    A fit is one aggregate (products of the columns); its few numbers go through the driver.
+    The table is written once a round.  A column without any value stays null."""
+    checkpoint_dir(df.sparkSession)
+    seen = {c: f"_o{i}" for i, c in enumerate(columns)}
+    cur = df.withColumns({o: nan_to_null(F.col(c).cast("double")) for c, o in seen.items()})
+    first = cur.agg(*[F.avg(o).alias(o) for o in seen.values()], *[F.count_if(F.col(o).isNull()).alias(f"n{o}")
+                                                                   for o in seen.values()]).first()
+    cur = cur.withColumns({c: F.coalesce(F.col(o), F.lit(first[o])) for c, o in seen.items()}).checkpoint()
+    gaps = [c for c in columns if first[f"n{seen[c]}"] and first[seen[c]] is not None]
+    for _ in range(rounds):
+        for c in gaps:
+            x = [F.lit(1.0), *[F.col(o) for o in columns if o != c and first[seen[o]] is not None]]
+            pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+            sums = cur.filter(F.col(seen[c]).isNotNull()).agg(*[F.sum(x[i] * x[j]).alias(f"a_{i}_{j}") for i, j in pairs],
+                                                              *[F.sum(F.col(seen[c]) * v).alias(f"b_{i}") for i, v in enumerate(x)]).first()
+            a = np.zeros((len(x), len(x)))
+            for i, j in pairs:
+                a[i, j] = a[j, i] = sums[f"a_{i}_{j}"]
+            beta = np.linalg.lstsq(a, np.array([sums[f"b_{i}"] for i in range(len(x))]), rcond=None)[0]
+            guess = sum((v * float(b) for v, b in zip(x[1:], beta[1:])), F.lit(float(beta[0])))
+            cur = cur.withColumn(c, F.coalesce(F.col(seen[c]), guess))
+        cur = cur.checkpoint()
+    return cur.select(*df.columns)

@@ -206,32 +206,6 @@ def bootstrap_oversample(df: DataFrame, label: str, plan: DataFrame, noise_cols:
     return ex.select(*[c for c in df.columns if c != source_col], source_col)
 
 
-def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 10, reg: float = 1.0) -> DataFrame:
-    """Round-robin regression imputation: start from column means, then each
-    round fits a ridge regression (MLlib) of every incomplete column on the
-    others over its observed rows and replaces its missing cells by the
-    prediction.  The table is checkpointed each round (lineage cut into the
-    shared checkpoint folder)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from clinlake.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    miss = {c: f"_miss_{c}" for c in columns}
-    cur = df.withColumns({m: nan_to_null(F.col(c).cast("double")).isNull() for c, m in miss.items()})
-    cur = mean_fill(cur, columns)
-    for _ in range(rounds):
-        for c in columns:
-            others = [o for o in columns if o != c]
-            vec = VectorAssembler(inputCols=others, outputCol="_fx").transform(cur)
-            model = LinearRegression(featuresCol="_fx", labelCol=c, regParam=reg, elasticNetParam=0.0) \
-                .fit(vec.filter(~F.col(miss[c])))
-            pred = model.transform(vec).withColumn(c, F.when(F.col(miss[c]), F.col("prediction")).otherwise(F.col(c)))
-            cur = pred.drop("_fx", "prediction")
-        cur = cur.checkpoint(eager=True)
-    return cur.drop(*miss.values())
-
-
 def exclude_augmented(df: DataFrame, source_col: str = "data_source") -> DataFrame:
     """Drop synthetic / augmented rows (source tagged *augmented* or *synthetic*)
     before drift or quality statistics."""

@@ -203,25 +203,55 @@ def stacking_oof(df: DataFrame, id_col: str, features: Sequence[str], label: str
         lr = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50).fit(train)
         rf = RandomForestClassifier(featuresCol="_features", labelCol="_y", numTrees=20, maxDepth=5,
                                     seed=seed).fit(train)
-        p_lr = lr.transform(hold).select(id_col, vector_to_array("probability")[1].alias("p_lr"))
-        p_rf = rf.transform(hold).select(id_col, vector_to_array("probability")[1].alias("p_rf"))
-        part = p_lr.join(p_rf, id_col)
+        drop = ["rawPrediction", "probability", "prediction"]
+        one = lr.transform(hold).withColumn("p_lr", vector_to_array("probability")[1]).drop(*drop)
+        part = rf.transform(one).select(id_col, "_y", "p_lr", vector_to_array("probability")[1].alias("p_rf"))
         oof = part if oof is None else oof.unionByName(part)
-    meta_in = _assemble(oof.join(base.select(id_col, "_y"), id_col), ["p_lr", "p_rf"])
+    meta_in = _assemble(oof, ["p_lr", "p_rf"])
     meta = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50).fit(meta_in)
     return meta.transform(meta_in).select(id_col, "p_lr", "p_rf",
                                           vector_to_array("probability")[1].alias("p_stack"),
                                           F.col("_y").alias("label"))
 
 
-def platt_calibrate(df: DataFrame, score: str, label: str, out: str = "p_calibrated") -> DataFrame:
-    """Platt scaling: sigmoid(a s + b) fitted by a one-feature logistic regression on the labels."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    x = _assemble(df.withColumn("_y", F.col(label).cast("double")), [score])
-    m = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=100).fit(x)
-    return m.transform(x).withColumn(out, vector_to_array("probability")[1]).drop(
-        "_features", "_y", "rawPrediction", "probability", "prediction")
+def multiclass_classifier(df: DataFrame, vector: str, label: str, fits: Column, trees: int = 30, depth: int = 6,
+                          seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(scored, importance).  Softmax regression and a random forest, each row weighted by
+    n / (classes * n of its class), fitted on the rows where ``fits`` holds; ``scored`` is
+    ``df`` with classes (the labels in order), probability (the models' mean, one per
+    class) and predicted.  ``importance`` (dimension, importance, rank) is the mean of the
+    models' normalised importances (the softmax's: mean absolute coefficient).
+
+    The number of classes is counted on the fitted rows; rows without a label are scored
+    too, rows without a vector are left out."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
+    train = rows.filter(fits & F.col(label).isNotNull())
+    sizes = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
+    names = sorted(sizes)
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, float(i))])
+    weight = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, sum(sizes.values()) / len(sizes) / n)])
+    train = train.select("_x", F.element_at(number, F.col(label)).alias("_y"), F.element_at(weight, F.col(label)).alias("_w"))
+    softmax = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", maxIter=60,
+                                 regParam=1e-3).fit(train)
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth,
+                                    seed=seed).fit(train)
+    drop = ["rawPrediction", "prediction", "probability"]
+    scored = softmax.transform(rows).withColumn("_a", vector_to_array("probability")).drop(*drop)
+    scored = forest.transform(scored).withColumn("_b", vector_to_array("probability")).drop(*drop)
+    classes = F.array(*map(F.lit, names))
+    mean = renormalise(F.zip_with("_a", "_b", lambda a, b: (a + b) / 2))
+    scored = scored.select(*df.columns, classes.alias("classes"), mean.alias("probability"))
+    scored = scored.withColumn("predicted", F.element_at("classes", F.array_position(
+        "probability", F.array_max("probability")).cast("int")))
+    slope = np.abs(softmax.coefficientMatrix.toArray()).mean(axis=0)
+    gain = forest.featureImportances.toArray()
+    share = (slope / max(slope.sum(), 1e-300) + gain / max(gain.sum(), 1e-300)) / 2
+    order = np.argsort(-share, kind="stable")
+    importance = df.sparkSession.createDataFrame([(int(i), float(share[i]), r) for r, i in enumerate(order, 1)],
+                                                 "dimension int, importance double, rank int")
+    return scored, importance
 
 
 def renormalise(probs: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import clinlake.plans.prefix as prefix
-from clinlake.operators import graph, grouped_fit, isotonic, signal
+from clinlake.operators import evaluate, graph, grouped_fit, isotonic, models, signal
 
 
 def plain_isotonic(points):
@@ -166,3 +166,34 @@ def test_pagerank_with_cycles_and_dangling_nodes(spark):
         df = spark.createDataFrame(list(edges) + [(2, 3)], "src int, dst int")
         got = {x.node: x["rank"] for x in graph.pagerank(df, iterations=rounds).collect()}
         assert set(got) == set(r) and all(abs(got[v] - r[v]) < 1e-12 for v in r)
+
+
+def test_multiclass_classifier_on_separable_classes(spark):
+    """A class with a third of the rows and a rare one; the weights keep the rare one in."""
+    rnd = np.random.default_rng(7)
+    rows = []
+    for c, n in (("a", 200), ("b", 190), ("c", 190), ("rare", 20)):
+        centre = np.eye(4)["abcr".index(c[0])] * 4
+        rows += [(len(rows) + i, c, (centre + rnd.normal(size=4)).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows + [(9_999, None, [4.0, 0.0, 0.0, 0.0]), (10_000, "a", None)], "id int, c string, x array<double>")
+    scored, importance = models.multiclass_classifier(df, "x", "c", F.col("id") % 3 != 0)
+    out = {r.id: r for r in scored.collect()}
+    assert len(out) == 601 and out[9_999].predicted == "a" and all(abs(sum(r.probability) - 1) < 1e-9 for r in out.values())
+    held = [r for r in out.values() if r.id % 3 == 0 and r.c]
+    assert np.mean([r.predicted == r.c for r in held]) > 0.95 and all(r.predicted == "rare" for r in held if r.c == "rare")
+    auc = evaluate.macro_auc_ovr(scored.filter("id % 3 = 0 and c is not null"), "c", "probability", "classes").first()
+    assert auc.classes == 4 and auc.macro_auc > 0.98
+    shares = importance.collect()
+    assert abs(sum(r.importance for r in shares) - 1) < 1e-9 and [r["rank"] for r in shares] == [1, 2, 3, 4]
+
+
+def test_iterative_imputation(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=600)
+    rows = [(i, float(a), float(2 * a + 1), float(-a)) for i, a in enumerate(x)]
+    gaps = [(i, a, None if i % 5 == 0 else b, float("nan") if i % 7 == 0 else c) for i, a, b, c in rows]
+    df = spark.createDataFrame(gaps, "id int, a double, b double, c double")
+    out = {r.id: r for r in grouped_fit.iterative_impute(df, ["a", "b", "c"], 10).collect()}
+    assert all(abs(out[i].b - b) < 1e-6 and abs(out[i].c - c) < 1e-6 for i, _, b, c in rows)
+    none = df.withColumn("b", F.lit(None).cast("double"))
+    assert grouped_fit.iterative_impute(none, ["a", "b"], 2).filter("b is not null").count() == 0
