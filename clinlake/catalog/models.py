@@ -448,6 +448,78 @@ def local_surrogate_attribution(spark, sf):
     return models.local_surrogate(f, "c_custkey", ["a", "n"], score, n_perturb=200)
 
 
+def rule_labels(spark, sf):
+    """Disease label of every customer by the linear rule scores (without noise)."""
+    c = table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
+    f = c.select("c_custkey", (30.0 + F.col("c_nationkey") * 2.5).alias("Age"),
+                 F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 400.0).alias("MMSE"),
+                 (F.col("c_custkey") % 11).cast("double").alias("FunctionalAssessment"),
+                 (F.col("c_custkey") % 7).cast("double").alias("SleepQuality"),
+                 (F.col("c_custkey") % 13 / 1.2).alias("PhysicalActivity"),
+                 (F.col("c_nationkey") % 2).cast("double").alias("MemoryComplaints"),
+                 (F.col("c_custkey") % 5 == 0).cast("double").alias("Depression"))
+    return models.rule_labels(f).select("c_custkey", F.round("rule_score", 6).alias("rule_score"), "rule_label")
+
+
+def _rules_sql():
+    given = {"Age": "30.0 + c_nationkey * 2.5", "MMSE": "CASE WHEN c_acctbal > 0 THEN c_acctbal / 400.0 END",
+             "FunctionalAssessment": "(c_custkey % 11)::DOUBLE", "SleepQuality": "(c_custkey % 7)::DOUBLE",
+             "PhysicalActivity": "(c_custkey % 13) / 1.2", "MemoryComplaints": "(c_nationkey % 2)::DOUBLE",
+             "Depression": "CASE WHEN c_custkey % 5 = 0 THEN 1.0 ELSE 0.0 END"}
+    columns = ", ".join(f"coalesce({given.get(f, 'NULL')}, {d}) AS {f}" for f, d in models.RULE_DEFAULTS.items())
+    kinds = {"above": "greatest({f} - {b}, 0) / {s}.0", "below": "greatest({b} - {f}, 0) / {s}.0", "flag": "{f}"}
+    scores = " UNION ALL ".join(
+        f"SELECT c_custkey, {i} AS place, '{d.replace(chr(39), chr(39) * 2)}' AS disease, "
+        + " + ".join(f"{kinds[k].format(f=f, b=b, s=sp)} * {w}" for f, k, b, sp, w in terms) + " AS score FROM f"
+        for i, (d, terms) in enumerate(models.RULE_SCORES.items()))
+    return f"""WITH f AS (SELECT c_custkey, {columns} FROM customer), s AS ({scores}),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, place) AS k FROM s)
+SELECT c_custkey, round(score, 6) AS rule_score, disease AS rule_label FROM r WHERE k = 1"""
+
+
+def forecast_validation(spark, sf):
+    """C-statistic, rates at the cut and CRPS approximation of a price forecast."""
+    o = table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    li = table(spark, sf, "lineitem", ["l_orderkey", "l_extendedprice"])
+    f = li.groupBy("l_orderkey").agg((F.sum("l_extendedprice") / 3000.0).alias("m"))
+    v = evaluate.forecast_validation(o.join(f, F.col("o_orderkey") == F.col("l_orderkey")).withColumn(
+        "y", F.col("o_totalprice") / 3000.0), "y", "m", 60.0)
+    return v.select("n", *[F.round(c, 6).alias(c) for c in ("sensitivity", "specificity", "ppv", "npv", "c_statistic", "crps_approx")])
+
+
+_FORECAST_CHECK_SQL = """
+WITH r AS (SELECT o_totalprice / 3000.0 AS y, m FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) / 3000.0 AS m FROM lineitem GROUP BY 1)
+    ON l_orderkey = o_orderkey),
+c AS (SELECT m, count(*) FILTER (WHERE y > 60) AS pos, count(*) FILTER (WHERE NOT y > 60) AS neg FROM r GROUP BY m),
+u AS (SELECT pos, neg, sum(neg) OVER (ORDER BY m) - neg / 2.0 AS below FROM c),
+a AS (SELECT CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.5 ELSE sum(pos * below) / (sum(pos) * sum(neg)) END AS auc FROM u),
+k AS (SELECT count(*) AS n, count(*) FILTER (WHERE m > 60 AND y > 60) AS tp, count(*) FILTER (WHERE m > 60 AND NOT y > 60) AS fp,
+    count(*) FILTER (WHERE NOT m > 60 AND y > 60) AS fn, count(*) FILTER (WHERE NOT m > 60 AND NOT y > 60) AS tn, greatest(stddev_pop(m), 1e-6) AS sd FROM r),
+z AS (SELECT abs(y - m) / sd / sqrt(2.0) AS z FROM r, k),
+t AS (SELECT z, 1 / (1 + 0.3275911 * z) AS t FROM z),
+e AS (SELECT avg(0.5 - 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z)) AS crps FROM t)
+SELECT n, round(tp / greatest(tp + fn, 1), 6) AS sensitivity, round(1 - fp / greatest(fp + tn, 1), 6) AS specificity,
+  round(tp / greatest(tp + fp, 1), 6) AS ppv, round(tn / greatest(tn + fn, 1), 6) AS npv, round(auc, 6) AS c_statistic, round(crps, 6) AS crps_approx
+FROM k, a, e
+"""
+
+
+def train_apply_scaling(spark, sf):
+    """Scaling and median fill learnt on the orders before 2000, applied to all orders."""
+    o = table(spark, sf, "orders", ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"]).withColumn(
+        "price", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    fitted = impute.fit_scaling(o.filter(F.col("o_orderdate") < "2000-01-01"), ["price"])
+    return impute.apply_scaling(o, fitted, ["price"]).select("o_orderkey", F.round("price_scaled", 6).alias("price_scaled"))
+
+
+_SCALING_SQL = """
+WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders),
+f AS (SELECT avg(price) AS m, CASE WHEN coalesce(stddev_pop(price), 0) > 0 THEN stddev_pop(price) ELSE 1 END AS sd, quantile_cont(price, 0.5) AS md
+    FROM o WHERE o_orderdate < TIMESTAMP '2000-01-01')
+SELECT o_orderkey, round((coalesce(price, md) - m) / sd, 6) AS price_scaled FROM o, f
+"""
+
+
 def sequence_lengths(spark, sf):
     """Encoder / prediction lengths from the data: the fewest visits any patient
     has (one grouped count, one global min), split into encoder and horizon."""
@@ -591,6 +663,9 @@ QUERIES = {
     "multiclass_classifier": multiclass_classifier,
     "feature_importance": feature_importance,
     "macro_auc": macro_auc,
+    "rule_labels": rule_labels,
+    "forecast_validation": forecast_validation,
+    "train_apply_scaling": train_apply_scaling,
     "isotonic_by_group": isotonic_by_group,
     "group_thresholds": group_thresholds,
     "fair_predictions": fair_predictions,
@@ -616,6 +691,9 @@ ORACLE = {
     "platt_calibration": _platt_sql(),
     "multiclass_classifier": _MULTICLASS_SQL,
     "macro_auc": _MACRO_AUC_SQL,
+    "rule_labels": _rules_sql(),
+    "forecast_validation": _FORECAST_CHECK_SQL,
+    "train_apply_scaling": _SCALING_SQL,
     "group_thresholds": _LIMITS_SQL,
     "fair_predictions": _FAIR_SQL,
     "bootstrap_effect_intervals": _boot_sql(),

@@ -210,3 +210,25 @@ def exclude_augmented(df: DataFrame, source_col: str = "data_source") -> DataFra
     """Drop synthetic / augmented rows (source tagged *augmented* or *synthetic*)
     before drift or quality statistics."""
     return df.filter(~F.coalesce(F.lower(F.col(source_col)).rlike("augmented|synthetic"), F.lit(False)))
+
+
+def fit_scaling(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of the training rows' medians, means and standard deviations (population;
+    0 or null counts as 1), for ``apply_scaling``."""
+    v = {c: nan_to_null(F.col(c).cast("double")) for c in columns}
+    flat = train.select(*[v[c].alias(c) for c in columns])
+    sd = {c: F.stddev_pop(c) for c in columns}
+    moments = flat.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns],
+                       *[F.when(F.coalesce(sd[c], F.lit(0.0)) > 0, sd[c]).otherwise(1.0).alias(f"_sd_{c}") for c in columns])
+    for c in columns:
+        moments = moments.crossJoin(bounded_broadcast(exact_quantiles(flat, [], c, [0.5], [f"_med_{c}"])))
+    return moments
+
+
+def apply_scaling(df: DataFrame, fitted: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+    """``df`` with missing values of the columns filled by the training median and scaled by
+    the training mean and deviation: nothing is learnt from the rows it is applied to."""
+    j = df.crossJoin(bounded_broadcast(fitted))
+    out = {f"{c}{suffix}": (F.coalesce(nan_to_null(F.col(c).cast("double")), F.col(f"_med_{c}")) - F.col(f"_mean_{c}"))
+           / F.col(f"_sd_{c}") for c in columns}
+    return j.withColumns(out).select(*df.columns, *out)

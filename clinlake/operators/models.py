@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinlake.functions.exprs import clip, hash_normal, nan_to_null, when_chain
+from clinlake.functions.exprs import clip, hash_normal, hash_uniform, nan_to_null, when_chain
 from clinlake.plans.broadcast import bounded_broadcast
 
 ScoreFn = Callable[[Mapping[str, Column]], Column]
@@ -367,3 +367,45 @@ def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     rows = [(a, b, float(round(m[i][j], 6))) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return spark.createDataFrame(rows, "feature_i string, feature_j string, r double")
+
+
+# The linear disease scores.  (feature, kind, reference, span, weight): "above" and
+# "below" are the distance beyond the reference over the span, "flag" the value itself.
+RULE_DEFAULTS = {"Age": 70.0, "MMSE": 25.0, "FunctionalAssessment": 6.0, "ADL": 6.0, "MemoryComplaints": 0.0,
+                 "FamilyHistoryAlzheimers": 0.0, "Depression": 0.0, "SleepQuality": 5.0, "PhysicalActivity": 5.0,
+                 "BehavioralProblems": 0.0}
+RULE_SCORES = {
+    "Alzheimer's Disease": [("Age", "above", 60, 40, 0.25), ("MMSE", "below", 30, 30, 0.35), ("MemoryComplaints", "flag", 0, 1, 0.20),
+                            ("FamilyHistoryAlzheimers", "flag", 0, 1, 0.15), ("FunctionalAssessment", "below", 10, 10, 0.05)],
+    "Parkinson's Disease": [("Age", "above", 55, 45, 0.20), ("MMSE", "below", 30, 30, 0.15), ("Depression", "flag", 0, 1, 0.20),
+                            ("PhysicalActivity", "below", 10, 10, 0.25), ("SleepQuality", "below", 10, 10, 0.20)],
+    "Multiple Sclerosis": [("Age", "below", 60, 60, 0.35), ("Depression", "flag", 0, 1, 0.20), ("FunctionalAssessment", "below", 10, 10, 0.20),
+                           ("SleepQuality", "below", 10, 10, 0.15), ("BehavioralProblems", "flag", 0, 1, 0.10)],
+    "Epilepsy": [("Age", "below", 55, 55, 0.30), ("SleepQuality", "below", 10, 10, 0.30), ("Depression", "flag", 0, 1, 0.15),
+                 ("BehavioralProblems", "flag", 0, 1, 0.15), ("PhysicalActivity", "below", 10, 10, 0.10)],
+    "ALS": [("Age", "above", 45, 55, 0.15), ("FunctionalAssessment", "below", 10, 10, 0.35), ("ADL", "below", 10, 10, 0.35),
+            ("PhysicalActivity", "below", 10, 10, 0.15)],
+    "Huntington's Disease": [("Age", "above", 30, 50, 0.15), ("MemoryComplaints", "flag", 0, 1, 0.25), ("BehavioralProblems", "flag", 0, 1, 0.25),
+                             ("MMSE", "below", 30, 30, 0.20), ("Depression", "flag", 0, 1, 0.15)],
+}
+
+
+def rule_labels(df: DataFrame, noise_key: Sequence[str] = (), noise: float = 0.05, seed: int = 42) -> DataFrame:
+    """``df`` with rule_score (the highest of the linear disease scores) and rule_label (its
+    disease; of equal scores the first).  Absent columns and missing values take the default.
+    With ``noise_key`` every score gets a uniform draw under ``noise``, a hash of those columns."""
+    def value(f: str) -> Column:
+        given = nan_to_null(F.col(f).cast("double")) if f in df.columns else F.lit(None).cast("double")
+        return F.coalesce(given, F.lit(RULE_DEFAULTS[f]))
+
+    def term(f: str, kind: str, base: float, span: float, weight: float) -> Column:
+        beyond = {"above": value(f) - base, "below": base - value(f)}.get(kind)
+        return (value(f) if beyond is None else F.greatest(beyond, F.lit(0.0)) / span) * weight
+    scores = []
+    for i, (disease, terms) in enumerate(RULE_SCORES.items()):
+        total = sum((term(*t) for t in terms[1:]), term(*terms[0]))
+        if noise_key:
+            total = total + hash_uniform(seed + i, *[F.col(c) for c in noise_key]) * noise
+        scores.append(F.struct(total.alias("score"), F.lit(-i).alias("place"), F.lit(disease).alias("disease")))
+    best = F.array_max(F.array(*scores))
+    return df.withColumn("_b", best).select(*df.columns, F.col("_b.score").alias("rule_score"), F.col("_b.disease").alias("rule_label"))

@@ -197,3 +197,24 @@ def test_iterative_imputation(spark):
     assert all(abs(out[i].b - b) < 1e-6 and abs(out[i].c - c) < 1e-6 for i, _, b, c in rows)
     none = df.withColumn("b", F.lit(None).cast("double"))
     assert grouped_fit.iterative_impute(none, ["a", "b"], 2).filter("b is not null").count() == 0
+
+
+def test_rule_labels(spark):
+    rows = [(1, 85.0, 10.0, 1.0, 1.0, 0.0), (2, 25.0, 30.0, 0.0, 0.0, 1.0), (3, None, float("nan"), None, None, None)]
+    df = spark.createDataFrame(rows, "id int, Age double, MMSE double, MemoryComplaints double, FamilyHistoryAlzheimers double, Depression double")
+    out = {r.id: r for r in models.rule_labels(df).collect()}
+    assert out[1].rule_label == "Alzheimer's Disease" and abs(out[1].rule_score - (0.15625 + 0.7 / 3 + 0.35 + 0.02)) < 1e-12
+    assert out[2].rule_label == "Multiple Sclerosis"
+    best = max(models.RULE_SCORES, key=lambda d: sum(
+        {"above": max(models.RULE_DEFAULTS[f] - b, 0) / s, "below": max(b - models.RULE_DEFAULTS[f], 0) / s,
+         "flag": models.RULE_DEFAULTS[f]}[k] * w for f, k, b, s, w in models.RULE_SCORES[d]))
+    assert out[3].rule_label == best
+    noisy = [models.rule_labels(df.repartition(n), ["id"]).orderBy("id").collect() for n in (1, 3)]
+    assert noisy[0] == noisy[1] and all(0 <= n.rule_score - out[n.id].rule_score <= 0.05 for n in noisy[0] if n.id == 1)
+
+
+def test_normal_cdf(spark):
+    import math
+    xs = [-6.0, -2.5, -1.0, -0.1, 0.0, 0.3, 1.96, 5.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", evaluate.normal_cdf(F.col("x")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * (1 + math.erf(r.x / math.sqrt(2)))) < 2e-7 for r in got)
