@@ -37,6 +37,8 @@ BEAM = 64
 ALPHA = 1.2
 #: Nodes that enter, and queries that run, in lockstep.
 BATCH = 512
+#: Partitions per shard (and block of queries): so many that two seldom share one.
+TASKS = 3
 
 
 def usable(vector: Column) -> Column:
@@ -192,7 +194,10 @@ def index(nodes: DataFrame, shard_rows: int, degree: int, beam: int, alpha: floa
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"), F.max(F.sqrt(F.aggregate(
         "vector", F.lit(0.0), lambda a, v: a + v * v))).alias("longest"))
     shard = F.shiftright(unit(F.xxhash64("vector")) * F.col("shards"), 31).cast("int")
+    sizes = staged(sizes, "sizes")  # one row a length
     dealt = nodes.join(runtime_sized(sizes), "dim").withColumn("shard", shard)
+    total = sizes.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.repartition(int(TASKS * total), "dim", "shard")  # a shard is much work on few bytes
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.random.default_rng(len(pdf)).permutation(np.argsort([i[0] for i in pdf["ids"]], kind="stable"))
@@ -224,7 +229,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(
             F.min("vector").alias("vector"))
 
-    graphs = staged(index(classes(parsed(vectors), k + 1), shard_rows, degree, beam, alpha), "graphs")
+    nodes = staged(classes(parsed(vectors), k + 1), "nodes")
+    graphs = staged(index(nodes, shard_rows, degree, beam, alpha), "graphs")
     parts = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
     asked = parsed(queries).withColumn("dim", F.size("vector"))
     n = max(1, -(-asked.count() // query_rows))
@@ -257,6 +263,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         release_memory()
         return pd.DataFrame(out)
     keys = ["dim", "shard", "block"]
+    tasks = int(TASKS * n * (parts.agg(F.sum(F.col("last") + 1)).first()[0] or 1))
+    asked, copies = asked.repartition(tasks, *keys), copies.repartition(tasks, *keys)
     found = asked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
         search, "query_id long, vec_id long, score double")
     best = top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k, salt_of=F.xxhash64("vec_id"))
