@@ -1,22 +1,18 @@
 """Source freshness: sources that send nothing for seven days are pending.
 
 The batch rule looks at each source's last event.  The stream keeps, per source, the
-event times that may still be neighbours of an accepted event, and a timer; when the
-watermark passes a time that nothing followed within the limit, the source was
-silent from then on, and one row says so.
+session that its last events form (gaps within the limit); when the watermark passes
+the session's end, the source was silent from its last event on, and one row says so.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from clinlake.plans.broadcast import bounded_broadcast
 
 MAX_SILENCE_DAYS = 7
-DAY_US = 86_400_000_000
 
 
 def source_status(events: DataFrame, source: str, ts: str, now: Column | None = None,
@@ -38,32 +34,12 @@ def silences(events: DataFrame, source: str, source_type: str, ts: str, watermar
     """(source, silent_since): event times that no event of the source follows within
     ``days``, emitted once the watermark lies more than ``days`` behind them (append mode).
 
-    An accepted event is never older than the watermark, so a time is settled when the
-    watermark passes its limit.  State per source: the times from the last settled one on."""
-    limit = days * DAY_US
-
-    def step(key, pdfs, state):
-        times = set(state.get[0]) if state.exists else set()
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                times.update(pdf["_t"].astype("int64").tolist())
-        mark = state.getCurrentWatermarkMs() * 1000
-        t = sorted(times)
-        done, out = 0, []
-        for i, at in enumerate(t):
-            if at + limit >= mark:
-                break
-            done = i + 1
-            if i + 1 == len(t) or t[i + 1] - at > limit:
-                out.append((*key, pd.Timestamp(at, unit="us")))
-        left = t[done:]
-        if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(left[0] // 1000 + limit // 1000, mark // 1000) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[source, "silent_since"])
-
-    prepared = events.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
-    return prepared.groupBy(source).applyInPandasWithState(
-        step, f"{source} {source_type}, silent_since timestamp", "t array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    A session of a source ends where nothing follows within the limit; its last event is
+    the gap before its end.  A session is settled when the watermark passes its end, as no
+    event within the watermark's delay can reach back into it.  State per source: the open
+    sessions (a start and an end each), kept and merged by Spark's session windows."""
+    gap = F.expr(f"INTERVAL {days} DAYS")  # sessions that touch are merged: an event exactly on the limit is no silence
+    prepared = events.filter(F.col(ts).isNotNull()).select(F.col(source).cast(source_type).alias(source), ts)
+    sessions = prepared.withWatermark(ts, watermark).groupBy(
+        source, F.session_window(F.col(ts), f"{days} days").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    return sessions.select(source, (F.col("_s.end") - gap).alias("silent_since"))

@@ -38,3 +38,17 @@ def test_silences_of_unordered_files(spark, tmp_path, files):
     sinks.run_available_now(freshness.silences(stream, "s", "string", "t", "1 day"), out, output_mode="append")
     got = [(r.s, r.silent_since) for r in sinks.read_sink(spark, out).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_silences_hold_sessions_only(spark, tmp_path):
+    """No Python call per source and batch; an event exactly on the limit is no silence."""
+    rows = [("a", DAY0), ("a", DAY0 + timedelta(days=7)), ("b", DAY0), ("b", DAY0 + timedelta(days=7, microseconds=1)),
+            (None, DAY0), ("z", None), ("z", DAY0 + timedelta(days=70))]
+    path = str(tmp_path / "landing")
+    spark.createDataFrame(rows, "s string, t timestamp").write.parquet(path)
+    found = freshness.silences(sev.file_stream(spark, path, "s string, t timestamp"), "s", "string", "t", "1 day")
+    assert "Pandas" not in found._jdf.queryExecution().logical().toString()
+    out = sinks.scratch_path(spark, "silent")
+    sinks.run_available_now(found, out, output_mode="append")
+    got = {(r.s, r.silent_since) for r in sinks.read_sink(spark, out).collect()}
+    assert got == {("a", DAY0 + timedelta(days=7)), ("b", DAY0), ("b", DAY0 + timedelta(days=7, microseconds=1)), (None, DAY0)}
