@@ -12,6 +12,7 @@ from clinlake.catalog import models as models_q
 from clinlake.catalog import signal as signal_q
 from clinlake.catalog import text as text_q
 from clinlake.operators import connectome, drift, evaluate, graph, grouped_fit, impute, retrieval, signal, sparse_search, text
+from clinlake.functions.exprs import pearson
 from clinlake.session import table
 
 
@@ -264,7 +265,7 @@ def attribution_jaccard(spark, sf):
     rep = F.pmod(F.col("vec_id") * F.lit(2654435761) + F.lit(13), F.lit(4294967296)) % N_REPLICAS
     long = emb.select(rep.alias("replica"), (F.col("label") >= 5).cast("double").alias("y"),
                       F.posexplode("embedding").alias("dim", "x"))
-    imp = long.groupBy("replica", "dim").agg(F.abs(F.corr(F.col("x").cast("double"), "y")).alias("importance"))
+    imp = long.groupBy("replica", "dim").agg(F.abs(pearson(F.col("x").cast("double"), "y")).alias("importance"))
     j = evaluate.attribution_stability(imp, "replica", "dim", "importance", TOP)
     return j.select("n_pairs", _r("mean_jaccard"))
 

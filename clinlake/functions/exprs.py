@@ -40,6 +40,14 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num), F.nullif(col(den), F.lit(0)))
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson r over the rows that have both; null where a side is constant
+    (``corr`` divides by zero there, an error under ANSI)."""
+    x, y = col(x), col(y)
+    sd_x, sd_y = F.stddev_pop(F.when(y.isNotNull(), x)), F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), sd_x * sd_y)
+
+
 def clip(c: str | Column, lo: float | None, hi: float | None) -> Column:
     """Clip like pandas: nulls stay null (Spark greatest/least skip nulls)."""
     c = col(c)

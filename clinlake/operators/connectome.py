@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinlake.functions.exprs import equal_width_bin
+from clinlake.functions.exprs import equal_width_bin, pearson
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.quantile import exact_quantiles
 
 
 def pair_correlations(long: DataFrame, scan: str, t: str, roi: str, value: str) -> DataFrame:
-    """Pearson r per (scan, roi_i < roi_j) over the time points both regions have."""
+    """Pearson r per (scan, roi_i < roi_j) over the time points both regions have
+    (null where one of them is constant there)."""
     a = long.select(F.col(scan).alias("scan"), F.col(t).alias("t"), F.col(roi).alias("roi_i"),
                     F.col(value).cast("double").alias("x"))
     b = long.select(F.col(scan).alias("scan"), F.col(t).alias("t"), F.col(roi).alias("roi_j"),
                     F.col(value).cast("double").alias("y"))
     j = a.join(b, ["scan", "t"]).filter(F.col("roi_i") < F.col("roi_j")).dropna(subset=["x", "y"])
-    return j.groupBy("scan", "roi_i", "roi_j").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("scan", "roi_i", "roi_j").agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def proportional_threshold(edges: DataFrame, q: float = 0.85) -> DataFrame:

@@ -267,3 +267,12 @@ def test_derived_clinical_and_augmented_guard(spark):
     assert out[0]["AbetaTauRatio"] == 20.0 and out[1]["AbetaTauRatio"] is None
     assert abs(out[0]["CognitiveReserve"] - (16 + 27 / 30)) < 1e-12
     assert [r["data_source"] for r in impute.exclude_augmented(df, "data_source").collect()] == ["adni"]
+
+
+def test_constant_region_has_no_correlation(spark):
+    from clinlake.operators import connectome
+    rows = [(s, t, r, v) for s, r, vs in ((1, "a", [1.0, 1.0, 1.0]), (1, "b", [1.0, 2.0, 4.0]), (2, "a", [1.0, 2.0, None]),
+                                          (2, "b", [3.0, 1.0, 9.0]), (3, "a", [1.0]), (3, "b", [2.0])) for t, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "scan int, t int, roi string, value double")
+    got = {r.scan: (r.r, r.n) for r in connectome.pair_correlations(df, "scan", "t", "roi", "value").collect()}
+    assert got[1] == (None, 3) and got[3] == (None, 1) and got[2][1] == 2 and abs(got[2][0] + 1) < 1e-12
