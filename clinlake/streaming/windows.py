@@ -42,7 +42,8 @@ TRAILING_OUT = ("window_start timestamp, window_end timestamp, count long, mean
 
 
 def trailing_window_stateful(events: DataFrame, keys: Sequence[str], key_types: Sequence[str], ts: str,
-                             value: str, window_us: int, watermark: str, min_count: int = 2) -> DataFrame:
+                             value: str, window_us: int, watermark: str, min_count: int = 2,
+                             buckets: int = 1024) -> DataFrame:
     """Per-event trailing window with keyed state (``applyInPandasWithState``, update mode).
 
     For every distinct event time t of a key, count / mean / sd_pop over the
@@ -53,43 +54,86 @@ def trailing_window_stateful(events: DataFrame, keys: Sequence[str], key_types:
     result (``sinks.latest_per_key``).  State reaches back to the watermark less
     one window, as far as an accepted event can look back.  Events later than the
     watermark are dropped by Spark before reaching the function.
+
+    A call costs far more than the few events of a key in a batch, so keys are dealt to
+    ``buckets`` by hash and a call handles all keys of one bucket together.
     """
-    out_schema = ", ".join([f"{k} {t}" for k, t in zip(keys, key_types)] + [TRAILING_OUT])
-    state_schema = "ts array<long>, v array<double>"
-    columns = [*keys, "window_start", "window_end", "count", "mean", "sd_pop"]
+    state_schema = "k array<string>, ts array<long>, v array<double>"
+    columns = ["_k", "window_start", "window_end", "count", "mean", "sd_pop"]
 
-    def step(key, pdfs, state):
-        if state.hasTimedOut:  # no accepted event can reach back to this key's events any more
+    def step(_, pdfs, state):
+        if state.hasTimedOut:  # no accepted event can reach back to this bucket's events any more
             state.remove()
             return
-        old_t, old_v = state.get if state.exists else ([], [])
-        times, values = [np.asarray(old_t, dtype=np.int64)], [np.asarray(old_v, dtype=np.float64)]
+        old_k, old_t, old_v = state.get if state.exists else ([], [], [])
+        ks, times = [np.asarray(old_k, dtype=object)], [np.asarray(old_t, dtype=np.int64)]
+        values, fresh = [np.asarray(old_v, dtype=np.float64)], [np.zeros(len(old_t), dtype=bool)]
         for pdf in pdfs:
+            ks.append(pdf["_k"].to_numpy(dtype=object))
             times.append(pdf["_t"].to_numpy(dtype=np.int64))
             values.append(pdf[value].to_numpy(dtype=np.float64))
-        new = np.unique(np.concatenate(times[1:]))
-        t, v = np.concatenate(times), np.concatenate(values)
-        order = np.argsort(t, kind="stable")
-        t, v = t[order], v[order]
-        at = np.unique(t)
-        # times at or after a new event, within one window of the last new event before them
-        last_new = np.searchsorted(new, at, side="right") - 1
-        at = at[(last_new >= 0) & (at - new[np.maximum(last_new, 0)] <= window_us)]
-        rows = []
-        for end, lo, hi in zip(at, np.searchsorted(t, at - window_us), np.searchsorted(t, at, side="right")):
-            seen = v[lo:hi][~np.isnan(v[lo:hi])]
-            if len(seen) >= min_count:
-                rows.append((*key, pd.Timestamp(int(t[lo]), unit="us"), pd.Timestamp(int(end), unit="us"), len(seen),
-                             float(seen.mean()), float(seen.std())))
+            fresh.append(np.ones(len(pdf), dtype=bool))
+        names, t, v = np.concatenate(ks), np.concatenate(times), np.concatenate(values)
+        code, unique = pd.factorize(names)
+        order = np.lexsort((t, code))
+        code, t, v, names = code[order], t[order], v[order], names[order]
+        for at, lo, hi in _windows_to_emit(code, t, np.concatenate(fresh)[order], window_us):
+            n, mean, sd = _segment_stats(v, lo, hi)
+            some = n >= min_count
+            yield pd.DataFrame({"_k": unique[code[at[some]]], "window_start": pd.to_datetime(t[lo[some]], unit="us"),
+                                "window_end": pd.to_datetime(t[at[some]], unit="us"), "count": n[some],
+                                "mean": mean[some], "sd_pop": sd[some]}, columns=columns)
         mark = state.getCurrentWatermarkMs()
         keep = t >= mark * 1000 - window_us
-        state.update((t[keep].tolist(), v[keep].tolist()))
+        state.update((names[keep].tolist(), t[keep].tolist(), v[keep].tolist()))
         state.setTimeoutTimestamp(max(int(t.max()) // 1000 + window_us // 1000, mark) + 1)
-        yield pd.DataFrame(rows, columns=columns)
 
-    prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
-    return prepared.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+    text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+    prepared = events.withWatermark(ts, watermark).select(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), text.alias("_k"), F.unix_micros(F.col(ts)).alias("_t"),
+        F.col(value).cast("double").alias(value), ts)
+    out = prepared.groupBy("_bucket").applyInPandasWithState(
+        step, f"_k string, {TRAILING_OUT}", state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+    parsed = F.from_json("_k", ", ".join(f"k{i} string" for i in range(len(keys))))
+    return out.withColumn("_p", parsed).select(
+        *[F.col(f"_p.k{i}").cast(t).alias(k) for i, (k, t) in enumerate(zip(keys, key_types))], *columns[1:])
+
+
+def _windows_to_emit(code, t, fresh, window_us, most: int = 1_000_000):
+    """(at, lo, hi) in blocks of at most ``most`` rows in windows (or one window): of rows sorted
+    by key and time, one row of each distinct time at or after a fresh event and within one
+    window of the last fresh event before it, and the range of the rows of its window."""
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (t[1:] != t[:-1])])
+    ends = np.r_[starts[1:], len(t)]
+    has_fresh = np.maximum.reduceat(fresh, starts)
+    last = np.maximum.accumulate(np.where(has_fresh, np.arange(len(starts)), -1))
+    near = (last >= 0) & (code[starts] == code[starts[last]]) & (t[starts] - t[starts[last]] <= window_us)
+    at, hi = starts[near], ends[near]
+    # rows before (key, time - window): a merge of the rows and the window starts, which go first among equals
+    n = len(t)
+    order = np.lexsort((np.r_[np.ones(n), np.zeros(len(at))], np.r_[t, t[at] - window_us], np.r_[code, code[at]]))
+    is_row = order < n
+    lo = np.empty(len(at), dtype=np.int64)
+    lo[order[~is_row] - n] = np.cumsum(is_row)[~is_row]
+    total, first = np.cumsum(hi - lo), 0
+    while first < len(at):
+        done = total[first - 1] if first else 0
+        past = max(first + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield at[first:past], lo[first:past], hi[first:past]
+        first = past
+
+
+def _segment_stats(v, lo, hi):
+    """Count, mean and population sd of the non-NaN values of each range lo:hi (none empty)."""
+    size = hi - lo
+    offsets = np.cumsum(size) - size
+    x = v[np.arange(size.sum()) + np.repeat(lo - offsets, size)]
+    seen = ~np.isnan(x)
+    n = np.add.reduceat(seen.astype(np.int64), offsets)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.add.reduceat(np.where(seen, x, 0.0), offsets) / n
+        sd = np.sqrt(np.add.reduceat(np.where(seen, x - np.repeat(mean, size), 0.0) ** 2, offsets) / n)
+    return n, mean, sd
 
 
 RING_OUT = "ts timestamp, n_samples long, gait_cadence double, tremor_index double, bradykinesia_score double"

@@ -276,3 +276,23 @@ def test_constant_region_has_no_correlation(spark):
     df = spark.createDataFrame(rows, "scan int, t int, roi string, value double")
     got = {r.scan: (r.r, r.n) for r in connectome.pair_correlations(df, "scan", "t", "roi", "value").collect()}
     assert got[1] == (None, 3) and got[3] == (None, 1) and got[2][1] == 2 and abs(got[2][0] + 1) < 1e-12
+
+
+def test_trailing_windows_of_many_keys_in_one_call(spark, tmp_path):
+    """Keys are dealt to buckets: a call handles many keys, null ones too, and mixes none."""
+    import datetime as dt
+
+    from clinlake.streaming import sinks, windows
+    t = dt.datetime(2026, 4, 8, 10, 0, 0)
+    rows = [(k, t + dt.timedelta(minutes=m), float((k or 7) * m)) for k in [None, *range(40)] for m in (0, 1, 4, 30)]
+    path, schema = str(tmp_path / "landing"), "k long, ts timestamp, v double"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    st = windows.trailing_window_stateful(sev.file_stream(spark, path, schema), ["k"], ["long"], "ts", "v",
+                                          3 * 60 * 1_000_000, "1 day", buckets=2)
+    out = sinks.scratch_path(spark, "many")
+    sinks.run_available_now(st, out, output_mode="update")
+    got = sorted(((r.k is None, r.k), r.window_start, r.window_end, r["count"], r["mean"], r.sd_pop)
+                 for r in sinks.read_sink(spark, out).fillna(-1, ["k"]).collect())
+    exp = sorted(((False, -1 if k is None else k), t + dt.timedelta(minutes=a), t + dt.timedelta(minutes=b), 2,
+                  (k or 7) * (a + b) / 2, (k or 7) * (b - a) / 2) for k in [None, *range(40)] for a, b in ((0, 1), (1, 4)))
+    assert got == exp
