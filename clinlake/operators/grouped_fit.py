@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import nan_to_null
-from clinlake.operators.models import poisson_one
+from clinlake.operators.models import poisson_limits, poisson_one
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.session import checkpoint_dir
 
@@ -102,14 +103,41 @@ def grouped_scores(df: DataFrame, models: DataFrame, group: str, features: Seque
 def poisson_replicas(df: DataFrame, key: Sequence[str], replicas: int, seed: int) -> DataFrame:
     """``df`` once per replica (0-based), with a Poisson(1) weight ``w`` that is a function of
     the row's ``key``: 16 bits of an MD5 digest of the key, the seed and a counter."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-    digests = F.array(*[F.md5(F.concat_ws("|", row, F.lit(str(seed)), F.lit(str(i)))) for i in range(-(-replicas // 8))])
-    each = df.select("*", F.posexplode(digests).alias("_block", "_h")).withColumn("_d", F.explode(F.array(*map(F.lit, range(8)))))
+    each = df.select("*", F.posexplode(F.array(*_digests(key, replicas, seed))).alias("_block", "_h")).withColumn("_d", F.explode(F.array(*map(F.lit, range(8)))))
     each = each.withColumn("replica", F.col("_block") * 8 + F.col("_d")).filter(F.col("replica") < replicas)
     bits = F.conv(F.substr("_h", F.col("_d") * 4 + 1, F.lit(4)), 16, 10).cast("double")
     return each.withColumn("w", poisson_one((bits + 0.5) / 65536.0).cast("double")).drop("_block", "_h", "_d")
 
 
+def _digests(key: Sequence[str], replicas: int, seed: int) -> list[Column]:
+    """MD5 digests of a row's key, the seed and a counter, one for eight replicas."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return [F.md5(F.concat_ws("|", row, F.lit(str(seed)), F.lit(str(i)))) for i in range(-(-replicas // 8))]
+
+
+def poisson_moments(df: DataFrame, key: Sequence[str], columns: Sequence[str], replicas: int, seed: int) -> DataFrame:
+    """(replica, m): the sums of weight x column for each of ``columns``, with the weights of
+    ``poisson_replicas``.  A row is not repeated: a batch of rows gives its sums over all
+    replicas in one product of matrices, and only these sums are shuffled."""
+    limits = np.array(poisson_limits())
+    weight_of = np.searchsorted(limits, (np.arange(65536) + 0.5) / 65536.0, side="right").astype(float)
+    names = list(columns)
+
+    def sums(frames):
+        total = None
+        for pdf in frames:
+            if len(pdf):
+                bits = np.frombuffer(b"".join(pdf["_bits"]), ">u2").reshape(len(pdf), -1)[:, :replicas]
+                part = weight_of[bits].T @ pdf[names].to_numpy(dtype=float)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"replica": np.arange(replicas, dtype=np.int32), "m": list(total)})
+
+    parts = df.select(F.unhex(F.concat(*_digests(key, replicas, seed))).alias("_bits"), *names).mapInPandas(
+        sums, "replica int, m array<double>")
+    return parts.groupBy("replica").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(len(names))]).alias("m"))
+
+
 def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders: Sequence[str], key: Sequence[str],
                       replicas: int = 50, seed: int = 7) -> DataFrame:
     """(replica, effect): the treatment's coefficient in a least-squares fit with the
@@ -123,10 +151,12 @@ def bootstrap_effects(df: DataFrame, outcome: str, treatment: str, confounders:
     centred = rows.crossJoin(bounded_broadcast(means)).select(
         F.array(*[F.col(c).cast("string") for c in key]).alias("key"), (F.col(outcome) - F.col("m0")).alias("y"),
         F.lit(1.0).alias("x0"), *[(F.col(c) - F.col(f"m{i + 1}")).alias(f"x{i + 1}") for i, c in enumerate(columns)])
-    j = poisson_replicas(centred.withColumn("key", F.array_join("key", "|", "")), ["key"], replicas, seed)
     x = [f"x{i}" for i in range(len(columns) + 1)]
-    moments = j.groupBy("replica").agg(*_products(x, F.col("w")), *[F.sum(F.col("w") * F.col("y") * F.col(c)).alias(f"b_{i}")
-                                                                    for i, c in enumerate(x)])
+    terms = {f"a_{i}_{j}": F.col(x[i]) * F.col(x[j]) for i in range(len(x)) for j in range(i, len(x))}
+    terms |= {f"b_{i}": F.col("y") * F.col(c) for i, c in enumerate(x)}
+    rows = centred.select(F.array_join("key", "|", "").alias("key"), *[v.alias(c) for c, v in terms.items()])
+    moments = poisson_moments(rows, ["key"], list(terms), replicas, seed).select(
+        "replica", *[F.col("m")[i].alias(c) for i, c in enumerate(terms)])
     return _solve(moments, ["replica"], len(x), 0.0).select("replica", F.col("beta")[1].alias("effect"))
 
 

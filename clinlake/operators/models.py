@@ -269,22 +269,28 @@ def adjusted_effect(df: DataFrame, outcome: str, treatment: str, confounders: Se
     return float(m.coefficients[0])
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) by inverse CDF of a uniform (up to 18, beyond which a double has no mass left)."""
-    steps, upto, term = [], 0.0, float(np.exp(-1.0))
+def poisson_limits() -> list[float]:
+    """Upper ends of the uniforms that give 0 to 17 of a Poisson(1)."""
+    limits, upto, term = [], 0.0, float(np.exp(-1.0))
     for k in range(18):
         upto += term
-        steps.append((u < upto, k))
+        limits.append(upto)
         term /= k + 1
-    return when_chain(steps, 18)
+    return limits
+
+
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) by inverse CDF of a uniform (up to 18, beyond which a double has no mass left)."""
+    return when_chain([(u < upto, k) for k, upto in enumerate(poisson_limits())], 18)
 
 
 def local_surrogate(df: DataFrame, id_col: str, features: Sequence[str], score: ScoreFn, n_perturb: int = 200,
                     sigma: float = 0.3, alpha: float = 1.0, seed: int = 42, top: int = 10) -> DataFrame:
     """Local surrogate attribution per row: ``n_perturb`` Gaussian perturbations
     (a hash of the row's id, repeat and seed), scored with the model expression, kernel-weighted
-    (width sqrt(F) * 0.75), and a weighted ridge fitted per row from its
-    normal equations in a grouped NumPy step (each group has n_perturb + 1 rows)."""
+    (width sqrt(F) * 0.75), and a weighted ridge fitted per row from its normal equations:
+    grouped sums, added up where the perturbations are made (n_perturb + 1 a row), then
+    solved for many rows at a time."""
     nf = len(features)
     width = np.sqrt(nf) * 0.75
     ex = df.select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perturb))).alias("_i"))
@@ -293,24 +299,31 @@ def local_surrogate(df: DataFrame, id_col: str, features: Sequence[str], score:
     ex = ex.withColumn("_p", score({c: F.col(c) + F.col(f"_d_{c}") for c in features}))
     dist2 = sum((F.col(f"_d_{c}") * F.col(f"_d_{c}") for c in features), F.lit(0.0))
     ex = ex.withColumn("_w", F.when(F.col("_i") == 0, 1.0).otherwise(F.exp(-dist2 / (2 * width * width))))
-    dcols = [f"_d_{c}" for c in features]
+    d = [F.col(f"_d_{c}") for c in features]
     idt = df.schema[id_col].dataType.simpleString()
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[dcols].to_numpy(dtype=float)
-        y = pdf["_p"].to_numpy(dtype=float)
-        w = pdf["_w"].to_numpy(dtype=float)
-        xm = np.average(X, axis=0, weights=w)
-        ym = np.average(y, weights=w)
-        Xc, yc = X - xm, y - ym
-        A = (Xc * w[:, None]).T @ Xc + alpha * np.eye(nf)
-        coef = np.linalg.solve(A, (Xc * w[:, None]).T @ yc)
-        order = np.argsort(-np.abs(coef))[:top]
-        return pd.DataFrame({id_col: pdf[id_col].iloc[0], "feature": [features[i] for i in order],
-                             "weight": coef[order], "rank": np.arange(1, len(order) + 1)})
-
-    return ex.select(id_col, "_p", "_w", *dcols).groupBy(id_col).applyInPandas(
-        fit, f"{id_col} {idt}, feature string, weight double, rank long")
+    w, p = F.col("_w"), F.coalesce("_p", F.lit(float("nan")))  # no score: no weights either
+    upper = [(i, j) for i in range(nf) for j in range(i, nf)]
+    sums = ex.groupBy(id_col).agg(
+        F.array(F.sum(w), F.sum(w * p), *[F.sum(w * x) for x in d], *[F.sum(w * x * p) for x in d],
+                *[F.sum(w * d[i] * d[j]) for i, j in upper]).alias("_s"))
+
+    def fit(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            s = np.array(pdf["_s"].tolist(), dtype=float)
+            sw, wx = s[:, :1], s[:, 2:2 + nf]
+            a = np.empty((len(s), nf, nf))
+            for k, (i, j) in enumerate(upper):
+                a[:, i, j] = a[:, j, i] = s[:, 2 + 2 * nf + k] - wx[:, i] * wx[:, j] / sw[:, 0]
+            b = s[:, 2 + nf:2 + 2 * nf] - wx * s[:, 1:2] / sw
+            coef = np.linalg.solve(a + alpha * np.eye(nf), b[:, :, None])[:, :, 0]
+            order = np.argsort(-np.abs(coef), axis=1, kind="stable")[:, :top]
+            n = order.shape[1]
+            yield pd.DataFrame({id_col: pdf[id_col].repeat(n).array, "feature": np.array(features, dtype=object)[order].ravel(),
+                                "weight": np.take_along_axis(coef, order, 1).ravel(), "rank": np.tile(np.arange(1, n + 1), len(s))})
+
+    return sums.mapInPandas(fit, f"{id_col} {idt}, feature string, weight double, rank long")
 
 
 def weight_grid(n_modalities: int, step: float) -> list[tuple[float, ...]]:

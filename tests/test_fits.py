@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import clinlake.plans.prefix as prefix
+from clinlake.functions.exprs import hash_normal
 from clinlake.operators import evaluate, graph, grouped_fit, isotonic, models, signal
 
 
@@ -218,3 +219,31 @@ def test_normal_cdf(spark):
     xs = [-6.0, -2.5, -1.0, -0.1, 0.0, 0.3, 1.96, 5.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", evaluate.normal_cdf(F.col("x")).alias("p")).collect()
     assert all(abs(r.p - 0.5 * (1 + math.erf(r.x / math.sqrt(2)))) < 2e-7 for r in got)
+
+
+def test_surrogate_fits_from_sums(spark):
+    """One row of sums a row is shuffled, no group of perturbations; equal to a fit of each group."""
+    df = spark.createDataFrame([(1, 0.5, -1.0), (2, 2.0, 0.25), (None, 1.0, 1.0)], "id long, a double, b double")
+    got = models.local_surrogate(df, "id", ["a", "b"], models.linear_logistic({"a": 0.9, "b": -0.4}), n_perturb=50)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    out = {(r.id, r.feature): (r.weight, r["rank"]) for r in got.collect()}
+    noise = df.crossJoin(spark.range(1, 51).select(F.col("id").cast("int").alias("i"))).select(
+        "id", "a", "b", *[(hash_normal(42 + j, F.col("id"), F.col("i")) * 0.3).alias(f"d{j}") for j in range(2)]).toPandas()
+    for (a, b), g in noise.groupby(["a", "b"]):
+        x = np.vstack([[0.0, 0.0], g[["d0", "d1"]].to_numpy()])
+        y = 1 / (1 + np.exp(-(0.9 * (a + x[:, 0]) - 0.4 * (b + x[:, 1]))))
+        w = np.exp(-(x ** 2).sum(1) / (2 * 2 * 0.75 ** 2))
+        xc, yc = x - np.average(x, axis=0, weights=w), y - np.average(y, weights=w)
+        coef = np.linalg.solve((xc * w[:, None]).T @ xc + np.eye(2), (xc * w[:, None]).T @ yc)
+        i = None if np.isnan(g["id"].iloc[0]) else int(g["id"].iloc[0])
+        for k, f in enumerate("ab"):
+            assert abs(out[i, f][0] - coef[k]) < 1e-9 and out[i, f][1] == 1 + (abs(coef[1 - k]) > abs(coef[k]))
+
+
+def test_bootstrap_sums_without_repeated_rows(spark):
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), F.lit(1.0).alias("one")).repartition(3)
+    got = grouped_fit.poisson_moments(df, ["id"], ["x", "one"], 20, 7)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    exp = grouped_fit.poisson_replicas(df, ["id"], 20, 7).groupBy("replica").agg(
+        F.sum(F.col("w") * F.col("x")).alias("x"), F.sum("w").alias("one")).collect()
+    assert {r.replica: tuple(r.m) for r in got.collect()} == {r.replica: (r.x, r.one) for r in exp}
