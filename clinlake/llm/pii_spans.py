@@ -4,9 +4,9 @@ High-recall generators propose spans: the base pattern of each kind and looser
 ones (written-out e-mail addresses, national phone numbers, cards with odd
 separators, IPv6), which may overlap.  Every candidate has format features
 (lengths, digit groups, check digit, number range) and context features (the
-characters and cue words around it).  Boosted trees are trained on the
-candidates of the base patterns, whose checks give their labels, over at most
-``max_train`` candidates; a threshold per kind is calibrated on held-out ones for
+characters and cue words around it).  Boosted trees are trained on all
+candidates of the base patterns, whose checks give their labels (equal ones once,
+weighted by their number); a threshold per kind is calibrated on held-out ones for
 the wanted precision.  Matches of a base pattern that pass their checks are
 always spans; looser candidates become spans when they do not overlap those and
 reach their kind's threshold.
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.llm.common import read, staged
+from clinlake.plans.prefix import running_sum
 
 KINDS = ["email", "ip", "card", "phone"]
 #: (kind, base pattern?, pattern, a cheap test that a text can match)
@@ -112,9 +113,10 @@ def candidates(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return df.drop(f"{out}_all", *[f"{out}_{c}{i}" for c in "hg" for i in range(len(GENERATORS))])
 
 
-def train(cands: DataFrame, col: str, max_train: int = 20_000, trees: int = 20, precision: float = 0.98) -> dict:
-    """Boosted trees and a threshold per kind, from at most ``max_train`` labelled
-    candidates (the smallest hashes of their features and place).
+def train(cands: DataFrame, col: str, trees: int = 20, precision: float = 0.98) -> dict:
+    """Boosted trees and a threshold per kind, from all candidates of base patterns: those
+    with equal features and label are one row weighted by their number.  Three tenths, by a
+    hash of the features, are held out of the fit and give the thresholds.
 
     A kind without held-out positives, or whose wanted precision no threshold
     reaches, gets none, and then takes no looser candidates; with one label
@@ -122,27 +124,22 @@ def train(cands: DataFrame, col: str, max_train: int = 20_000, trees: int = 20,
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = cands.select(F.explode(F.filter(col, lambda x: x["base"])).alias("c")).select(
-        F.col("c.k").alias("k"), F.col("c.ok").cast("double").alias("label"), F.col("c.f").alias("f"),
-        F.xxhash64("c.f", "c.s").alias("h"))
-    rows = staged(rows.orderBy("h", "k").limit(max_train), "candidates")
-    seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
-        return {"trees": [], "cuts": {}}
+    rows = cands.select(F.explode(F.filter(col, lambda x: x["base"])).alias("c")).groupBy(
+        F.col("c.k").alias("k"), F.col("c.ok").cast("double").alias("label"), F.col("c.f").alias("f")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("f"))
+    # a fixed layout: the trees' split points do not depend on the shuffle's partitions
+    rows = staged(rows.repartition(32, "h").sortWithinPartitions("h", "k", "label"), "candidates")
     fit, held = (rows.filter(F.pmod("h", F.lit(10)) < 7), rows.filter(F.pmod("h", F.lit(10)) >= 7))
-    model = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=4, seed=1, stepSize=0.2).fit(
-        fit.withColumn("x", array_to_vector("f")))
+    if rows.agg(F.countDistinct("label")).first()[0] < 2 or fit.isEmpty():
+        return {"trees": [], "cuts": {}}
+    model = GBTClassifier(featuresCol="x", weightCol="w", maxIter=trees, maxDepth=4, seed=1, stepSize=0.2).fit(
+        fit.withColumn("x", array_to_vector("f")).withColumn("w", F.col("n").cast("double")))
     grown = [(w, _nodes(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
-    scored = held.select("k", "label", margin(F.col("f"), grown).alias("z")).collect()  # at most max_train rows
-    cuts = {}
-    for k in range(len(KINDS)):
-        mine = sorted(((r["z"], r["label"]) for r in scored if r["k"] == k), reverse=True)
-        good = 0
-        for n, (z, label) in enumerate(mine, 1):
-            good += label
-            if good >= precision * n and (n == len(mine) or mine[n][0] < z):
-                cuts[k] = z
-    return {"trees": grown, "cuts": cuts}
+    scored = held.select("k", "n", (F.col("n") * F.col("label")).alias("good"), (-margin(F.col("f"), grown)).alias("z"))
+    scored = staged(scored.groupBy("k", "z").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "scored")
+    upto = running_sum(scored, ["k"], ["z"], ["n", "good"], ["n_upto", "good_upto"])  # from the highest margin down
+    low = upto.filter(F.col("good_upto") >= precision * F.col("n_upto")).groupBy("k").agg(F.max("z").alias("z"))
+    return {"trees": grown, "cuts": {r["k"]: -r["z"] for r in low.collect()}}  # one row a kind
 
 
 def _nodes(node):

@@ -399,6 +399,32 @@ def test_pii_against_plain_patterns(spark):
         assert set(base_spans(t)) <= set(got[i][1].split(",")) | {""}
 
 
+def test_pii_learns_from_all_candidates(spark, monkeypatch):
+    """Every base candidate counts, not the first 20,000; the threshold is that of a plain scan."""
+    from pyspark.sql import functions as F
+    n = len(pii_spans.FEATURES)
+    f = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 1, F.col("id") % 500).when(
+        i == 9, F.floor(F.col("id") / 7) % 60).otherwise(F.lit(0)).cast("double"))
+    ok = (F.col("id") % 500 < 300) != (F.col("id") % 97 == 0)
+    one = F.struct(F.lit(1).alias("k"), F.lit(True).alias("base"), F.lit(0).alias("s"), F.lit(9).alias("e"), ok.alias("ok"), f.alias("f"))
+    cands = spark.range(45_000).select(F.array(one).alias("c"))
+    kept = {}
+
+    def staged(df, name):
+        kept[name] = common.staged(df, name)
+        return kept[name]
+    monkeypatch.setattr(pii_spans, "staged", staged)
+    model = pii_spans.train(cands, "c", trees=3, precision=0.9)
+    assert kept["candidates"].agg(F.sum("n")).first()[0] == 45_000
+    held = kept["candidates"].filter(F.pmod("h", F.lit(10)) >= 7).select("n", "label", pii_spans.margin(F.col("f"), model["trees"]).alias("z"))
+    total, good, cut = 0, 0, None
+    by_margin = held.groupBy("z").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("g"))
+    for r in sorted(by_margin.collect(), key=lambda r: -r.z):
+        total, good = total + r.n, good + r.g
+        cut = r.z if good >= 0.9 * total else cut
+    assert cut is not None and model["cuts"] == {1: cut}
+
+
 def test_pii_edges_and_redaction(spark):
     from pyspark.sql import functions as F
 
