@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import hash_normal, nan_to_null, safe_div
-from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
+from clinlake.plans.broadcast import bounded_broadcast, runtime_sized, sized_broadcast
 from clinlake.plans.quantile import exact_quantiles
+from clinlake.session import checkpoint_dir
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     if not group_cols:
         return df.crossJoin(bounded_broadcast(stats))  # one row by construction
-    return df.join(runtime_sized(stats), on=list(group_cols), how="left")
+    checkpoint_dir(df.sparkSession)  # computed once, and sized before the join: few groups move no row of df
+    return df.join(sized_broadcast(stats.checkpoint()), on=list(group_cols), how="left")
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = (),

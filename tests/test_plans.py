@@ -92,3 +92,18 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == b
     s = df.agg(F.avg("u"), F.stddev("u"), F.avg("z"), F.stddev("z")).first()
     assert abs(s[0] - 0.5) < 0.01 and abs(s[1] - 12 ** -0.5) < 0.01 and abs(s[2]) < 0.03 and abs(s[3] - 1) < 0.03
+
+
+def test_group_statistics_are_broadcast(spark):
+    """Few groups move no row of the data, whatever the optimizer knows of their size."""
+    from clinlake.operators import impute
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 > 1, F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = impute.median_fill(df, ["v"], ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        want = {0: float(np.median(np.arange(2, 200, 4))), 1: float(np.median(np.arange(3, 200, 4)))}
+        assert all(r.v == (r.id if r.id % 4 > 1 else want[r.g]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
