@@ -18,6 +18,7 @@ from clinlake.functions.exprs import hash_normal, hash_uniform, nan_to_null
 from clinlake.plans.broadcast import bounded_broadcast
 from clinlake.plans.prefix import bucket_column, running_sum
 from clinlake.plans.quantile import exact_quantiles
+from clinlake.session import checkpoint_dir
 
 
 def _scored(df: DataFrame, p: str) -> DataFrame:
@@ -40,6 +41,11 @@ def roc_auc(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
     g = list(groups)
     c = _score_counts(df, g, y, p)
     bkt = bucket_column(_scored(df, p).select(*g, F.col(p).cast("double").alias("_s")), g + ["_s"])
+    return _auc_of_counts(c, g, bkt)
+
+
+def _auc_of_counts(c: DataFrame, g: list[str], bkt: Column) -> DataFrame:
+    """``roc_auc`` from score counts and the range bucket of (groups, score)."""
     cum = running_sum(c, g, ["_s"], ["_neg"], ["_neg_le"], bucket=bkt)
     term = F.col("_pos") * (F.col("_neg_le") - F.col("_neg") + F.col("_neg") * 0.5)
     agg = cum.groupBy(*g).agg(F.sum(term).alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
@@ -342,8 +348,10 @@ def robustness_suite(df: DataFrame, id_col: str, features: Sequence[str], label:
     covariate shift of each feature, 10 % label noise.  Perturbations are
     drawn from a hash of the row's id and the seed, so a rerun gives the same
     table under any partitioning; each test is one AUC over the whole table
-    (distributed score counts)."""
-    from clinlake.plans.quantile import exact_quantiles
+    (distributed score counts).  The input and the score counts of all tests are
+    computed once, in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    df = df.select(*dict.fromkeys([id_col, *features, label])).checkpoint()
     stats = df.agg(*[F.stddev_pop(c).alias(f"_sd_{c}") for c in features])
     meds = None
     for c in features:
@@ -360,9 +368,11 @@ def robustness_suite(df: DataFrame, id_col: str, features: Sequence[str], label:
         tests[f"shift_{c}"] = (score({**x, c: F.col(c) + 0.5 * F.col(f"_sd_{c}")}), F.col(label))
     flip = _uniform(seed + 99, F.col(id_col)) < 0.1
     tests["label_noise"] = (score(x), F.when(flip, 1 - F.col(label)).otherwise(F.col(label)))
-    long = base.select(F.explode(F.array(*[F.struct(F.lit(n).alias("test"), s.alias("p"), y.alias("y"))
-                                           for n, (s, y) in tests.items()])).alias("t")).select("t.*")
-    auc = roc_auc(long, ["test"], "y", "p")
+    long = base.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), s.alias("p"), y.alias("y"))
+                                           for i, (s, y) in enumerate(tests.values())])).alias("t")).select("t.*")
+    counts = _score_counts(long, ["_i"], "y", "p").checkpoint()
+    name = F.element_at(F.array(*[F.lit(n) for n in tests]), F.col("_i") + 1)
+    auc = _auc_of_counts(counts, ["_i"], bucket_column(counts, ["_i", "_s"])).withColumn("test", name).checkpoint()
     b = auc.filter(F.col("test") == "baseline").select(F.col("auc").alias("_base"))
     out = auc.crossJoin(bounded_broadcast(b)).withColumn("auc_drop", F.col("_base") - F.col("auc"))
     return out.select("test", "auc", "auc_drop", (F.col("auc_drop") <= max_drop).alias("passed"))

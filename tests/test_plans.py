@@ -107,3 +107,20 @@ def test_group_statistics_are_broadcast(spark):
         assert all(r.v == (r.id if r.id % 4 > 1 else want[r.g]) for r in out.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_robustness_suite_computes_its_input_once(spark):
+    from clinlake.operators import evaluate
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+    df = spark.range(300).select("id", F.udf(touch, "double")((F.col("id") * 7 % 101).cast("double")).alias("a"),
+                                 (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = evaluate.robustness_suite(df, "id", ["a"], "y", lambda x: x["a"] / 100).collect()
+    assert seen.value == 300
+    assert sorted(r.test for r in out) == ["baseline", "dropout_to_median", "gaussian_noise", "label_noise", "shift_a"]
+    p, y = np.arange(300) * 7 % 101, np.arange(300) % 3 == 0
+    auc = ((p[y][:, None] > p[~y]) + 0.5 * (p[y][:, None] == p[~y])).mean()
+    assert all(abs(r.auc - auc) < 1e-12 and r.passed for r in out if r.test in ("baseline", "shift_a"))
