@@ -136,6 +136,8 @@ def _segment_stats(v, lo, hi):
     return n, mean, sd
 
 
+#: New samples of one block, which a task turns into features together.
+RING_BLOCK = 2048
 RING_OUT = "ts timestamp, n_samples long, gait_cadence double, tremor_index double, bradykinesia_score double"
 
 
@@ -144,12 +146,14 @@ def ring_buffer_features(events: DataFrame, keys: Sequence[str], key_types: Sequ
                          watermark: str = "1 hour") -> DataFrame:
     """Per-key ring buffer of the last ``capacity`` samples (keyed state,
     ``applyInPandasWithState``); every new sample, once at least
-    ``min_samples`` are buffered, emits the features of the buffer (computed for
-    blocks of samples together, over sliding windows of one array).  State is
-    bounded by ``capacity``; it is dropped when the key's event time falls
-    behind the watermark."""
-    from clinlake.operators.signal import window_features
-    out_schema = ", ".join([f"{k} {t}" for k, t in zip(keys, key_types)] + [RING_OUT])
+    ``min_samples`` are buffered, emits the features of the buffer.  The stateful
+    step only hands on blocks of new samples with the samples before them; the
+    features are computed from the blocks, which are dealt over all tasks, so a
+    few busy keys do not hold them up (over sliding windows of one array, each
+    segment and bin once).  State is bounded by ``capacity``; it is dropped when the
+    key's event time falls behind the watermark."""
+    from clinlake.operators.signal import sliding_features
+    key_schema = ", ".join(f"{k} {t}" for k, t in zip(keys, key_types))
     columns = [*keys, "ts", "n_samples", "gait_cadence", "tremor_index", "bradykinesia_score"]
 
     def step(key, pdfs, state):
@@ -163,18 +167,34 @@ def ring_buffer_features(events: DataFrame, keys: Sequence[str], key_types: Sequ
             t = pdf["_t"].to_numpy(dtype=np.int64)
             latest = max(latest, int(t.max()))
             x = np.concatenate([held, pdf[value].to_numpy(dtype=np.float64)])
-            size = np.minimum(np.arange(len(held) + 1, len(x) + 1), capacity)  # samples in the buffer after each event
-            ends = np.arange(len(held) + 1, len(x) + 1)
-            for n in np.unique(size[size >= min_samples]):  # every window length at once; one length once full
-                full = np.lib.stride_tricks.sliding_window_view(x, n)
-                for part in np.array_split(np.flatnonzero(size == n), -(-(size == n).sum() // 64)):
-                    got = window_features(full[ends[part] - n], fs)
-                    yield pd.DataFrame([(*key, pd.Timestamp(int(t[i]), unit="us"), int(n), *g)
-                                        for i, g in zip(part, got)], columns=columns)
+            for lo in range(0, len(t), RING_BLOCK):
+                hi, first = min(lo + RING_BLOCK, len(t)), max(0, len(held) + lo + 1 - capacity)
+                yield pd.DataFrame([(*key, lo, t[lo:hi], x[first:len(held) + hi])], columns=[*keys, "_lo", "_t", "_x"])
             held = x[-capacity:]
         state.update((held.tolist(),))
         state.setTimeoutTimestamp(max(latest // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
 
+    def features(frames):
+        for pdf in frames:
+            for *key, t, x in pdf[[*keys, "_t", "_x"]].itertuples(index=False):
+                t, x = np.asarray(t, dtype=np.int64), np.asarray(x, dtype=np.float64)
+                ends = np.arange(len(x) - len(t) + 1, len(x) + 1)
+                size = np.minimum(ends, capacity)  # samples in the buffer after each event
+                got = np.empty((len(t), 3))
+                for n in np.unique(size[size >= min_samples]):  # one length once full
+                    at = np.flatnonzero(size == n)  # neighbours
+                    got[at] = sliding_features(x[ends[at[0]] - n:ends[at[-1]]], n, fs)
+                out = pd.DataFrame(got, columns=columns[-3:])
+                out.insert(0, "n_samples", size.astype(np.int64))
+                out.insert(0, "ts", pd.to_datetime(t, unit="us"))
+                for i, k in enumerate(keys):
+                    out.insert(i, k, key[i])
+                yield out[size >= min_samples]
+
     prepared = events.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
-    return prepared.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, "buf array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    blocks = prepared.groupBy(*keys).applyInPandasWithState(
+        step, f"{key_schema}, _lo long, _t array<long>, _x array<double>", "buf array<double>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    # the projection also makes the rows that a shuffle takes
+    dealt = blocks.withColumn("_part", F.xxhash64(*keys, "_lo", F.col("_t")[0])).repartition("_part")
+    return dealt.mapInPandas(features, f"{key_schema}, {RING_OUT}")

@@ -296,3 +296,33 @@ def test_trailing_windows_of_many_keys_in_one_call(spark, tmp_path):
     exp = sorted(((False, -1 if k is None else k), t + dt.timedelta(minutes=a), t + dt.timedelta(minutes=b), 2,
                   (k or 7) * (a + b) / 2, (k or 7) * (b - a) / 2) for k in [None, *range(40)] for a, b in ((0, 1), (1, 4)))
     assert got == exp
+
+
+def test_sliding_features_equal_those_of_each_window():
+    from clinlake.operators.signal import sliding_features, window_features
+    rng = np.random.default_rng(3)
+    series = (rng.exponential(1, 900).round(3), np.r_[np.zeros(400), rng.normal(size=300)], np.arange(600.0))
+    for x in series:
+        for n in (128, 129, 300, 512):
+            full = np.lib.stride_tricks.sliding_window_view(x, n)
+            assert np.array_equal(sliding_features(x, n), window_features(full))
+
+
+def test_ring_blocks_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """One busy key: its features are computed by several tasks, from blocks of a few samples."""
+    from clinlake.operators.signal import window_features
+    from clinlake.streaming import sinks, windows
+    monkeypatch.setattr(windows, "RING_BLOCK", 16)
+    vals = np.random.default_rng(5).normal(size=400)
+    pdf = pd.DataFrame({"device": "d", "ts": pd.to_datetime(np.arange(400) + 86_400, unit="s"), "mag": vals})
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("device string, ts timestamp, mag double").parquet(str(tmp_path / "in"))
+    feats = windows.ring_buffer_features(stream, ["device"], ["string"], "ts", "mag", capacity=200, min_samples=128)
+    out = str(tmp_path / "out")
+    sinks.run_available_now(feats.withColumn("task", F.spark_partition_id()), out)
+    got = sinks.read_sink(spark, out).orderBy("ts").toPandas()
+    assert got["task"].nunique() > 1 and len(got) == 400 - 127
+    for i, r in enumerate(got.itertuples(), 128):
+        want = window_features(vals[None, max(0, i - 200):i])[0]
+        assert r.n_samples == min(i, 200)
+        assert np.allclose((r.gait_cadence, r.tremor_index, r.bradykinesia_score), want, rtol=1e-12, atol=0)
