@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinlake.plans.broadcast import bounded_broadcast
+from clinlake.plans.broadcast import bounded_broadcast, sized_broadcast
 from clinlake.session import checkpoint_dir
 
 CHECKPOINT_EVERY = 5
@@ -218,43 +218,57 @@ def causal_role(w: str):
 def betweenness(edges: DataFrame, src: str = "src", dst: str = "dst", sources: DataFrame | None = None) -> DataFrame:
     """Brandes betweenness (directed) from the given source nodes (all nodes when None).
 
-    Forward: a BFS for every source at once by frontier joins, keeping
-    (source, node, distance, sigma = number of shortest paths) one level at a
-    time (lineage cut per level).  Backward: dependencies
+    Forward: a BFS for every source at once by joins, keeping (source, node,
+    sigma = number of shortest paths) one level at a time (lineage cut per level).
+    The first level is the edges themselves.  Beyond it only edges whose tail is
+    itself reached go on (broadcast when they are few), and a level's rows are told
+    from nodes met before in the aggregate that sums sigma, among nodes that this
+    level can reach.  Backward: dependencies
     delta(s, v) = sum over successors w on the next level of
-    sigma(v) / sigma(w) * (1 + delta(s, w)), level by level from the deepest.
+    sigma(v) / sigma(w) * (1 + delta(s, w)), level by level from the deepest; those
+    of the first level are summed per node at once.
     Betweenness(v) = sum over sources of delta(s, v).  Sampling sources gives
     the usual approximation; all sources give the exact value.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).distinct().checkpoint(eager=True)
     nodes = e.select(F.col("_a").alias("node")).union(e.select(F.col("_b").alias("node"))).distinct()
-    if sources is None:
-        sources = nodes
-    level = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma"))
-    visited = level.select("s", "v")
-    levels = []
-    while True:
-        nxt = (level.join(e, level["v"] == e["_a"]).groupBy("s", F.col("_b").alias("v"))
-               .agg(F.sum("sigma").alias("sigma")))
-        nxt = _cut(nxt.join(visited, ["s", "v"], "left_anti"), 0, every=1)
-        if nxt.limit(1).count() == 0:
+    e = e.filter("_a <> _b")  # loops are on no shortest path
+    level = e.select(F.col("_a").alias("s"), F.col("_b").alias("v"), F.lit(1.0).alias("sigma"))
+    if sources is not None:
+        level = _cut(level.join(sources.select(F.col("node").alias("s")).distinct(), "s", "left_semi"), 0, every=1)
+    inner = _cut(e.join(e.select(F.col("_b").alias("_a")).distinct(), "_a", "left_semi"), 0, every=1)
+    seen = level.select("s", "v")
+    levels, steps = [level], []  # steps[i]: the edges from nodes of levels[i]
+    for i in itertools.count():
+        reached = level.select(F.col("v").alias("_a")).distinct()
+        step = _cut(inner.join(reached, "_a", "left_semi"), 0, every=1)
+        if step.isEmpty():
+            break
+        heads = sized_broadcast(step.select(F.col("_b").alias("v")).distinct())
+        step = sized_broadcast(step)
+        met = seen.join(heads, "v", "left_semi").select("s", "v", F.lit(0.0).alias("sigma"), F.lit(True).alias("_met"))
+        found = level.join(step, F.col("v") == F.col("_a")).filter("s <> _b").select(
+            "s", F.col("_b").alias("v"), "sigma", F.lit(False).alias("_met"))
+        nxt = found.unionByName(met).groupBy("s", "v").agg(F.sum("sigma").alias("sigma"), F.max("_met").alias("_met"))
+        nxt = _cut(nxt.filter("not _met").drop("_met"), 0, every=1)
+        if nxt.isEmpty():
             break
         levels.append(nxt)
-        visited = _cut(visited.unionByName(nxt.select("s", "v")), 0, every=1)
+        steps.append(step)
+        seen = _cut(seen.unionByName(nxt.select("s", "v")), i)
         level = nxt
     out = nodes.select("node", F.lit(0.0).alias("delta"))  # nodes on no shortest path score 0
-    deeper = None  # (s, v, sigma, delta) of the next level
-    for cur in reversed(levels):
-        if deeper is None:
-            with_delta = cur.withColumn("delta", F.lit(0.0))
-        else:
-            w = deeper.select("s", F.col("v").alias("_w"), F.col("sigma").alias("_sw"), F.col("delta").alias("_dw"))
-            contrib = (cur.join(e, cur["v"] == e["_a"]).join(w, ["s"]).filter(F.col("_b") == F.col("_w"))
-                       .groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("_sw") * (1 + F.col("_dw"))).alias("delta")))
-            with_delta = cur.join(contrib, ["s", "v"], "left").fillna(0.0, ["delta"])
-        with_delta = _cut(with_delta, 0, every=1)
-        part = with_delta.select(F.col("v").alias("node"), "delta")
-        out = out.unionByName(part)
-        deeper = with_delta
+    deeper = levels[-1].withColumn("delta", F.lit(0.0))
+    for cur, step in zip(reversed(levels[:-1]), reversed(steps)):
+        w = deeper.select("s", F.col("v").alias("_b"), F.col("sigma").alias("_sw"), F.col("delta").alias("_dw"))
+        share = (F.col("sigma") / F.col("_sw") * (1 + F.col("_dw"))).alias("delta")
+        if cur is levels[0]:
+            out = out.unionByName(cur.join(step, F.col("v") == F.col("_a")).join(w, ["s", "_b"]).select(
+                F.col("v").alias("node"), share))
+            break
+        paths = cur.join(step, F.col("v") == F.col("_a"), "left").join(w, ["s", "_b"], "left")
+        deeper = _cut(paths.groupBy("s", "v").agg(F.max("sigma").alias("sigma"), F.coalesce(F.sum(share), F.lit(0.0)).alias(
+            "delta")), 0, every=1)
+        out = out.unionByName(deeper.select(F.col("v").alias("node"), "delta"))
     return out.groupBy("node").agg(F.sum("delta").alias("betweenness"))

@@ -157,6 +157,33 @@ def test_betweenness_brute_force(spark):
     assert all(abs(got.get(v, 0.0) - exp[v]) < 1e-9 for v in nodes)
 
 
+def test_betweenness_levels_are_not_joined_by_what_was_seen(spark, monkeypatch):
+    """Layers x -> y -> z with loops, repeated edges and null ends; a level is written once, and
+    no level but the first holds what cannot go on."""
+    edges = [(f"x{i}", f"y{i % 7}") for i in range(60)] + [(f"x{i}", f"y{i % 5}") for i in range(60)]
+    edges += [(f"y{i}", f"z{i % 2}") for i in range(7)] + [("z0", "z0"), ("y1", "z1"), ("x1", "y1"), (None, "y1"), ("z1", None)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    written, cut = [], graph._cut
+
+    def noted(d, i, every=graph.CHECKPOINT_EVERY):
+        out = cut(d, i, every)
+        if (i + 1) % every == 0:
+            written.append(out.count())
+        return out
+    monkeypatch.setattr(graph, "_cut", noted)
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
+    real = {e for e in edges if None not in e and e[0] != e[1]}
+    succ = {a: sorted(b for x, b in real if x == a) for a, _ in real}
+    exp = {n: 0.0 for e in edges for n in e}
+    for x in (f"x{i}" for i in range(60)):
+        for z in {z for y in succ[x] for z in succ[y]}:
+            via = [y for y in succ[x] if z in succ[y]]
+            for y in via:
+                exp[y] += 1 / len(via)
+    assert got.keys() == exp.keys() and all(abs(got[n] - exp[n]) < 1e-9 for n in exp)
+    assert sum(written) < len(real) + 60
+
+
 def test_f_tail_and_granger_against_numpy(spark):
     from clinlake.operators import causal
     assert abs(causal.f_sf(4.9646, 1, 10) - 0.05) < 1e-4
