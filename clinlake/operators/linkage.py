@@ -8,7 +8,8 @@ homozygous reference; a null dosage is a missing call, an absent row dosage 0.
   counts, so missing calls are left out pair by pair and all sums are exact.
 * Pairs are formed inside blocks of the position axis only: a block holds its own
   variants and copies of the earlier ones that its windows reach, however many
-  blocks that spans.  No pair outside a window is ever formed.
+  blocks that spans.  No pair outside a window is ever formed.  A task computes its
+  blocks as a stream, the pairs of many small blocks at once.
 * Pruning is order-dependent.  Buckets of windows run side by side, each from an
   assumed state (which variants before it are gone); a bucket whose incoming state
   turns out different runs again, until no state changes.  By induction over the
@@ -22,11 +23,11 @@ homozygous reference; a null dosage is a missing call, an absent row dosage 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.functions.exprs import hash_normal
@@ -38,6 +39,8 @@ from clinlake.session import checkpoint_dir
 
 #: Variants of one pruning bucket (a multiple of the window's step is used).
 BUCKET_VARIANTS = 50_000
+#: Genotypes that one step of packing holds, words of genotypes that one step of pairing holds.
+CELLS = 1 << 22
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def packed_variants(calls: DataFrame, samples: DataFrame, variants: DataFrame, v
     width = codes.agg(F.count(F.lit(1)).alias("n"))
     g = F.when(F.col(dosage).isNull(), 3).otherwise(F.col(dosage)).cast("int")
     rows = calls.join(runtime_sized(codes), sample).groupBy(variant).agg(
-        F.collect_list(F.struct(F.col("_s").alias("s"), g.alias("g"))).alias("calls"))  # at most one a sample
+        F.collect_list(F.col("_s").cast("long") * 4 + g).alias("calls"))  # at most one a sample
     placed = row_index(variants, ["chrom"], ["pos", variant], "ord")
     rows = placed.withColumn("ord", F.col("ord") - 1).join(rows, variant, "left").crossJoin(bounded_broadcast(width))
     kind = variants.schema[variant].dataType.simpleString()
@@ -83,14 +86,16 @@ def packed_variants(calls: DataFrame, samples: DataFrame, variants: DataFrame, v
 
     def pack(frames):
         for pdf in frames:
-            low, high = [], []
-            for calls_, n in zip(pdf["calls"], pdf["n"]):
-                codes_ = np.zeros(-(-n // 64) * 64, np.uint8)
-                if calls_ is not None and len(calls_):
-                    codes_[[c["s"] for c in calls_]] = [c["g"] for c in calls_]
-                low.append(np.packbits(codes_ & 1).tobytes())
-                high.append(np.packbits(codes_ >> 1).tobytes())
-            yield pdf[[variant, "chrom", "pos", "maf", "ord", "n"]].assign(low=low, high=high)
+            width_ = -(-int(pdf["n"].iloc[0]) // 64) * 64 if len(pdf) else 64  # n is the same in all rows
+            step = max(1, CELLS // max(width_, 1))
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                calls_ = [np.zeros(0, np.int64) if c is None else np.asarray(c, np.int64) for c in part["calls"]]
+                flat = np.concatenate(calls_)
+                codes_ = np.zeros((len(part), width_), np.uint8)
+                codes_[np.repeat(np.arange(len(part)), [len(c) for c in calls_]), flat >> 2] = flat & 3
+                low, high = ([r.tobytes() for r in np.packbits(bits, axis=1)] for bits in (codes_ & 1, codes_ >> 1))
+                yield part[[variant, "chrom", "pos", "maf", "ord", "n"]].assign(low=low, high=high)
     return rows.select(variant, "chrom", F.col("pos").cast("long").alias("pos"), F.col("maf").cast("double").alias("maf"),
                        F.col("ord").cast("long").alias("ord"), "n", "calls").mapInPandas(
         pack, f"{variant} {kind}, chrom {chrom}, pos long, maf double, ord long, n long, low binary, high binary")
@@ -127,29 +132,49 @@ def ld_pairs(packed: DataFrame, variant: str, min_r2: float, axis: str, block: i
     kind = packed.schema[variant].dataType.simpleString()
     chrom = packed.schema["chrom"].dataType.simpleString()
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
+    def pairs(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         low_, high = planes(pdf["low"]), planes(pdf["high"])
         samples = np.zeros(low_.shape[1] * 64, np.uint8)
         samples[:pdf["n"].iloc[0]] = 1
         valid = ~(low_ & high) & np.packbits(samples).view(np.uint64)
         one, two = low_ & valid, high & valid
-        at, lowest = pdf[axis].to_numpy(), pdf["first"].to_numpy()
-        i, j, r2 = [], [], []
-        for k in np.flatnonzero((pdf["own"] == pdf["block"]).to_numpy()):
-            begin = np.searchsorted(at[:k], lowest[k])
-            r = r_squared(one, two, valid, k, slice(begin, k))
-            hit = np.flatnonzero(r > min_r2 if strict else r >= min_r2)
-            i.append(begin + hit)
-            j.append(np.full(len(hit), k))
-            r2.append(r[hit])
-        i, j = (np.concatenate(x).astype(int) if x else np.zeros(0, int) for x in (i, j))
-        col = {c: pdf[c].to_numpy() for c in ("ord", variant, "maf")}
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "i": col["ord"][i], "j": col["ord"][j],
-                             "left": col[variant][i], "right": col[variant][j], "maf_i": col["maf"][i],
-                             "maf_j": col["maf"][j], "r2": np.concatenate(r2) if r2 else np.zeros(0)})
-    return rows.groupBy("chrom", "block").applyInPandas(
-        pairs, f"chrom {chrom}, i long, j long, left {kind}, right {kind}, maf_i double, maf_j double, r2 double")
+        at, lowest, k = pdf[axis].to_numpy(), pdf["first"].to_numpy(), np.arange(len(pdf))
+        begin = np.concatenate([s + np.searchsorted(at[s:e], lowest[s:e]) for s, e in zip(starts, [*starts[1:], len(pdf)])])
+        many = np.where(pdf["own"] == pdf["block"], k - np.minimum(begin, k), 0)  # earlier variants that each meets
+        ends, step = np.cumsum(many), max(1, CELLS // max(1, 8 * low_.shape[1]))
+        col = {c: pdf[c].to_numpy() for c in ("chrom", "ord", variant, "maf")}
+        lo = 0
+        while lo < len(pdf):  # as many variants as make ``step`` pairs, one at least
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - many[lo] + step, "right")))
+            j = np.repeat(k[lo:hi], many[lo:hi])
+            i = np.arange(len(j)) - np.repeat(ends[lo:hi] - many[lo:hi] - (ends[lo] - many[lo]), many[lo:hi]) + begin[j]
+            r = r_squared(one, two, valid, j, i)
+            hit = r > min_r2 if strict else r >= min_r2
+            i, j, lo = i[hit], j[hit], hi
+            yield pd.DataFrame({"chrom": col["chrom"][j], "i": col["ord"][i], "j": col["ord"][j],
+                                "left": col[variant][i], "right": col[variant][j], "maf_i": col["maf"][i],
+                                "maf_j": col["maf"][j], "r2": r[hit]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # of the last block met, which may go on
+
+        def whole() -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(held, ignore_index=True)
+            return pairs(pdf, np.flatnonzero(pdf["new"].to_numpy(bool)))
+        for pdf in frames:
+            new = np.flatnonzero(pdf["new"].to_numpy(bool))
+            if len(new) and (new[-1] or held):
+                held.append(pdf.iloc[:new[-1]])
+                yield from whole()
+                held, pdf = [], pdf.iloc[new[-1]:]
+            held.append(pdf)
+        if sum(map(len, held)):
+            yield from whole()
+    # the blocks of a task follow each other, ``new`` marks the first row of each
+    in_block = Window.partitionBy("chrom", "block").orderBy("ord", variant)
+    rows = rows.withColumn("new", F.row_number().over(in_block) == 1)
+    return rows.mapInPandas(
+        run, f"chrom {chrom}, i long, j long, left {kind}, right {kind}, maf_i double, maf_j double, r2 double")
 
 
 def ld_prune(packed: DataFrame, variant: str, window: int = 1000, step: int = 200, max_r2: float = 0.3,

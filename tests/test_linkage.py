@@ -70,6 +70,28 @@ def test_pairs_reach_over_many_blocks(spark):
         assert len(rows) == len(set(rows)) and set(rows) == expected
 
 
+@pytest.mark.parametrize("per_batch, cells", [(10_000, 1 << 22), (7, 16)])
+def test_pairs_of_many_small_blocks_in_one_call(spark, monkeypatch, per_batch, cells):
+    """Blocks that end in and reach over Arrow batches; a block is no Python call of its own."""
+    calls, samples, table, variants, g = cohort(spark)
+    monkeypatch.setattr(linkage, "CELLS", cells)
+    packed = linkage.packed_variants(calls, samples, table, "v", "s", "d")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(per_batch))
+    try:
+        pairs = linkage.ld_pairs(packed, "v", 0.05, "pos", 30, 75, strict=False)
+        assert "FlatMapGroupsInPandas" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.chrom, r.left, r.right, round(r.r2, 9)) for r in pairs.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    exp = []
+    for a, ca, pa, _ in variants:
+        for b, cb, pb, _ in variants:
+            if ca == cb and (pa, a) < (pb, b) and pb - pa <= 75 and r2(g[a], g[b]) >= 0.05:
+                exp.append((ca, a, b, round(r2(g[a], g[b]), 9)))
+    assert got == sorted(exp) and len(exp) > 20
+
+
 def test_no_variants(spark):
     calls, samples, table, _, _ = cohort(spark, n_variants=6)
     packed = linkage.packed_variants(calls, samples, table.filter("1 = 0"), "v", "s", "d")
