@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clinlake.functions.exprs import equal_width_bin, pearson
 from clinlake.plans.broadcast import bounded_broadcast, runtime_sized
 from clinlake.plans.quantile import exact_quantiles
+from clinlake.session import checkpoint_dir
 
 
 def pair_correlations(long: DataFrame, scan: str, t: str, roi: str, value: str) -> DataFrame:
@@ -88,13 +89,16 @@ def histogram_entropy(df: DataFrame, keys: list[str], value: str, n_bins: int =
 def motion_scrub(df: DataFrame, scan: str, order: list[str], fd: str, value: str, fd_max: float = 0.5,
                  max_bad: float = 0.2) -> DataFrame:
     """Frames with FD > fd_max are replaced by linear interpolation of the
-    neighbouring good frames; scans with more than ``max_bad`` bad frames dropped."""
+    neighbouring good frames; scans with more than ``max_bad`` bad frames dropped.
+    The frames of the scans that stay are stored once, for all steps after."""
     from clinlake.operators.panel import interpolate_fill
     bad = F.col(fd) > fd_max
     x = df.withColumn("_x", F.when(bad, F.lit(None)).otherwise(F.col(value).cast("double")))
     share = df.groupBy(scan).agg(F.avg(bad.cast("double")).alias("_bad"))
     keep = share.filter(F.col("_bad") <= max_bad).select(scan)
-    filled = interpolate_fill(x.join(keep, scan, "left_semi"), [scan], list(order), "_x", out=value)
+    checkpoint_dir(df.sparkSession)
+    kept = x.join(runtime_sized(keep), scan, "left_semi").checkpoint(eager=True)
+    filled = interpolate_fill(kept, [scan], list(order), "_x", out=value)
     return filled.drop("_x")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clinlake.operators import align, audit, derive, encode, graph, signal
+from clinlake.operators import align, audit, connectome, derive, encode, graph, signal
 from clinlake.sources import readers
 from clinlake.streaming import events as sev
 
@@ -184,6 +184,24 @@ def test_betweenness_levels_are_not_joined_by_what_was_seen(spark, monkeypatch):
     assert sum(written) < len(real) + 60
 
 
+def test_motion_scrub_sorts_once_a_stage(spark):
+    rows = [(e, e % 3, float(e), 1.0 if e % 7 == 2 and e % 3 < 2 or e % 3 == 2 else 0.0, None if e % 11 == 0 else e * 2.0)
+            for e in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, scan int, ts double, fd double, value double")
+    out = connectome.motion_scrub(df, "scan", ["ts", "event_id"], "fd", "value")
+    got = {r.event_id: r.value for r in out.collect()}
+    exp = {}
+    for scan in (0, 1):  # the third one has bad frames only
+        mine = [r for r in rows if r[1] == scan]
+        x = np.array([np.nan if r[3] > 0.5 or r[4] is None else r[4] for r in mine])
+        ok = np.flatnonzero(~np.isnan(x))
+        exp |= dict(zip((r[0] for r in mine), np.interp(np.arange(len(x)), ok, x[ok])))
+    assert got.keys() == exp.keys() and all(abs(got[e] - exp[e]) < 1e-9 for e in exp)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert initial.count("Sort [") <= 5 and initial.count("SortMergeJoin") + initial.count("BroadcastHashJoin") <= 1
+
+
 def test_f_tail_and_granger_against_numpy(spark):
     from clinlake.operators import causal
     assert abs(causal.f_sf(4.9646, 1, 10) - 0.05) < 1e-4
