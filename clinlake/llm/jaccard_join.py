@@ -27,10 +27,12 @@ described by its difference D(x) = x ^ p, for which |D(x) ^ D(y)| = |x ^ y|:
   within the limit of p, so p connects them;
 * otherwise x and y share part of their differences, and the join goes down one
   level, to regions around single elements: in any order that both keep (here
-  the elements that p lacks come first, they are the rare ones), the first
+  those that fewest members of p differ in come first), the first
   shared element lies among the first K/2 + 1 of the smaller difference and the
-  first K + 1 of the larger (K: the limit), and windows of the triangle
-  inequality, ||D(x)| - |D(y)|| <= K, cut down what meets there.
+  first K + 1 of the larger (K: the limit).  Where it is the i-th and the j-th
+  (from 0), i + j elements before it are differences of x and y, and so is what one has more
+  behind it than the other: pairs for which that is more than K do not meet.  As what x
+  and y share with other members comes last, that is close to their distance.
 
 Members of one class need not meet again.  Candidates that remain are cut down
 by a lower bound of the distance (64-bin histograms) and decided on the full
@@ -246,10 +248,9 @@ def _links(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(p, x, k, d, linked, first, odd) of each member x of a pivot p: its limit k, the
-    size of its difference, whether it links with p, and (where p has further
-    members) the first k + 1 elements of the difference: those of x alone in
-    the order of their hashes, then those of p alone; and the parities of x."""
+    """(p, x, k, d, linked, diff, odd) of each member x of a pivot p: its limit k, the
+    size of its difference, whether it links with p, (where p has further
+    members) the difference, and the parities of x."""
     many = pairs.groupBy("p").agg((F.count(F.lit(1)) > 1).alias("many")).withColumnRenamed("p", "gp")
     side = lambda c: members.select(F.col("sid").alias(f"s{c}"), F.col("members").alias(f"m{c}"))
     both = (pairs.join(many, F.col("p") == F.col("gp")).join(side("x"), F.col("x") == F.col("sx"))
@@ -263,31 +264,51 @@ def _around_pivots(pairs: DataFrame, members: DataFrame, num: int, den: int) ->
                 own, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 k, d, inter = most_differences(len(a), num, den), len(own) + len(lost), len(a) - len(own)
                 out.append((p, x, k, d, den * inter >= num * (inter + d),
-                            np.concatenate([own, lost])[:k + 1].view(np.int64) if more else None, parities(a)))
-            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "first", "odd"])
+                            np.concatenate([own, lost]).view(np.int64) if more else None, parities(a)))
+            yield pd.DataFrame(out, columns=["p", "x", "k", "d", "linked", "diff", "odd"])
     return both.select("p", "x", "many", "mx", "mp").mapInPandas(
-        run, "p long, x long, k int, d int, linked boolean, first array<long>, odd array<long>")
+        run, "p long, x long, k int, d int, linked boolean, diff array<long>, odd array<long>")
+
+
+def _ordered_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
+    """(p, x, k, d, c, o0 to o3, skip, es): of each member x of class c the elements ``es`` of
+    its difference that members of p of another class have too, those of the fewest members
+    first, up to the (k + 1)-th of the whole difference; the ``skip`` others come before them."""
+    rows = around.filter("diff is not null").join(labels, F.col("x") == F.col("v"), "left").select(
+        "p", "x", "k", "d", "diff", F.coalesce("c", "x").alias("c"), *[F.col("odd")[i].alias(f"o{i}") for i in range(4)])
+    elements = rows.select("p", "x", "c", F.explode("diff").alias("e")).select("p", "x", "c", F.xxhash64("p", "e").alias("e"))
+    common = elements.groupBy("e").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
+        "lo <> hi").select(F.col("e").alias("ce"), "f")
+    shared = elements.join(common, F.col("e") == F.col("ce")).groupBy(F.col("p").alias("sp"), F.col("x").alias("sx")).agg(
+        F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
+    skip = F.col("d") - F.size("es")
+    return staged(rows.drop("diff").join(shared, (F.col("p") == F.col("sp")) & (F.col("x") == F.col("sx"))).select(
+        "p", "x", "k", "d", "c", *[f"o{i}" for i in range(4)], skip.alias("skip"),
+        F.slice(F.col("es.e"), F.lit(1), F.greatest(F.col("k") + 1 - skip, F.lit(0))).alias("es")), "ordered")
 
 
 def _shared_differences(around: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): members of one pivot, of different classes, whose
-    differences share an early element, and whose parities allow a link (before a row
+    """Candidate pairs (a, b): members of one pivot, of different classes, whose differences
+    share an element early enough, and whose parities allow a link (before a row
     is made of a pair, so that families of texts just below the limit make few)."""
-    rows = around.filter("first is not null").join(labels, F.col("x") == F.col("v"), "left").select(
-        "p", "x", "k", "d", "first", F.coalesce("c", "x").alias("c"), *[F.col("odd")[i].alias(f"o{i}") for i in range(4)])
+    rows = _ordered_differences(around, labels)
 
     def side(take, i):
-        kd = F.shiftleft(F.col("k").cast("long"), 32) + F.col("d")  # one word of the shuffled row
-        return rows.select("p", F.col("x").alias(f"x{i}"), kd.alias(f"kd{i}"), F.col("c").alias(f"c{i}"),
-                           F.explode(take).alias("e"), *[F.col(f"o{j}").alias(f"o{j}_{i}") for j in range(4)]).select(
-            F.xxhash64("p", "e").alias(f"e{i}"), f"x{i}", f"kd{i}", f"c{i}", *[f"o{j}_{i}" for j in range(4)])
-    small, large = side(F.slice("first", F.lit(1), F.floor(F.col("k") / 2).cast("int") + 1), 1), side(F.col("first"), 2)
-    d1, d2 = (F.col(f"kd{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in (1, 2))
-    k1, k2 = (F.shiftright(f"kd{i}", 32) for i in (1, 2))
+        kd = F.shiftleft(F.col("k").cast("long"), 32) + F.col("d")  # two words of the shuffled row
+        at = F.shiftleft(F.col("i").cast("long"), 32) + (F.col("d") - 1 - F.col("i"))  # elements before and behind
+        return rows.select("k", "d", F.col("x").alias(f"x{i}"), F.col("c").alias(f"c{i}"), "skip", F.posexplode(take).alias(
+            "pos", f"e{i}"), *[F.col(f"o{j}").alias(f"o{j}_{i}") for j in range(4)]).withColumn("i", F.col("skip") + F.col("pos")).select(
+            f"e{i}", f"x{i}", kd.alias(f"kd{i}"), at.alias(f"at{i}"), f"c{i}", *[f"o{j}_{i}" for j in range(4)])
+    half = F.greatest(F.floor(F.col("k") / 2).cast("int") + 1 - F.col("skip"), F.lit(0))
+    small, large = side(F.slice("es", F.lit(1), half), 1), side(F.col("es"), 2)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    d1, d2 = low("kd1"), low("kd2")
+    k = F.least(F.shiftright("kd1", 32), F.shiftright("kd2", 32))
     apart = sum((F.bit_count(F.col(f"o{j}_1").bitwiseXOR(F.col(f"o{j}_2"))) for j in range(1, 4)),
                 F.bit_count(F.col("o0_1").bitwiseXOR(F.col("o0_2"))))
-    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2")) & (apart <= F.least(k1, k2))
-                      & ((d1 < d2) | ((d1 == d2) & (F.col("x1") < F.col("x2")))) & (d2 - d1 <= F.least(k1, k2)))
+    before = F.shiftright("at1", 32) + F.shiftright("at2", 32) + F.abs(low("at1") - low("at2"))
+    meet = small.join(large, (F.col("e1") == F.col("e2")) & (F.col("c1") != F.col("c2")) & (before <= k) & (apart <= k)
+                      & ((d1 < d2) | ((d1 == d2) & (F.col("x1") < F.col("x2")))) & (d2 - d1 <= k))
     return meet.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
 
 
