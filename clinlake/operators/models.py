@@ -405,7 +405,8 @@ RULE_SCORES = {
 
 def rule_labels(df: DataFrame, noise_key: Sequence[str] = (), noise: float = 0.05, seed: int = 42) -> DataFrame:
     """``df`` with rule_score (the highest of the linear disease scores) and rule_label (its
-    disease; of equal scores the first).  Absent columns and missing values take the default.
+    disease; of equal scores the first).  Absent columns and missing values take the default (a
+    NaN comes back as null).
     With ``noise_key`` every score gets a uniform draw under ``noise``, a hash of those columns."""
     def value(f: str) -> Column:
         given = nan_to_null(F.col(f).cast("double")) if f in df.columns else F.lit(None).cast("double")
@@ -421,4 +422,5 @@ def rule_labels(df: DataFrame, noise_key: Sequence[str] = (), noise: float = 0.0
             total = total + hash_uniform(seed + i, *[F.col(c) for c in noise_key]) * noise
         scores.append(F.struct(total.alias("score"), F.lit(-i).alias("place"), F.lit(disease).alias("disease")))
     best = F.array_max(F.array(*scores))
-    return df.withColumn("_b", best).select(*df.columns, F.col("_b.score").alias("rule_score"), F.col("_b.disease").alias("rule_label"))
+    given = [nan_to_null(F.col(c)).alias(c) if c in RULE_DEFAULTS and t in ("double", "float") else c for c, t in df.dtypes]
+    return df.withColumn("_b", best).select(*given, F.col("_b.score").alias("rule_score"), F.col("_b.disease").alias("rule_label"))
