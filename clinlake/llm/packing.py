@@ -11,15 +11,23 @@ windows.  With other targets than the natural proportions the queues end one
 after the other; each stretch between two ends is a phase of its own in which
 the remaining queues share the windows in proportion to their weights.
 
+Documents that come in an order of their own (those of a mix) keep it as far as the
+windows allow.  The mix sets the target proportions there: a phase lasts until a source ends
+and every source has been visited, and its rounds (as many as the mix comes back to that
+source, of those not ended before, which it visits least) share it evenly.  A round's windows
+take from each queue, whose documents stand in the order of the mix, its share of the
+round as above, and lay what they took out in the order of the mix.
+
 The windows laid end to end are one stream without gaps, cut into sequences of
 ``seq_len`` tokens; only the last sequence can be short.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
 from itertools import accumulate
 
@@ -28,11 +36,12 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlake.llm.common import read, release_memory, staged, unit
 from clinlake.plans.broadcast import sized_broadcast
+from clinlake.plans.prefix import running_sum
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -41,6 +50,8 @@ WINDOW_TOKENS = 16 * SEQ_LEN
 #: Numbers that ``Spent`` remembers.
 MAX_SPENT = 200_000
 BUCKET_DOCS = 4_000
+#: Documents of one bucket of places.
+PLACE_DOCS = 500
 #: A text without any of these is cut into pieces here: no other character has a
 #: case or normal form that depends on its neighbours, all other white space is plain.
 ODD = "[^ \\n!-~¡-įı-ɏ‐-‧‰-⁞€]|<\\|"
@@ -143,12 +154,9 @@ class TextIds:
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str,
               place_col: str | None = None) -> DataFrame:
     """(id, queue, h, n, ids) written once: token ids of each document with the
-    end id, and its place hash (or its place, all documents in the queue "")."""
-    if place_col:
-        queue, h = F.lit(""), F.col(place_col).cast("long")
-    else:
-        queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-        h = F.xxhash64(F.lit("pack"), F.col(id_col).cast("long"))
+    end id, and its place hash (or its place)."""
+    queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    h = F.col(place_col).cast("long") if place_col else F.xxhash64(F.lit("pack"), F.col(id_col).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TextIds(tokenizer)
@@ -227,6 +235,125 @@ def place(queue: int, x: int, n: int, plan: list[dict], seq_len: int) -> list[tu
     return out
 
 
+def with_digest(doc: int, queue: str, n: int, ids: bytes, cuts: Iterable[tuple[int, int, int, int]]) -> list[tuple]:
+    """The rows of a document's pieces (start, length, sequence, offset)."""
+    wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+    return [(doc, start, length, zlib.crc32(wide[4 * start:4 * (start + length)]), n, seq, off, queue)
+            for start, length, seq, off in cuts]
+
+
+def in_sequences(pieces: Iterable[tuple[int, int, int]], seq_len: int) -> Iterator[tuple[int, int, int, int]]:
+    """Pieces (start, length, place in the stream) cut where a sequence ends: (start, length,
+    sequence, offset)."""
+    for start, length, at in pieces:
+        while length:
+            take = min(length, seq_len - at % seq_len)
+            yield start, take, at // seq_len, at % seq_len
+            start, length, at = start + take, length - take, at + take
+
+
+def cutter(seq_len: int):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, queue, n, ids, *cuts in zip(*[pdf[c] for c in ("id", "queue", "n", "ids", "start", "length", "at")]):
+                out += with_digest(doc, queue, n, ids, in_sequences(zip(*[c.tolist() for c in cuts]), seq_len))
+            yield pd.DataFrame(out, columns=PIECE_NAMES).astype({"id": "Int64"})
+    return cut
+
+
+def share(x: str, of: str, parts: str) -> Column:
+    """x * of / parts rounded down, the product in 38 digits."""
+    return F.expr(f"cast({x} as decimal(19,0)) * {of} div {parts}")
+
+
+def share_up(x: str, of: str, parts: str) -> Column:
+    """x * of / parts rounded up."""
+    return F.expr(f"(cast({x} as decimal(19,0)) * {of} + {parts} - 1) div {parts}")
+
+
+def rounds(rows: DataFrame) -> DataFrame:
+    """``rows`` (queue, place ``h``, bucket ``b``, tokens ``n``) with the place ``s`` at which the
+    round of each begins, and the tokens ``at`` of all places before it.
+
+    The visits of a queue are its runs of neighbouring places.  A phase ends with the
+    first end of a queue behind the first visits of all queues that live at its start, so no run
+    reaches over it.  It has as many rounds, of equally many places, as the least visited
+    of the queues that do not end inside it has visits.  The driver holds two numbers a queue."""
+    last = rows.groupBy(F.col("queue").alias("q")).agg(F.max("h").alias("last"))
+    rows = rows.join(sized_broadcast(last), F.col("queue") == F.col("q")).select(
+        "h", "b", "queue", "n", (F.col("h") == F.col("last")).cast("long").alias("ends"))
+    buckets = Window.orderBy("b")  # one row per bucket
+    inside = Window.partitionBy("b").orderBy("h")
+
+    def earlier(total: str, over) -> Column:
+        return F.coalesce(F.sum(total).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    first = rows.groupBy("b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.max_by("queue", "h").alias("q")).select(
+        F.col("b").alias("ob"), earlier("n", buckets).alias("on"), earlier("ends", buckets).alias("oe"),
+        F.lag("q").over(buckets).alias("oq"))
+    previous = F.coalesce(F.lag("queue").over(inside), F.col("oq"))
+    rows = staged(rows.join(sized_broadcast(first), F.col("b") == F.col("ob")).select(
+        "h", "b", "queue", "n", (F.col("on") + earlier("n", inside)).alias("at"),
+        (F.col("oe") + earlier("ends", inside)).alias("phase"),
+        F.coalesce(previous != F.col("queue"), F.lit(True)).cast("long").alias("visit")), "places")
+    per = Window.partitionBy("queue")
+    seen = rows.groupBy("phase", "queue").agg(
+        F.sum("visit").alias("v"), F.count(F.lit(1)).alias("d"), F.min("h").alias("f")).select(
+        "phase", "queue", "v", "d", "f", F.max("phase").over(per).alias("z"),
+        F.coalesce(F.lag("phase").over(per.orderBy("phase")), F.lit(-1).cast("long")).alias("since"))
+    ends = sorted(r["last"] for r in last.toLocalIterator())
+    met = {r["since"]: r["f"] for r in seen.groupBy("since").agg(F.max("f").alias("f")).toLocalIterator()}
+    upto = list(accumulate((met.get(j, -1) for j in range(-1, len(ends))), max))  # where all that live have been met
+    whole = []
+    while len(whole) < len(ends):
+        j = len(whole)
+        k = bisect.bisect_left(ends, upto[j])
+        whole += [(i, k, ends[j - 1] + 1 if j else 0) for i in range(j, k + 1)]
+    whole = sized_broadcast(rows.sparkSession.createDataFrame(whole, "i long, k long, f long"))
+    phases = seen.drop("f").join(whole, F.col("phase") == F.col("i")).groupBy("k", "f", "queue").agg(
+        F.sum("v").alias("v"), F.sum("d").alias("d"), F.max("z").alias("z")).groupBy(F.col("k").alias("p"), "f").agg(
+        F.min(F.when(F.col("z") >= F.col("k"), F.col("v"))).alias("v"), F.sum("d").alias("d"))
+    rows = rows.join(whole.drop("f"), F.col("phase") == F.col("i"))
+    rows = rows.join(sized_broadcast(phases), F.col("k") == F.col("p")).withColumn("r", share("h - f", "v", "d"))
+    return rows.select("h", "b", "queue", "n", "at", (F.col("f") + share_up("r", "d", "v")).alias("s"))
+
+
+def mixed_pieces(rows: DataFrame, window_tokens: int) -> DataFrame:
+    """``start`` and ``length`` of each document's pieces and their places ``at`` in the
+    stream (arrays), one row per place ``h``, where the windows of a round take
+    from each queue its share of the round.  Rows as ``rounds`` takes them."""
+    rows = staged(rounds(rows), "rounds")
+    own = Window.partitionBy("s", "queue")
+    before = own.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "queue", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    queues = rows.groupBy("s", "queue", "b").agg(F.sum("n").alias("n")).select(
+        F.col("s").alias("os"), F.col("queue").alias("oq"), F.col("b").alias("ob"),
+        F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("o"), F.sum("n").over(own).alias("m"))
+    stretches = rows.groupBy(F.col("s").alias("ts")).agg(
+        F.expr(f"(sum(n) + {window_tokens - 1}) div {window_tokens}").alias("w"), F.min("at").alias("base"))
+    rows = rows.join(sized_broadcast(queues), (F.col("s") == F.col("os")) & (F.col("queue") == F.col("oq")) & (
+        F.col("b") == F.col("ob"))).join(sized_broadcast(stretches), F.col("s") == F.col("ts"))
+    rows = rows.withColumn("x", F.col("o") + F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long")))
+    # i: the windows of a document or, where its queue has less than a token a window, its tokens
+    short = F.col("m") <= F.col("w")
+    pieces = rows.withColumn("i", F.explode(F.sequence(
+        F.when(short, F.col("x")).otherwise(share_up("x + 1", "w", "m") - 1),
+        F.when(short, F.expr("x + n - 1")).otherwise(share_up("x + n", "w", "m") - 1))))
+    pieces = pieces.select(
+        "s", "h", "base", "x", F.when(short, share_up("i + 1", "w", "m") - 1).otherwise(F.col("i")).alias("k"),
+        F.when(short, F.col("i")).otherwise(F.greatest("x", share("i", "m", "w"))).alias("lo"),
+        F.when(short, F.expr("i + 1")).otherwise(F.least(F.expr("x + n"), share("i + 1", "m", "w"))).alias("hi"))
+    pieces = staged(pieces.select("s", "k", "h", "base", F.expr("lo - x").alias("start"), F.expr("hi - lo").alias("length")), "taken")
+    windows = running_sum(pieces.groupBy("s", "k").agg(F.sum("length").alias("n")), ["s"], ["k"], ["n"], ["upto"]).select(
+        F.col("s").alias("os"), F.col("k").alias("ok"), (F.col("upto") - F.col("n")).alias("o"))
+    taken = Window.partitionBy("s", "k").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("base") + F.col("o") + F.coalesce(F.sum("length").over(taken), F.lit(0).cast("long"))
+    placed = pieces.join(sized_broadcast(windows), (F.col("s") == F.col("os")) & (F.col("k") == F.col("ok"))).select(
+        "h", F.struct("start", "length", at.alias("at")).alias("piece"))
+    found = placed.groupBy("h").agg(F.sort_array(F.collect_list("piece")).alias("p"))
+    return found.select("h", *[F.col("p").getField(c).alias(c) for c in ("start", "length", "at")])
+
+
 def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", seq_len: int = SEQ_LEN, window_tokens: int = WINDOW_TOKENS,
          tokenizer: str | None = None, bucket_docs: int | None = None, place_col: str | None = None) -> DataFrame:
@@ -239,15 +366,20 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: st
     stays.  Repeated rows are packed each.  An empty table gives no piece.
 
     ``place_col`` names a gapless 0-based place: the documents are then mixed
-    already and form one queue "" in that order (``weights`` do not apply)."""
+    already.  The queues follow that order and its proportions, round by round of the
+    mix (``weights`` do not apply); see the head of this module."""
     if place_col and weights:
         raise ValueError("documents with a place are mixed already")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     n_docs = docs.count()
-    buckets = max(1, min(20_000, -(-n_docs // (bucket_docs or BUCKET_DOCS))))
+    buckets = max(1, min(20_000, -(-n_docs // (bucket_docs or (PLACE_DOCS if place_col else BUCKET_DOCS)))))
     t = tokenised(docs, id_col, text_col, source_col, path, place_col)
-    share = F.col("h") / F.lit(max(n_docs, 1)) if place_col else unit(F.col("h")) / F.lit(2 ** 31)
-    t = t.withColumn("b", F.floor(share * F.lit(buckets)).cast("int"))
+    part = F.col("h") / F.lit(max(n_docs, 1)) if place_col else unit(F.col("h")) / F.lit(2 ** 31)
+    t = t.withColumn("b", F.floor(part * F.lit(buckets)).cast("int"))
+    if place_col:
+        t = staged(t, "tokens", "zstd")
+        cuts = mixed_pieces(t.select("queue", "h", "b", "n"), window_tokens)
+        return t.join(cuts, "h").mapInPandas(cutter(seq_len), PIECE).withColumnRenamed("id", id_col)
     earlier = (Window.partitionBy("queue", "b").orderBy(unit(F.col("h")), "h", "id", "ids")
                .rowsBetween(Window.unboundedPreceding, -1))
     t = staged(t.withColumn("x", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "tokens", "zstd")
@@ -265,9 +397,7 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: st
         for pdf in batches:
             out = []
             for doc, queue, x, n, ids in zip(pdf["id"], pdf["queue"], pdf["x"], pdf["n"], pdf["ids"]):
-                wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                for start, length, seq, off in place(number[queue], x, n, plan, seq_len):
-                    out.append((doc, start, length, zlib.crc32(wide[4 * start:4 * (start + length)]), n, seq, off, queue))
+                out += with_digest(doc, queue, n, ids, place(number[queue], x, n, plan, seq_len))
             yield pd.DataFrame(out, columns=PIECE_NAMES).astype({"id": "Int64"})
     pieces = rows.mapInPandas(cut, PIECE)
     return pieces.withColumnRenamed("id", id_col)

@@ -1,7 +1,10 @@
 import zlib
+from collections import Counter
+
+import pytest
 
 import corpus_pipeline as cp
-from clinlake.llm import common, mixing, quality_model
+from clinlake.llm import common, mixing, packing, quality_model
 from tests.llm.data import texts
 from tests.llm.test_documents import assert_packed, base_spans, brute_components, ids_of
 
@@ -123,3 +126,65 @@ def test_mix_weights_reach_the_sequences(spark, monkeypatch):
         assert_packed(got, {d: ids_of(t) for d, t in texts(docs).items()}, 4096)
         found.append(list(zip(got.doc_id, got.sequence_id, got.offset)))
     assert found[0] != found[1]
+
+
+def brute_windows(order, window_tokens, seq_len):
+    """Pieces (doc, start, length, sequence, offset, source) of documents (doc, source, tokens)
+    in the order of a mix, token by token."""
+    out, begin, g = [], 0, 0
+    last = {s: i for i, (_, s, _) in enumerate(order)}
+    while begin < len(order):
+        met = max(next(i for i in range(begin, e + 1) if order[i][1] == s) for s, e in last.items() if e >= begin)
+        end = min(e for e in last.values() if e >= met)
+        phase, begin = order[begin:end + 1], end + 1
+        runs = Counter(s for i, (_, s, _) in enumerate(phase) if not i or s != phase[i - 1][1])
+        rounds = min(n for s, n in runs.items() if last[s] >= end)
+        for r in range(rounds):
+            docs = [x for i, x in enumerate(phase) if i * rounds // len(phase) == r]
+            queues = {}
+            for i, (_, s, n) in enumerate(docs):
+                queues.setdefault(s, []).extend((i, t) for t in range(n))
+            windows = -(-sum(map(len, queues.values())) // window_tokens)
+            for k in range(windows):
+                taken = [x for q in queues.values() for x in q[len(q) * k // windows:len(q) * (k + 1) // windows]]
+                for i, t in sorted(taken):
+                    doc, s, _ = docs[i]
+                    if out and t and g % seq_len and out[-1][0] == doc and out[-1][1] + out[-1][2] == t and cut == (i, k):
+                        out[-1][2] += 1
+                    else:
+                        out.append([doc, t, 1, g // seq_len, g % seq_len, s])
+                    cut, g = (i, k), g + 1
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("block, rows", [
+    (6, [(i, f"s{i % 5}", 5 + i * 7 % 90) for i in range(150)]),                             # even sources
+    (4, [(i, "hot" if i % 3 else f"s{i % 7}", 1 + i * 11 % 60) for i in range(240)]),        # a hot one
+    (200, [(i, "one" if i == 40 else None if i % 2 else "b", 30) for i in range(90)]),       # few visits, no source
+    (50, [(i, "tiny" if i < 2 else "b", 1 if i < 2 else 300) for i in range(30)]),           # under a token a window
+    (8, [(i, "alone", 40) for i in range(60)])])
+def test_windows_share_the_rounds_of_a_mix(spark, block, rows):
+    schema = "doc_id long, source string, text string"
+    docs = spark.createDataFrame([(d, s, " ".join(["a"] * (n - 1))) for d, s, n in rows], schema)
+    placed = mixing.mix(docs, block_docs=block).select("row.*", "position").cache()
+    tokens = {d: (s or "", n) for d, s, n in rows}
+    order = [(r.doc_id, *tokens[r.doc_id]) for r in placed.orderBy("position").collect()]
+    want = brute_windows(order, 512, 64)
+    for bucket in (7, None) if block == 6 else (7,):
+        got = packing.pack(placed, seq_len=64, window_tokens=512, bucket_docs=bucket, place_col="position")
+        assert sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset, r.queue) for r in got.collect()) == want
+
+
+def test_pack_stage_mixes_the_sources_of_every_window(spark):
+    """Blocks of 32 long documents: each window holds a fourth of every source, not two blocks."""
+    rows = [(i, f"{'word ' * 1_000}{i}", "en", f"s{i % 4}", 5_000) for i in range(128)]
+    docs = common.staged(spark.createDataFrame(rows, common.read(spark, SF, "documents").schema), "docs")
+    got = run(spark, "pack", run(spark, "mix", docs)).toPandas()
+    assert_packed(got, {d: ids_of(t) for d, t, *_ in rows}, packing.SEQ_LEN)
+    assert all(q == f"s{d % 4}" for d, q in zip(got.doc_id, got["queue"]))
+    total = got.length.sum()
+    windows = -(-total // packing.WINDOW_TOKENS)
+    assert windows > 1
+    middle = got.sequence_id * packing.SEQ_LEN + got.offset + got.length / 2
+    share = got.groupby([middle * windows // total, "queue"]).length.sum() * windows / total
+    assert len(share) == 4 * windows and (abs(share - 0.25) < 0.001).all()
